@@ -268,7 +268,7 @@ def text_replace(c: Corpus) -> DataFrame:
 @query
 def rewrite_runs(c: Corpus) -> DataFrame:
     """Even paragraphs get two new runs, odd ones a single run with another text."""
-    two = lambda p: F.transform(p.runs, lambda r: F.struct(F.upper(r.text).alias("text"), F.lit(None).cast("boolean").alias("bold"), r.italic.alias("italic")))
+    two = lambda p: F.transform(p.runs, lambda r: F.struct(F.concat(F.lit("<"), r.text, F.lit(">")).alias("text"), F.lit(None).cast("boolean").alias("bold"), r.italic.alias("italic")))
     one = lambda p: F.slice(p.runs, 1, 1)
     edit = lambda p, i: F.struct(F.concat(F.lit("new "), p.text).alias("text"), F.when(i % 2 == 0, two(p)).otherwise(one(p)).alias("runs"))
     df = _paragraph_table(c).withColumn("edits", F.transform("paras", edit))

@@ -45,10 +45,11 @@ def exclusion_group(reasoning: Column) -> Column:
 
 
 def size_display(size: Column) -> Column:
+    """B, KB or MB with one decimal; ties go to the even digit."""
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < MB, F.format_string("%.1f KB", size / 1024.0))
-        .otherwise(F.format_string("%.1f MB", size / float(MB)))
+        .when(size < MB, F.format_string("%.1f KB", F.bround(size / 1024.0, 1)))
+        .otherwise(F.format_string("%.1f MB", F.bround(size / float(MB), 1)))
     )
 
 

@@ -1 +1,12 @@
-CHECKS: dict[str, str] = {}
+"""Expected results in plain SQL, one statement per query name."""
+
+from __future__ import annotations
+
+from oracles import classification, scalars, texts, totals
+
+CHECKS: dict[str, str] = {
+    **scalars.CHECKS,
+    **classification.CHECKS,
+    **texts.CHECKS,
+    **totals.CHECKS,
+}
