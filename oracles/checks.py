@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from oracles import classification, scalars, texts, totals
+from oracles import classification, commands, ordering, scalars, texts, totals
 
 CHECKS: dict[str, str] = {
     **scalars.CHECKS,
     **classification.CHECKS,
     **texts.CHECKS,
     **totals.CHECKS,
+    **ordering.CHECKS,
+    **commands.CHECKS,
 }
