@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docket import fixed_values as fv
 from docket.functions import names
+from docket.functions.once import once
 
 MAX_RULES = 2_000
 
@@ -66,49 +67,69 @@ def rules_from_table(table: DataFrame) -> list[Rule]:
     return [Rule(*[row[f] for f in Rule._fields]) for row in rows]
 
 
-def match(rules: Sequence[Rule], name: Column, path: Column, size: Column | None = None) -> Column:
-    """1-based place of the first matching rule, null when none matches."""
-    low = F.lower(name)
-    folder = F.lower(F.coalesce(path, F.lit("")))
-    stem = F.lower(names.stem(name))
-    image = names.suffix(name).isin(*fv.IMAGE_EXTENSIONS)
+def _quoted(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else repr(value)
+
+
+def _texts(name: str, path: str, size: str | None) -> dict[str, Column]:
+    """What the patterns read, and which files each scope is for."""
+    file, low = F.col(name), F.lower(name)
     divider = ~low.contains("qualifications")
     if size is not None:
-        divider = divider & (size == 0)
-        divider = divider | ((size > 0) & (size < fv.DIVIDER_MAX_BYTES))
+        at = F.col(size)
+        divider = (divider & (at == 0)) | ((at > 0) & (at < fv.DIVIDER_MAX_BYTES))
     for word in fv.DIVIDER_WORDS:
         divider = divider | low.contains(word)
-    scopes = {
-        "image": (image, low),
-        "divider": (~image & divider, low),
-        "name": (~image, low),
-        "folder": (~image, folder),
-        "body": (~image & ~low.rlike(names.py(fv.BODY_EXCLUDES)), low),
-        "camera": (~image, stem),
+    image = names.suffix(file).isin(*fv.IMAGE_EXTENSIONS)
+    return {
+        "__low": low,
+        "__folder": F.lower(F.coalesce(F.col(path), F.lit(""))),
+        "__stem": F.lower(names.stem(file)),
+        "__image": image,
+        "__divider": ~image & divider,
+        "__body": ~image & ~low.rlike(names.py(fv.BODY_EXCLUDES)),
     }
 
-    place = None
+
+# scope -> (which files, which text)
+SCOPES = {
+    "image": ("__image", "__low"),
+    "divider": ("__divider", "__low"),
+    "name": ("NOT __image", "__low"),
+    "folder": ("NOT __image", "__folder"),
+    "body": ("__body", "__low"),
+    "camera": ("NOT __image", "__stem"),
+}
+
+
+def first_match(rules: Sequence[Rule]) -> Column:
+    """1-based place of the first matching rule, null when none matches."""
+    cases = []
     for at, rule in enumerate(rules, 1):
-        guard, text = scopes[rule.scope]
-        hit = guard & text.rlike(names.py(rule.pattern)) if rule.pattern else guard
-        place = F.when(hit, at) if place is None else place.when(hit, at)
-    return place
+        files, text = SCOPES[rule.scope]
+        hit = f" AND {text} RLIKE {_quoted(names.py(rule.pattern))}" if rule.pattern else ""
+        cases.append(f"WHEN {files}{hit} THEN {at}")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
 def rule_columns(df: DataFrame, rules: Sequence[Rule], name: str, path: str, size: str | None, prefix: str) -> DataFrame:
-    """Add the winning rule's fields as ``prefix``-columns. Only the rule's place is computed from the patterns; the
-    fields are looked up in a literal array."""
-    at = match(rules, F.col(name), F.col(path), F.col(size) if size else None)
-    df = df.withColumn("__rule", at)
+    """Add the winning rule's fields as ``prefix``-columns. The texts and the rule's place are worked out once per row;
+    the fields are looked up in literal arrays."""
+    texts = _texts(name, path, size)
+    found = once(once(df, texts), {"__rule": first_match(rules)}).drop(*texts)
 
-    def field(values, kind):
-        return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("__rule") - 1)
+    def field(values, kind: str) -> Column:
+        return F.expr(f"CAST(get(array({', '.join(map(_quoted, values))}), __rule - 1) AS {kind})")
 
-    return df.withColumns(
+    return found.withColumns(
         {
             f"{prefix}category": field([r.category for r in rules], "string"),
             f"{prefix}subcategory": field([r.subcategory for r in rules], "string"),
-            f"{prefix}confidence": field([r.confidence for r in rules], "double"),
+            f"{prefix}confidence": field([float(r.confidence) for r in rules], "double"),
             f"{prefix}sort_order": field([r.sort_order for r in rules], "int"),
             f"{prefix}reason": field([r.reason for r in rules], "string"),
         }

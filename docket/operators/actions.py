@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.functions import metrics
-from docket.operators.scan import ordered_scan
+from docket.operators.scan import biggest_group, ordered_scan
 from docket.schema import ACTIONS, known_section
 
 SNAPSHOT_KINDS = ["move", "exclude", "include"]
@@ -149,18 +149,19 @@ def undo_pairs(actions: DataFrame, group_rows: int | None = None) -> DataFrame:
     Commands push, undos pop, and a pop on an empty stack does nothing. The stack height is a running sum of +1 and -1
     above its own running minimum; an undo belongs to the last push that reached the height it starts from, which is the
     row before it among the pushes and undos of that height."""
+    size = biggest_group(actions, ["report_id"])
     log = _valid(actions).filter(F.col("action").isin(*SNAPSHOT_KINDS)).unionByName(actions.filter("action = 'undo'"))
     delta = F.when(F.col("action") == "undo", -1).otherwise(1).cast("long")
     steps = log.select("report_id", "seq", delta.alias("delta"))
-    sums = ordered_scan(steps, ["report_id"], ["seq"], sums={"total": F.col("delta")}, group_rows=group_rows)
+    sums = ordered_scan(steps, ["report_id"], ["seq"], sums={"total": F.col("delta")}, group_rows=group_rows, size=size)
     before = F.col("total") - F.col("delta")
-    low = ordered_scan(sums, ["report_id"], ["seq"], mins={"floor": before}, group_rows=group_rows)
+    low = ordered_scan(sums, ["report_id"], ["seq"], mins={"floor": before}, group_rows=group_rows, size=size)
     low = low.withColumn("floor", F.least("floor", F.lit(0).cast("long")))
     is_undo = F.col("delta") < 0
     live = low.filter(~is_undo | (before > F.col("floor")))
     level = F.when(is_undo, before - F.col("floor")).otherwise(F.col("total") - F.col("floor"))
     levelled = live.select("report_id", "seq", "delta", level.alias("level"))
-    paired = ordered_scan(levelled, ["report_id", "level"], ["seq"], lags={"push_seq": F.col("seq")}, group_rows=group_rows)
+    paired = ordered_scan(levelled, ["report_id", "level"], ["seq"], lags={"push_seq": F.col("seq")}, group_rows=group_rows, size=size)
     return paired.filter(is_undo).select("report_id", "push_seq", F.col("seq").alias("undo_seq"))
 
 
@@ -179,7 +180,11 @@ def surviving_events(events: DataFrame, pairs: DataFrame, group_rows: int | None
     marks = spans.select(*key, F.inline(ends)).withColumn("step", F.lit(0))
     own = events.withColumns({"step": F.lit(1), "delta": F.lit(0).cast("long")})
     line = own.unionByName(marks, allowMissingColumns=True)
-    open_ = ordered_scan(line, key, ["seq", "step"], sums={"open": F.col("delta")}, group_rows=group_rows)
+    # A document's line holds its events and two ends per span, and spans come from its own events.
+    top, total = biggest_group(events, key)
+    open_ = ordered_scan(
+        line, key, ["seq", "step"], sums={"open": F.col("delta")}, group_rows=group_rows, size=(3 * top, 3 * total)
+    )
     return open_.filter("step = 1 AND open = 0").select(*events.columns)
 
 

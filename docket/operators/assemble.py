@@ -11,6 +11,8 @@ from docket.operators.excerpt import join_pages, kept_pages
 from docket.operators.scan import ordered_scan
 from docket.schema import SECTION_NAMES, position_of
 
+Size = DataFrame | tuple[int, int] | None
+
 ORDER = ["section_pos", "key1", "key2", "key3", "sort_name", "doc_id"]
 
 
@@ -80,19 +82,20 @@ def omitted(filings: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def assembly_order(
-    filings: DataFrame, reports: DataFrame, strict: bool = False, natural: bool = False, group_rows: int | None = None
+    filings: DataFrame, reports: DataFrame, strict: bool = False, natural: bool = False, group_rows: int | None = None,
+    size: Size = None,
 ) -> DataFrame:
     """Place of every document in its report."""
     ready = sort_columns(placeable(filings, reports), strict, natural)
-    return ordered_scan(ready, ["report_id"], ORDER, position="pos", group_rows=group_rows)
+    return ordered_scan(ready, ["report_id"], ORDER, position="pos", group_rows=group_rows, size=size or filings)
 
 
 def manifest(
     filings: DataFrame, reports: DataFrame, doc_pages: DataFrame | None = None, strict: bool = False,
-    natural: bool = False, group_rows: int | None = None,
+    natural: bool = False, group_rows: int | None = None, size: Size = None,
 ) -> DataFrame:
     """Page range of every document. Page counts are the stored ones, or what ``doc_pages`` really holds after blank
-    tails are stripped."""
+    tails are stripped. Report sizes are taken from all filings, which is cheaper than from the ones with a place."""
     slim = filings.select(
         "report_id", "doc_id", "original_filename", "original_path", "category", "subcategory", "sort_order", "status",
         "is_included", "page_count", *[c for c in ("ext", "is_profile") if c in filings.columns],
@@ -105,7 +108,8 @@ def manifest(
         "report_id", "original_filename", "category", "subcategory", "page_count", *ORDER
     )
     placed = ordered_scan(
-        ready, ["report_id"], ORDER, position="pos", sums={"end_page": F.col("page_count")}, group_rows=group_rows
+        ready, ["report_id"], ORDER, position="pos", sums={"end_page": F.col("page_count")}, group_rows=group_rows,
+        size=size or slim,
     )
     return placed.select(
         "report_id",
@@ -149,11 +153,12 @@ def page_lookup(manifest_rows: DataFrame, page_refs: DataFrame, block: int = 256
     return refs.join(spans, ["report_id", "__block"]).filter(F.col("page").between(F.col("start_page"), F.col("end_page"))).drop("__block")
 
 
-def manifest_neighbours(manifest_rows: DataFrame, group_rows: int | None = None) -> DataFrame:
+def manifest_neighbours(manifest_rows: DataFrame, group_rows: int | None = None, size: Size = None) -> DataFrame:
     """First page of the document before and after each entry."""
     start = F.col("start_page")
     return ordered_scan(
-        manifest_rows, ["report_id"], ["pos"], lags={"prev_start": start}, leads={"next_start": start}, group_rows=group_rows
+        manifest_rows, ["report_id"], ["pos"], lags={"prev_start": start}, leads={"next_start": start}, group_rows=group_rows,
+        size=size,
     )
 
 
@@ -184,7 +189,7 @@ def document_list(filings: DataFrame) -> DataFrame:
 def display_order(filings: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Place of included documents within their section on screen, from 0."""
     shown = filings.filter("is_included")
-    placed = ordered_scan(shown, ["report_id", "category"], ["sort_order", "doc_id"], position="place", group_rows=group_rows)
+    placed = ordered_scan(shown, ["report_id", "category"], ["sort_order", "doc_id"], position="place", group_rows=group_rows, size=filings)
     return placed.withColumn("place", F.col("place") - 1)
 
 

@@ -7,32 +7,26 @@ from pyspark.sql import functions as F
 
 from docket import fixed_values as fv
 from docket.functions import metrics, names
-from docket.operators.scan import attach, ordered_scan, top_per_group
+from docket.operators.scan import group_figures, ordered_scan, top_per_group
 from docket.schema import known_section
 
+Size = DataFrame | tuple[int, int] | None
 REVISED_NOTE = " [Superseded by revised version]"
 
 
-def dedupe_versions(filings: DataFrame, group_rows: int | None = None) -> DataFrame:
+def dedupe_versions(filings: DataFrame, group_rows: int | None = None, size: Size = None) -> DataFrame:
     """Keep the newest included version of every (report, base name); the others are excluded with a reason that names
-    it. Newest is latest modified, unknown dates last, then lowest id. Winners come from a partial aggregate; hot groups
-    of copies are salted when their winner is joined back."""
-    keyed = filings.withColumn("base_name", names.norm_basename(F.col("original_filename")))
-    key = ["report_id", "base_name"]
-    winners = (
-        keyed.filter("is_included")
-        .groupBy(*key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max_by(F.struct("doc_id", "original_filename"), F.struct("modified_at", -F.col("doc_id"))).alias("newest"),
-        )
-        .filter("n > 1")
+    it. Newest is latest modified, unknown dates last, then lowest id."""
+    keyed = filings.withColumn("__base", names.norm_basename(F.col("original_filename")))
+    newest = F.max_by(
+        F.when(F.col("is_included"), F.struct("doc_id", "original_filename")),
+        F.when(F.col("is_included"), F.struct("modified_at", -F.col("doc_id"))),
     )
-    old = F.col("is_included") & (F.col("newest.doc_id") != F.col("doc_id"))
-    reason = F.concat(F.lit("Superseded by newer version: "), F.col("newest.original_filename"))
+    old = F.coalesce(F.col("is_included") & (F.col("__newest.doc_id") != F.col("doc_id")), F.lit(False))
+    reason = F.concat(F.lit("Superseded by newer version: "), F.col("__newest.original_filename"))
     return (
-        attach(keyed, winners, key, group_rows=group_rows)
-        .withColumn("__old", F.coalesce(old, F.lit(False)))
+        group_figures(keyed, ["report_id", "__base"], {"__newest": newest}, group_rows=group_rows, size=size)
+        .withColumn("__old", old)
         .withColumns(
             {
                 "is_included": F.col("is_included") & ~F.col("__old"),
@@ -43,7 +37,7 @@ def dedupe_versions(filings: DataFrame, group_rows: int | None = None) -> DataFr
     )
 
 
-def supersede_revised(filings: DataFrame, group_rows: int | None = None) -> DataFrame:
+def supersede_revised(filings: DataFrame, group_rows: int | None = None, size: Size = None) -> DataFrame:
     """Exclude older files next to a revised one: same report, same name without revision marks, another stem. Whether
     such a revised file exists follows from the smallest and largest revised stem of the group, so no pairs are made."""
     low = F.lower(names.stem(F.col("original_filename")))
@@ -56,19 +50,13 @@ def supersede_revised(filings: DataFrame, group_rows: int | None = None) -> Data
         }
     )
     live = F.col("is_included") & (F.col("status") != "error") & F.col("__rev") & (F.col("__base") != "")
-    stats = (
-        df.groupBy("report_id", "__base")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.when(live, F.col("__stem"))).alias("__lo"),
-            F.max(F.when(live, F.col("__stem"))).alias("__hi"),
-        )
-        .filter("__lo IS NOT NULL")
-    )
+    stems = F.when(live, F.col("__stem"))
     other = (F.col("__lo") != F.col("__stem")) | (F.col("__hi") != F.col("__stem"))
     hit = F.coalesce(F.col("is_included") & F.col("__older") & other, F.lit(False))
     return (
-        attach(df, stats, ["report_id", "__base"], group_rows=group_rows)
+        group_figures(
+            df, ["report_id", "__base"], {"__lo": F.min(stems), "__hi": F.max(stems)}, group_rows=group_rows, size=size
+        )
         .withColumn("superseded", hit)
         .withColumns(
             {
@@ -119,7 +107,7 @@ def duplicate_counts(filings: DataFrame) -> DataFrame:
     return sizes.groupBy("report_id").agg(F.sum(F.col("n") - 1).alias("removed"), F.count(F.lit(1)).alias("remaining"))
 
 
-def _correction_steps(filings: DataFrame, corrections: DataFrame, guard: float) -> DataFrame:
+def _correction_steps(filings: DataFrame, corrections: DataFrame, guard: float, group_rows: int | None) -> DataFrame:
     """Corrections that may act, each with the section its document has just before."""
     open_ = filings.filter(F.col("is_included") & (F.coalesce("confidence", F.lit(0.0)) < guard)).select(
         "report_id", "doc_id", "category"
@@ -127,15 +115,20 @@ def _correction_steps(filings: DataFrame, corrections: DataFrame, guard: float)
     usable = corrections.filter(
         known_section(F.col("suggested_section")) & (F.col("suggested_section") != "COVER_WRITEUP")
     ).join(open_, ["report_id", "doc_id"])
-    steps = ordered_scan(usable, ["report_id", "doc_id"], ["seq"], lags={"prev": F.col("suggested_section")})
+    steps = ordered_scan(
+        usable, ["report_id", "doc_id"], ["seq"], lags={"prev": F.col("suggested_section")}, group_rows=group_rows,
+        size=corrections,
+    )
     return steps.withColumn("applied", F.col("suggested_section") != F.coalesce("prev", "category"))
 
 
-def apply_corrections(filings: DataFrame, corrections: DataFrame, guard: float = 0.90) -> DataFrame:
+def apply_corrections(
+    filings: DataFrame, corrections: DataFrame, guard: float = 0.90, group_rows: int | None = None
+) -> DataFrame:
     """Apply section corrections in order. Guards: known document of the report, known section, not the cover, not the
     section it already has, and no document that was placed with confidence. A correction sees what the ones before it
     did: since an applied one leaves the target as the section, that is simply the correction before it."""
-    steps = _correction_steps(filings, corrections, guard)
+    steps = _correction_steps(filings, corrections, guard, group_rows)
     last = (
         steps.filter("applied")
         .groupBy("report_id", "doc_id")

@@ -48,18 +48,22 @@ def ordered_scan(
     lags: Mapping[str, Column] | None = None,
     leads: Mapping[str, Column] | None = None,
     group_rows: int | None = None,
+    size: DataFrame | tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add running values over the rows of each ``by`` group in ``order`` (ascending columns, unique within a group).
 
     ``position`` is the 1-based row number; ``sums``, ``mins`` and ``maxs`` run up to and including the row; ``lags``
     and ``leads`` are the value of the row before and after. Nulls are passed over by sums, mins and maxs.
+
+    ``size`` is what the choice of way goes by: a cheaper table whose groups are at least as large (an input the rows
+    were filtered from), or figures from ``biggest_group`` that are already known.
     """
     sums, mins, maxs = dict(sums or {}), dict(mins or {}), dict(maxs or {})
     lags, leads = dict(lags or {}), dict(leads or {})
     if position:
         sums[position] = F.lit(1).cast("long")
     limit = group_rows or GROUP_ROWS
-    top, total = biggest_group(df, by)
+    top, total = size if isinstance(size, tuple) else biggest_group(df if size is None else size, by)
 
     if top <= limit:
         ordered = Window.partitionBy(*by).orderBy(*order)
@@ -127,22 +131,27 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int, ran
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def attach(
-    df: DataFrame, stats: DataFrame, by: Sequence[str], rows: str = "n", spread: Sequence[str] = ("doc_id",),
-    group_rows: int | None = None,
+def group_figures(
+    df: DataFrame, by: Sequence[str], figures: Mapping[str, Column], *, spread: Sequence[str] = ("doc_id",),
+    group_rows: int | None = None, size: DataFrame | tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Left-join per-group figures (unique on ``by``, with the group's row count in ``rows``) back to the rows.
+    """Add aggregates of each row's group. Groups that fit in a task are one window, hence one shuffle.
 
-    Groups above ``group_rows`` are salted: their figures are repeated once per salt and their rows spread over the
-    salts, so no join task sees more than about ``group_rows`` rows of one key. The list of such groups is broadcast;
-    it cannot be longer than rows / group_rows.
-    """
+    Otherwise the figures come from a partial-then-final aggregate and are joined back salted: the figures of a group
+    above ``group_rows`` are repeated once per salt and its rows spread over the salts, so no join task sees more than
+    about ``group_rows`` rows of one key. The list of such groups is broadcast; it holds at most rows / group_rows."""
     limit = group_rows or GROUP_ROWS
     keys = list(by)
-    salts = F.greatest(F.ceil(F.col(rows) / limit), F.lit(1)).cast("int")
-    hot = stats.filter(F.col(rows) > limit).select(*keys, salts.alias("__salts"))
+    top, _ = size if isinstance(size, tuple) else biggest_group(df if size is None else size, keys)
+    if top <= limit:
+        group = Window.partitionBy(*keys)
+        return df.withColumns({name: figure.over(group) for name, figure in figures.items()})
+
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in figures.items()])
+    salts = F.ceil(F.col("__n") / limit).cast("int")
+    hot = stats.filter(F.col("__n") > limit).select(*keys, salts.alias("__salts"))
     salted = df.join(F.broadcast(hot), keys, "left").withColumn(
         "__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")
     )
     repeated = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted.join(repeated, [*keys, "__salt"], "left").drop("__salt", "__salts")
+    return salted.join(repeated, [*keys, "__salt"]).select(*df.columns, *figures)

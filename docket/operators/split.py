@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions import metrics
-from docket.operators.scan import ordered_scan
+from docket.operators.scan import biggest_group, ordered_scan
+from docket.session import stored
 
 CAP = 20 * 1024 * 1024
 TARGETS_MB = {"email": 10, "standard": 25}
@@ -31,22 +32,23 @@ def split_estimate(totals: DataFrame, cap: int = CAP) -> DataFrame:
     return part.select("report_id", "part_number", start.alias("start_page"), end.alias("end_page"), (end - start + 1).alias("page_count"))
 
 
-def _reach(pages: DataFrame, cap: int, group_rows: int | None) -> DataFrame:
+def _reach(pages: DataFrame, cap: int, group_rows: int | None, size: tuple[int, int]) -> DataFrame:
     """For every page (0-based ``p``) the first page that no longer fits into a part of ``cap`` bytes starting there.
 
     With prefix sums E(p) of bytes up to and including p, that is the number of pages q with E(q) <= E(p-1) + cap. It
     is found by merging page ends and limits in byte order and counting ends: a scan, not a pairing of pages."""
     sized = pages.select("report_id", (F.col("global_page") - 1).alias("p"), "n_bytes")
-    ends = ordered_scan(sized, ["report_id"], ["p"], sums={"through": F.col("n_bytes")}, group_rows=group_rows)
-    marks = ends.select("report_id", F.col("through").alias("at"), F.lit(0).alias("kind"), "p", "n_bytes").unionByName(
-        ends.select(
-            "report_id", (F.col("through") - F.col("n_bytes") + cap).alias("at"), F.lit(1).alias("kind"), "p", "n_bytes"
-        )
+    ends = ordered_scan(sized, ["report_id"], ["p"], sums={"through": F.col("n_bytes")}, group_rows=group_rows, size=size)
+    two = F.array(
+        F.struct(F.col("through").alias("at"), F.lit(0).alias("kind")),
+        F.struct((F.col("through") - F.col("n_bytes") + cap).alias("at"), F.lit(1).alias("kind")),
     )
+    marks = ends.select("report_id", "p", F.inline(two))
     counted = ordered_scan(
-        marks, ["report_id"], ["at", "kind", "p"], sums={"fits": (1 - F.col("kind")).cast("long")}, group_rows=group_rows
+        marks, ["report_id"], ["at", "kind", "p"], sums={"fits": (1 - F.col("kind")).cast("long")}, group_rows=group_rows,
+        size=(2 * size[0], 2 * size[1]),
     )
-    return counted.filter("kind = 1").select("report_id", "p", "n_bytes", F.col("fits").alias("reach"))
+    return counted.filter("kind = 1").select("report_id", "p", F.col("fits").alias("reach"))
 
 
 def _follow(steps: DataFrame, block_rows: int) -> DataFrame:
@@ -55,7 +57,8 @@ def _follow(steps: DataFrame, block_rows: int) -> DataFrame:
     Following the starts is sequential, but where a block of pages is left depends only on where it is entered. So every
     block works out its exits for all entries on its own; the chain over blocks then reads one exit per block; and every
     block, entry known, lists its starts on its own. A block is 64 times the longest part, so exits are few against
-    pages."""
+    pages. The steps are read three times and cost two scans, so they are stored first."""
+    steps = stored(steps)
     longest = steps.groupBy("report_id").agg(F.max(F.col("nxt") - F.col("p")).alias("longest"), F.count(F.lit(1)).alias("n"))
     width = F.greatest(F.lit(block_rows).cast("long"), F.col("longest") * 64)
     # Bounded rows per report, joined back by (report, coarse block) so that a big report spreads over tasks.
@@ -118,29 +121,31 @@ def _block(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
     return int(pdf["p"].iloc[0]), pdf["nxt"].to_numpy()
 
 
-def _numbered(parts: DataFrame, group_rows: int | None) -> DataFrame:
-    numbered = ordered_scan(parts, ["report_id"], ["start"], position="part_number", group_rows=group_rows)
+def _numbered(parts: DataFrame, group_rows: int | None, size: tuple[int, int]) -> DataFrame:
+    numbered = ordered_scan(parts, ["report_id"], ["start"], position="part_number", group_rows=group_rows, size=size)
     return numbered.select(
         "report_id", "part_number", (F.col("start") + 1).alias("start_page"), F.col("stop").alias("end_page"),
         (F.col("stop") - F.col("start")).alias("page_count"),
     )
 
 
-def split_greedy(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None) -> DataFrame:
+def split_greedy(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """Fill every part as far as ``cap`` allows; a page above the cap is a part of its own. ``page_sizes``: (report_id,
     global_page from 1, n_bytes)."""
-    steps = _reach(page_sizes, cap, group_rows).select(
+    size = size or biggest_group(page_sizes, ["report_id"])
+    steps = _reach(page_sizes, cap, group_rows, size).select(
         "report_id", "p", F.greatest("reach", F.col("p") + 1).alias("nxt")
     )
-    return _numbered(_follow(steps, block_rows), group_rows)
+    return _numbered(_follow(steps, block_rows), group_rows, size)
 
 
-def split_adaptive(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None) -> DataFrame:
+def split_adaptive(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """Start from the average-size estimate and take a quarter of the pages off while a part is too big."""
     totals = page_sizes.groupBy("report_id").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     per = F.when(F.col("bytes") <= cap, F.col("n")).otherwise(pages_per_part(F.col("bytes"), F.col("n"), cap))
     totals = totals.withColumn("per", per)
-    reach = _reach(page_sizes, cap, group_rows).withColumn("coarse", F.floor(F.col("p") / block_rows))
+    size = size or biggest_group(page_sizes, ["report_id"])
+    reach = _reach(page_sizes, cap, group_rows, size).withColumn("coarse", F.floor(F.col("p") / block_rows))
     spread = totals.withColumn(
         "coarse", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_rows)))
     )
@@ -154,7 +159,7 @@ def split_adaptive(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_5
         ).otherwise(pages),
     )
     steps = reach.join(spread, ["report_id", "coarse"]).select("report_id", "p", (F.col("p") + length).alias("nxt"))
-    return _numbered(_follow(steps, block_rows), group_rows)
+    return _numbered(_follow(steps, block_rows), group_rows, size)
 
 
 def delivery_plan(reports: DataFrame, parts: DataFrame, cap: int = CAP) -> DataFrame:

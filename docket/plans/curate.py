@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket.operators import assemble, classify, curate, evidence
+from docket.operators.scan import GROUP_ROWS, biggest_group
 
 
 def place_by_name(filings: DataFrame) -> DataFrame:
@@ -23,7 +24,7 @@ def place_by_name(filings: DataFrame) -> DataFrame:
 
 def manifest_by_name(filings: DataFrame, reports: DataFrame) -> DataFrame:
     """For every report, the ordered page manifest of its files, placed by name."""
-    return assemble.manifest(place_by_name(filings), reports)
+    return assemble.manifest(place_by_name(filings), reports, size=filings)
 
 
 def curate_corpus(
@@ -50,5 +51,8 @@ def curate_corpus(
     )
     # Preferences belong to fresh classifications only; the rest keep their figures.
     preferred = curate.preference_columns(fresh, F.col("live"))
-    superseded = curate.supersede_revised(preferred.select(*filings.columns, "is_profile")).drop("superseded")
-    return curate.apply_corrections(curate.dedupe_versions(superseded), corrections)
+    # No version group is larger than its report: if reports fit in a task, so do all groups.
+    reports = biggest_group(filings, ["report_id"])
+    size = reports if reports[0] <= GROUP_ROWS else None
+    superseded = curate.supersede_revised(preferred.select(*filings.columns, "is_profile"), size=size).drop("superseded")
+    return curate.apply_corrections(curate.dedupe_versions(superseded, size=size), corrections)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.functions.names import suffix
+from docket.functions.once import once
 from docket.schema import ALL_SECTIONS
 
 PAGE_CHARS = 200
@@ -258,8 +259,8 @@ class Corpus:
 
     @cached_property
     def filings(self) -> DataFrame:
-        df = self._derived("filings")
-        return df.withColumn("ext", suffix(F.col("original_filename")))
+        named = once(self._derived("filings"), {"original_filename": F.col("original_filename")})
+        return named.withColumn("ext", suffix(F.col("original_filename")))
 
     @cached_property
     def verdicts(self) -> DataFrame:
