@@ -54,7 +54,7 @@ def conversion_plan(c: Corpus) -> DataFrame:
 
 @query
 def paginate(c: Corpus) -> DataFrame:
-    return excerpt.paginate(c.given("documents")).select("doc_id", "page_no", "txt")
+    return excerpt.paginate(c.documents).select("doc_id", "page_no", "txt")
 
 
 @query
@@ -64,7 +64,7 @@ def page_count(c: Corpus) -> DataFrame:
 
 @query
 def paragraphs(c: Corpus) -> DataFrame:
-    spaced = c.given("documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    spaced = c.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return excerpt.paragraphs(spaced)
 
 
@@ -246,7 +246,7 @@ def _paragraph_table(c: Corpus) -> DataFrame:
         runs = F.array(run(first, True), run(F.substr(line, F.length(first) + 1), False))
         return F.struct(line.alias("text"), style(i).alias("style"), runs.alias("runs"))
 
-    return c.given("documents").select("doc_id", "lang", "source", F.transform(lines, para).alias("paras"))
+    return c.documents.select("doc_id", "lang", "source", F.transform(lines, para).alias("paras"))
 
 
 def _flat_runs(df: DataFrame) -> DataFrame:

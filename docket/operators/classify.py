@@ -156,7 +156,9 @@ def model_verdicts(prompts: DataFrame, model: Callable[[pd.Series], pd.Series],
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "response_text": model(batch["prompt"])})
 
-    return prompts.select("doc_id", "prompt").coalesce(concurrency).mapInPandas(answer, "doc_id bigint, response_text string")
+    # Short rows are shuffled into few tasks; building the prompts keeps its own parallelism.
+    few = prompts.select("doc_id", "prompt").repartition(concurrency, "doc_id")
+    return few.mapInPandas(answer, "doc_id bigint, response_text string")
 
 
 def resolve_alias(df: DataFrame, column: str) -> DataFrame:

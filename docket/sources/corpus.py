@@ -274,20 +274,24 @@ class Corpus:
     def progress_events(self) -> DataFrame:
         return self._derived("progress_events")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The given texts. A small folder is one split, hence one task: it is spread by id. A large one is read as it
+        is."""
+        given = self.given("documents")
+        tasks = self.spark.sparkContext.defaultParallelism
+        return given if given.rdd.getNumPartitions() >= tasks else given.repartition(tasks, "doc_id")
+
     @cached_property
     def doc_texts(self) -> DataFrame:
-        return self._derived("doc_texts")
+        return _project(self.documents, PROJECTIONS["doc_texts"][1])
 
     @cached_property
     def doc_pages(self) -> DataFrame:
         """Texts cut into pages of ``PAGE_CHARS`` characters; every fifth kind is a scan that has OCR text only."""
-        texts = self.doc_texts
-        count = F.greatest(F.ceil(F.length("full_text") / PAGE_CHARS), F.lit(1)).cast("int")
-        pages = F.transform(
-            F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("full_text"), i * PAGE_CHARS + 1, F.lit(PAGE_CHARS))
-        )
+        pages = F.regexp_extract_all("full_text", F.lit(f"(?s).{{1,{PAGE_CHARS}}}"), F.lit(0))
         scan = F.col("doc_id") % 5 == 2
-        return texts.select("doc_id", F.posexplode(pages).alias("page_no", "chunk")).select(
+        return self.doc_texts.select("doc_id", F.posexplode(pages).alias("page_no", "chunk")).select(
             "doc_id",
             "page_no",
             F.when(scan, F.lit("")).otherwise(F.col("chunk")).alias("txt"),
