@@ -25,6 +25,12 @@ def query(build: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]
     return build
 
 
+def heavy(build: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
+    """A query that runs many patterns per filing."""
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(Corpus(spark, sf_dir, spread=True))
+    return build
+
+
 def _text(column: str, sep: str = " | "):
     return F.array_join(column, sep).alias(column)
 
@@ -37,7 +43,7 @@ def ingest_eligible(c: Corpus) -> DataFrame:
     return ingest.eligible(c.filings.drop("ext")).select("doc_id", "original_filename", "ext")
 
 
-@query
+@heavy
 def ingest_upsert(c: Corpus) -> DataFrame:
     name = F.when(F.col("is_included"), F.col("original_filename")).otherwise(F.concat(F.lit("new "), F.col("original_filename")))
     batch = c.filings.select(
@@ -95,12 +101,12 @@ def retry_errors(c: Corpus) -> DataFrame:
 RULED = ["doc_id", "rule_category", "rule_subcategory", "rule_confidence", "rule_sort_order", "rule_reason"]
 
 
-@query
+@heavy
 def classify_filename(c: Corpus) -> DataFrame:
     return classify.classify_by_name(c.filings).select(*RULED)
 
 
-@query
+@heavy
 def classify_filename_join(c: Corpus) -> DataFrame:
     table = c.spark.createDataFrame(standard_rules(), RULE_SCHEMA)
     return classify.classify_by_table(c.filings, table, size="file_size").select(*RULED)
@@ -121,12 +127,12 @@ def parse_verdicts(c: Corpus) -> DataFrame:
     return classify.parse_verdicts(c.verdicts)
 
 
-@query
+@heavy
 def reconcile(c: Corpus) -> DataFrame:
     return classify.reconcile(c.filings, c.verdicts).drop("report_id")
 
 
-@query
+@heavy
 def route_policy(c: Corpus) -> DataFrame:
     """All three policies side by side."""
     out = None
@@ -286,7 +292,7 @@ def path_parts(c: Corpus) -> DataFrame:
     )
 
 
-@query
+@heavy
 def norm_basename(c: Corpus) -> DataFrame:
     return c.filings.select("doc_id", names.norm_basename(F.col("original_filename")).alias("base_name"))
 
@@ -346,7 +352,7 @@ def section_status(c: Corpus) -> DataFrame:
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query
+@heavy
 def supersede_revised(c: Corpus) -> DataFrame:
     return curate.supersede_revised(c.filings).select("doc_id", "superseded", "is_included", "reasoning")
 
@@ -485,7 +491,7 @@ def omitted(c: Corpus) -> DataFrame:
     return assemble.omitted(c.filings, c.reports).select("report_id", "doc_id", "omitted_because")
 
 
-@query
+@heavy
 def manifest(c: Corpus) -> DataFrame:
     """The flagship: files placed by name, ordered, and laid out in pages, for every report at once."""
     return plans.manifest_by_name(c.filings, c.reports)
@@ -496,7 +502,7 @@ def assembled_pages(c: Corpus) -> DataFrame:
     return assemble.assembled_pages(assemble.manifest(c.filings, c.reports, c.doc_pages), c.doc_pages)
 
 
-@query
+@heavy
 def dedupe_versions(c: Corpus) -> DataFrame:
     return curate.dedupe_versions(c.filings).select("doc_id", "is_included", "reasoning")
 
@@ -548,7 +554,7 @@ def move_in_section(c: Corpus) -> DataFrame:
     return assemble.move_in_section(c.filings, ends.select("report_id", "doc_id", kind.alias("kind"), "over_id"))
 
 
-@query
+@heavy
 def curate_after_e(c: Corpus) -> DataFrame:
     return curate.curate_after_e(c.filings, max_pages=50).select("report_id", "doc_id", "report_class", "reason")
 
@@ -590,7 +596,7 @@ def apply_corrections(c: Corpus) -> DataFrame:
     return curate.apply_corrections(c.filings, c.corrections).select("doc_id", "category", "confidence", "reasoning", "n_applied")
 
 
-@query
+@heavy
 def preference_rules(c: Corpus) -> DataFrame:
     return curate.preference_rules(c.filings).select(*STATE, "is_profile")
 
@@ -650,7 +656,7 @@ def manual_update(c: Corpus) -> DataFrame:
     return act.manual_update(c.filings, asked).select(*STATE, "subcategory")
 
 
-@query
+@heavy
 def curate_corpus(c: Corpus) -> DataFrame:
     return plans.curate_corpus(c.filings, c.doc_pages, c.verdicts, c.corrections).select(*STATE, "status")
 

@@ -36,6 +36,15 @@ def biggest_group(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
     return (row["top"] or 0, row["total"] or 0)
 
 
+def _size(df: DataFrame, by: Sequence[str], size: DataFrame | tuple[int, int] | None, limit: int) -> tuple[int, int]:
+    """Rows of the largest group, or an upper bound that is within ``limit``. Groups by the first column alone hold the
+    finer ones and are cheaper to count, so they are looked at first."""
+    if isinstance(size, tuple):
+        return size
+    coarse = biggest_group(df if size is None else size, by[:1])
+    return coarse if coarse[0] <= limit or len(by) == 1 else biggest_group(df, by)
+
+
 def ordered_scan(
     df: DataFrame,
     by: Sequence[str],
@@ -63,7 +72,7 @@ def ordered_scan(
     if position:
         sums[position] = F.lit(1).cast("long")
     limit = group_rows or GROUP_ROWS
-    top, total = size if isinstance(size, tuple) else biggest_group(df if size is None else size, by)
+    top, total = _size(df, by, size, limit)
 
     if top <= limit:
         ordered = Window.partitionBy(*by).orderBy(*order)
@@ -142,7 +151,7 @@ def group_figures(
     about ``group_rows`` rows of one key. The list of such groups is broadcast; it holds at most rows / group_rows."""
     limit = group_rows or GROUP_ROWS
     keys = list(by)
-    top, _ = size if isinstance(size, tuple) else biggest_group(df if size is None else size, keys)
+    top, _ = _size(df, keys, size, limit)
     if top <= limit:
         group = Window.partitionBy(*keys)
         return df.withColumns({name: figure.over(group) for name, figure in figures.items()})

@@ -27,10 +27,10 @@ TEMPLATES = [
     ("IMG", True, ".HEIC", "Photo of the parking lot"),
     ("Appendix C divider", False, ".pdf", "Appendix C"),
     ("Appendix F - Qualifications", False, ".pdf", "Qualifications of Environmental Professional, resume"),
-    ("6384674-ESAI-Aerials", True, ".pdf", "1950 Aerial photograph, USGS photo"),
-    ("6384674-ESAI-Report", False, ".pdf",
+    ("7001234-ESAI-Aerials", True, ".pdf", "1950 Aerial photograph, USGS photo"),
+    ("7001234-ESAI-Report", False, ".pdf",
      "Phase I ESA. Table of Contents: Property Location Map, Site Photographs, Database Report, Historical Records"),
-    ("6384674 ESAI - 1199 El Camino Real", False, ".docx", "Phase I Environmental Site Assessment, Executive Summary"),
+    ("7001234 ESAI - 12 Harbor Road", False, ".docx", "Phase I Environmental Site Assessment, Executive Summary"),
     ("E&O 2025-26", False, ".pdf", "Certificate of Liability Insurance ACORD"),
     ("reliance letter", False, ".pdf", "Reliance letter to a third party"),
     ("reliance_letter", False, ".pdf", "Reliance letter"),
@@ -240,17 +240,21 @@ def _project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 class Corpus:
-    """The derived tables of one data folder, built on first use."""
+    """The derived tables of one data folder, built on first use. With ``spread``, filings too are dealt out by id where
+    the folder is a single split: worth a shuffle for queries that do much per filing."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = False):
+        self.spark, self.sf_dir, self.spread = spark, sf_dir, spread
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _derived(self, name: str) -> DataFrame:
         source, columns = PROJECTIONS[name]
-        base = self.given(source) if source in ("documents", "events") else getattr(self, source)
+        if source == "documents" and self.spread:
+            base = self.documents
+        else:
+            base = self.given(source) if source in ("documents", "events") else getattr(self, source)
         return _project(base, columns)
 
     @cached_property

@@ -12,9 +12,9 @@ CASES = [
     ("Appendix C divider.pdf", "", "APPENDIX_C", None, 0.95, -1),
     ("Appendix F - Qualifications.pdf", "", "APPENDIX_F", None, 0.95, None),
     ("appendix abc.pdf", "", "APPENDIX_A", None, 0.90, None),
-    ("6384674-ESAI-Aerials_1.pdf", "", "APPENDIX_D", "aerials", 0.90, None),
-    ("6384674-ESAI-Report.pdf", "", "COVER_WRITEUP", None, 0.90, None),
-    ("6384674 ESAI - address.docx", "", "COVER_WRITEUP", None, 0.80, None),
+    ("7001234-ESAI-Aerials_1.pdf", "", "APPENDIX_D", "aerials", 0.90, None),
+    ("7001234-ESAI-Report.pdf", "", "COVER_WRITEUP", None, 0.90, None),
+    ("7001234 ESAI - address.docx", "", "COVER_WRITEUP", None, 0.80, None),
     ("E&O 2025-26.pdf", "", "EO_INSURANCE", None, 0.90, None),
     ("reliance letter.pdf", "", "RELIANCE_LETTER", None, 0.90, None),
     ("reliance_letter.pdf", "", None, None, None, None),
