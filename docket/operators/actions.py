@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docket.functions import metrics
 from docket.operators.scan import biggest_group, ordered_scan
 from docket.schema import ACTIONS, known_section
+from docket.session import stored
 
 SNAPSHOT_KINDS = ["move", "exclude", "include"]
 DEFERRED_KINDS = ["assemble", "compress", "split", "undo", "text_replace", "delete_pages"]
@@ -192,7 +193,8 @@ def undo_fold(filings: DataFrame, actions: DataFrame, strict: bool = False, grou
     """State after a log of commands, manual edits and undos. ``strict`` leaves the confidence as the last command set
     it, taken back or not."""
     events = action_events(filings, actions)
-    alive = surviving_events(events, undo_pairs(actions, group_rows), group_rows)
+    # The log's survivors are folded more than once: keep them rather than the scans that found them.
+    alive = stored(surviving_events(events, undo_pairs(actions, group_rows), group_rows))
     out = fold_events(filings, alive)
     if not strict:
         return out

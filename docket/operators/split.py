@@ -37,8 +37,7 @@ def _reach(pages: DataFrame, cap: int, group_rows: int | None, size: tuple[int,
 
     With prefix sums E(p) of bytes up to and including p, that is the number of pages q with E(q) <= E(p-1) + cap. It
     is found by merging page ends and limits in byte order and counting ends: a scan, not a pairing of pages."""
-    sized = pages.select("report_id", (F.col("global_page") - 1).alias("p"), "n_bytes")
-    ends = ordered_scan(sized, ["report_id"], ["p"], sums={"through": F.col("n_bytes")}, group_rows=group_rows, size=size)
+    ends = ordered_scan(pages, ["report_id"], ["p"], sums={"through": F.col("n_bytes")}, group_rows=group_rows, size=size)
     two = F.array(
         F.struct(F.col("through").alias("at"), F.lit(0).alias("kind")),
         F.struct((F.col("through") - F.col("n_bytes") + cap).alias("at"), F.lit(1).alias("kind")),
@@ -129,23 +128,30 @@ def _numbered(parts: DataFrame, group_rows: int | None, size: tuple[int, int]) -
     )
 
 
-def split_greedy(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+def _slim(page_sizes: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The page sizes as a stored slim table, and its largest report. They are read several times, and the page stream
+    they come from is not worth working out again."""
+    sizes = stored(page_sizes.select("report_id", (F.col("global_page") - 1).alias("p"), "n_bytes"))
+    return sizes, biggest_group(sizes, ["report_id"])
+
+
+def split_greedy(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None) -> DataFrame:
     """Fill every part as far as ``cap`` allows; a page above the cap is a part of its own. ``page_sizes``: (report_id,
     global_page from 1, n_bytes)."""
-    size = size or biggest_group(page_sizes, ["report_id"])
-    steps = _reach(page_sizes, cap, group_rows, size).select(
+    sizes, size = _slim(page_sizes)
+    steps = _reach(sizes, cap, group_rows, size).select(
         "report_id", "p", F.greatest("reach", F.col("p") + 1).alias("nxt")
     )
     return _numbered(_follow(steps, block_rows), group_rows, size)
 
 
-def split_adaptive(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
+def split_adaptive(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None) -> DataFrame:
     """Start from the average-size estimate and take a quarter of the pages off while a part is too big."""
-    totals = page_sizes.groupBy("report_id").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    sizes, size = _slim(page_sizes)
+    totals = sizes.groupBy("report_id").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     per = F.when(F.col("bytes") <= cap, F.col("n")).otherwise(pages_per_part(F.col("bytes"), F.col("n"), cap))
     totals = totals.withColumn("per", per)
-    size = size or biggest_group(page_sizes, ["report_id"])
-    reach = _reach(page_sizes, cap, group_rows, size).withColumn("coarse", F.floor(F.col("p") / block_rows))
+    reach = _reach(sizes, cap, group_rows, size).withColumn("coarse", F.floor(F.col("p") / block_rows))
     spread = totals.withColumn(
         "coarse", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_rows)))
     )
