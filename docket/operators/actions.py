@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.functions import metrics
-from docket.operators.scan import biggest_group, ordered_scan
+from docket.operators.scan import biggest_group, group_join, ordered_scan
 from docket.schema import ACTIONS, known_section
 from docket.session import stored
 
@@ -268,7 +268,7 @@ def action_footprint(actions: DataFrame, limit: int = CONFIRM_ABOVE) -> DataFram
 def search_filename(filings: DataFrame, queries: DataFrame) -> DataFrame:
     """Case-insensitive substring search: queries (report_id, query), one per report."""
     hit = F.lower("original_filename").contains(F.lower("query"))
-    return filings.join(queries, "report_id").filter(hit).select(
+    return group_join(filings, queries, ["report_id"]).filter(hit).select(
         "report_id", "query", "doc_id", "original_filename", "category", "page_count", "is_included"
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docket import fixed_values as fv
 from docket.functions import metrics, names
 from docket.operators.excerpt import join_pages, kept_pages
-from docket.operators.scan import ordered_scan
+from docket.operators.scan import biggest_group, group_join, ordered_scan
 from docket.schema import SECTION_NAMES, position_of
 
 Size = DataFrame | tuple[int, int] | None
@@ -54,27 +54,25 @@ def sort_columns(df: DataFrame, strict: bool = False, natural: bool = False) ->
     )
 
 
-def _without_reliance(filings: DataFrame, reports: DataFrame) -> DataFrame:
-    """(report, section) pairs that are switched off. Matching on both keeps all other sections' rows apart."""
+def _without_reliance(reports: DataFrame) -> DataFrame:
+    """(report, section) pairs that are switched off."""
     return reports.filter(~F.col("has_reliance_letter")).select("report_id", F.lit("RELIANCE_LETTER").alias("category"))
 
 
-def placeable(filings: DataFrame, reports: DataFrame) -> DataFrame:
+def placeable(
+    filings: DataFrame, reports: DataFrame, group_rows: int | None = None, size: Size = None
+) -> DataFrame:
     """Candidates that have a place in their report."""
-    return (
-        assembly_candidates(filings)
-        .filter(F.col("category").isin(*SECTION_NAMES))
-        .join(_without_reliance(filings, reports), ["report_id", "category"], "left_anti")
-    )
+    ready = assembly_candidates(filings).filter(F.col("category").isin(*SECTION_NAMES))
+    return group_join(ready, _without_reliance(reports), ["report_id", "category"], "left_anti", group_rows=group_rows, size=size or filings)
 
 
 def omitted(filings: DataFrame, reports: DataFrame) -> DataFrame:
     """Candidates that drop out of assembly, with the reason."""
-    off = _without_reliance(filings, reports).withColumn("off", F.lit(True))
+    off = _without_reliance(reports).withColumn("off", F.lit(True))
     why = F.when(~F.col("category").isin(*SECTION_NAMES), "unclassified").when(F.col("off"), "reliance letter not wanted")
     return (
-        assembly_candidates(filings)
-        .join(off, ["report_id", "category"], "left")
+        group_join(assembly_candidates(filings), off, ["report_id", "category"], "left", size=filings)
         .withColumn("omitted_because", why)
         .filter("omitted_because IS NOT NULL")
         .drop("off")
@@ -86,8 +84,9 @@ def assembly_order(
     size: Size = None,
 ) -> DataFrame:
     """Place of every document in its report."""
-    ready = sort_columns(placeable(filings, reports), strict, natural)
-    return ordered_scan(ready, ["report_id"], ORDER, position="pos", group_rows=group_rows, size=size or filings)
+    size = size if isinstance(size, tuple) else biggest_group(size or filings, ["report_id"])
+    ready = sort_columns(placeable(filings, reports, group_rows, size), strict, natural)
+    return ordered_scan(ready, ["report_id"], ORDER, position="pos", group_rows=group_rows, size=size)
 
 
 def manifest(
@@ -100,7 +99,8 @@ def manifest(
         "report_id", "doc_id", "original_filename", "original_path", "category", "subcategory", "sort_order", "status",
         "is_included", "page_count", *[c for c in ("ext", "is_profile") if c in filings.columns],
     )
-    ready = sort_columns(placeable(slim, reports), strict, natural)
+    size = size if isinstance(size, tuple) else biggest_group(size or slim, ["report_id"])
+    ready = sort_columns(placeable(slim, reports, group_rows, size), strict, natural)
     if doc_pages is not None:
         counts = kept_pages(doc_pages, slim)
         ready = ready.drop("page_count").join(counts, "doc_id").withColumnRenamed("kept", "page_count")
@@ -109,7 +109,7 @@ def manifest(
     )
     placed = ordered_scan(
         ready, ["report_id"], ORDER, position="pos", sums={"end_page": F.col("page_count")}, group_rows=group_rows,
-        size=size or slim,
+        size=size,
     )
     return placed.select(
         "report_id",
@@ -208,7 +208,7 @@ def select_range(filings: DataFrame, anchors: DataFrame) -> DataFrame:
         ends = ends.join(at, ["report_id", f"{side}_id"])
     ends = ends.select("report_id", F.least("from_key", "to_key").alias("lo"), F.greatest("from_key", "to_key").alias("hi"))
     within = F.col("key").between(F.col("lo"), F.col("hi"))
-    return rows.join(ends, "report_id").filter(within).select("report_id", "doc_id")
+    return group_join(rows, ends, ["report_id"]).filter(within).select("report_id", "doc_id")
 
 
 def move_in_section(filings: DataFrame, moves: DataFrame, group_rows: int | None = None) -> DataFrame:
@@ -240,6 +240,6 @@ def move_in_section(filings: DataFrame, moves: DataFrame, group_rows: int | None
         .when((p < src) & (p >= dst), p + 1)
         .otherwise(p)
     )
-    return placed.join(plan, ["report_id", "category"]).select(
+    return group_join(placed, plan, ["report_id", "category"], group_rows=group_rows, size=filings).select(
         "report_id", "category", "doc_id", new.cast("int").alias("sort_order")
     )

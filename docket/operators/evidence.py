@@ -11,6 +11,7 @@ from docket import fixed_values as fv
 from docket.functions import metrics
 from docket.functions.names import py
 from docket.operators.excerpt import excerpt_first, header_footer
+from docket.operators.scan import group_join
 from docket.schema import SECTION_NAMES
 
 
@@ -102,7 +103,7 @@ def contamination(identity: DataFrame, filings: DataFrame, reports: DataFrame) -
     expected = usual.join(reports.select("report_id", "project_number"), "report_id", "left").select(
         "report_id", F.coalesce(F.lower(F.nullif("project_number", F.lit(""))), F.col("usual_id")).alias("expected_id")
     )
-    return named.join(expected, "report_id").select(
+    return group_join(named, expected, ["report_id"], size=filings).select(
         "report_id",
         "doc_id",
         "found_project_id",

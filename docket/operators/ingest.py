@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docket import fixed_values as fv
 from docket.functions import names
 from docket.functions.rules import standard_rules, rule_columns
+from docket.operators.scan import group_join
 from docket.schema import ext_dim
 
 
@@ -169,5 +170,5 @@ def retry_summary(filings: DataFrame, results: DataFrame) -> DataFrame:
 
 def cascade_delete(children: DataFrame, deleted_reports: DataFrame) -> DataFrame:
     """Rows whose report is still there."""
-    return children.join(deleted_reports.select("report_id").distinct(), "report_id", "left_anti")
+    return group_join(children, deleted_reports.select("report_id").distinct(), ["report_id"], "left_anti")
 

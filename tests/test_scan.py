@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docket.operators.scan import biggest_group, group_figures, ordered_scan, top_per_group
+from docket.operators.scan import biggest_group, group_figures, group_join, ordered_scan, top_per_group
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,15 @@ def test_group_figures(rows, limit):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_group_join(spark, rows, how):
+    table = spark.createDataFrame([(0, "hot"), (3, "cold"), (99, "nobody")], "g int, name string")
+    plain = rows.join(table, "g", how)
+    salted = group_join(rows, table, ["g"], how, spread=["k"], group_rows=100)
+    assert plain.columns == salted.columns
+    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+
+
 def test_top_per_group_is_cut_before_the_shuffle(rows):
     top = top_per_group(rows, ["g"], ["k"], 3)
     plan = top._jdf.queryExecution().executedPlan().toString()
