@@ -71,8 +71,13 @@ def _follow(steps: DataFrame, block_rows: int) -> DataFrame:
         .select("report_id", F.floor(F.col("p") / F.col("width")).alias("block"), "width", "longest", "p", "nxt")
     )
 
+    # Local functions travel with the job, so workers need no copy of this package.
+    def ordered(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
+        pdf = pdf.sort_values("p")
+        return int(pdf["p"].iloc[0]), pdf["nxt"].to_numpy()
+
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, nxt = _block(pdf)
+        lo, nxt = ordered(pdf)
         size = len(nxt)
         out = nxt.copy()
         for i in range(size - 1, -1, -1):
@@ -95,7 +100,7 @@ def _follow(steps: DataFrame, block_rows: int) -> DataFrame:
     def starts(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            lo, nxt = _block(left)
+            lo, nxt = ordered(left)
             at = int(right["entry"].iloc[0])
             while 0 <= at - lo < len(nxt):
                 found.append((at, int(nxt[at - lo])))
@@ -115,11 +120,6 @@ def _follow(steps: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def _block(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
-    pdf = pdf.sort_values("p")
-    return int(pdf["p"].iloc[0]), pdf["nxt"].to_numpy()
-
-
 def _numbered(parts: DataFrame, group_rows: int | None, size: tuple[int, int]) -> DataFrame:
     numbered = ordered_scan(parts, ["report_id"], ["start"], position="part_number", group_rows=group_rows, size=size)
     return numbered.select(
