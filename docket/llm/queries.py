@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from docket.llm import sentencepiece_codec, token_counts
+from docket.llm import block_dedup, license_scan, sentencepiece_codec, token_counts, url_filter
 
-_MODULES = (sentencepiece_codec, token_counts)
+_MODULES = (block_dedup, url_filter, license_scan, sentencepiece_codec, token_counts)
 QUERIES = {name: f for module in _MODULES for name, f in vars(module).items() if name.startswith("op") and name[2].isdigit()}
 CHECKS: dict[str, str] = {name: sql for module in _MODULES for name, sql in getattr(module, "CHECKS", {}).items()}
