@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,15 +181,13 @@ def first_of_family(rows: DataFrame) -> DataFrame:
 
 def lexicon(docs: DataFrame, labels: DataFrame, costs: list[float], label: str = "toxic", limit: int = TRAIN_ROWS) -> tuple[float, dict]:
     """(log odds of the label, feature -> weight). A weight is the lower confidence bound of the log odds ratio of a feature
-    between texts with and without the label; small ones are left out. A start counts without the word that gives it most, so
-    one telling word does not speak for others that begin alike."""
+    between texts with and without the label; small ones are left out. A start of which one word gives
+    more than half counts without that word, so one telling word does not speak for others that begin alike."""
     rows = stored(first_of_family(training_rows(docs, labels, label, limit)))
     sizes = dict(rows.groupBy("y").count().collect())
     yes, no = sizes.get(1, 0), sizes.get(0, 0)
 
     def make():
-        from collections import Counter
-
         words = restorer(costs)
         seen = (Counter(), Counter())
 
@@ -209,7 +208,8 @@ def lexicon(docs: DataFrame, labels: DataFrame, costs: list[float], label: str =
     starts = F.array(*[F.when(F.length("feature") > n, F.concat(F.lit("^"), F.substring("feature", 1, n))) for n in PREFIXES])
     most = counts.filter(~kind.isin("~", "^")).select(F.explode(F.array_compact(starts)).alias("feature"), F.struct("yes", "no").alias("most"))
     most = most.groupBy("feature").agg(F.max("most").alias("most"))
-    less = lambda c: F.greatest(F.col(c) - F.coalesce(F.col(f"most.{c}"), F.lit(0)), F.lit(0)).alias(c)
+    led = F.col("most.yes") * 2 > F.col("yes")
+    less = lambda c: F.when(led, F.greatest(F.col(c) - F.col(f"most.{c}"), F.lit(0))).otherwise(F.col(c)).alias(c)
     counts = counts.join(most, "feature", "left").select("feature", less("no"), less("yes"))
     a, b = F.col("yes") + 0.5, F.col("no") + 0.5
     ratio = F.log(a / (yes + 1)) - F.log(b / (no + 1))
@@ -233,8 +233,9 @@ def scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
         best = Memo(lambda word: max((weights.get(f, 0.0), f) for f in features(word)))
 
         def score(text: str) -> float:
-            # Words known by the same feature are one piece of evidence.
-            total = prior + sum(weight for weight, _ in sorted(set(w for w in map(best.__getitem__, words(text)) if w[0])))
+            # Words known by one feature bear each other out: the second adds a half of its weight, the third a third.
+            known = Counter(w for w in map(best.__getitem__, words(text)) if w[0])
+            total = prior + sum(weight * sum(1 / i for i in range(1, n + 1)) for (weight, _), n in sorted(known.items()))
             return 1 / (1 + math.exp(-min(total, 700.0)))
 
         return score
