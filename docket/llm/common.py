@@ -88,6 +88,54 @@ def over_partition(df: DataFrame, make: Callable[[], tuple[Callable, Callable]],
     return df.mapInArrow(run, kind)
 
 
+def over_groups(df: DataFrame, by: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
+    """Run a function on each group of rows with equal ``by``; it gets a dict of lists and returns a dict of lists. Groups have
+    to be of bounded size; they are hashed to partitions, sorted and streamed, so many small ones cost little."""
+
+    names = df.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        work = make()
+        key, group = None, None
+        out: dict[str, list] = {f.name: [] for f in arrow_schema}
+
+        def flush():
+            for name, values in work(group).items():
+                out[name].extend(values)
+
+        def emit():
+            batch = pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
+            for values in out.values():
+                values.clear()
+            return batch
+
+        for batch in batches:
+            columns = batch.to_pydict()
+            for row in zip(*[columns[n] for n in names]):
+                now = tuple(row[i] for i in at)
+                if now != key:
+                    if group is not None:
+                        flush()
+                    key, group = now, {n: [] for n in names}
+                for n, value in zip(names, row):
+                    group[n].append(value)
+            if len(out[arrow_schema[0].name]) > 20_000:
+                yield emit()
+        if group is not None:
+            flush()
+        yield emit()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    at = [names.index(k) for k in by]
+    kind = StructType.fromDDL(schema)
+    arrow_schema = to_arrow_schema(kind)
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, kind)
+
+
 def worker_cache(name: str, build: Callable[[], object]) -> object:
     """A value that lives as long as the Python worker: tables and word caches survive from task to task."""
     keep = sys.modules.setdefault("docket_worker_cache", types.ModuleType("docket_worker_cache"))
