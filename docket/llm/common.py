@@ -37,7 +37,7 @@ def same_row(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on the row key, null ids matching null ids; the right side has one row per key."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in KEY})
     on = (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
-    joined = left.join(renamed, on, how)
+    joined = left.join(renamed, on, how)  # semi and anti joins have no columns of the right side
     return joined.drop(*[f"__{k}" for k in KEY]) if how in ("left", "inner") else joined
 
 
