@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from docket.llm import block_dedup, decontaminate, importance, jaccard_join, license_scan, sentencepiece_codec, token_counts, toxicity, url_filter
+from docket.llm import (
+    block_dedup, decontaminate, disclosure, importance, jaccard_join, license_scan, sentencepiece_codec, token_counts, toxicity, url_filter,
+)
 
-_MODULES = (block_dedup, jaccard_join, decontaminate, toxicity, importance, sentencepiece_codec, url_filter, token_counts, license_scan)
+_MODULES = (
+    block_dedup, jaccard_join, decontaminate, toxicity, disclosure, importance, sentencepiece_codec, url_filter, token_counts, license_scan,
+)
 QUERIES = {name: f for module in _MODULES for name, f in vars(module).items() if name.startswith("op") and name[2].isdigit()}
 CHECKS: dict[str, str] = {name: sql for module in _MODULES for name, sql in getattr(module, "CHECKS", {}).items()}
