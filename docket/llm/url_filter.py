@@ -67,8 +67,8 @@ def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]], rounds:
     seeds and to nothing where it has none.
 
     Personalised PageRank runs from the hosts of allowed pages along links, and from the hosts of blocked pages against them,
-    both in one table of steps (kind, host, to, part). Seeds weigh by their pages. A host without a link that way keeps its
-    score. Sums are partial before each shuffle, so a host with a third of all links is no hot task; rounds are written to the
+    both in one table of steps (kind, host, to, part). Seeds weigh by their pages. What a host without a link
+    that way holds goes back to the seeds: the sums let it go and are brought to one at the end, which is the same. Sums are partial before each shuffle, so a host with a third of all links is no hot task; rounds are written to the
     shared folder now and then to keep plans short."""
     known = parsed(pages, rules).filter("host <> ''")
     counts = stored(
@@ -81,13 +81,9 @@ def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]], rounds:
     edges = stored(host_edges(pages))
     total = counts.agg(F.sum("pages"), F.sum("allow"), F.sum("block")).first()
     n_pages, n_allow, n_block = (x or 0 for x in total)
-    hosts = counts.select("host").union(edges.select("dst")).distinct()
     ways = edges.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").union(
         edges.select(F.lit(1), "dst", "src", "weight")
     )
-    both = hosts.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1))))
-    still = both.join(ways, ["kind", "host"], "left_anti").select("kind", "host", F.col("host").alias("to"), F.lit(1).cast("long").alias("weight"))
-    ways = ways.unionByName(still)
     sums = ways.groupBy("kind", "host").agg(F.sum("weight").alias("out"))
     steps = stored(ways.join(sums, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out")).alias("part")))
     seeds = counts.select(F.lit(0).alias("kind"), "host", (F.col("allow") / max(n_allow, 1)).alias("score")).union(
@@ -101,7 +97,8 @@ def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]], rounds:
         state = moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if i % 5 == 4 or i == rounds - 1:
             state = stored(state)
-    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
+    totals = dict(map(tuple, state.groupBy("kind").agg(F.sum("score")).collect()))  # two numbers
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)) / totals.get(kind, 1.0)
     flat = state.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
     return counts.select("host", (F.col("pages") / max(n_pages, 1)).alias("share")).join(flat, "host", "left").na.fill(0.0)
 
@@ -145,15 +142,13 @@ counts AS (SELECT host, count(*) AS n, count(*) FILTER (ruled = 'allow') AS allo
 links AS (SELECT {host('url')} AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS link FROM pages),
 targets AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links WHERE src <> ''),
 edges AS (SELECT src, CASE WHEN dst = '' THEN src ELSE dst END AS dst, count(*) AS weight FROM targets GROUP BY ALL),
-hosts AS (SELECT host FROM counts UNION SELECT dst FROM edges),
 ways AS (SELECT 0 AS kind, src AS host, dst AS to_host, weight FROM edges UNION ALL SELECT 1, dst, src, weight FROM edges),
-closed AS (SELECT * FROM ways UNION ALL
-  SELECT kind, host, host, 1 FROM hosts, (VALUES (0), (1)) k(kind) WHERE (kind, host) NOT IN (SELECT (kind, host) FROM ways)),
-steps AS MATERIALIZED (SELECT kind, host, to_host, weight / sum(weight) OVER (PARTITION BY kind, host) AS part FROM closed),
+steps AS MATERIALIZED (SELECT kind, host, to_host, weight / sum(weight) OVER (PARTITION BY kind, host) AS part FROM ways),
 s0 AS MATERIALIZED (SELECT * FROM (
   SELECT 0 AS kind, host, allow / greatest(sum(allow) OVER (), 1) AS score FROM counts
   UNION ALL SELECT 1, host, block / greatest(sum(block) OVER (), 1) FROM counts) WHERE score > 0){rounds},
-blocked AS (SELECT host FROM counts LEFT JOIN s{ROUNDS} USING (host) GROUP BY host, n
+final AS (SELECT kind, host, score / sum(score) OVER (PARTITION BY kind) AS score FROM s{ROUNDS}),
+blocked AS (SELECT host FROM counts LEFT JOIN final USING (host) GROUP BY host, n
   HAVING coalesce(sum(score) FILTER (kind = 1), 0) >= n / (SELECT sum(n) FROM counts) * {LIFT}
      AND coalesce(sum(score) FILTER (kind = 1), 0) > coalesce(sum(score) FILTER (kind = 0), 0))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
