@@ -99,7 +99,7 @@ def chunks(text: str) -> list[str]:
         if i:
             out.append("\n")
         head, *rest = line.split(" ")
-        if "" not in rest:
+        if "" not in rest and (head or i):
             if not i:
                 out.append(MARK + head)
             elif head:

@@ -28,7 +28,7 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 GAPS = " .-_*'"
 EDGE = ".,;:!?\"'()[]{}<>«»…*-_|%&#~^=/"
 # Costs of the channel in nats.
-SUBSTITUTE, JOIN, REPEAT = 0.7, 0.5, 1.5
+SUBSTITUTE, BREAK, REPEAT = 0.7, 2.0, 1.5
 
 # Letter classes of the character model: 0 all that is no letter, 1-26 a-z, 27 other letters, 28 digits and leet symbols.
 K = 29
@@ -84,13 +84,13 @@ def char_model(docs: DataFrame) -> list[float]:
 
 def decode(text: str, costs: list[float]) -> str:
     """The likeliest plain reading of a lower-cased stretch: a Viterbi walk over the lattice of its characters, the state being
-    the last two letters read. A symbol reads as itself or as a letter it may stand for; a gap as a space or as nothing; a
+    the last two letters read. A symbol reads as itself or as a letter it may stand for; a gap as nothing or, at a cost, as a space; a
     letter that repeats the one before it may be skipped."""
     paths = {"": (0.0, "")}  # last two characters read -> (cost, text read)
     before = ""
     for c in text:
         if c in GAPS:
-            readings = [(" ", 0.0), ("", JOIN)]
+            readings = [(" ", BREAK), ("", 0.0)]
         elif c in LEET:
             readings = [(c, 0.0)] + [(letter, SUBSTITUTE) for letter in LEET[c]]
         else:

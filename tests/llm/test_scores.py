@@ -82,8 +82,10 @@ def test_resampling_equals_brute_force(spark):
     cache = word_hashes()
     got = importance.resample(docs, documents(spark, good), 0.5, buckets=100).collect()
     assert len(got) == len(rows)
-    weights = Counter((i, round(sum(ratio[b] for b in importance.bucketed([t or ""], cache, 100)[0]), 4)) for i, t in rows)
-    assert Counter((r.doc_id, round(r.log_weight, 4)) for r in got) == weights
+    order = lambda pair: (pair[0] or -1, pair[1])
+    weights = sorted(((i, sum(ratio[b] for b in importance.bucketed([t or ""], cache, 100)[0])) for i, t in rows), key=order)
+    found = sorted(((r.doc_id, r.log_weight) for r in got), key=order)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 * (1 + abs(b[1])) for a, b in zip(found, weights))
     keys = sorted((r.key for r in got), reverse=True)
     bound = keys[-(-len(rows) // 2) - 1]
     assert all(r.kept == (r.key >= bound) for r in got)
