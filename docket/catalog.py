@@ -129,7 +129,7 @@ def parse_verdicts(c: Corpus) -> DataFrame:
 
 @heavy
 def reconcile(c: Corpus) -> DataFrame:
-    return classify.reconcile(c.filings, c.verdicts).drop("report_id")
+    return classify.reconcile(c.filings, c.verdicts).drop("report_id", "from_model")
 
 
 @heavy
@@ -385,27 +385,27 @@ def section_rollup(c: Corpus) -> DataFrame:
 
 @query
 def report_info(c: Corpus) -> DataFrame:
-    return summaries.report_info(c.filings)
+    return summaries.report_info(c.filings, c.reports)
 
 
 @query
 def processing_status(c: Corpus) -> DataFrame:
-    return summaries.processing_status(c.filings)
+    return summaries.processing_status(c.filings, c.reports)
 
 
 @query
 def preflight(c: Corpus) -> DataFrame:
-    return summaries.preflight(c.filings).withColumns({k: F.array_join(k, " | ") for k in ("errors", "warnings")})
+    return summaries.preflight(c.filings, c.reports).withColumns({k: F.array_join(k, " | ") for k in ("errors", "warnings")})
 
 
 @query
 def section_flags(c: Corpus) -> DataFrame:
-    return summaries.section_flags(c.filings)
+    return summaries.section_flags(c.filings, c.reports)
 
 
 @query
 def report_health(c: Corpus) -> DataFrame:
-    return summaries.report_health(c.filings)
+    return summaries.report_health(c.filings, c.reports)
 
 
 @query
@@ -445,7 +445,7 @@ def confidence_bands(c: Corpus) -> DataFrame:
 
 @query
 def curation_effect(c: Corpus) -> DataFrame:
-    return summaries.curation_effect(c.filings, c.recommendations)
+    return summaries.curation_effect(c.filings, c.reports, c.recommendations)
 
 
 @query
@@ -465,7 +465,7 @@ def section_pages(c: Corpus) -> DataFrame:
 
 @query
 def run_summary(c: Corpus) -> DataFrame:
-    return summaries.run_summary(c.filings, curate.apply_corrections(c.filings, c.corrections), c.recommendations)
+    return summaries.run_summary(c.filings, c.reports, curate.apply_corrections(c.filings, c.corrections), c.recommendations)
 
 
 # --- order, manifest, windows ----------------------------------------------------------------------------------------
@@ -483,7 +483,8 @@ def assembly_order_strict(c: Corpus) -> DataFrame:
 
 @query
 def assembly_order_natural(c: Corpus) -> DataFrame:
-    return assemble.assembly_order(c.filings, c.reports, natural=True).select("report_id", "pos", "doc_id", "sort_name")
+    placed = assemble.assembly_order(c.filings, c.reports, natural=True)
+    return placed.select("report_id", "pos", "doc_id", F.concat_ws("|", "sort_name.*").alias("sort_name"))
 
 
 @query
@@ -658,7 +659,13 @@ def manual_update(c: Corpus) -> DataFrame:
 
 @heavy
 def curate_corpus(c: Corpus) -> DataFrame:
-    return plans.curate_corpus(c.filings, c.doc_pages, c.verdicts, c.corrections).select(*STATE, "status")
+    done = plans.curate_corpus(c.filings, c.doc_pages, c.verdicts, c.corrections)
+    return done.select(*STATE, "status", "subcategory", "is_profile", *[f"metadata.found_{k}" for k in ("project_id", "address", "company")])
+
+
+@heavy
+def curate_flags(c: Corpus) -> DataFrame:
+    return plans.curate_flags(plans.curate_corpus(c.filings, c.doc_pages, c.verdicts, c.corrections), c.reports)
 
 
 # --- split and size --------------------------------------------------------------------------------------------------

@@ -197,10 +197,12 @@ PROJECT_ID_PATTERNS = [
     r"(?:bla|ec|smeh|fa)\s*[-_]?\s*([0-9a-z]{7,})",
     r"^([0-9]{7,10})\b",
 ]
+HINT_NOTE = (" [Subcategory from content: ", "]")
+PROFILE_NOTE = " [Property Profile — ranked first in Appendix E]"
 ADDRESS_PATTERN = r"(\d+\s+\w+\s+(?:street|st|avenue|ave|road|rd|drive|dr|boulevard|blvd))"
 # pattern, group that holds the name
 COMPANY_PATTERNS = [
-    (r"©\s*(\w+(?:\s+\w+)*)", 0),
+    (r"©\s*(\w+(?:\s+\w+)*)", 1),
     (r"(environmental|engineering|consulting)\s+(\w+(?:\s+\w+)*)", 2),
 ]
 COMPILED_MARKERS = [

@@ -16,7 +16,8 @@ from docket import fixed_values as fv
 from docket.functions import names
 from docket.functions.once import once
 
-MAX_RULES = 2_000
+# Rules of one CASE expression; a longer pack is several, and the first that finds a rule counts.
+CASE_RULES = 300
 
 
 class Rule(NamedTuple):
@@ -60,11 +61,9 @@ def standard_rules() -> list[Rule]:
 
 
 def rules_from_table(table: DataFrame) -> list[Rule]:
-    """A user's rule table as a pack. Rules are settings, not data: a table beyond MAX_RULES is refused."""
-    rows = table.orderBy("prio").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
-    return [Rule(*[row[f] for f in Rule._fields]) for row in rows]
+    """A user's rule table as a pack, strongest first. Rules are settings written by people, not data; any number will do."""
+    rows = sorted(table.select(*Rule._fields).toLocalIterator(), key=lambda row: row["prio"])
+    return [Rule(*row) for row in rows]
 
 
 def _quoted(value) -> str:
@@ -108,12 +107,13 @@ SCOPES = {
 
 def first_match(rules: Sequence[Rule]) -> Column:
     """1-based place of the first matching rule, null when none matches."""
-    cases = []
+    cases: list[str] = []
     for at, rule in enumerate(rules, 1):
         files, text = SCOPES[rule.scope]
         hit = f" AND {text} RLIKE {_quoted(names.py(rule.pattern))}" if rule.pattern else ""
         cases.append(f"WHEN {files}{hit} THEN {at}")
-    return F.expr(f"CASE {' '.join(cases)} END")
+    packs = [cases[i : i + CASE_RULES] for i in range(0, len(cases), CASE_RULES)]
+    return F.expr(f"COALESCE({', '.join(f'CASE {" ".join(p)} END' for p in packs)}, NULL)")
 
 
 def rule_columns(df: DataFrame, rules: Sequence[Rule], name: str, path: str, size: str | None, prefix: str) -> DataFrame:

@@ -21,11 +21,12 @@ def assembly_candidates(filings: DataFrame) -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort text in which the first number counts by value."""
+    """Sort key in which the first number counts by value: the text before it, its length without leading zeros, its digits,
+    the rest. No width is set, so no digits are lost."""
     head = F.regexp_extract(name, r"^(\D*)", 1)
-    digits = F.regexp_extract(name, r"^\D*(\d+)", 1)
+    digits = F.regexp_extract(name, r"^\D*0*(\d*)", 1)
     rest = F.regexp_replace(name, r"^\D*\d*", "")
-    return F.concat(head, F.when(digits != "", F.lpad(digits, 12, "0")).otherwise(""), rest)
+    return F.struct(head.alias("head"), F.length(digits).alias("size"), digits.alias("digits"), rest.alias("rest"))
 
 
 def sort_columns(df: DataFrame, strict: bool = False, natural: bool = False) -> DataFrame:

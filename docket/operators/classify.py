@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from docket import fixed_values as fv
 from docket.functions import metrics, names
+from docket.functions.once import once
 from docket.functions.rules import Rule, rule_columns, rules_from_table, standard_rules
-from docket.schema import VERDICT, known_section, section_alias
+from docket.schema import known_section, section_alias
 
 SURE = 0.85
 RULE_FIELDS = ["category", "subcategory", "confidence", "sort_order", "reason"]
@@ -51,30 +52,62 @@ def classify_targets(filings: DataFrame, threshold: float = SURE) -> DataFrame:
 
 
 def parse_verdicts(verdicts: DataFrame) -> DataFrame:
-    """Model answers to columns. Code fences are stripped; text that is not JSON or names no known section is a
-    failure and gives no row."""
+    """Model answers to columns. Code fences are stripped. A failure gives no row: text that is not one JSON value as a whole,
+    no known section, a confidence that is there but no number, a reasoning or sub-category of another kind than text. Only
+    an absent confidence or reasoning takes its default; an absent or null sub-category is none."""
     raw = metrics.blank_trim(F.col("response_text"))
     bare = metrics.blank_trim(F.rtrim(F.regexp_replace(raw, r"```(?:json)?\s*", ""), F.lit("`")))
     text = F.when(raw.startswith("```"), bare).otherwise(raw)
-    answer = F.from_json(text, VERDICT.replace("confidence double", "confidence string"), {"mode": "PERMISSIVE"})
-    return (
-        verdicts.select("doc_id", answer.alias("a"))
-        .filter(known_section(F.col("a.category")))
-        .select(
-            "doc_id",
-            F.col("a.category").alias("ai_category"),
-            F.col("a.subcategory").alias("ai_subcategory"),
-            F.coalesce(F.col("a.confidence").try_cast("double"), F.lit(0.8)).alias("ai_confidence"),
-            F.coalesce("a.reasoning", F.lit("AI classification")).alias("ai_reasoning"),
-        )
+    # In brackets, anything that follows the value makes the whole no JSON, and a second value a second place.
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    said = lambda key: F.try_variant_get("a", f"$[0].{key}", "string").alias(key)
+    kind = lambda key: F.coalesce(F.schema_of_variant(F.variant_get("a", f"$[0].{key}", "variant")), F.lit("absent"))
+    read = once(once(verdicts.select("doc_id", "response_text"), {"a": listed}), {
+        **{key: said(key) for key in ("category", "subcategory", "confidence", "reasoning")},
+        **{f"{key}_kind": kind(key) for key in ("category", "subcategory", "confidence", "reasoning")},
+        "number": F.try_variant_get("a", "$[0].confidence", "double"),
+        "more": F.variant_get("a", "$[1]", "variant").isNotNull(),
+    })
+    written = metrics.blank_trim(F.col("confidence")).try_cast("double")
+    is_text = lambda key: F.col(f"{key}_kind") == "STRING"
+    absent = lambda key: F.col(f"{key}_kind") == "absent"
+    sure = F.when(absent("confidence"), F.lit(0.8)).when(is_text("confidence"), written).otherwise(F.col("number"))
+    why = F.when(absent("reasoning"), "AI classification").when(is_text("reasoning"), F.col("reasoning"))
+    fits = is_text("category") & known_section(F.col("category")) & F.col("subcategory_kind").isin("absent", "VOID", "STRING")
+    out = read.filter(fits & ~F.col("more")).select(
+        "doc_id",
+        F.col("category").alias("ai_category"),
+        F.col("subcategory").alias("ai_subcategory"),
+        sure.alias("ai_confidence"),
+        why.alias("ai_reasoning"),
     )
-
-
-PLACED = ["category", "subcategory", "confidence", "reasoning", "rule_sort_order"]
+    return out.filter("ai_confidence IS NOT NULL AND ai_reasoning IS NOT NULL")
 
 
 def _placed(df: DataFrame, keep: Sequence[str], **values) -> DataFrame:
-    return df.select(*keep, *[values[c].alias(c) for c in ("category", "subcategory", "confidence", "reasoning")], "rule_sort_order")
+    fields = ("category", "subcategory", "confidence", "reasoning", "from_model")
+    return df.select(*keep, *[values[c].alias(c) for c in fields], "rule_sort_order")
+
+
+def after_verdict(placed: DataFrame, facts: DataFrame) -> DataFrame:
+    """What follows a model's verdict, from ``evidence.first_page_facts``: an Appendix D verdict without sub-group takes the
+    hint of the pages and says so; an Appendix E document that is a property profile is flagged, goes first and says so; a
+    project number found on the first page goes into ``metadata`` with address and company. Other placements stay as they are."""
+    df = placed.join(facts.withColumnRenamed("is_profile", "__profile"), "doc_id", "left")
+    model = F.col("from_model")
+    hinted = model & (F.col("category") == "APPENDIX_D") & (F.coalesce("subcategory", F.lit("")) == "") & F.col("hint").isNotNull()
+    profile = model & (F.col("category") == "APPENDIX_E") & F.coalesce("__profile", F.lit(False))
+    note = F.when(hinted, F.concat(F.lit(fv.HINT_NOTE[0]), F.col("hint"), F.lit(fv.HINT_NOTE[1]))).when(profile, fv.PROFILE_NOTE)
+    found = [f"found_{c}" for c in ("project_id", "address", "company")]
+    return df.withColumns(
+        {
+            "subcategory": F.when(hinted, F.col("hint")).otherwise(F.col("subcategory")),
+            "reasoning": F.concat("reasoning", F.coalesce(note, F.lit(""))),
+            "rule_sort_order": F.when(profile, 1).otherwise(F.col("rule_sort_order")),
+            "is_profile": profile,
+            "metadata": F.when(model & F.col(found[0]).isNotNull(), F.struct(*found)),
+        }
+    ).drop("hint", "__profile", *found)
 
 
 def reconcile(filings: DataFrame, verdicts: DataFrame, note_at: float = SURE, keep: Sequence[str] = ("doc_id", "report_id")) -> DataFrame:
@@ -99,6 +132,7 @@ def reconcile(filings: DataFrame, verdicts: DataFrame, note_at: float = SURE, ke
         .otherwise(F.coalesce("rule_confidence", F.lit(0.0))),
         reasoning=F.when(pre, F.col("pre_reason")).when(ai, F.when(disagrees, note).otherwise(F.col("ai_reasoning")))
         .when(rule, fallback).otherwise(failed),
+        from_model=~pre & ai,
     )
 
 
@@ -110,6 +144,7 @@ def by_rules_only(filings: DataFrame, keep: Sequence[str] = ("doc_id", "report_i
         subcategory=F.col("rule_subcategory"),
         confidence=F.coalesce("rule_confidence", F.lit(0.0)),
         reasoning=F.coalesce("rule_reason", F.lit("AI disabled and filename did not match any pattern")),
+        from_model=F.lit(False),
     )
 
 
@@ -146,19 +181,21 @@ def route(
         subcategory=F.when(use_ai, F.col("ai_subcategory")).otherwise(F.col("rule_subcategory")),
         confidence=F.when(use_ai, F.col("ai_confidence")).otherwise(F.coalesce("rule_confidence", F.lit(0.0))),
         reasoning=F.when(use_ai, F.col("ai_reasoning")).otherwise(F.coalesce("rule_reason", F.lit("Classification failed"))),
+        from_model=use_ai,
     )
 
 
-def model_verdicts(prompts: DataFrame, model: Callable[[pd.Series], pd.Series], concurrency: int = 8) -> DataFrame:
-    """Run a user's model over prompt rows. At most ``concurrency`` tasks, hence calls, are in flight."""
+def model_verdicts(prompts: DataFrame, model: Callable[[pd.Series], pd.Series], tasks: int | None = None) -> DataFrame:
+    """Run a user's model over prompt rows. As many calls are in flight as the session has task slots; a lost task repeats
+    its own prompts only, so ``tasks`` (default: the session's shuffle partitions) may be large."""
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "response_text": model(batch["prompt"])})
 
-    # Short rows are shuffled into few tasks; building the prompts keeps its own parallelism.
-    few = prompts.select("doc_id", "prompt").repartition(concurrency, "doc_id")
-    return few.mapInPandas(answer, "doc_id bigint, response_text string")
+    short = prompts.select("doc_id", "prompt")
+    dealt = short.repartition(tasks, "doc_id") if tasks else short.repartition("doc_id")
+    return dealt.mapInPandas(answer, "doc_id bigint, response_text string")
 
 
 def resolve_alias(df: DataFrame, column: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docket import fixed_values as fv
 from docket.functions import metrics
 from docket.functions.names import py
-from docket.operators.excerpt import excerpt_first, header_footer
+from docket.operators.excerpt import excerpt_first, page_ends
 from docket.operators.scan import group_join
 from docket.schema import SECTION_NAMES
 
@@ -55,15 +55,26 @@ def score_sections(
     )
 
 
+def _hint(text: Column, groups: Mapping[str, Sequence[str]]) -> Column:
+    """(score, name) of the sub-group with most patterns in a text, ties to the last name."""
+    low = F.lower(text)
+    return F.greatest(*[F.struct(_hits(low, p).alias("score"), F.lit(g).alias("name")) for g, p in groups.items()])
+
+
+def _front(doc_pages: DataFrame, filings: DataFrame, section: str, n: int, max_chars: int) -> DataFrame:
+    """Text of the first pages of a section's documents. Pages are cut to the budget before they are joined."""
+    piece = F.substring(F.coalesce("txt", F.lit("")), 1, max_chars).alias("txt")
+    cut = doc_pages.filter(F.col("page_no") < n).select("doc_id", "page_no", piece)
+    wanted = filings.filter(F.col("category") == section).select("doc_id")
+    return excerpt_first(cut.join(wanted, "doc_id", "left_semi"), n, max_chars)
+
+
 def ordering_hint(
     doc_pages: DataFrame, filings: DataFrame, groups: Mapping[str, Sequence[str]] = fv.HINT_PATTERNS, max_chars: int = 2000
 ) -> DataFrame:
     """Sub-group of Appendix D documents from their first five pages: most patterns found, ties to the last name."""
-    wanted = filings.filter("category = 'APPENDIX_D'").select("doc_id")
-    text = excerpt_first(doc_pages.filter("page_no < 5").join(wanted, "doc_id", "left_semi"), 5, max_chars)
-    low = F.lower("excerpt")
-    best = F.greatest(*[F.struct(_hits(low, p).alias("score"), F.lit(g).alias("name")) for g, p in groups.items()])
-    return text.withColumn("best", best).select(
+    text = _front(doc_pages, filings, "APPENDIX_D", 5, max_chars)
+    return text.withColumn("best", _hint(F.col("excerpt"), groups)).select(
         "doc_id", F.when(F.col("best.score") > 0, F.col("best.name")).alias("hint"), F.col("best.score").alias("score")
     )
 
@@ -72,11 +83,34 @@ def property_profile(
     doc_pages: DataFrame, filings: DataFrame, patterns: Sequence[str] = tuple(fv.PROFILE_PATTERNS), max_chars: int = 2000
 ) -> DataFrame:
     """Whether an Appendix E document is a property profile, from its first three pages."""
-    wanted = filings.filter("category = 'APPENDIX_E'").select("doc_id")
-    text = excerpt_first(doc_pages.filter("page_no < 3").join(wanted, "doc_id", "left_semi"), 3, max_chars)
+    text = _front(doc_pages, filings, "APPENDIX_E", 3, max_chars)
     return text.select("doc_id", (_hits(F.lower("excerpt"), patterns) > 0).alias("is_profile"))
 
 
+def first_page_facts(doc_pages: DataFrame, max_chars: int = 2000) -> DataFrame:
+    """Per document what its first five pages say: sub-group hint, property profile, project number, address, company. All from
+    one shuffle of pages cut to the budget."""
+    piece = F.substring(F.coalesce("txt", F.lit("")), 1, max_chars).alias("piece")
+    first = F.when(F.col("page_no") == 0, page_ends(F.col("txt"), 1000))
+    cut = doc_pages.filter("page_no < 5").select("doc_id", "page_no", piece, first.alias("ends"))
+    whole = cut.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("page_no", "piece"))).alias("p"), F.max("ends").alias("ends")
+    )
+
+    def text(n: int) -> Column:
+        pages = F.transform(F.filter("p", lambda x: x.page_no < n), lambda x: x.piece)
+        return F.substring(F.array_join(pages, "\n"), 1, max_chars)
+
+    read = whole.select("doc_id", "ends", text(5).alias("five"), F.lower(text(3)).alias("three"))
+    best = read.withColumn("best", _hint(F.col("five"), fv.HINT_PATTERNS))
+    return best.select(
+        "doc_id",
+        F.when(F.col("best.score") > 0, F.col("best.name")).alias("hint"),
+        (_hits(F.col("three"), fv.PROFILE_PATTERNS) > 0).alias("is_profile"),
+        *[c.alias(n) for n, c in identity_columns(F.col("ends")).items()],
+    )
+
+
 def _first_found(text: Column, patterns: Sequence[tuple[str, int]]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, py(p, fold=True), g), F.lit("")) for p, g in patterns])
 
@@ -113,11 +147,15 @@ def contamination(identity: DataFrame, filings: DataFrame, reports: DataFrame) -
 
 
 def compiled_report(
-    doc_pages: DataFrame, filings: DataFrame, min_size: int = fv.COMPILED_MIN_BYTES, pages: int = fv.COMPILED_PAGES
+    doc_pages: DataFrame, filings: DataFrame, min_size: int | None = None, pages: int = fv.COMPILED_PAGES
 ) -> DataFrame:
     """PDFs that are an earlier assembled report: a table of contents, a phase mention and three kinds of appendix
-    label within the first pages. Each label is tested page by page; no label spans a page break."""
-    big = filings.filter((F.col("file_size") >= min_size) & (F.col("ext") == ".pdf")).select("doc_id")
+    label within the first pages. Each label is tested page by page; no label spans a page break. ``min_size`` leaves
+    smaller files out, as the upload of single files does; uploads of folders have no such gate.
+
+    Pages are reduced to one row of flags per document before anything is joined, so no text is shuffled."""
+    large = F.col("ext") == ".pdf" if min_size is None else (F.col("file_size") >= min_size) & (F.col("ext") == ".pdf")
+    big = filings.filter(large).select("doc_id")
     low = F.lower("txt")
 
     def says(words: Sequence[str]) -> Column:
@@ -126,7 +164,7 @@ def compiled_report(
             found = found | low.contains(word)
         return F.coalesce(found, F.lit(False))
 
-    near = doc_pages.filter(F.col("page_no") < pages).select("doc_id", "txt").join(big, "doc_id", "left_semi")
+    near = doc_pages.filter(F.col("page_no") < pages)
     flags = near.select(
         "doc_id",
         *[says(words).alias(f"m{i}") for i, words in enumerate(fv.COMPILED_MARKERS)],
@@ -137,6 +175,7 @@ def compiled_report(
     return (
         flags.groupBy("doc_id")
         .agg(sum(marks[1:], marks[0]).alias("markers"), F.bool_or("toc").alias("toc"), F.bool_or("phase").alias("phase"))
+        .join(big, "doc_id", "left_semi")
         .withColumn("is_compiled", (F.col("markers") >= 3) & F.col("toc") & F.col("phase"))
     )
 
@@ -167,7 +206,9 @@ def auto_name(reports: DataFrame, filings: DataFrame, doc_pages: DataFrame) -> D
         .select("report_id", "d.*")
         .filter(F.col("ext").isin(".pdf", *fv.WORD_EXTENSIONS))
     )
-    near = doc_pages.filter("page_no < 5").join(cover.select("doc_id"), "doc_id", "left_semi")
+    piece = F.substring(F.coalesce("txt", F.lit("")), 1, 5000).alias("txt")
+    cut = doc_pages.filter("page_no < 5").select("doc_id", "page_no", piece)
+    near = cut.join(cover.select("doc_id"), "doc_id", "left_semi")
     text = excerpt_first(near, 5, 5000).filter(F.length(metrics.blank_trim(F.col("excerpt"))) >= 20)
     read = F.concat_ws("\n", F.substring("excerpt", 1, 4000))
     found = cover.join(text, "doc_id").withColumns(identity_columns(read)).select(
@@ -182,8 +223,3 @@ def auto_name(reports: DataFrame, filings: DataFrame, doc_pages: DataFrame) -> D
         F.coalesce(F.nullif("project_number", F.lit("")), F.col("found_project_id"), F.col("project_number")).alias("project_number"),
     )
 
-
-__all__ = [
-    "score_sections", "ordering_hint", "property_profile", "extract_identity", "contamination", "compiled_report",
-    "exclude_compiled", "auto_name", "header_footer",
-]

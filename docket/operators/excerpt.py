@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docket import fixed_values as fv
 from docket.functions import metrics
-from docket.operators.scan import ordered_scan, top_per_group
+from docket.operators.scan import top_per_group
 
 SAMPLE_BREAK = "\n[SAMPLE PAGE]\n"
 PAGE_BLOCK = 4096
@@ -63,14 +63,18 @@ def excerpt_last(doc_pages: DataFrame, n: int = 3, max_chars: int = 3000) -> Dat
     return tail.groupBy("doc_id").agg(_joined(max_chars).alias("excerpt"))
 
 
-def header_footer(doc_pages: DataFrame, max_chars: int = 500) -> DataFrame:
-    """First and last three lines of a document's first page; a page of under four lines as it is."""
-    lines = F.split(F.coalesce("txt", F.lit("")), "\n", -1)
+def page_ends(text: Column, max_chars: int = 500) -> Column:
+    """First and last three lines of a page; a page of under four lines as it is."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     ends = F.concat(
         F.array_join(F.slice(lines, 1, 3), "\n"), F.lit("\n---\n"), F.array_join(F.slice(lines, -3, 3), "\n")
     )
-    text = F.when(F.size(lines) < 4, F.coalesce("txt", F.lit(""))).otherwise(ends)
-    return doc_pages.filter("page_no = 0").select("doc_id", F.substring(text, 1, max_chars).alias("header_footer"))
+    return F.substring(F.when(F.size(lines) < 4, F.coalesce(text, F.lit(""))).otherwise(ends), 1, max_chars)
+
+
+def header_footer(doc_pages: DataFrame, max_chars: int = 500) -> DataFrame:
+    """The ends of a document's first page."""
+    return doc_pages.filter("page_no = 0").select("doc_id", page_ends(F.col("txt"), max_chars).alias("header_footer"))
 
 
 def document_sizes(doc_pages: DataFrame) -> DataFrame:
@@ -89,33 +93,42 @@ def _sampled(page: Column, n: Column) -> Column:
     )
 
 
-def wanted_pages(doc_pages: DataFrame, text: Column, small: int = 50, head: int = 5, tail: int = 3) -> DataFrame:
+def with_sizes(doc_pages: DataFrame) -> DataFrame:
+    """Pages that know how many their document has. Pages written by ``paginate`` carry it; for others it is counted without
+    reading text and joined, which costs a shuffle of the pages."""
+    return doc_pages if "n_pages" in doc_pages.columns else doc_pages.join(document_sizes(doc_pages), "doc_id")
+
+
+# Characters that a page can give to each part of an excerpt.
+PART_CHARS = {"whole": 10_000, "head": 3000, "tail": 2000, "sample": 500}
+
+
+def wanted_pages(doc_pages: DataFrame, small: int = 50, head: int = 5, tail: int = 3) -> DataFrame:
     """The pages worth reading, each with its part: small documents whole; of larger ones the first, the last and a few
-    in between. Pages beyond the sampled range only matter as tails, and of those each map task keeps ``tail``."""
+    in between. A filter on the page itself: nothing is shuffled."""
     page, n = F.col("page_no"), F.col("n_pages")
-    slim = doc_pages.select("doc_id", "page_no", text.alias("piece"))
-    near = slim.filter(page < SAMPLE_TO)
-    far = top_per_group(slim.filter(page >= SAMPLE_TO), ["doc_id"], [F.desc("page_no")], tail).drop("rank")
     part = (
         F.when(n < small, "whole")
         .when(page < head, "head")
         .when(page >= n - tail, "tail")
         .when(_sampled(page, n), "sample")
     )
-    sizes = document_sizes(doc_pages)
-    return near.unionByName(far).join(sizes, "doc_id").withColumn("part", part).filter("part IS NOT NULL")
+    return with_sizes(doc_pages).withColumn("part", part).filter("part IS NOT NULL")
 
 
 def page_sample(doc_pages: DataFrame, **kw) -> DataFrame:
     """The page set of ``smart_excerpt`` as an operator of its own."""
-    return wanted_pages(doc_pages, F.col("txt"), **kw).select("doc_id", "page_no", "part", F.col("piece").alias("txt"))
+    return wanted_pages(doc_pages, **kw).select("doc_id", "page_no", "part", "txt")
 
 
 def smart_excerpt(doc_pages: DataFrame, small: int = 50) -> DataFrame:
     """What a classifier reads of a document: at most 10,000 characters of a small one, else 8,000 characters of head,
-    tail and sampled pages."""
-    budget = F.substring(F.coalesce("txt", F.lit("")), 1, 10_000)
-    pieces = wanted_pages(doc_pages, budget, small)
+    tail and sampled pages. Each page is cut to what its part can give before the one shuffle, by document."""
+    budget = F.lit(0)
+    for part, chars in PART_CHARS.items():
+        budget = F.when(F.col("part") == part, chars).otherwise(budget)
+    piece = F.substring(F.coalesce("txt", F.lit("")), F.lit(1), budget).alias("piece")
+    pieces = wanted_pages(doc_pages, small).select("doc_id", "page_no", "n_pages", "part", piece)
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "part", "piece")))
     whole = pieces.groupBy("doc_id").agg(F.first("n_pages").alias("n_pages"), ordered.alias("p"))
 
@@ -126,7 +139,7 @@ def smart_excerpt(doc_pages: DataFrame, small: int = 50) -> DataFrame:
         F.array(
             F.substring(F.array_join(text("head"), "\n"), 1, 3000), F.substring(F.array_join(text("tail"), "\n"), 1, 2000)
         ),
-        F.transform(text("sample"), lambda x: F.substring(x, 1, 500)),
+        text("sample"),
     )
     excerpt = F.when(
         F.col("n_pages") < small, F.substring(F.array_join(text("whole"), "\n"), 1, 10_000)
@@ -148,9 +161,11 @@ def choose_text(doc_pages: DataFrame, min_chars: int = 50) -> DataFrame:
 
 def kept_pages(doc_pages: DataFrame, filings: DataFrame, min_chars: int = 10) -> DataFrame:
     """Pages of each document that go into a report: all of them, but for Word files without the blank run at the end.
-    One aggregate, no text leaves the map side."""
+    One aggregate over narrow columns where pages carry ``n_trimmed``, the length of their trimmed text; else text is read,
+    but does not leave the map side."""
     word = filings.select("doc_id", F.col("ext").isin(*fv.WORD_EXTENSIONS).alias("is_word"))
-    filled = F.length(metrics.blank_trim(F.col("txt"))) >= min_chars
+    known = "n_trimmed" in doc_pages.columns
+    filled = (F.col("n_trimmed") if known else F.length(metrics.blank_trim(F.col("txt")))) >= min_chars
     counted = doc_pages.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_pages"),
         F.coalesce(F.max(F.when(filled, F.col("page_no") + 1)), F.lit(0)).cast("long").alias("n_filled"),
@@ -194,11 +209,18 @@ def prompt_rows(filings: DataFrame, excerpts: DataFrame, cut: int = 500) -> Data
 
 
 def delete_pages(doc_pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Drop the listed pages and number the rest again from 0. Indexes that do not exist change nothing."""
-    gone = requests.select("doc_id", F.explode("pages").alias("page_no")).distinct()
-    left = doc_pages.join(gone, ["doc_id", "page_no"], "left_anti")
-    numbered = ordered_scan(left.select("doc_id", "page_no"), ["doc_id"], ["page_no"], position="place")
-    return left.join(numbered, ["doc_id", "page_no"]).withColumn("new_page_no", (F.col("place") - 1).cast("int")).drop("place")
+    """Drop the listed pages and number the rest again from 0; pages are numbered without gaps. Indexes that do not exist
+    change nothing: negative ones are left out, and those beyond the last page come before no page.
+
+    A page's new number is its own less the deleted ones before it, so pages meet one short row per document and are neither
+    sorted nor counted."""
+    listed = requests.select("doc_id", F.explode("pages").alias("page_no")).filter("page_no >= 0").distinct()
+    gone = listed.groupBy("doc_id").agg(F.sort_array(F.collect_list("page_no")).alias("__gone"))
+    met = doc_pages.join(gone, "doc_id", "left")
+    page = F.col("page_no")
+    left = met.filter(F.col("__gone").isNull() | ~F.array_contains("__gone", page))
+    before = F.when(F.col("__gone").isNull(), 0).otherwise(F.size(F.filter("__gone", lambda x: x < page)))
+    return left.withColumn("new_page_no", (page - before).cast("int")).drop("__gone")
 
 
 def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from docket import fixed_values as fv
 from docket.functions import metrics
-from docket.operators.ingest import retry_summary  # noqa: F401  (a summary too)
 from docket.schema import SECTION_NAMES, section_dim, section_range
 
 PAGES = metrics.pages_or_zero
@@ -18,6 +17,11 @@ def _pages() -> Column:
     return PAGES(F.col("page_count"))
 
 
+def _each_report(reports: DataFrame, figures: DataFrame) -> DataFrame:
+    """Figures of every report; a report they do not know has zeros."""
+    return reports.select("report_id").join(figures, "report_id", "left").na.fill(0)
+
+
 def section_summary(filings: DataFrame) -> DataFrame:
     """Included documents and pages per section, with label and place."""
     sums = filings.filter("is_included").groupBy("report_id", "category").agg(
@@ -36,9 +40,9 @@ def section_rollup(filings: DataFrame) -> DataFrame:
     )
 
 
-def report_info(filings: DataFrame) -> DataFrame:
+def report_info(filings: DataFrame, reports: DataFrame) -> DataFrame:
     inc = F.col("is_included")
-    return filings.groupBy("report_id").agg(
+    sums = filings.groupBy("report_id").agg(
         F.count(F.lit(1)).alias("total_docs"),
         F.count_if(inc).alias("included_docs"),
         F.count_if(~inc).alias("excluded_docs"),
@@ -46,22 +50,23 @@ def report_info(filings: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "error").alias("error_docs"),
         F.sum(F.when(inc, _pages()).otherwise(0)).alias("total_pages"),
     )
+    return _each_report(reports, sums)
 
 
-def processing_status(filings: DataFrame) -> DataFrame:
+def processing_status(filings: DataFrame, reports: DataFrame) -> DataFrame:
     """Rows under way in conversion or classification count as neither pending nor ready."""
     s = F.col("status")
-    return filings.groupBy("report_id").agg(
+    sums = filings.groupBy("report_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(s == "uploaded").alias("pending"),
         F.count_if(s.isin("ready", "classified")).alias("ready"),
         F.count_if(s == "error").alias("errors"),
-        (F.count_if(s == "uploaded") == 0).alias("complete"),
     )
+    return _each_report(reports, sums).withColumn("complete", F.col("pending") == 0)
 
 
-def preflight(filings: DataFrame, warn_pages: int = 500, error_pages: int = 2000) -> DataFrame:
-    """Check before assembly, for every report that has a filing."""
+def preflight(filings: DataFrame, reports: DataFrame, warn_pages: int = 500, error_pages: int = 2000) -> DataFrame:
+    """Check before assembly, for every report; one without documents has no main body and cannot be assembled."""
     ok = metrics.is_candidate(F.col("is_included"), F.col("status"))
     has = {s: F.count_if(ok & (F.col("category") == s)) for s in SECTION_NAMES}
     sums = filings.groupBy("report_id").agg(
@@ -70,6 +75,7 @@ def preflight(filings: DataFrame, warn_pages: int = 500, error_pages: int = 2000
         F.count_if(ok & (F.col("category") == fv.UNCLASSIFIED[0])).alias("n_unclassified"),
         *[n.alias(f"n_{s}") for s, n in has.items()],
     )
+    sums = _each_report(reports, sums)
     filled = sum((F.col(f"n_{s}") > 0).cast("int") for s in SECTION_NAMES[1:])
     filled = filled + (F.col(f"n_{SECTION_NAMES[0]}") > 0).cast("int")
     un, pages = F.col("n_unclassified"), F.col("total_pages")
@@ -106,7 +112,7 @@ def preflight(filings: DataFrame, warn_pages: int = 500, error_pages: int = 2000
     )
 
 
-def _every_section(filings: DataFrame, dim: DataFrame) -> DataFrame:
+def _every_section(filings: DataFrame, reports: DataFrame, dim: list[str]) -> DataFrame:
     """(report, section) rows for every report and every section of a small dimension, with included docs and pages.
     The dimension sits in an array that each report explodes."""
     sums = filings.groupBy("report_id", "category").agg(
@@ -116,15 +122,15 @@ def _every_section(filings: DataFrame, dim: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "error").alias("errors"),
     )
     names = F.array(*[F.lit(r) for r in dim])
-    grid = sums.select("report_id").distinct().withColumn("category", F.explode(names))
+    grid = reports.select("report_id", F.explode(names).alias("category"))
     zero = F.lit(0).cast("long")
     figures = ["docs", "pages", "all_docs", "errors"]
     return grid.join(sums, ["report_id", "category"], "left").withColumns({c: F.coalesce(c, zero) for c in figures})
 
 
-def section_flags(filings: DataFrame) -> DataFrame:
+def section_flags(filings: DataFrame, reports: DataFrame) -> DataFrame:
     """Sections out of their usual range: empty ones that should not be, and ones above twice the usual maximum."""
-    grid = _every_section(filings, [r[0] for r in fv.SECTION_RANGES])
+    grid = _every_section(filings, reports, [r[0] for r in fv.SECTION_RANGES])
     dim = section_range(filings.sparkSession).withColumnRenamed("section", "category")
     df = grid.join(F.broadcast(dim), "category")
     empty = (F.col("pages") == 0) & (F.col("min_docs") > 0)
@@ -146,7 +152,7 @@ def section_flags(filings: DataFrame) -> DataFrame:
     return df.select("report_id", "category", text.alias("issue"), severity.alias("severity")).filter("issue IS NOT NULL")
 
 
-def report_health(filings: DataFrame, lo: int = 1000, hi: int = 4000) -> DataFrame:
+def report_health(filings: DataFrame, reports: DataFrame, lo: int = 1000, hi: int = 4000) -> DataFrame:
     inc = F.col("is_included")
     sums = filings.groupBy("report_id").agg(
         F.sum(F.when(inc, _pages()).otherwise(0)).alias("pages"),
@@ -155,7 +161,7 @@ def report_health(filings: DataFrame, lo: int = 1000, hi: int = 4000) -> DataFra
     health = (
         F.when(F.col("cover_pages") == 0, "critical").when(F.col("pages").between(lo, hi), "good").otherwise("needs_attention")
     )
-    return sums.withColumn("health", health)
+    return _each_report(reports, sums).withColumn("health", health)
 
 
 def suggestions(reports: DataFrame, filings: DataFrame, at_most: int = 5) -> DataFrame:
@@ -194,7 +200,7 @@ def confidence_bands(filings: DataFrame) -> DataFrame:
     return filings.groupBy("report_id", band).agg(F.count(F.lit(1)).alias("docs"))
 
 
-def curation_effect(filings: DataFrame, recommendations: DataFrame) -> DataFrame:
+def curation_effect(filings: DataFrame, reports: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Counts of recommendations, and what would remain with the exclusions applied."""
     recs = recommendations.select("report_id", "doc_id", "kind").distinct()
     per_doc = recs.groupBy("report_id", "doc_id").agg(
@@ -202,12 +208,13 @@ def curation_effect(filings: DataFrame, recommendations: DataFrame) -> DataFrame
     )
     live = filings.filter("is_included").join(per_doc, ["report_id", "doc_id"], "left")
     out, move = (F.coalesce(F.col(c), F.lit(False)) for c in ("out", "move"))
-    return live.groupBy("report_id").agg(
+    sums = live.groupBy("report_id").agg(
         F.count_if(out).alias("exclude_count"),
         F.count_if(move).alias("reclassify_count"),
         F.count_if(~out).alias("remaining_docs"),
         F.sum(F.when(~out, _pages()).otherwise(0)).alias("remaining_pages"),
     )
+    return _each_report(reports, sums)
 
 
 def report_list(reports: DataFrame, filings: DataFrame) -> DataFrame:
@@ -233,7 +240,7 @@ def ready_to_assemble(reports: DataFrame, filings: DataFrame) -> DataFrame:
     return reports.join(flags, "report_id", "left").select("report_id", ready.alias("ready"))
 
 
-def run_summary(filings: DataFrame, corrected: DataFrame, recommendations: DataFrame) -> DataFrame:
+def run_summary(filings: DataFrame, reports: DataFrame, corrected: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Account of a whole run; ``corrected`` is what ``apply_corrections`` returned."""
     base = filings.groupBy("report_id").agg(
         F.count(F.lit(1)).alias("total"),
@@ -243,16 +250,14 @@ def run_summary(filings: DataFrame, corrected: DataFrame, recommendations: DataF
     )
     fixed = corrected.groupBy("report_id").agg(F.sum("n_applied").alias("corrections_applied"))
     recs = recommendations.filter("kind = 'exclude'").groupBy("report_id").agg(F.count(F.lit(1)).alias("exclude_recommended"))
-    return base.join(fixed, "report_id", "left").join(recs, "report_id", "left").na.fill(
-        0, ["corrections_applied", "exclude_recommended"]
-    )
+    return _each_report(reports, base).join(fixed, "report_id", "left").join(recs, "report_id", "left").na.fill(0)
 
 
 def section_status(filings: DataFrame, reports: DataFrame) -> DataFrame:
     """State of every section a user sees: error, filled or empty. The reliance section shows only where wanted, the
     unclassified one only where it has documents."""
     live = filings.filter("is_included")
-    grid = _every_section(live, [*SECTION_NAMES, fv.UNCLASSIFIED[0]])
+    grid = _every_section(live, reports, [*SECTION_NAMES, fv.UNCLASSIFIED[0]])
     wanted = reports.select("report_id", "has_reliance_letter")
     state = F.when(F.col("errors") > 0, "error").when(F.col("all_docs") > 0, "filled").otherwise("empty")
     return (

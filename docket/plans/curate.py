@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.operators import assemble, classify, curate, evidence
-from docket.operators.scan import GROUP_ROWS, biggest_group
+from docket.operators import assemble, classify, curate, evidence, summaries
 
 
 def place_by_name(filings: DataFrame) -> DataFrame:
@@ -30,29 +29,31 @@ def manifest_by_name(filings: DataFrame, reports: DataFrame) -> DataFrame:
 def curate_corpus(
     filings: DataFrame, doc_pages: DataFrame, verdicts: DataFrame, corrections: DataFrame, policy: str = "content-first"
 ) -> DataFrame:
-    """From uploaded filings to a curated corpus: compiled reports out, sections from verdicts and name rules,
-    preferences and revised files, newest versions, corrections. Filings in error or excluded keep what they have."""
-    found = evidence.compiled_report(doc_pages, filings)
-    start = evidence.exclude_compiled(filings, found)
-    placed = classify.route(start, verdicts, policy, keep=("doc_id",)).select(
-        "doc_id",
-        *[F.col(c).alias(f"new_{c}") for c in ("category", "subcategory", "confidence", "reasoning")],
-        "rule_sort_order",
-    )
-    live = F.col("is_included") & (F.col("status") != "error")
+    """From uploaded filings to a curated corpus: compiled reports out, sections from verdicts and name rules, what pages say
+    after a verdict, preferences and revised files, newest versions, corrections. Filings in error or excluded keep what they
+    have. Adds ``is_profile`` and ``metadata``."""
     fields = ("category", "subcategory", "confidence", "reasoning")
-    joined = start.join(placed, "doc_id").withColumn("live", live)
-    fresh = joined.withColumns(
+    start = evidence.exclude_compiled(filings, evidence.compiled_report(doc_pages, filings))
+    start = start.withColumnsRenamed({c: f"old_{c}" for c in fields})
+    placed = classify.route(start, verdicts, policy, keep=start.columns)
+    read = classify.after_verdict(placed, evidence.first_page_facts(doc_pages))
+    live = F.col("is_included") & (F.col("status") != "error")
+    fresh = read.withColumn("live", live).withColumns(
         {
-            **{c: F.when(F.col("live"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in fields},
+            **{c: F.when(F.col("live"), F.col(c)).otherwise(F.col(f"old_{c}")) for c in fields},
             "sort_order": F.when(F.col("live"), F.coalesce("rule_sort_order", "sort_order")).otherwise(F.col("sort_order")),
             "status": F.when(F.col("live"), "classified").otherwise(F.col("status")),
+            "by_pages": F.col("live") & F.col("is_profile"),
+            "metadata": F.when(F.col("live"), F.col("metadata")),
         }
     )
     # Preferences belong to fresh classifications only; the rest keep their figures.
-    preferred = curate.preference_columns(fresh, F.col("live"))
-    # No version group is larger than its report: if reports fit in a task, so do all groups.
-    reports = biggest_group(filings, ["report_id"])
-    size = reports if reports[0] <= GROUP_ROWS else None
-    superseded = curate.supersede_revised(preferred.select(*filings.columns, "is_profile"), size=size).drop("superseded")
-    return curate.apply_corrections(curate.dedupe_versions(superseded, size=size), corrections)
+    preferred = curate.preference_columns(fresh, F.col("live")).withColumn("is_profile", F.col("is_profile") | F.col("by_pages"))
+    superseded = curate.supersede_revised(preferred.select(*filings.columns, "is_profile", "metadata")).drop("superseded")
+    return curate.apply_corrections(curate.dedupe_versions(superseded), corrections)
+
+
+def curate_flags(curated: DataFrame, reports: DataFrame) -> DataFrame:
+    """What to look at in a curated corpus: sections out of their usual range, with the health of each report."""
+    flags = summaries.section_flags(curated, reports)
+    return summaries.report_health(curated, reports).join(flags, "report_id", "left")

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.functions import metrics
 from docket.functions.names import suffix
 from docket.functions.once import once
 from docket.schema import ALL_SECTIONS
@@ -58,6 +59,7 @@ TEMPLATES = [
     ("cover", False, ".docx", "© Example Environmental"),
     ("DSCN", True, ".JPG", "Photo"),
     ("closure letter", False, ".pdf", "No further action, closure"),
+    ("IMG20240101", True, ".jpg", "Photo with a long number"),
 ]
 VERSIONS = ["", "_v2", "-rev-mam", " (Revised)", " rev", "", "_FINAL"]
 FOLDERS = [None, "Photos/", "GeoTracker/2003/", "BLA-0001/records/", "site documents/", "EC_Attachments/", "SMEH_x/"]
@@ -81,7 +83,8 @@ def _template(part: int) -> str:
 REPORT = "CASE WHEN doc_id % 3 = 0 THEN CAST(0 AS BIGINT) ELSE 1 + CAST(floor(doc_id / 97) AS BIGINT) END"
 _NUMBERED = " OR ".join(f"{SLOT} % {len(TEMPLATES)} = {i}" for i, t in enumerate(TEMPLATES) if t[1])
 FILENAME = (
-    f"({_template(0)}) || CASE WHEN {_NUMBERED} THEN '_' || lpad(CAST(doc_id AS STRING), 6, '0') ELSE '' END"
+    f"({_template(0)}) || CASE WHEN {_NUMBERED} THEN CASE WHEN {SLOT} % {len(TEMPLATES)} = {len(TEMPLATES) - 1} THEN '' ELSE '_' END"
+    " || lpad(CAST(doc_id AS STRING), 6, '0') ELSE '' END"
     f" || ({pick('doc_id % 7', VERSIONS)}) || ({_template(2)})"
 )
 TITLE = (
@@ -122,7 +125,7 @@ PROJECTIONS: dict[str, tuple[str, dict[str, str]]] = {
                 "doc_id % 11",
                 ["error", "uploaded", "classifying", "converting"] + ["classified"] * 3 + ["ready"] * 4,
             ),
-            "is_included": "doc_id % 9 <> 4",
+            "is_included": f"doc_id % 9 <> 4 AND ({REPORT}) % 7 <> 3",
             "modified_at": f"CASE WHEN doc_id % 12 = 7 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + {MINUTES} * ((doc_id * 7919) % 10007) END",
             "created_at": f"TIMESTAMP '2024-02-01 00:00:00' + {MINUTES} * doc_id",
         },
@@ -162,6 +165,14 @@ PROJECTIONS: dict[str, tuple[str, dict[str, str]]] = {
             " WHEN 3 THEN 'no json here'"
             " WHEN 4 THEN '{\"category\": \"' || (SECTION) || '\", \"reasoning\": \"no figure\"}'"
             " WHEN 5 THEN '{\"category\": \"' || (SECTION) || '\", \"confidence\": 0.6}'"
+            " WHEN 6 THEN CASE doc_id % 56"
+            " WHEN 6 THEN '{\"category\": \"APPENDIX_B\", \"confidence\": \"high\"}'"
+            " WHEN 14 THEN '{\"category\": \"APPENDIX_B\", \"confidence\": null, \"reasoning\": \"x\"}'"
+            " WHEN 22 THEN '{\"category\": \"APPENDIX_B\", \"confidence\": 0.9, \"reasoning\": null}'"
+            " WHEN 30 THEN '{\"category\": \"APPENDIX_B\", \"confidence\": 0.9} and more'"
+            " WHEN 38 THEN '{\"category\": \"APPENDIX_B\", \"confidence\": \"0.75\", \"subcategory\": null}'"
+            " WHEN 46 THEN '{\"category\": \"APPENDIX_B\", \"subcategory\": 3}'"
+            " WHEN 54 THEN '{\"category\": [\"APPENDIX_B\"], \"confidence\": 1}' END"
             " WHEN 7 THEN '{\"category\": \"APPENDIX_D\", \"subcategory\": \"topos\", \"confidence\": 0.88, \"reasoning\": \"map\"}'"
             " END".replace("SECTION", pick(f"(doc_id * 5 + {SLOT}) % {len(ALL_SECTIONS)}", ALL_SECTIONS)),
         },
@@ -218,6 +229,8 @@ REPORT_AGGS = {
     "n_docs": "count(*)",
     "raw_size": "CAST(sum(file_size) AS BIGINT)",
 }
+# Some reports have no filings yet.
+EMPTY_REPORTS = ("report_id % 4 = 1", 1_000_000)
 REPORT_COLUMNS = {
     "report_id": "report_id",
     "name": "CASE WHEN report_id % 2 = 0 THEN 'New Report ' ELSE 'Phase I ESA: Site/' END || CAST(report_id AS STRING)",
@@ -280,11 +293,9 @@ class Corpus:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """The given texts. A small folder is one split, hence one task: it is spread by id. A large one is read as it
-        is."""
-        given = self.given("documents")
-        tasks = self.spark.sparkContext.defaultParallelism
-        return given if given.rdd.getNumPartitions() >= tasks else given.repartition(tasks, "doc_id")
+        """The given texts, spread evenly: adaptive execution makes as many tasks as their bytes need, so neither one file
+        nor a few uneven ones hold up what is done per text."""
+        return self.given("documents").hint("rebalance")
 
     @cached_property
     def doc_texts(self) -> DataFrame:
@@ -292,12 +303,17 @@ class Corpus:
 
     @cached_property
     def doc_pages(self) -> DataFrame:
-        """Texts cut into pages of ``PAGE_CHARS`` characters; every fifth kind is a scan that has OCR text only."""
+        """Texts cut into pages of ``PAGE_CHARS`` characters; every fifth kind is a scan that has OCR text only. Each page
+        carries the number of its document's pages and the length of its trimmed text."""
         pages = F.regexp_extract_all("full_text", F.lit(f"(?s).{{1,{PAGE_CHARS}}}"), F.lit(0))
         scan = F.col("doc_id") % 5 == 2
-        return self.doc_texts.select("doc_id", F.posexplode(pages).alias("page_no", "chunk")).select(
+        cut = once(self.doc_texts.select("doc_id", "full_text"), {"chunks": pages})
+        split = cut.select("doc_id", F.size("chunks").alias("n_pages"), F.posexplode("chunks").alias("page_no", "chunk"))
+        return split.select(
             "doc_id",
             "page_no",
+            "n_pages",
+            F.when(scan, 0).otherwise(F.length(metrics.blank_trim(F.col("chunk")))).alias("n_trimmed"),
             F.when(scan, F.lit("")).otherwise(F.col("chunk")).alias("txt"),
             F.when(scan, F.col("chunk")).alias("ocr_txt"),
             (F.length("chunk").cast("long") * 512).alias("n_bytes"),
@@ -327,6 +343,10 @@ class Corpus:
     @cached_property
     def reports(self) -> DataFrame:
         sums = self.filings.groupBy("report_id").agg(*[F.expr(f"{e} AS {c}") for c, e in REPORT_AGGS.items()])
+        which, offset = EMPTY_REPORTS
+        none = F.lit(0).cast("long")
+        empty = self.filings.filter(which).select((F.col("report_id") + offset).alias("report_id")).distinct()
+        sums = sums.unionByName(empty.withColumns({c: none for c in REPORT_AGGS}))
         return _project(sums, REPORT_COLUMNS)
 
     @cached_property

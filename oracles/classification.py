@@ -5,6 +5,7 @@ from docket.sources.corpus import TEMPLATES  # noqa: F401
 from oracles.scalars import ext, listed, norm_base, revised, revision_base, stem, strip
 from oracles.tables import with_tables
 from oracles.texts import HEADER, SMART
+from oracles.totals import RANGES
 
 LETTERS = "abcdef"
 
@@ -56,11 +57,14 @@ PRE = f"""pre AS (SELECT doc_id, CASE WHEN ex IN ('.heic', '.heif') THEN 'APPEND
 
 ALL = listed([s for s, _ in fv.SECTIONS] + [fv.UNCLASSIFIED[0]])
 AI = f"""ai AS (SELECT doc_id, json_extract_string(t, '$.category') AS ai_category, json_extract_string(t, '$.subcategory') AS ai_subcategory,
-    coalesce(CAST(json_extract_string(t, '$.confidence') AS DOUBLE), 0.8) AS ai_confidence,
-    coalesce(json_extract_string(t, '$.reasoning'), 'AI classification') AS ai_reasoning
+    CASE WHEN json_type(t, '$.confidence') IS NULL THEN 0.8 ELSE TRY_CAST(json_extract_string(t, '$.confidence') AS DOUBLE) END AS ai_confidence,
+    CASE WHEN json_type(t, '$.reasoning') IS NULL THEN 'AI classification' ELSE json_extract_string(t, '$.reasoning') END AS ai_reasoning
   FROM (SELECT doc_id, CASE WHEN json_valid(x) THEN x END AS t FROM (SELECT doc_id,
       {strip("rtrim(CASE WHEN response_text LIKE '```%' THEN regexp_replace(response_text, '```(?:json)?', '', 'g') ELSE response_text END, '`')")} AS x FROM verdicts))
-  WHERE json_extract_string(t, '$.category') IN ({ALL}))"""
+  WHERE json_extract_string(t, '$.category') IN ({ALL}) AND json_type(t, '$.category') = 'VARCHAR'
+    AND coalesce(json_type(t, '$.confidence'), 'DOUBLE') NOT IN ('NULL', 'ARRAY', 'OBJECT')
+    AND (json_type(t, '$.confidence') IS NULL OR TRY_CAST(json_extract_string(t, '$.confidence') AS DOUBLE) IS NOT NULL)
+    AND coalesce(json_type(t, '$.reasoning'), 'VARCHAR') = 'VARCHAR' AND coalesce(json_type(t, '$.subcategory'), 'NULL') IN ('NULL', 'VARCHAR'))"""
 
 CONTENT = f"""content AS (SELECT f.doc_id,
     CASE WHEN pre_category IS NOT NULL THEN pre_category WHEN ai_category IS NOT NULL THEN ai_category ELSE coalesce(rule_category, 'UNCLASSIFIED') END AS category,
@@ -79,7 +83,7 @@ IDENTITY = r"""ident AS (SELECT doc_id,
            nullif(regexp_extract(h, '(?i)(?:bla|ec|smeh|fa)\s*[-_]?\s*([0-9a-z]{7,})', 1), ''),
            nullif(regexp_extract(h, '(?i)^([0-9]{7,10})\b', 1), '')) AS found_project_id,
   nullif(regexp_extract(h, '(?i)(\d+\s+[\p{L}\p{N}_]+\s+(?:street|st|avenue|ave|road|rd|drive|dr|boulevard|blvd))', 1), '') AS found_address,
-  coalesce(nullif(regexp_extract(h, '(?i)©\s*([\p{L}\p{N}_]+(?:\s+[\p{L}\p{N}_]+)*)', 0), ''),
+  coalesce(nullif(regexp_extract(h, '(?i)©\s*([\p{L}\p{N}_]+(?:\s+[\p{L}\p{N}_]+)*)', 1), ''),
            nullif(regexp_extract(h, '(?i)(environmental|engineering|consulting)\s+([\p{L}\p{N}_]+(?:\s+[\p{L}\p{N}_]+)*)', 2), '')) AS found_company
   FROM (SELECT doc_id, left(full_hf, 1000) AS h FROM hf))"""
 
@@ -108,7 +112,7 @@ def _any(words) -> str:
 
 COMPILED = f"""comp AS (SELECT doc_id, CAST({' + '.join(f"max(CAST({_any(m)} AS INTEGER))" for m in fv.COMPILED_MARKERS)} AS INTEGER) AS markers,
     bool_or({_any([fv.COMPILED_TOC])}) AS toc, bool_or({_any(fv.COMPILED_PHASE)}) AS phase
-  FROM doc_pages WHERE page_no < 30 AND doc_id IN (SELECT doc_id FROM filings WHERE file_size >= {fv.COMPILED_MIN_BYTES} AND {ext()} = '.pdf')
+  FROM doc_pages WHERE page_no < 30 AND doc_id IN (SELECT doc_id FROM filings WHERE {ext()} = '.pdf')
   GROUP BY doc_id)"""
 
 RULED = "SELECT doc_id, rule_category, rule_subcategory, rule_confidence, rule_sort_order, rule_reason FROM named"
@@ -242,26 +246,42 @@ CHECKS["apply_corrections"] = with_tables(
     recursive=True,
 )
 CHECKS["run_summary"] = with_tables(
-    "filings corrections recommendations",
+    "reports filings corrections recommendations",
     f"""target AS (SELECT * FROM filings), {CORRECTED}
-    SELECT report_id, count(*) AS total, count(*) FILTER (status <> 'error') AS uploaded,
+    SELECT report_id, count(doc_id) AS total, count(*) FILTER (status <> 'error') AS uploaded,
       count(*) FILTER (status <> 'error' AND is_included) AS classified, count(*) FILTER (status = 'error') AS errors,
-      CAST(sum(n_applied) AS BIGINT) AS corrections_applied,
-      (SELECT count(*) FROM recommendations r WHERE r.report_id = c.report_id AND r.kind = 'exclude') AS exclude_recommended
-    FROM corrected c GROUP BY report_id""",
+      CAST(coalesce(sum(n_applied), 0) AS BIGINT) AS corrections_applied,
+      (SELECT count(*) FROM recommendations x WHERE x.report_id = r.report_id AND x.kind = 'exclude') AS exclude_recommended
+    FROM (SELECT report_id FROM reports) r LEFT JOIN corrected c USING (report_id) GROUP BY report_id""",
     recursive=True,
 )
-CHECKS["curate_corpus"] = with_tables(
-    "filings doc_pages verdicts corrections",
-    f"""{named('filings')}, {PRE}, {AI}, {CONTENT}, {COMPILED},
+NOTED = f"""{HEADER}, {IDENTITY},
+  front AS (SELECT doc_id, lower(left(string_agg(txt, chr(10) ORDER BY page_no), 2000)) AS low FROM doc_pages WHERE page_no < 5 GROUP BY doc_id),
+  front3 AS (SELECT doc_id, lower(left(string_agg(txt, chr(10) ORDER BY page_no), 2000)) AS low FROM doc_pages WHERE page_no < 3 GROUP BY doc_id),
+  hints AS ({' UNION ALL '.join(f"SELECT doc_id, '{g}' AS hint, {_count('low', p)} AS score FROM front" for g, p in fv.HINT_PATTERNS.items())}),
+  hinted AS (SELECT doc_id, arg_max(hint, (score, hint)) FILTER (score > 0) AS hint FROM hints GROUP BY doc_id),
+  noted AS (SELECT doc_id, category, CASE WHEN d THEN hint ELSE subcategory END AS subcategory, confidence,
+      reasoning || CASE WHEN d THEN ' [Subcategory from content: ' || hint || ']' WHEN e THEN ' [Property Profile — ranked first in Appendix E]' ELSE '' END AS reasoning,
+      CASE WHEN e THEN 1 ELSE rule_sort_order END AS rule_sort_order, e AS by_pages,
+      CASE WHEN m THEN found_project_id END AS found_project_id,
+      CASE WHEN m AND found_project_id IS NOT NULL THEN found_address END AS found_address,
+      CASE WHEN m AND found_project_id IS NOT NULL THEN found_company END AS found_company
+    FROM (SELECT *, m AND category = 'APPENDIX_D' AND coalesce(subcategory, '') = '' AND hint IS NOT NULL AS d, m AND category = 'APPENDIX_E' AND p AS e
+      FROM (SELECT c.*, h.hint, i.* EXCLUDE (doc_id), pre_category IS NULL AND ai_category IS NOT NULL AS m,
+              coalesce(regexp_matches(f3.low, '{'|'.join(fv.PROFILE_PATTERNS)}'), false) AS p
+            FROM content c JOIN pre USING (doc_id) LEFT JOIN ai USING (doc_id) LEFT JOIN hinted h USING (doc_id)
+            LEFT JOIN front3 f3 USING (doc_id) LEFT JOIN ident i USING (doc_id))))"""
+CURATED = f"""{named('filings')}, {PRE}, {AI}, {CONTENT}, {COMPILED}, {NOTED},
     st0 AS (SELECT f.* REPLACE (CASE WHEN c.doc_id IS NULL THEN f.is_included ELSE false END AS is_included,
               CASE WHEN c.doc_id IS NULL THEN f.reasoning ELSE '{fv.COMPILED_REASON}' END AS reasoning)
             FROM filings f LEFT JOIN (SELECT doc_id FROM comp WHERE markers >= 3 AND toc AND phase) c USING (doc_id)),
     fresh AS (SELECT s.* REPLACE (CASE WHEN v THEN n.category ELSE s.category END AS category, CASE WHEN v THEN n.subcategory ELSE s.subcategory END AS subcategory,
                 CASE WHEN v THEN n.confidence ELSE s.confidence END AS confidence, CASE WHEN v THEN n.reasoning ELSE s.reasoning END AS reasoning,
                 CASE WHEN v THEN coalesce(n.rule_sort_order, s.sort_order) ELSE s.sort_order END AS sort_order,
-                CASE WHEN v THEN 'classified' ELSE s.status END AS status), v AS live
-              FROM (SELECT *, is_included AND status <> 'error' AS v FROM st0) s JOIN content n USING (doc_id)),
+                CASE WHEN v THEN 'classified' ELSE s.status END AS status), v AS live, v AND n.by_pages AS by_pages,
+                CASE WHEN v THEN n.found_project_id END AS found_project_id, CASE WHEN v THEN n.found_address END AS found_address,
+                CASE WHEN v THEN n.found_company END AS found_company
+              FROM (SELECT *, is_included AND status <> 'error' AS v FROM st0) s JOIN noted n USING (doc_id)),
     {PREFER},
     kb AS (SELECT *, {norm_base()} AS nb FROM sp),
     rk AS (SELECT doc_id, row_number() OVER w AS rn, first_value(original_filename) OVER w AS winner FROM kb WHERE is_included
@@ -269,7 +289,30 @@ CHECKS["curate_corpus"] = with_tables(
     target AS (SELECT s.* REPLACE (CASE WHEN r.rn > 1 THEN false ELSE s.is_included END AS is_included,
                 CASE WHEN r.rn > 1 THEN 'Superseded by newer version: ' || r.winner ELSE s.reasoning END AS reasoning)
                FROM sp s LEFT JOIN rk r USING (doc_id)),
-    {CORRECTED}
-    SELECT doc_id, category, confidence, reasoning, sort_order, is_included, status FROM corrected""",
+    {CORRECTED}"""
+CHECKS["curate_corpus"] = with_tables(
+    "filings doc_pages verdicts corrections",
+    f"""{CURATED}
+    SELECT c.doc_id, c.category, c.confidence, c.reasoning, c.sort_order, c.is_included, c.status, t.subcategory,
+      t.is_profile OR t.by_pages AS is_profile, t.found_project_id, t.found_address, t.found_company
+    FROM corrected c JOIN target t USING (doc_id)""",
+    recursive=True,
+)
+CHECKS["curate_flags"] = with_tables(
+    "reports filings doc_pages verdicts corrections",
+    f"""{CURATED},
+    {RANGES},
+    cur AS (SELECT c.report_id, c.category, coalesce(f.page_count, 0) AS n FROM corrected c JOIN filings f USING (doc_id) WHERE c.is_included),
+    per AS (SELECT r.report_id, g.category, g.min_pages, g.max_pages, g.min_docs,
+              coalesce((SELECT sum(n) FROM cur WHERE cur.report_id = r.report_id AND cur.category = g.category), 0) AS pages FROM reports r, rg g),
+    bad AS (SELECT report_id, category, CASE WHEN pages = 0 AND min_docs > 0 THEN category || ' is empty — expected ' || min_pages || '-' || max_pages || ' pages'
+              ELSE category || ' has ' || pages || ' pages (typical max: ' || max_pages || ')' END AS issue,
+            CASE WHEN pages = 0 AND min_docs > 0 AND category = 'COVER_WRITEUP' THEN 'error' ELSE 'warning' END AS severity
+            FROM per WHERE (pages = 0 AND min_docs > 0) OR pages > max_pages * 2),
+    sums AS (SELECT report_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS pages,
+               CAST(coalesce(sum(n) FILTER (category = 'COVER_WRITEUP'), 0) AS BIGINT) AS cover_pages
+             FROM (SELECT report_id FROM reports) LEFT JOIN cur USING (report_id) GROUP BY report_id)
+    SELECT s.*, CASE WHEN cover_pages = 0 THEN 'critical' WHEN pages BETWEEN 1000 AND 4000 THEN 'good' ELSE 'needs_attention' END AS health,
+      category, issue, severity FROM sums s LEFT JOIN bad USING (report_id)""",
     recursive=True,
 )

@@ -43,11 +43,10 @@ STORED = f"{ordered('filings')}, {manifest()}"
 REAL = f"{ordered('filings')}, {KEPT}, {manifest('kept', 'JOIN kept USING (doc_id)')}"
 STREAM = f"""{REAL}, stream AS (SELECT m.report_id, m.start_page + p.page_no AS global_page, p.doc_id, p.page_no, p.n_bytes
   FROM man m JOIN doc_pages p USING (doc_id) WHERE p.page_no < m.page_count)"""
-NATURAL = (
-    "regexp_extract(lower(original_filename), '^([^0-9]*)', 1) || CASE WHEN regexp_matches(original_filename, '[0-9]') "
-    "THEN lpad(regexp_extract(lower(original_filename), '^[^0-9]*([0-9]+)', 1), 12, '0') ELSE '' END "
-    "|| regexp_replace(lower(original_filename), '^[^0-9]*[0-9]*', '')"
-)
+_LOW = "lower(original_filename)"
+_DIGITS = f"regexp_extract({_LOW}, '^[^0-9]*0*([0-9]*)', 1)"
+# Text before the first number, its value as length and digits, and what follows.
+NATURAL = [f"regexp_extract({_LOW}, '^([^0-9]*)', 1)", f"length({_DIGITS})", _DIGITS, f"regexp_replace({_LOW}, '^[^0-9]*[0-9]*', '')"]
 ORDERS = "reports sections filings"
 
 
@@ -88,7 +87,7 @@ CHECKS = {
     "assembly_order": with_tables(ORDERS, f"{ordered('filings')} SELECT report_id, pos, doc_id, category FROM placed"),
     "assembly_order_strict": with_tables(ORDERS, f"{ordered('filings', strict=True)} SELECT report_id, pos, doc_id, category FROM placed"),
     "assembly_order_natural": with_tables(
-        ORDERS, f"{ordered('filings', name_key=NATURAL)} SELECT report_id, pos, doc_id, {NATURAL} AS sort_name FROM placed"
+        ORDERS, f"{ordered('filings', name_key=', '.join(NATURAL))} SELECT report_id, pos, doc_id, concat_ws('|', {', '.join(NATURAL)}) AS sort_name FROM placed"
     ),
     "omitted": with_tables(
         ORDERS,

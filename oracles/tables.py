@@ -19,8 +19,10 @@ _CORRECTIONS = """corrections AS (
   SELECT report_id, doc_id, seq1 AS seq, section1 AS suggested_section, reason1 AS reason FROM correction_pairs
   UNION ALL SELECT report_id, doc_id, seq2, section2, reason2 FROM correction_pairs)"""
 _ACTIONS = "actions AS (SELECT {} FROM filings)".format(", ".join(f"{e} AS {k}" for k, e in c.ACTIONS_PROJECTION.items()))
-_REPORTS = "reports AS (SELECT {} FROM (SELECT report_id, {} FROM filings GROUP BY report_id))".format(
-    ", ".join(f"{e} AS {k}" for k, e in c.REPORT_COLUMNS.items()), ", ".join(f"{e} AS {k}" for k, e in c.REPORT_AGGS.items())
+_REPORTS = """reports AS (SELECT {} FROM (SELECT report_id, {} FROM filings GROUP BY report_id
+  UNION ALL SELECT DISTINCT report_id + {}, 0, 0 FROM filings WHERE {}))""".format(
+    ", ".join(f"{e} AS {k}" for k, e in c.REPORT_COLUMNS.items()), ", ".join(f"{e} AS {k}" for k, e in c.REPORT_AGGS.items()),
+    c.EMPTY_REPORTS[1], c.EMPTY_REPORTS[0],
 )
 _RECOMMENDATIONS = """recommendations AS (
   SELECT report_id, doc_id, 'exclude' AS kind, CAST(NULL AS VARCHAR) AS suggested, 'routine monitoring' AS reason

@@ -26,20 +26,21 @@ CHECKS = {
         "filings", f"SELECT report_id, category, count(*) AS docs, {P} AS pages FROM filings WHERE is_included GROUP BY ROLLUP (report_id, category)"
     ),
     "report_info": with_tables(
-        "filings",
-        """SELECT report_id, count(*) AS total_docs, count(*) FILTER (is_included) AS included_docs, count(*) FILTER (NOT is_included) AS excluded_docs,
+        "reports filings",
+        """SELECT report_id, count(doc_id) AS total_docs, count(*) FILTER (is_included) AS included_docs, count(*) FILTER (NOT is_included) AS excluded_docs,
           count(*) FILTER (category <> 'UNCLASSIFIED') AS classified_docs, count(*) FILTER (status = 'error') AS error_docs,
-          CAST(coalesce(sum(page_count) FILTER (is_included), 0) AS BIGINT) AS total_pages FROM filings GROUP BY report_id""",
+          CAST(coalesce(sum(page_count) FILTER (is_included), 0) AS BIGINT) AS total_pages FROM (SELECT report_id FROM reports) LEFT JOIN filings USING (report_id) GROUP BY report_id""",
     ),
     "processing_status": with_tables(
-        "filings",
-        """SELECT report_id, count(*) AS total, count(*) FILTER (status = 'uploaded') AS pending, count(*) FILTER (status IN ('ready', 'classified')) AS ready,
-          count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'uploaded') = 0 AS complete FROM filings GROUP BY report_id""",
+        "reports filings",
+        """SELECT report_id, count(doc_id) AS total, count(*) FILTER (f.status = 'uploaded') AS pending, count(*) FILTER (f.status IN ('ready', 'classified')) AS ready,
+          count(*) FILTER (f.status = 'error') AS errors, count(*) FILTER (f.status = 'uploaded') = 0 AS complete
+        FROM reports LEFT JOIN filings f USING (report_id) GROUP BY report_id""",
     ),
     "preflight": with_tables(
-        "filings",
+        "reports filings",
         f"""ok AS (SELECT * FROM filings WHERE {OK}),
-        rp AS (SELECT DISTINCT report_id FROM filings),
+        rp AS (SELECT report_id FROM reports),
         em AS (SELECT r.report_id, string_agg(label, ', ' ORDER BY i) AS empties FROM rp r, (VALUES {EXPECTED}) e(sec, label, i)
                WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.report_id = r.report_id AND ok.category = e.sec) GROUP BY r.report_id),
         g AS (SELECT r.report_id, count(o.doc_id) AS total_docs, CAST(coalesce(sum(o.page_count), 0) AS BIGINT) AS total_pages,
@@ -56,8 +57,8 @@ CHECKS = {
         FROM g LEFT JOIN em USING (report_id)""",
     ),
     "section_flags": with_tables(
-        "filings",
-        f"""{RANGES}, rp AS (SELECT DISTINCT report_id FROM filings),
+        "reports filings",
+        f"""{RANGES}, rp AS (SELECT report_id FROM reports),
         g AS (SELECT rp.report_id, rg.*, coalesce((SELECT sum(page_count) FROM filings f WHERE f.report_id = rp.report_id AND f.category = rg.category AND f.is_included), 0) AS pages FROM rp, rg)
         SELECT report_id, category, CASE WHEN pages = 0 AND min_docs > 0 THEN category || ' is empty — expected ' || min_pages || '-' || max_pages || ' pages'
             ELSE category || ' has ' || pages || ' pages (typical max: ' || max_pages || ')' END AS issue,
@@ -65,10 +66,10 @@ CHECKS = {
         FROM g WHERE (pages = 0 AND min_docs > 0) OR pages > max_pages * 2""",
     ),
     "report_health": with_tables(
-        "filings",
+        "reports filings",
         """SELECT *, CASE WHEN cover_pages = 0 THEN 'critical' WHEN pages >= 1000 AND pages <= 4000 THEN 'good' ELSE 'needs_attention' END AS health FROM (
           SELECT report_id, CAST(coalesce(sum(page_count) FILTER (is_included), 0) AS BIGINT) AS pages,
-            CAST(coalesce(sum(page_count) FILTER (is_included AND category = 'COVER_WRITEUP'), 0) AS BIGINT) AS cover_pages FROM filings GROUP BY report_id)""",
+            CAST(coalesce(sum(page_count) FILTER (is_included AND category = 'COVER_WRITEUP'), 0) AS BIGINT) AS cover_pages FROM (SELECT report_id FROM reports) LEFT JOIN filings USING (report_id) GROUP BY report_id)""",
     ),
     "action_footprint": with_tables(
         "actions", "SELECT report_id, 3 * count(*) AS affected, 3 * count(*) > 10 AS needs_confirmation FROM actions GROUP BY report_id"
@@ -77,7 +78,7 @@ CHECKS = {
         "reports",
         """g AS (SELECT r.report_id, r.assembled_filename AS af, r.assembled_size AS sz, count(*) FILTER (is_included) AS n_in, count(*) FILTER (NOT is_included) AS n_out,
               coalesce(sum(page_count) FILTER (is_included AND category = 'REPORTS_AFTER_E'), 0) AS ap, count(*) FILTER (is_included AND category = 'UNCLASSIFIED') AS un
-              FROM reports r JOIN filings f USING (report_id) GROUP BY ALL)
+              FROM reports r LEFT JOIN filings f USING (report_id) GROUP BY ALL)
         SELECT report_id, array_to_string(list_filter(['How many pages?', CASE WHEN n_in > 0 AND af IS NULL THEN 'Assemble report' END,
             CASE WHEN af IS NOT NULL AND sz > 20971520 THEN 'Split for email' END, CASE WHEN af IS NOT NULL THEN 'Compress for email' END,
             CASE WHEN n_out > 0 THEN 'Show ' || n_out || ' excluded docs' END, CASE WHEN ap > 500 THEN 'Trim supporting reports' END,
@@ -89,11 +90,11 @@ CHECKS = {
     ),
     "confidence_bands": with_tables("filings", f"SELECT report_id, {BAND} AS band, count(*) AS docs FROM filings GROUP BY ALL"),
     "curation_effect": with_tables(
-        "filings recommendations",
+        "reports filings recommendations",
         """x AS (SELECT f.*, f.doc_id IN (SELECT doc_id FROM recommendations WHERE kind = 'exclude') AS o,
               f.doc_id IN (SELECT doc_id FROM recommendations WHERE kind = 'reclassify') AS m FROM filings f WHERE is_included)
         SELECT report_id, count(*) FILTER (o) AS exclude_count, count(*) FILTER (m) AS reclassify_count, count(*) FILTER (NOT o) AS remaining_docs,
-          CAST(coalesce(sum(page_count) FILTER (NOT o), 0) AS BIGINT) AS remaining_pages FROM x GROUP BY report_id""",
+          CAST(coalesce(sum(page_count) FILTER (NOT o), 0) AS BIGINT) AS remaining_pages FROM (SELECT report_id FROM reports) LEFT JOIN x USING (report_id) GROUP BY report_id""",
     ),
     "report_list": with_tables(
         "reports", "SELECT report_id, name, status, (SELECT count(*) FROM filings f WHERE f.report_id = r.report_id) AS document_count FROM reports r"

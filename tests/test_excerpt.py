@@ -70,7 +70,7 @@ def test_hint_tie_goes_to_the_last_name(spark):
     [
         ("Project Number: 7001234\nx", ("7001234", None, None)),
         ("BLA-0000014401\n12 Main Street", ("0000014401", "12 Main St", None)),
-        ("© Acme Ltd", (None, None, "© Acme Ltd")),
+        ("© Acme Ltd", (None, None, "Acme Ltd")),
         ("Environmental Consulting Group", (None, None, "Consulting Group")),
         ("71234567 report", ("71234567", None, None)),
     ],

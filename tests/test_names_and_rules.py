@@ -113,7 +113,7 @@ def test_alias(spark):
 def test_model_hook(spark):
     prompts = spark.createDataFrame([(i, f"Filename: {i}") for i in range(20)], "doc_id bigint, prompt string")
     answer = '{"category": "APPENDIX_C", "confidence": 0.9}'
-    verdicts = classify.model_verdicts(prompts, lambda p: p.map(lambda _: answer), concurrency=2)
+    verdicts = classify.model_verdicts(prompts, lambda p: p.map(lambda _: answer), tasks=2)
     parsed = classify.parse_verdicts(verdicts)
     assert parsed.filter("ai_category = 'APPENDIX_C' AND ai_confidence = 0.9 AND ai_reasoning = 'AI classification'").count() == 20
 
