@@ -18,7 +18,7 @@ def corpus(n=400):
     insults = ["grumblefax", "snorkwit", "blatherkin"]
     rows, marks = [], []
     for i in range(n):
-        words = prose(i % 97 + 1000, 60, 300).split()
+        words = prose(i + 1000, 60, 300).split()
         bad = i % 4 == 0
         if bad:
             for _ in range(2):
