@@ -21,8 +21,8 @@ def corpus(n=400):
         words = prose(i + 1000, 60, 300).split()
         bad = i % 4 == 0
         if bad:
-            for _ in range(2):
-                words.insert(r.randrange(len(words)), r.choice(insults))
+            for insult in r.sample(insults, 2):
+                words.insert(r.randrange(len(words)), insult)
         rows.append((i, " ".join(words)))
         marks.append((i, 1, int(bad)))
     return rows, marks
