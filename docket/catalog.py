@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docket.functions import metrics, names
@@ -48,7 +48,7 @@ def ingest_upsert(c: Corpus) -> DataFrame:
     name = F.when(F.col("is_included"), F.col("original_filename")).otherwise(F.concat(F.lit("new "), F.col("original_filename")))
     batch = c.filings.select(
         (F.col("doc_id") + 1_000_000_000).alias("doc_id"), "report_id", F.col("doc_id").alias("seq"),
-        name.alias("original_filename"), "original_path", (F.col("file_size") * 2).alias("file_size"),
+        name.alias("original_filename"), "original_path", (F.col("file_size") * 2).alias("file_size"), "modified_at",
     )
     return ingest.upsert_filings(c.filings, batch)
 
@@ -547,10 +547,13 @@ def reorder_section(c: Corpus) -> DataFrame:
 
 @query
 def move_in_section(c: Corpus) -> DataFrame:
-    """In every section, the document with the highest id goes up one place, or to its lowest id's place."""
+    """In every section, the document with the highest id goes up or down one place, or is dropped onto the lowest id of its
+    section or of its report."""
     ends = c.filings.filter("is_included").groupBy("report_id", "category").agg(
         F.max("doc_id").alias("doc_id"), F.min("doc_id").alias("over_id")
     )
+    lowest = F.min("over_id").over(Window.partitionBy("report_id"))
+    ends = ends.withColumn("over_id", F.when(F.col("doc_id") % 6 == 5, lowest).otherwise(F.col("over_id")))
     kind = F.when(F.col("doc_id") % 3 == 0, "up").when(F.col("doc_id") % 3 == 1, "down").otherwise("to")
     return assemble.move_in_section(c.filings, ends.select("report_id", "doc_id", kind.alias("kind"), "over_id"))
 
@@ -617,6 +620,27 @@ def apply_actions(c: Corpus) -> DataFrame:
     return act.apply_actions(c.filings, c.actions).select(*STATE)
 
 
+@query
+def actions_from_json(c: Corpus) -> DataFrame:
+    """Command lists of messages, as rows."""
+    read = act.read_actions(c.messages)
+    return read.select(
+        "report_id", "seq", "action_no", "action", F.array_join(F.col("params.doc_ids").cast("array<string>"), ",").alias("doc_ids"),
+        "params.target_section", "params.reason",
+    )
+
+
+@heavy
+def gated_actions(c: Corpus) -> DataFrame:
+    """State after all messages that need no confirmation."""
+    return act.apply_messages(c.filings, c.messages).select(*STATE)
+
+
+@query
+def message_footprint(c: Corpus) -> DataFrame:
+    return act.message_footprint(act.read_actions(c.messages))
+
+
 @query
 def action_results(c: Corpus) -> DataFrame:
     return act.action_results(c.filings, c.actions)

@@ -98,6 +98,27 @@ def apply_actions(filings: DataFrame, actions: DataFrame) -> DataFrame:
     return fold_events(filings, action_events(filings, actions.filter(F.col("action").isin(*SNAPSHOT_KINDS))))
 
 
+def message_footprint(commands: DataFrame, limit: int = CONFIRM_ABOVE) -> DataFrame:
+    """Per message (report_id, seq) the ids its commands name, repetitions counted, and whether that many need a confirmation."""
+    named = F.greatest(F.coalesce(F.size("params.doc_ids"), F.lit(0)), F.lit(0))
+    out = commands.groupBy("report_id", "seq").agg(F.sum(named).alias("affected"))
+    return out.withColumn("needs_confirmation", F.col("affected") > limit)
+
+
+def apply_messages(filings: DataFrame, messages: DataFrame, limit: int = CONFIRM_ABOVE, confirmed: DataFrame | None = None) -> DataFrame:
+    """State after messages (report_id, seq, actions_json) with command lists. A message that names more than ``limit`` ids is
+    not carried out, unless ``confirmed`` lists its (report_id, seq). Commands act in the order of messages and lists."""
+    commands = read_actions(messages)
+    key = ["report_id", "seq"]
+    waiting = message_footprint(commands, limit).filter("needs_confirmation").select(*key)
+    if confirmed is not None:
+        waiting = waiting.join(confirmed.select(*key), key, "left_anti")
+    free = commands.join(waiting, key, "left_anti")
+    # Message and place in its list as one number: a list has fewer than 2 ** 31 entries.
+    place = F.col("seq").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("action_no")
+    return apply_actions(filings, free.withColumn("seq", place))
+
+
 def action_results(filings: DataFrame, actions: DataFrame) -> DataFrame:
     """What each command of the log answers: documents changed, an error, or deferred to another operator."""
     ids = actions.filter(F.col("action").isin(*SNAPSHOT_KINDS)).select(

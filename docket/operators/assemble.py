@@ -60,12 +60,10 @@ def _without_reliance(reports: DataFrame) -> DataFrame:
     return reports.filter(~F.col("has_reliance_letter")).select("report_id", F.lit("RELIANCE_LETTER").alias("category"))
 
 
-def placeable(
-    filings: DataFrame, reports: DataFrame, group_rows: int | None = None, size: Size = None
-) -> DataFrame:
+def placeable(filings: DataFrame, reports: DataFrame) -> DataFrame:
     """Candidates that have a place in their report."""
     ready = assembly_candidates(filings).filter(F.col("category").isin(*SECTION_NAMES))
-    return group_join(ready, _without_reliance(reports), ["report_id", "category"], "left_anti", group_rows=group_rows, size=size or filings)
+    return group_join(ready, _without_reliance(reports), ["report_id", "category"], "left_anti")
 
 
 def omitted(filings: DataFrame, reports: DataFrame) -> DataFrame:
@@ -73,7 +71,7 @@ def omitted(filings: DataFrame, reports: DataFrame) -> DataFrame:
     off = _without_reliance(reports).withColumn("off", F.lit(True))
     why = F.when(~F.col("category").isin(*SECTION_NAMES), "unclassified").when(F.col("off"), "reliance letter not wanted")
     return (
-        group_join(assembly_candidates(filings), off, ["report_id", "category"], "left", size=filings)
+        group_join(assembly_candidates(filings), off, ["report_id", "category"], "left")
         .withColumn("omitted_because", why)
         .filter("omitted_because IS NOT NULL")
         .drop("off")
@@ -86,7 +84,7 @@ def assembly_order(
 ) -> DataFrame:
     """Place of every document in its report."""
     size = size if isinstance(size, tuple) else biggest_group(size or filings, ["report_id"])
-    ready = sort_columns(placeable(filings, reports, group_rows, size), strict, natural)
+    ready = sort_columns(placeable(filings, reports), strict, natural)
     return ordered_scan(ready, ["report_id"], ORDER, position="pos", group_rows=group_rows, size=size)
 
 
@@ -101,7 +99,7 @@ def manifest(
         "is_included", "page_count", *[c for c in ("ext", "is_profile") if c in filings.columns],
     )
     size = size if isinstance(size, tuple) else biggest_group(size or slim, ["report_id"])
-    ready = sort_columns(placeable(slim, reports, group_rows, size), strict, natural)
+    ready = sort_columns(placeable(slim, reports), strict, natural)
     if doc_pages is not None:
         counts = kept_pages(doc_pages, slim)
         ready = ready.drop("page_count").join(counts, "doc_id").withColumnRenamed("kept", "page_count")
@@ -214,17 +212,19 @@ def select_range(filings: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def move_in_section(filings: DataFrame, moves: DataFrame, group_rows: int | None = None) -> DataFrame:
     """Move one document of a section one place up or down, or to the place of another one, and number the section
-    from 0. ``moves``: (report_id, doc_id, kind up/down/to, over_id), one move per section."""
+    from 0. ``moves``: (report_id, doc_id, kind up/down/to, over_id), one move per section. A document dropped onto one of
+    another section goes to that section and keeps its stored order; neither section is numbered again."""
     placed = display_order(filings.select("report_id", "category", "sort_order", "doc_id", "is_included"), group_rows)
-    at = placed.select("report_id", "doc_id", "category", F.col("place").alias("src"))
+    at = placed.select("report_id", "doc_id", "category", "sort_order", F.col("place").alias("src"))
     over = placed.select(
         "report_id", F.col("doc_id").alias("over_id"), F.col("category").alias("over_category"), F.col("place").alias("over_place")
     )
     sizes = placed.groupBy("report_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    both = moves.join(at, ["report_id", "doc_id"]).join(over, ["report_id", "over_id"], "left")
+    crossing = (F.col("kind") == "to") & (F.col("over_category") != F.col("category"))
+    dropped = both.filter(crossing).select("report_id", F.col("over_category").alias("category"), "doc_id", "sort_order")
     plan = (
-        moves.join(at, ["report_id", "doc_id"])
-        .join(over, ["report_id", "over_id"], "left")
-        .join(sizes, ["report_id", "category"])
+        both.join(sizes, ["report_id", "category"])
         .withColumn(
             "dst",
             F.when(F.col("kind") == "up", F.col("src") - 1)
@@ -241,6 +241,7 @@ def move_in_section(filings: DataFrame, moves: DataFrame, group_rows: int | None
         .when((p < src) & (p >= dst), p + 1)
         .otherwise(p)
     )
-    return group_join(placed, plan, ["report_id", "category"], group_rows=group_rows, size=filings).select(
+    numbered = group_join(placed, plan, ["report_id", "category"]).select(
         "report_id", "category", "doc_id", new.cast("int").alias("sort_order")
     )
+    return numbered.unionByName(dropped)

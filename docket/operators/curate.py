@@ -10,11 +10,10 @@ from docket.functions import metrics, names
 from docket.operators.scan import group_figures, ordered_scan, top_per_group
 from docket.schema import known_section
 
-Size = DataFrame | tuple[int, int] | None
 REVISED_NOTE = " [Superseded by revised version]"
 
 
-def dedupe_versions(filings: DataFrame, group_rows: int | None = None, size: Size = None) -> DataFrame:
+def dedupe_versions(filings: DataFrame) -> DataFrame:
     """Keep the newest included version of every (report, base name); the others are excluded with a reason that names
     it. Newest is latest modified, unknown dates last, then lowest id."""
     keyed = filings.withColumn("__base", names.norm_basename(F.col("original_filename")))
@@ -25,7 +24,7 @@ def dedupe_versions(filings: DataFrame, group_rows: int | None = None, size: Siz
     old = F.coalesce(F.col("is_included") & (F.col("__newest.doc_id") != F.col("doc_id")), F.lit(False))
     reason = F.concat(F.lit("Superseded by newer version: "), F.col("__newest.original_filename"))
     return (
-        group_figures(keyed, ["report_id", "__base"], {"__newest": newest}, group_rows=group_rows, size=size)
+        group_figures(keyed, ["report_id", "__base"], {"__newest": newest})
         .withColumn("__old", old)
         .withColumns(
             {
@@ -37,7 +36,7 @@ def dedupe_versions(filings: DataFrame, group_rows: int | None = None, size: Siz
     )
 
 
-def supersede_revised(filings: DataFrame, group_rows: int | None = None, size: Size = None) -> DataFrame:
+def supersede_revised(filings: DataFrame) -> DataFrame:
     """Exclude older files next to a revised one: same report, same name without revision marks, another stem. Whether
     such a revised file exists follows from the smallest and largest revised stem of the group, so no pairs are made."""
     low = F.lower(names.stem(F.col("original_filename")))
@@ -55,7 +54,7 @@ def supersede_revised(filings: DataFrame, group_rows: int | None = None, size: S
     hit = F.coalesce(F.col("is_included") & F.col("__older") & other, F.lit(False))
     return (
         group_figures(
-            df, ["report_id", "__base"], {"__lo": F.min(stems), "__hi": F.max(stems)}, group_rows=group_rows, size=size
+            df, ["report_id", "__base"], {"__lo": F.min(stems), "__hi": F.max(stems)}
         )
         .withColumn("superseded", hit)
         .withColumns(

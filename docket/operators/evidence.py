@@ -137,7 +137,7 @@ def contamination(identity: DataFrame, filings: DataFrame, reports: DataFrame) -
     expected = usual.join(reports.select("report_id", "project_number"), "report_id", "left").select(
         "report_id", F.coalesce(F.lower(F.nullif("project_number", F.lit(""))), F.col("usual_id")).alias("expected_id")
     )
-    return group_join(named, expected, ["report_id"], size=filings).select(
+    return group_join(named, expected, ["report_id"]).select(
         "report_id",
         "doc_id",
         "found_project_id",

@@ -51,21 +51,27 @@ def upsert_filings(base: DataFrame, batch: DataFrame) -> DataFrame:
     """Replace by (report, name). The first filing of a name keeps its id, inclusion and order and takes the new size,
     path and name-rule section; new names become new filings under the batch's ids. Within a batch the last one wins.
 
+    The result has all columns of ``base``: a replaced filing keeps its page count, dates and whatever else the upload does
+    not say, and a new one has nulls there, and its extension, and the batch's ``modified_at`` and ``created_at`` where it has
+    them.
+
     Both sides of the matching join are unique on the key, so many copies of one name cannot pile up in it."""
     key = ["report_id", "original_filename"]
+    dates = [c for c in ("modified_at", "created_at") if c in batch.columns]
     latest = batch.groupBy(*key).agg(
-        F.max_by(F.struct("doc_id", "original_path", "file_size"), F.col("seq")).alias("new")
-    )
-    latest = rule_columns(
-        latest.withColumn("new_path", F.col("new.original_path")), standard_rules(), "original_filename", "new_path", None, "rule_"
+        F.max_by(F.struct("doc_id", "original_path", "file_size", *dates), F.col("seq")).alias("new")
     )
+    fields = {"doc_id": "new_id", "original_path": "new_path", "file_size": "new_size", **{c: f"new_{c}" for c in dates}}
+    latest = latest.select(*key, *[F.col(f"new.{c}").alias(n) for c, n in fields.items()])
+    latest = rule_columns(latest, standard_rules(), "original_filename", "new_path", None, "rule_")
     first = base.groupBy(*key).agg(F.min("doc_id").alias("old_id"))
     change = latest.join(first, key, "left").select(
         *key,
-        F.coalesce("old_id", "new.doc_id").alias("doc_id"),
+        F.coalesce("old_id", "new_id").alias("doc_id"),
         F.col("old_id").isNull().alias("is_new"),
-        F.col("new.original_path").alias("new_path"),
-        F.col("new.file_size").alias("new_size"),
+        "new_path",
+        "new_size",
+        *[f"new_{c}" for c in dates],
         "rule_category",
         "rule_subcategory",
         "rule_confidence",
@@ -78,14 +84,10 @@ def upsert_filings(base: DataFrame, batch: DataFrame) -> DataFrame:
         "reasoning": F.col("rule_reason"),
         "status": F.lit("uploaded"),
     }
-    columns = [
-        "doc_id", "report_id", "original_filename", "original_path", "file_size", "category", "subcategory", "confidence",
-        "reasoning", "sort_order", "status", "is_included",
-    ]
+    columns = base.columns
     hit = F.col("is_new").isNotNull()
     kept = (
-        base.select(*columns)
-        .join(change.filter(~F.col("is_new")).drop(*key), "doc_id", "left")
+        base.join(change.filter(~F.col("is_new")).drop(*key), "doc_id", "left")
         .withColumns(
             {
                 "original_path": F.when(hit & (F.coalesce("new_path", F.lit("")) != ""), F.col("new_path")).otherwise(
@@ -100,8 +102,10 @@ def upsert_filings(base: DataFrame, batch: DataFrame) -> DataFrame:
     added = change.filter("is_new").select(
         "doc_id", *key, F.expr("nullif(new_path, '')").alias("original_path"), F.col("new_size").alias("file_size"),
         *[v.alias(c) for c, v in placed.items()], F.lit(0).alias("sort_order"), F.lit(True).alias("is_included"),
+        *[F.col(f"new_{c}").alias(c) for c in dates if c in columns],
+        *([names.suffix(F.col("original_filename")).alias("ext")] if "ext" in columns else []),
     )
-    return kept.unionByName(added.select(*columns))
+    return kept.unionByName(added, allowMissingColumns=True)
 
 
 def conversion_plan(filings: DataFrame) -> DataFrame:

@@ -140,38 +140,18 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int, ran
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def group_join(
-    df: DataFrame, table: DataFrame, by: Sequence[str], how: str = "inner", *, spread: Sequence[str] = ("doc_id",),
-    group_rows: int | None = None, size: DataFrame | tuple[int, int] | None = None,
-) -> DataFrame:
-    """Join rows with a table of one row per group (inner, left, left_semi or left_anti). While groups fit in a task it
-    is the plain join. Otherwise it is salted: the table's row of a group above ``group_rows`` is repeated once per salt
-    and the group's rows, told apart by ``spread``, are dealt over the salts, so no task sees more than about
-    ``group_rows`` rows of one key. The list of such groups is broadcast; it holds at most rows / group_rows."""
-    limit = group_rows or GROUP_ROWS
-    keys = list(by)
-    if _size(df, keys, size, limit)[0] <= limit:
-        return df.join(table, keys, how)
-    salts = F.ceil(F.count(F.lit(1)) / limit).cast("int")
-    hot = F.broadcast(df.groupBy(*keys).agg(salts.alias("__salts")).filter("__salts > 1"))
-    n = F.coalesce("__salts", F.lit(1))
-    dealt = df.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("__salts")
-    repeated = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__salts")
-    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
-
-
-def group_figures(
-    df: DataFrame, by: Sequence[str], figures: Mapping[str, Column], *, spread: Sequence[str] = ("doc_id",),
-    group_rows: int | None = None, size: DataFrame | tuple[int, int] | None = None,
-) -> DataFrame:
-    """Add aggregates of each row's group. Groups that fit in a task are one window, hence one shuffle; otherwise the
-    figures come from a partial-then-final aggregate and are joined back salted."""
-    limit = group_rows or GROUP_ROWS
+def group_join(df: DataFrame, table: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per group (inner, left, left_semi or left_anti). Adaptive execution splits the rows of
+    a hot group (``session`` lets it do so even at the cost of an exchange) and the table's single row goes to each part."""
+    return df.join(table, list(by), how)
+
+
+def group_figures(df: DataFrame, by: Sequence[str], figures: Mapping[str, Column]) -> DataFrame:
+    """Add aggregates of each row's group: summed partially before the shuffle, then joined back, so no group is ever gathered
+    as a window would. Null keys form a group."""
     keys = list(by)
-    known = _size(df, keys, size, limit)
-    if known[0] <= limit:
-        group = Window.partitionBy(*keys)
-        return df.withColumns({name: figure.over(group) for name, figure in figures.items()})
-    stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in figures.items()])
-    joined = group_join(df, stats, keys, spread=spread, group_rows=limit, size=known)
-    return joined.select(*df.columns, *figures)
+    stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in figures.items()]).withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(stats, same, "left").select(*df.columns, *figures)

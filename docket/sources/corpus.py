@@ -225,6 +225,16 @@ ACTIONS_PROJECTION = {
     "reason": pick("doc_id % 4", ["routine", "duplicate page", None, "not needed"]),
     "query": pick("doc_id % 5", ["sanborn", "REPORT", "img", "", "plan"]),
 }
+# A message per filing: its command, and for some a second one that includes it or names eight more.
+MESSAGES_PROJECTION = {
+    "report_id": "report_id",
+    "seq": "seq",
+    "actions_json": "'[{\"action\": \"' || action || '\", \"params\": {\"doc_ids\": [' || CAST(doc_a AS STRING) || ', ' || CAST(doc_b AS STRING)"
+    " || ', ' || CAST(doc_c AS STRING) || '], \"target_section\": \"' || target_section || '\"'"
+    " || CASE WHEN reason IS NULL THEN '' ELSE ', \"reason\": \"' || reason || '\"' END || '}}'"
+    " || CASE seq % 4 WHEN 2 THEN ', {\"action\": \"include\", \"params\": {\"doc_ids\": [' || CAST(doc_a AS STRING) || ']}}'"
+    " WHEN 3 THEN ', {\"action\": \"exclude\", \"params\": {\"doc_ids\": [1, 2, 3, 4, 5, 6, 7, 8]}}' ELSE '' END || ']'",
+}
 REPORT_AGGS = {
     "n_docs": "count(*)",
     "raw_size": "CAST(sum(file_size) AS BIGINT)",
@@ -340,6 +350,10 @@ class Corpus:
             ).alias("params"),
         )
 
+    @cached_property
+    def messages(self) -> DataFrame:
+        return _project(_project(self.filings, ACTIONS_PROJECTION), MESSAGES_PROJECTION)
+
     @cached_property
     def reports(self) -> DataFrame:
         sums = self.filings.groupBy("report_id").agg(*[F.expr(f"{e} AS {c}") for c, e in REPORT_AGGS.items()])

@@ -76,7 +76,7 @@ def progress_running(events: DataFrame, phase: str = "classified", group_rows: i
     done = events.filter(F.col("phase") == phase).select("report_id", "ts", "event_id", "filename")
     totals = done.groupBy("report_id").agg(F.count(F.lit(1)).alias("total"))
     numbered = ordered_scan(done, ["report_id"], ["ts", "event_id"], position="current", group_rows=group_rows)
-    return group_join(numbered, totals, ["report_id"], spread=["event_id"], group_rows=group_rows, size=events)
+    return group_join(numbered, totals, ["report_id"])
 
 
 def progress_log(events: DataFrame, group_rows: int | None = None) -> DataFrame:
@@ -91,7 +91,7 @@ def progress_log(events: DataFrame, group_rows: int | None = None) -> DataFrame:
     near = ordered_scan(lines, ["report_id"], order, leads={"next_phase": F.col("phase")}, group_rows=group_rows)
     hidden = (F.col("phase") == "classifying") & (F.coalesce("next_phase", F.lit("")) == "classifying")
     return (
-        group_join(near, resets, ["report_id"], "left", spread=["event_id"], group_rows=group_rows, size=events)
+        group_join(near, resets, ["report_id"], "left")
         .filter(~hidden & (F.col("reset").isNull() | (F.struct(*order) >= F.col("reset"))))
         .select("report_id", "event_id", "phase", "filename")
     )

@@ -187,7 +187,7 @@ CHECKS = {
     "ingest_upsert": with_tables(
         "filings",
         f"""bt AS (SELECT doc_id + 1000000000 AS doc_id, report_id, doc_id AS seq,
-              CASE WHEN is_included THEN original_filename ELSE 'new ' || original_filename END AS original_filename, original_path, file_size * 2 AS file_size FROM filings),
+              CASE WHEN is_included THEN original_filename ELSE 'new ' || original_filename END AS original_filename, original_path, file_size * 2 AS file_size, modified_at FROM filings),
         lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id, original_filename ORDER BY seq DESC) AS rn FROM bt) WHERE rn = 1),
         {named('lt')},
         ol AS (SELECT report_id, original_filename, min(doc_id) AS old_id FROM filings GROUP BY ALL),
@@ -199,10 +199,11 @@ CHECKS = {
           CASE WHEN c.doc_id IS NULL THEN f.subcategory ELSE c.rule_subcategory END AS subcategory,
           CASE WHEN c.doc_id IS NULL THEN f.confidence ELSE c.rule_confidence END AS confidence,
           CASE WHEN c.doc_id IS NULL THEN f.reasoning ELSE c.rule_reason END AS reasoning, f.sort_order,
-          CASE WHEN c.doc_id IS NULL THEN f.status ELSE 'uploaded' END AS status, f.is_included
+          CASE WHEN c.doc_id IS NULL THEN f.status ELSE 'uploaded' END AS status, f.is_included,
+          f.page_count, f.modified_at, f.created_at, {ext('f.original_filename')} AS ext
         FROM filings f LEFT JOIN ch c ON c.old_id = f.doc_id
         UNION ALL SELECT doc_id, report_id, original_filename, nullif(original_path, ''), file_size, coalesce(rule_category, 'UNCLASSIFIED'),
-          rule_subcategory, rule_confidence, rule_reason, 0, 'uploaded', true FROM ch WHERE old_id IS NULL""",
+          rule_subcategory, rule_confidence, rule_reason, 0, 'uploaded', true, NULL, modified_at, NULL, {ext()} FROM ch WHERE old_id IS NULL""",
     ),
 }
 

@@ -53,7 +53,22 @@ hs(doc_id, k, category, confidence, reasoning, is_included, past) AS (
           FROM hs h0 JOIN ok o0 ON o0.doc_id = h0.doc_id AND o0.k = h0.k + 1) h
     JOIN ok o ON o.doc_id = h.doc_id AND o.k = h.ok))"""
 
+# The messages' commands, told from how they were written rather than from their text; ids are those a list names.
+LISTED = """listed AS (SELECT report_id, seq, 0 AS action_no, action, [doc_a, doc_b, doc_c] AS ids, target_section, reason FROM actions
+  UNION ALL SELECT report_id, seq, 1, 'include', [doc_a], NULL, NULL FROM actions WHERE seq % 4 = 2
+  UNION ALL SELECT report_id, seq, 1, 'exclude', [1, 2, 3, 4, 5, 6, 7, 8], NULL, NULL FROM actions WHERE seq % 4 = 3)"""
+GATED = f"""{LISTED}, action_docs AS (SELECT l.report_id, l.seq * 2 + action_no AS seq, l.action, l.target_section, l.reason, d.doc_id
+  FROM (SELECT * EXCLUDE (ids), unnest(list_distinct(ids)) AS d_id FROM listed WHERE seq % 4 <> 3) l
+  JOIN filings d ON d.doc_id = l.d_id AND d.report_id = l.report_id)"""
+
 CHECKS = {
+    "actions_from_json": with_tables(
+        "actions", f"{LISTED} SELECT report_id, seq, action_no, action, array_to_string(ids, ',') AS doc_ids, target_section, reason FROM listed"
+    ),
+    "message_footprint": with_tables(
+        "actions", f"{LISTED} SELECT report_id, seq, sum(len(ids)) AS affected, sum(len(ids)) > 10 AS needs_confirmation FROM listed GROUP BY ALL"
+    ),
+    "gated_actions": with_tables("actions filings", f"{GATED}, {EVENTS.format(kinds=SNAP)}, {REPLAY} {LAST}", recursive=True),
     "apply_actions": with_tables("action_docs", f"{EVENTS.format(kinds=SNAP)}, {REPLAY} {LAST}", recursive=True),
     "action_results": with_tables(
         "action_docs",

@@ -137,12 +137,14 @@ CHECKS = {
         "filings",
         """d AS (SELECT report_id, category, doc_id, row_number() OVER (PARTITION BY report_id, category ORDER BY sort_order, doc_id) - 1 AS place,
                count(*) OVER (PARTITION BY report_id, category) AS n FROM filings WHERE is_included),
-        e AS (SELECT report_id, category, max(doc_id) AS moved, min(doc_id) AS over_id FROM d GROUP BY ALL),
-        m AS (SELECT e.*, a.place AS src, CASE moved % 3 WHEN 0 THEN a.place - 1 WHEN 1 THEN a.place + 1 ELSE b.place END AS dst, a.n
+        e0 AS (SELECT report_id, category, max(doc_id) AS moved, min(doc_id) AS first FROM d GROUP BY ALL),
+        e AS (SELECT report_id, category, moved, CASE WHEN moved % 6 = 5 THEN min(first) OVER (PARTITION BY report_id) ELSE first END AS over_id FROM e0),
+        m AS (SELECT e.*, b.category AS onto, a.place AS src, CASE moved % 3 WHEN 0 THEN a.place - 1 WHEN 1 THEN a.place + 1 ELSE b.place END AS dst, a.n
               FROM e JOIN d a ON a.doc_id = e.moved JOIN d b ON b.doc_id = e.over_id),
         k AS (SELECT d.*, CASE WHEN d.doc_id = m.moved THEN m.dst * 2 + CASE WHEN m.dst > m.src THEN 1 ELSE -1 END ELSE d.place * 2 END AS spot
-              FROM d JOIN m USING (report_id, category) WHERE m.dst >= 0 AND m.dst < m.n)
-        SELECT report_id, category, doc_id, CAST(row_number() OVER (PARTITION BY report_id, category ORDER BY spot) - 1 AS INTEGER) AS sort_order FROM k""",
+              FROM d JOIN m USING (report_id, category) WHERE m.dst >= 0 AND m.dst < m.n AND (moved % 3 <> 2 OR onto = category))
+        SELECT report_id, category, doc_id, CAST(row_number() OVER (PARTITION BY report_id, category ORDER BY spot) - 1 AS INTEGER) AS sort_order FROM k
+        UNION ALL SELECT m.report_id, onto, moved, f.sort_order FROM m JOIN filings f ON f.doc_id = moved WHERE moved % 3 = 2 AND onto <> m.category""",
     ),
     "reorder_section": with_tables(
         "actions",

@@ -87,7 +87,7 @@ def test_dedupe_is_idempotent_and_skew_safe(spark, filings):
     once = curate.dedupe_versions(df)
     assert once.filter("is_included").count() == 2
     assert sorted(map(str, curate.dedupe_versions(once).collect())) == sorted(map(str, once.collect()))
-    assert sorted(map(str, curate.dedupe_versions(df, group_rows=7).collect())) == sorted(map(str, once.collect()))
+    assert sorted(map(str, curate.dedupe_versions(df).collect())) == sorted(map(str, once.collect()))
 
 
 def test_supersede(spark, filings):
@@ -97,7 +97,7 @@ def test_supersede(spark, filings):
         {"original_filename": "plan_rev.pdf", "report_id": 3}, {"original_filename": "plan.pdf", "report_id": 3},
     )
     for limit in (None, 2):
-        got = {r.doc_id for r in curate.supersede_revised(df, group_rows=limit).filter("superseded").collect()}
+        got = {r.doc_id for r in curate.supersede_revised(df).filter("superseded").collect()}
         assert got == {2, 3, 6}
 
 

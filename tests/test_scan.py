@@ -41,9 +41,8 @@ def test_size_may_come_from_a_larger_table(rows):
     assert sorted(map(str, got.collect())) == sorted(map(str, ordered_scan(part, ["g"], ["k"], position="p").collect()))
 
 
-@pytest.mark.parametrize("limit", [None, 100])
-def test_group_figures(rows, limit):
-    got = group_figures(rows, ["g"], {"n": F.count(F.lit(1)), "top": F.max("v")}, spread=("k",), group_rows=limit)
+def test_group_figures(rows):
+    got = group_figures(rows, ["g"], {"n": F.count(F.lit(1)), "top": F.max("v")})
     want = rows.join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")), "g").select("g", "k", "v", "n", "top")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
@@ -52,9 +51,9 @@ def test_group_figures(rows, limit):
 def test_group_join(spark, rows, how):
     table = spark.createDataFrame([(0, "hot"), (3, "cold"), (99, "nobody")], "g int, name string")
     plain = rows.join(table, "g", how)
-    salted = group_join(rows, table, ["g"], how, spread=["k"], group_rows=100)
-    assert plain.columns == salted.columns
-    assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect()))
+    joined = group_join(rows, table, ["g"], how)
+    assert plain.columns == joined.columns
+    assert sorted(map(str, plain.collect())) == sorted(map(str, joined.collect()))
 
 
 def test_top_per_group_is_cut_before_the_shuffle(rows):
