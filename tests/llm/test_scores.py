@@ -43,7 +43,7 @@ def test_restores_and_scores(spark):
     rows, marks = corpus()
     hidden = ["gr0ode", "gr00mblefax"]
     disguises = ["grumbl3f@x", "g r u m b l e f a x", "sn0rkwit", "bl4therk1n", "snorkwiiiiit", "s.n.o.r.k.w.i.t", "SNORKWIT!!"]
-    extra = [(1000 + i, f"{prose(3, 20)} {d} {prose(4, 20)} blatherkin") for i, d in enumerate(disguises)]
+    extra = [(1000 + i, f"{prose(3, 20)} {d} {prose(4, 20)} {'snorkwit' if i == 3 else 'blatherkin'}") for i, d in enumerate(disguises)]
     odd = [(i, t) for i, t in odd_rows() if i is None or i > 2]
     docs = documents(spark, rows + extra + odd + [(2000, hidden[0])])
     costs = toxicity.char_model(docs)
@@ -58,7 +58,7 @@ def test_restores_and_scores(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     wrong = [i for i, _, bad in marks if by_id[i].held_out and by_id[i].predicted != bad]
     assert len(wrong) <= 2
-    assert all(by_id[i].predicted for i, _ in extra)
+    assert [t for i, t in extra if not by_id[i].predicted] == []
     kept = toxicity.clean(docs, labels(spark, marks))
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
 
