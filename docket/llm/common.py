@@ -180,6 +180,74 @@ def hash_words(words: Sequence[str], cache: dict):
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
+class Words:
+    """The words (runs of letters, digits and underscores) of several lower-cased texts: their hashes, the texts' characters
+    side by side, and where each word and each text's words begin and end in them."""
+
+    def __init__(self, texts: Sequence[str]):
+        import numpy as np
+
+        value, is_word = worker_cache("characters", _characters)
+        low = [t.lower() for t in texts]
+        self.joined = "\n".join(low)
+        points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edge = np.diff(is_word[points], prepend=np.int8(0), append=np.int8(0))
+        self.start, self.end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        powers, inverse = _powers(len(points))
+        # A polynomial over random values of the characters, modulo 2 ** 64: differences of running sums, shifted back.
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[points] * powers[: len(points)])])
+            mixed = (sums[self.end] - sums[self.start]) * inverse[self.start]
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            self.hashes = mixed ^ (mixed >> np.uint64(32))
+        begins = np.cumsum([0] + [len(t) + 1 for t in low])
+        self.first = np.searchsorted(self.start, begins)  # of text i: words first[i] up to first[i + 1]
+
+    def left(self):
+        """How many words of its text are left from each word on."""
+        import numpy as np
+
+        sizes = np.diff(self.first)
+        return np.repeat(self.first[1:], sizes) - np.arange(len(self.start))
+
+    def texts(self, low: int, high: int) -> list[str]:
+        return [self.joined[a:b] for a, b in zip(self.start[low:high].tolist(), self.end[low:high].tolist())]
+
+
+def _characters():
+    import numpy as np
+
+    value = np.random.default_rng(7).integers(1, 2**63, 0x110000, np.uint64)
+    return value, np.array([chr(i).isalnum() or i == 95 for i in range(0x110000)], np.int8)
+
+
+def _powers(size: int):
+    """Powers of an odd base and of its inverse modulo 2 ** 64, at least ``size`` of each."""
+    import numpy as np
+
+    base = 0x9E3779B97F4A7C15
+    keep = worker_cache("powers", dict)
+    if len(keep.get("powers", ())) < size:
+        for name, by in (("powers", base), ("inverse", pow(base, -1, 2**64))):
+            steps = np.full(max(size, 2**20), by, np.uint64)
+            steps[0] = 1
+            with np.errstate(over="ignore"):
+                keep[name] = np.multiply.accumulate(steps)
+    return keep["powers"], keep["inverse"]
+
+
+def in_parts(texts: Sequence[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many characters together; a longer text is a range of its own."""
+    start, total = 0, 0
+    for i, text in enumerate(texts):
+        if total and total + len(text) > chars:
+            yield start, i
+            start, total = i, 0
+        total += len(text) + 1
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def ngram_hashes(hashes, n: int):
     """64-bit hashes of all n-grams of a row of word hashes; fewer than ``n`` words give none."""
     import numpy as np

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm.common import KEY, hash_words, ngram_hashes, over_partition, over_texts, plain, row_key, same_row, table, word_hashes
+from docket.llm.common import KEY, Words, hash_words, in_parts, over_partition, over_texts, plain, row_key, same_row, table, word_hashes
 from docket.session import stored
 
-WORD = re.compile(r"\w+")
 SEED_WORDS = (3, 8)  # shortest and longest seed
 # A seed is rare when it is expected at most so often in the whole corpus, were words independent.
 EXPECTED = 1.0
@@ -21,18 +18,24 @@ TOGETHER = 64  # alignments worked out side by side
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, words): lower-cased words of each item's whole text; items without words are left out."""
+    """(item_id, words, hashes): lower-cased words of each item's whole text; items without words are left out."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def make():
+        import numpy as np
+
         def work(batch: dict) -> dict:
-            return {"item_id": batch["item_id"], "words": [WORD.findall(t.lower()) for t in batch["text"]]}
+            each = [Words([t]) for t in batch["text"]]
+            return {
+                "item_id": batch["item_id"],
+                "words": [w.texts(0, len(w.start)) for w in each],
+                "hashes": [w.hashes.view(np.int64) for w in each],
+            }
 
         return work
 
-    return over_texts(items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")), make, "item_id long, words array<string>").filter(
-        "size(words) > 0"
-    )
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"))
+    return over_texts(rows, make, "item_id long, words array<string>, hashes array<long>").filter("size(words) > 0")
 
 
 def bit_filter(hashes: DataFrame, column: str):
@@ -55,34 +58,45 @@ def passing(maps, hashes):
     return first[maps[1][spot] == 1]
 
 
-def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, n): occurrences over all documents of the words given, counted per task first; and the row of the empty word with
-    the number of all words."""
+def grams(hashes, longest: int):
+    """(n, hashes of the n-grams that begin at each word) for n from 1 on, each made from the one before. Those that run over
+    the end of a text are for the caller to leave out."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(hashes), np.uint64)
+        for n in range(1, longest + 1):
+            if n > len(hashes):
+                return
+            run = run[: len(hashes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[n - 1 :]
+            mixed = (run ^ (run >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield n, mixed ^ (mixed >> np.uint64(32))
 
-    def hashed():
-        cache = word_hashes()
-        return lambda batch: {"hash": [_signed(cache[w]) for w in batch["word"]]}
 
-    marks = bit_filter(over_texts(words.select("word").distinct(), hashed, "hash long"), "hash")
+def word_totals(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(word, n): occurrences over all documents of the words of the items, by hash, counted per task first; and in the row of
+    word null the number of all words."""
+    words = items.select(F.explode("hashes").alias("word")).distinct()
+    marks = bit_filter(words, "word")
 
     def make():
         import numpy as np
-        from collections import Counter
 
-        cache, maps = word_hashes(), [np.frombuffer(m, np.uint8) for m in marks.value]
-        counts: Counter = Counter()
+        maps = [np.frombuffer(m, np.uint8) for m in marks.value]
+        counts: dict = {}
 
         def step(batch: dict) -> None:
-            for text in batch["text"]:
-                found = WORD.findall(text.lower())
-                counts[""] += len(found)
-                if found:
-                    counts.update(found[i] for i in passing(maps, hash_words(found, cache)))
+            for a, b in in_parts(batch["text"]):
+                found = Words(batch["text"][a:b]).hashes
+                counts[None] = counts.get(None, 0) + len(found)
+                for word, n in zip(*np.unique(found[passing(maps, found)], return_counts=True)):
+                    word = _signed(int(word))
+                    counts[word] = counts.get(word, 0) + int(n)
 
         return step, lambda: {"word": list(counts), "n": list(counts.values())}
 
-    totals = over_partition(plain(docs).select("text"), make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return totals.join(words.select("word").distinct().union(docs.sparkSession.createDataFrame([("",)], "word string")), "word", "left_semi")
+    totals = over_partition(plain(docs).select("text"), make, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return totals.filter("word IS NULL").unionByName(totals.join(words, "word", "left_semi"))
 
 
 def _signed(value: int) -> int:
@@ -93,9 +107,9 @@ def seeds(items: DataFrame, totals: DataFrame, expected: float = EXPECTED) -> Da
     """(hash, item_id, at): from each word of an item the shortest n-gram that is rare, judged by the counts of its words in the
     whole corpus and not by its own, so a passage copied into very many documents keeps its seeds. Where no length up to the
     longest is rare the longest counts, and an item too short for a seed is one seed as a whole, so every item has some."""
-    all_words = totals.filter("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    all_words = totals.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
     n_words = all_words.first()[0] or 1
-    each = items.select("item_id", F.posexplode("words").alias("at", "word")).join(totals.filter("word <> ''"), "word", "left")
+    each = items.select("item_id", F.posexplode("hashes").alias("at", "word")).join(totals.filter("word IS NOT NULL"), "word", "left")
     known = each.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
     low, high = SEED_WORDS
 
@@ -104,12 +118,10 @@ def seeds(items: DataFrame, totals: DataFrame, expected: float = EXPECTED) -> Da
 
         import numpy as np
 
-        cache = word_hashes()
-
         def work(batch: dict) -> dict:
             out = {"hash": [], "item_id": [], "at": []}
             for item, rows in zip(batch["item_id"], batch["w"]):
-                hashes = hash_words([r["word"] for r in rows], cache)
+                hashes = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
                 logs = np.cumsum([0.0] + [math.log((r["n"] + 0.5) / n_words) for r in rows])
                 size = len(rows)
                 chosen = set()
@@ -122,7 +134,8 @@ def seeds(items: DataFrame, totals: DataFrame, expected: float = EXPECTED) -> Da
                         at -= 1
                     chosen.add((at, end))
                 for at, end in sorted(chosen):
-                    out["hash"].append(_signed(int(ngram_hashes(hashes[at:end], end - at)[0])))
+                    *_, (_, whole) = grams(hashes[at:end], end - at)
+                    out["hash"].append(_signed(int(whole[0])))
                     out["item_id"].append(item)
                     out["at"].append(at)
             return out
@@ -136,45 +149,52 @@ def passages(docs: DataFrame, seed_rows: DataFrame, reach: int) -> DataFrame:
     """(row key, part, first, words, hits): stretches of a text around the places of seeds, ``reach`` words to each side, joined
     where they touch and cut at four times that length; a place near a cut is in both stretches."""
     marks = bit_filter(seed_rows, "hash")
-    low, high = SEED_WORDS
+    high = SEED_WORDS[1]
 
     def make():
         import numpy as np
 
-        cache, maps = word_hashes(), [np.frombuffer(m, np.uint8) for m in marks.value]
+        maps = [np.frombuffer(m, np.uint8) for m in marks.value]
 
         def work(batch: dict) -> dict | None:
             out = {k: [] for k in (*KEY, "part", "first", "words", "hits")}
-            for row, text in enumerate(batch["text"]):
-                words = WORD.findall(text.lower())
-                if not words:
-                    continue
-                hashes = hash_words(words, cache)
+            for a, b in in_parts(batch["text"]):
+                found = Words(batch["text"][a:b])
+                left = found.left()
                 spots, values = [], []
-                for n in range(1, high + 1):
-                    # Shorter n-grams are seeds only of items that are no longer.
-                    grams = ngram_hashes(hashes, n)
-                    at = passing(maps, grams)
+                # Shorter n-grams than the shortest seed are seeds only of items that are no longer.
+                for n, hashes in grams(found.hashes, high):
+                    at = passing(maps, hashes)
+                    at = at[left[at] >= n]
                     spots.append(at)
-                    values.append(grams[at])
-                spots, values = np.concatenate(spots), np.concatenate(values)
-                if not len(spots):
+                    values.append(hashes[at])
+                if not spots or not sum(map(len, spots)):
                     continue
+                spots, values = np.concatenate(spots), np.concatenate(values)
                 order = np.argsort(spots, kind="stable")
                 spots, values = spots[order], values[order]
-                start, part = 0, 0
+                text_of = np.searchsorted(found.first, spots, side="right") - 1
+                start, part, last = 0, 0, -1
                 while start < len(spots):
+                    row = text_of[start]
                     end = start + 1
-                    while end < len(spots) and spots[end] - spots[end - 1] <= 2 * reach and spots[end] - spots[start] <= 4 * reach:
+                    while (
+                        end < len(spots)
+                        and text_of[end] == row
+                        and spots[end] - spots[end - 1] <= 2 * reach
+                        and spots[end] - spots[start] <= 4 * reach
+                    ):
                         end += 1
-                    first = max(0, int(spots[start]) - reach)
+                    part = part + 1 if row == last else 0
+                    begin, finish = int(found.first[row]), int(found.first[row + 1])
+                    low_word = max(begin, int(spots[start]) - reach)
                     for k in KEY:
-                        out[k].append(batch[k][row])
+                        out[k].append(batch[k][a + row])
                     out["part"].append(part)
-                    out["first"].append(first)
-                    out["words"].append(words[first : int(spots[end - 1]) + reach])
+                    out["first"].append(low_word - begin)
+                    out["words"].append(found.texts(low_word, min(finish, int(spots[end - 1]) + reach)))
                     out["hits"].append(sorted({_signed(int(v)) for v in values[start:end]}))
-                    start, part = end, part + 1
+                    start, last = end, row
             return out if out["part"] else None
 
         return work
@@ -229,9 +249,10 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = SCORE, expec
     text in word order; repeated rows give one result, which joins back to each. An empty table on either side gives no rows.
     Words of the items, seeds and passages meet in joins; only filters of fixed size and the length of the longest item are
     shared with all tasks. The texts themselves are not shuffled, only stretches around seeds."""
-    items = stored(item_words(items).groupBy("item_id").agg(F.min("words").alias("words")))
+    best = F.min(F.struct("words", "hashes"))
+    items = stored(item_words(items).groupBy("item_id").agg(best.alias("b")).select("item_id", "b.*"))
     longest = items.agg(F.max(F.size("words"))).first()[0] or 1
-    totals = stored(word_totals(docs, items.select(F.explode("words").alias("word"))))
+    totals = stored(word_totals(docs, items))
     seed_rows = stored(seeds(items, totals, expected))
     found = stored(passages(docs, seed_rows, longest + longest // 4 + 1).dropDuplicates([*KEY, "part"]))
     pairs = found.select(*KEY, "part", F.explode("hits").alias("hash")).join(seed_rows, "hash").select(*KEY, "part", "item_id").distinct()
@@ -243,7 +264,7 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = SCORE, expec
     )
     distinct = places.select("passage", "item_id").distinct()
     words = found.select(F.xxhash64("words").alias("passage"), F.col("words").alias("text")).dropDuplicates(["passage"])
-    jobs = distinct.join(words, "passage").join(items, "item_id")
+    jobs = distinct.join(words, "passage").join(items.select("item_id", "words"), "item_id")
 
     def make():
         cache = word_hashes()
