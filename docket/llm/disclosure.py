@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm.common import KEY, hash_words, over_partition, over_texts, plain, row_key, same_row, table, word_hashes
+from docket.llm.common import KEY, Words, in_parts, over_partition, over_texts, plain, row_key, same_row, table
 from docket.llm.decontaminate import bit_filter, passing
 from docket.session import stored
 
@@ -104,27 +104,48 @@ def surroundings(docs: DataFrame) -> DataFrame:
     return over_texts(keyed, make, "doc_id long, h1 long, h2 long, entity string, around long, terms array<string>")
 
 
+def hashed(terms: DataFrame) -> DataFrame:
+    """(hash) of each term."""
+
+    def make():
+        import numpy as np
+
+        def work(batch: dict) -> dict:
+            each = [Words([t]).hashes for t in batch["term"]]
+            return {"hash": [int(h.view(np.int64)[0]) if len(h) else 0 for h in each]}
+
+        return work
+
+    return over_texts(terms, make, "hash long")
+
+
+def known_words(texts: list[str], maps):
+    """(place of a text, its words that pass the filter) for the texts that have some."""
+    import numpy as np
+
+    for a, b in in_parts(texts):
+        found = Words(texts[a:b])
+        near = passing(maps, found.hashes)
+        text_of = np.searchsorted(found.first, near, side="right") - 1
+        for row in np.unique(text_of):
+            yield a + int(row), {found.texts(i, i + 1)[0] for i in near[text_of == row]}
+
+
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, documents): in how many texts each of the given terms stands, over all texts."""
 
-    def hashed():
-        cache = word_hashes()
-        return lambda batch: {"hash": hash_words(batch["term"], cache).view("int64")}
-
-    marks = bit_filter(over_texts(terms, hashed, "hash long"), "hash")
+    marks = bit_filter(hashed(terms), "hash")
 
     def make():
         import numpy as np
         from collections import Counter
 
-        cache, maps = word_hashes(), [np.frombuffer(m, np.uint8) for m in marks.value]
+        maps = [np.frombuffer(m, np.uint8) for m in marks.value]
         counts: Counter = Counter()
 
         def step(batch: dict) -> None:
-            for text in batch["text"]:
-                words = list(set(TERM.findall(text.lower())))
-                if words:
-                    counts.update(words[i] for i in passing(maps, hash_words(words, cache)))
+            for _, words in known_words(batch["text"], maps):
+                counts.update(words)
 
         return step, lambda: {"term": list(counts), "documents": list(counts.values())}
 
@@ -160,27 +181,18 @@ def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> Dat
     """(row key, added): where the given terms stand in each text, as (kind, start, end), ``removed`` for terms that disclose at
     least ``remove`` and ``general`` for others. Terms meet words in a join; a filter of fixed size keeps other words out of it."""
 
-    def hashed():
-        cache = word_hashes()
-        return lambda batch: {"hash": hash_words(batch["term"], cache).view("int64")}
-
     terms = stored(terms)
-    marks = bit_filter(over_texts(terms.select("term"), hashed, "hash long"), "hash")
+    marks = bit_filter(hashed(terms.select("term")), "hash")
 
     def make():
         import numpy as np
 
-        cache, maps = word_hashes(), [np.frombuffer(m, np.uint8) for m in marks.value]
+        maps = [np.frombuffer(m, np.uint8) for m in marks.value]
 
         def work(batch: dict) -> dict | None:
             out = {k: [] for k in (*KEY, "term", "start", "end")}
-            for row, text in enumerate(batch["text"]):
-                words = TERM.findall(text.lower())
-                near = passing(maps, hash_words(words, cache)) if words else ()
-                if not len(near):
-                    continue
-                known = {words[i] for i in near}
-                for m in TERM.finditer(text):
+            for row, known in known_words(batch["text"], maps):
+                for m in TERM.finditer(batch["text"][row]):
                     if (word := m.group().lower()) in known:
                         for k in KEY:
                             out[k].append(batch[k][row])
