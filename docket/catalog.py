@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from docket.operators import actions as act
 from docket.operators import assemble, classify, curate, edits, evidence, excerpt, ingest, split, summaries
 from docket.plans import curate as plans
 from docket.schema import MANIFEST_JSON
+from docket.session import scratch_dir
 from docket.sources.corpus import Corpus
 from docket.streaming import progress
 
@@ -738,6 +740,45 @@ def compression_report(c: Corpus) -> DataFrame:
 # --- progress --------------------------------------------------------------------------------------------------------
 
 
+def _arrivals(c: Corpus) -> tuple[str, str]:
+    """Filings as files arrive, in a folder of the shared place, and a place for what is made of them."""
+    folder = f"{scratch_dir(c.spark).rstrip('/')}/{uuid.uuid4().hex}"
+    columns = ["report_id", "original_filename", "original_path", "file_size", F.col("created_at").alias("arrived_at")]
+    c.filings.select(*columns).write.parquet(f"{folder}/in")
+    return f"{folder}/in", folder
+
+
+@query
+def stream_ingest(c: Corpus) -> DataFrame:
+    """All arrivals, taken in by a stream that stops when it has seen them."""
+    source, folder = _arrivals(c)
+    progress.start(progress.stream_ingest(c.spark, source), f"{folder}/out", f"{folder}/log").awaitTermination()
+    return c.spark.read.parquet(f"{folder}/out").select("report_id", "original_filename", "original_path", "file_size", "category", "status")
+
+
+@query
+def stream_dedupe(c: Corpus) -> DataFrame:
+    """Names that have arrived, each once, over a horizon longer than the data."""
+    source, folder = _arrivals(c)
+    stream = c.spark.readStream.schema(progress.ARRIVAL).parquet(source)
+    once = progress.stream_dedupe(stream, "20000 days").select("report_id", "original_filename")
+    progress.start(once, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return c.spark.read.parquet(f"{folder}/out")
+
+
+@query
+def stream_state(c: Corpus) -> DataFrame:
+    """The latest event of every report, kept up by a stream in batches of one file."""
+    folder = f"{scratch_dir(c.spark).rstrip('/')}/{uuid.uuid4().hex}"
+    slim = c.progress_events.select("report_id", "event_id", "phase", "filename")
+    slim.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    stream = c.spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    keep = progress.state_writer(f"{folder}/state", ["report_id"], "event_id", buckets=8)
+    run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return progress.read_state(c.spark, f"{folder}/state", slim.schema)
+
+
 @query
 def progress_windows(c: Corpus) -> DataFrame:
     out = progress.progress_windows(c.progress_events)

@@ -129,8 +129,8 @@ def output_name(reports: DataFrame) -> DataFrame:
 
 
 def write_outputs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder per report. Rows of a big report are spread over many files rather than sent to one writer."""
-    df.write.mode("overwrite").partitionBy("report_id").format(fmt).save(path)
+    """One folder per report. Reports are gathered into few files each, and a big one is split by its bytes over several."""
+    df.hint("rebalance", "report_id").write.mode("overwrite").partitionBy("report_id").format(fmt).save(path)
 
 
 def to_json_col(df: DataFrame, column: str, fields: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from docket import fixed_values as fv
 from docket.operators.classify import classify_by_name
@@ -40,29 +41,58 @@ def progress_windows(events: DataFrame, watermark: str = "1 hour", width: str =
     )
 
 
-def state_writer(path: str, key: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that folds each batch into a versioned parquet table: the latest row per key.
-    Versions are named by batch, so a replayed batch writes its version again; ``CURRENT`` names the last complete one."""
+def state_writer(path: str, key: list[str], order: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that folds each batch into a parquet table of the latest row per key; of rows with equal
+    ``order`` the one with the larger other columns counts.
+
+    Keys are dealt into buckets by hash. A batch reads and writes the buckets that its keys fall into and no others, under a
+    folder named by the batch, so a replayed batch writes its own folder again from the versions before it. A bucket's two
+    last versions are kept."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = current_version(spark, path, upto=batch_id)
-        rows = batch if before is None else spark.read.parquet(f"{path}/v={before}").unionByName(batch)
-        others = [c for c in rows.columns if c not in key]
-        latest = rows.groupBy(*key).agg(F.max_by(F.struct(*others), order).alias("r")).select(*key, "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        touched = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        versions = state_versions(spark, path, upto=batch_id)
+        held = [f"{path}/v={versions[b][-1]}/bucket={b}" for b in touched if b in versions]
+        rows = spark.read.schema(batch.schema).parquet(*held).unionByName(batch) if held else batch
+        others = [order, *[c for c in rows.columns if c not in key and c != order]]
+        latest = rows.groupBy(*key).agg(F.max(F.struct(*others)).alias("r")).select(*key, "r.*").select(*batch.columns)
+        dealt = latest.withColumn("bucket", bucket).repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
+        _, fs = _files(spark, path)
+        for b in touched:
+            for old in versions.get(b, [])[:-1]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={old}/bucket={b}"), True)
 
     return write
 
 
-def current_version(spark: SparkSession, path: str, upto: int | None = None) -> int | None:
-    """Last complete version below ``upto``: a version counts once its success marker is there."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or []
-    versions = [int(m.getPath().getParent().getName().split("=")[1]) for m in marks]
-    versions = [v for v in versions if upto is None or v < upto]
-    return max(versions, default=None)
+def _files(spark: SparkSession, pattern: str):
+    """What matches a pattern, through the file system of the path, and that file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(f.getPath()) for f in fs.globStatus(at) or []], fs
+
+
+def state_versions(spark: SparkSession, path: str, upto: int | None = None) -> dict[int, list[int]]:
+    """bucket -> its versions in order. A version counts once its success marker is there."""
+    done = {m.split("/v=")[-1].split("/")[0] for m in _files(spark, f"{path}/v=*/_SUCCESS")[0]}
+    out: dict[int, list[int]] = {}
+    for folder in _files(spark, f"{path}/v=*/bucket=*")[0]:
+        version, bucket = folder.split("/v=")[-1].split("/bucket=")
+        if version in done and (upto is None or int(version) < upto):
+            out.setdefault(int(bucket), []).append(int(version))
+    return {bucket: sorted(versions) for bucket, versions in out.items()}
+
+
+def read_state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The state as it is now: the last version of every bucket."""
+    folders = [f"{path}/v={v[-1]}/bucket={b}" for b, v in state_versions(spark, path).items()]
+    reader = spark.read.schema(schema)
+    return reader.parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def start(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

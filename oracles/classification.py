@@ -2,7 +2,7 @@
 
 from docket import fixed_values as fv
 from docket.sources.corpus import TEMPLATES  # noqa: F401
-from oracles.scalars import ext, listed, norm_base, revised, revision_base, stem, strip
+from oracles.scalars import SUPPORTED, ext, listed, norm_base, revised, revision_base, stem, strip
 from oracles.tables import with_tables
 from oracles.texts import HEADER, SMART
 from oracles.totals import RANGES
@@ -317,3 +317,16 @@ CHECKS["curate_flags"] = with_tables(
       category, issue, severity FROM sums s LEFT JOIN bad USING (report_id)""",
     recursive=True,
 )
+CHECKS["stream_ingest"] = with_tables(
+    "filings",
+    f"""{named('filings')}
+    SELECT f.report_id, f.original_filename, f.original_path, f.file_size, coalesce(n.rule_category, 'UNCLASSIFIED') AS category, 'uploaded' AS status
+    FROM (SELECT *, {ext()} AS e FROM filings) f JOIN named n USING (doc_id)
+    WHERE e IN ({SUPPORTED}) AND original_filename NOT LIKE '.\\_%' ESCAPE '\\' AND coalesce(original_path, '') NOT LIKE '%\\_\\_MACOSX%' ESCAPE '\\'""",
+)
+CHECKS["stream_dedupe"] = with_tables("filings", "SELECT DISTINCT report_id, original_filename FROM filings")
+CHECKS["stream_state"] = with_tables(
+    "progress_events",
+    """SELECT report_id, event_id, phase, filename FROM (
+      SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY event_id DESC) AS rn FROM progress_events) WHERE rn = 1""",
+)

@@ -52,9 +52,12 @@ def test_state_versions_survive_a_replayed_batch(spark, tmp_path):
     second = spark.createDataFrame([(1, 1, 2, "ready")], schema)
     write(second, 1)
     write(second, 1)
-    assert progress.current_version(spark, path) == 1
-    got = sorted((r.doc_id, r.status) for r in spark.read.parquet(f"{path}/v=1").collect())
-    assert got == [(1, "ready"), (2, "uploaded")]
+    write(spark.createDataFrame([(1, 1, 3, "done"), (1, 1, 3, "abc")], schema), 2)
+    got = sorted((r.doc_id, r.status) for r in progress.read_state(spark, path, schema).collect())
+    assert got == [(1, "done"), (2, "uploaded")]
+    # The third batch has touched one bucket, and left its first version behind.
+    versions = sorted(progress.state_versions(spark, path).values())
+    assert versions == [[0], [1, 2]]
 
 
 def test_log(spark):
