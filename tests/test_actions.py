@@ -100,3 +100,20 @@ def test_reorder_clears_the_profile_mark(spark, filings):
     asked = spark.createDataFrame([(1, 1, "APPENDIX_B", [2])], "report_id bigint, seq bigint, category string, doc_ids array<bigint>")
     got = {r.doc_id: (r.category, r.sort_order, r.is_profile) for r in act.reorder_section(df, asked).collect()}
     assert got == {1: ("APPENDIX_E", 0, True), 2: ("APPENDIX_B", 0, False)}
+
+
+def test_messages_wait_for_a_confirmation(spark, filings):
+    df = filings(*[{} for _ in range(12)])
+    say = lambda ids, kind="exclude": '{"action": "%s", "params": {"doc_ids": %s, "target_section": "APPENDIX_A"}}' % (kind, ids)
+    rows = [
+        (1, 1, f"[{say([1, 2])}, {say([1], 'include')}]"), (1, 2, f"[{say(list(range(1, 12)))}]"),
+        (1, 3, f"[{say([3] * 6)}, {say([4] * 5)}]"), (1, 4, f"[{say([5] * 10, 'move')}]"), (1, 5, "no list"), (1, 6, None),
+    ]
+    messages = spark.createDataFrame(rows, "report_id bigint, seq bigint, actions_json string")
+    size = {r.seq: (r.affected, r.needs_confirmation) for r in act.message_footprint(act.read_actions(messages)).collect()}
+    assert size == {1: (3, False), 2: (11, True), 3: (11, True), 4: (10, False)}
+    got = {r.doc_id: (r.is_included, r.category) for r in act.apply_messages(df, messages).collect()}
+    assert [d for d in got if not got[d][0]] == [2] and got[5][1] == "APPENDIX_A"
+    sure = spark.createDataFrame([(1, 3)], "report_id bigint, seq bigint")
+    got = {r.doc_id: r.is_included for r in act.apply_messages(df, messages, confirmed=sure).collect()}
+    assert sorted(d for d in got if not got[d]) == [2, 3, 4]

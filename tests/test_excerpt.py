@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docket.operators import edits, evidence, excerpt
+from docket.operators import classify, edits, evidence, excerpt
 
 
 def pages_table(spark, counts, text=lambda d, p: f"doc {d} page {p}"):
@@ -114,3 +114,45 @@ def test_rewrite(spark):
 def test_html_of_blocks(spark):
     df = spark.createDataFrame([(1, [("T", "Heading 2", []), ("p", "Normal", [])], [[["a", "b"]]])], PARAS + ", tables array<array<array<string>>>")
     assert edits.blocks_to_html(df).first().html.split("\n")[1:4] == ['<h2 class="docx-para">T</h2>', '<p class="docx-para">p</p>', '<table class="docx-table">']
+
+
+def test_page_choices_need_one_shuffle(spark, tmp_path):
+    rows = [(d, p, 60 if d else 3, f"text {p} " * 50, 300) for d in (0, 1) for p in range(60 if d else 3)]
+    spark.createDataFrame(rows, "doc_id bigint, page_no int, n_pages int, txt string, n_trimmed int").write.parquet(str(tmp_path / "p"))
+    pages = spark.read.parquet(str(tmp_path / "p"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    smart = plan(excerpt.smart_excerpt(pages))
+    assert smart.count("Exchange hashpartitioning") == 1 and "Join" not in smart
+    sample = plan(excerpt.page_sample(pages))
+    assert "Exchange" not in sample
+    # Counted, where pages do not carry their number, it is the same choice.
+    counted = excerpt.page_sample(pages.drop("n_pages"))
+    assert sorted(map(str, counted.collect())) == sorted(map(str, excerpt.page_sample(pages).collect()))
+    docs = spark.createDataFrame([(0, ".docx"), (1, ".pdf")], "doc_id bigint, ext string")
+    assert "txt" not in plan(excerpt.kept_pages(pages, docs)).split("ReadSchema")[1].split("\n")[0]
+
+
+def test_deleted_pages_number_the_rest_again(spark):
+    pages = spark.createDataFrame([(d, p, f"{d}-{p}") for d in (1, 2) for p in range(6)], "doc_id bigint, page_no int, txt string")
+    asked = spark.createDataFrame([(1, [0, 3, 3, 9, -1]), (1, [4]), (3, [1])], "doc_id bigint, pages array<int>")
+    got = sorted((r.doc_id, r.page_no, r.new_page_no) for r in excerpt.delete_pages(pages, asked).collect())
+    assert got == [(1, 1, 0), (1, 2, 1), (1, 5, 2)] + [(2, p, p) for p in range(6)]
+
+
+def test_facts_after_a_verdict(spark):
+    placed = [
+        (1, "APPENDIX_D", None, "map", None, True), (2, "APPENDIX_D", "topos", "map", None, True), (3, "APPENDIX_E", None, "x", None, True),
+        (4, "APPENDIX_D", None, "[FALLBACK]", 2, False), (5, "COVER_WRITEUP", None, "y", None, True),
+    ]
+    df = spark.createDataFrame(placed, "doc_id bigint, category string, subcategory string, reasoning string, rule_sort_order int, from_model boolean")
+    pages = [(1, 0, "Sanborn map of the site"), (3, 0, "Property Profile"), (4, 0, "Sanborn map"), (5, 0, "Project Number: 7001234\n12 Main Street")]
+    facts = evidence.first_page_facts(spark.createDataFrame(pages, "doc_id bigint, page_no int, txt string"))
+    got = {r.doc_id: r for r in classify.after_verdict(df, facts).collect()}
+    assert got[1].subcategory == "sanborn" and got[1].reasoning == "map [Subcategory from content: sanborn]"
+    assert got[2].subcategory == "topos" and got[2].reasoning == "map"
+    assert got[3].is_profile and got[3].rule_sort_order == 1 and got[3].reasoning.endswith("ranked first in Appendix E]")
+    assert got[4].subcategory is None and got[4].rule_sort_order == 2 and not got[4].is_profile
+    assert got[5].metadata.found_project_id == "7001234" and got[5].metadata.found_address == "12 Main Street" and got[1].metadata is None

@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docket.functions import metrics, names
-from docket.functions.rules import RULE_SCHEMA, Rule, standard_rules
+from docket.functions.rules import RULE_SCHEMA, Rule, rule_columns, rules_from_table, standard_rules
 from docket.operators import classify
+from docket.operators.assemble import natural_key
 
 CASES = [
     ("Site Plot Plan.vsd", "", "APPENDIX_A", None, 0.90, None),
@@ -124,3 +125,32 @@ def test_needs_verdict(spark, filings):
     assert names_of("none") == []
     assert names_of("name-first") == ["misc.pdf"]
     assert names_of("content-first") == ["misc.pdf", "sanborn.pdf"]
+
+
+def test_rule_table_of_any_length(spark):
+    table = [(i, "name", f"^file{i}_", "APPENDIX_A" if i % 2 else "APPENDIX_B", None, 0.9, None, f"rule {i}") for i in range(2500)]
+    rules = rules_from_table(spark.createDataFrame(table, RULE_SCHEMA))
+    names = spark.createDataFrame([(1, "file7_x.pdf"), (2, "file2499_x.pdf"), (3, "nothing.pdf")], "doc_id int, original_filename string")
+    rows = rule_columns(names.withColumn("original_path", F.lit(None).cast("string")), rules, "original_filename", "original_path", None, "rule_")
+    assert {r.doc_id: (r.rule_category, r.rule_reason) for r in rows.collect()} == {
+        1: ("APPENDIX_A", "rule 7"), 2: ("APPENDIX_A", "rule 2499"), 3: (None, None),
+    }
+
+
+def test_verdicts_that_fail(spark):
+    answers = [
+        '{"category": "APPENDIX_A"}', '{"category": "APPENDIX_A", "confidence": "0.5"}', '{"category": "APPENDIX_A", "confidence": "high"}',
+        '{"category": "APPENDIX_A", "confidence": null}', '{"category": "APPENDIX_A", "reasoning": null}', '{"category": "APPENDIX_A"} done',
+        '{"category": "APPENDIX_A", "subcategory": 4}', '[{"category": "APPENDIX_A"}]', '{"category": "APPENDIX_A"}, {"a": 1}', "", None,
+        '```json\n{"category": "APPENDIX_A", "confidence": 1, "reasoning": "r", "subcategory": null}\n```',
+    ]
+    df = spark.createDataFrame(list(enumerate(answers)), "doc_id int, response_text string")
+    got = {r.doc_id: (r.ai_subcategory, r.ai_confidence, r.ai_reasoning) for r in classify.parse_verdicts(df).collect()}
+    assert got == {0: (None, 0.8, "AI classification"), 1: (None, 0.5, "AI classification"), 11: (None, 1.0, "r")}
+
+
+def test_natural_order_keeps_all_digits(spark):
+    names = ["img20240101123456.jpg", "img20240101123411.jpg", "img7.jpg", "img007b.jpg", "img.jpg", "a12345678901234567890.x", "a2.x"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(natural_key(F.col("n"))).collect()]
+    assert got == ["a2.x", "a12345678901234567890.x", "img7.jpg", "img007b.jpg", "img20240101123411.jpg", "img20240101123456.jpg", "img.jpg"]
