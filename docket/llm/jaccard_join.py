@@ -15,7 +15,7 @@ SIMILAR = 0.8
 # 32 bands of 4 values miss a pair at 0.8 with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
 BANDS, ROWS = 32, 4
 STEP = 16  # MinHash values compared between two tests
-TOLERANCE = 1e-5  # a pair is dropped when the posterior chance of reaching the threshold is below
+TOLERANCE = 1e-7  # a pair is dropped when the posterior chance of reaching the threshold is below
 BLOCK, VERIFY_BLOCK = 512, 256
 WORD = re.compile(r"\w+")
 
