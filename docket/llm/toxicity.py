@@ -21,6 +21,7 @@ LEXICON = 50_000
 MIN_WEIGHT = math.log(3)
 SURE = 2.5  # standard errors that a weight stays below its estimate
 PREFIXES = (4, 5)
+MEMO = 120_000  # tokens remembered per generation of a worker's memo
 
 # What each symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -115,26 +116,26 @@ def decode(text: str, costs: list[float]) -> str:
     return min(finish)[1]
 
 
-def restorer(costs: list[float]):
-    """text -> set of distinct restored words. Only stretches that could be disguised are decoded, each distinct one once; all
-    others have a single reading, themselves."""
+def restored(token: str, costs: list[float]) -> tuple[str, ...]:
+    """The plain words of a token. Only what could be disguised is decoded; all else has a single reading, itself."""
+    word = token.strip(EDGE)
+    if ODD.search(word):
+        return tuple(w for w in (p.strip(EDGE) for p in decode(word, costs).split(" ")) if w)
+    return (word,) if word else ()
+
 
-    def restored(token: str) -> tuple[str, ...]:
-        word = token.strip(EDGE)
-        if ODD.search(word):
-            return tuple(w for w in (p.strip(EDGE) for p in decode(word, costs).split(" ")) if w)
-        return (word,) if word else ()
+def spelled(low: str, costs: list[float]) -> list[str]:
+    """Words of stretches that are spelled out letter by letter."""
+    return [w for found in SPACED.finditer(low) for w in decode(found.group(), costs).split(" ") if len(w) > 1]
 
-    memo = Memo(restored)
+
+def restorer(costs: list[float]):
+    """text -> set of distinct restored words; each distinct token is decoded once."""
+    memo = Memo(lambda token: restored(token, costs), MEMO)
 
     def words(text: str) -> set[str]:
         low = text.lower()
-        out: set[str] = set()
-        for found in map(memo.__getitem__, set(low.split())):
-            out.update(found)
-        for spaced in SPACED.finditer(low):
-            out.update(w for w in decode(spaced.group(), costs).split(" ") if len(w) > 1)
-        return out
+        return set().union(*map(memo.__getitem__, set(low.split())), spelled(low, costs))
 
     return words
 
@@ -229,12 +230,20 @@ def scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
 
     def build():
         costs, prior, weights = model.value
-        words = restorer(costs)
-        best = Memo(lambda word: max((weights.get(f, 0.0), f) for f in features(word)))
+
+        def evidence(words) -> tuple:
+            """(weight, feature, word) of the words that the lexicon knows, each by its strongest feature."""
+            best = ((*max((weights.get(f, 0.0), f) for f in features(w)), w) for w in words)
+            return tuple(found for found in best if found[0])
+
+        # Most tokens are no evidence and share one empty tuple, so a remembered token is little more than its text.
+        memo = Memo(lambda token: evidence(restored(token, costs)), MEMO)
 
         def score(text: str) -> float:
+            low = text.lower()
+            found = set().union(*map(memo.__getitem__, set(low.split())), evidence(spelled(low, costs)))
             # Words known by one feature bear each other out: the second adds a half of its weight, the third a third.
-            known = Counter(w for w in map(best.__getitem__, words(text)) if w[0])
+            known = Counter((weight, feature) for weight, feature, _ in found)
             total = prior + sum(weight * sum(1 / i for i in range(1, n + 1)) for (weight, _), n in sorted(known.items()))
             return 1 / (1 + math.exp(-min(total, 700.0)))
 
