@@ -34,7 +34,9 @@ SUBSTITUTE, BREAK, REPEAT = 0.7, 2.0, 1.5
 # Letter classes of the character model: 0 all that is no letter, 1-26 a-z, 27 other letters, 28 digits and leet symbols.
 K = 29
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-ODD = re.compile(r"(.)\1\1|[^\W\d_].*[0-9@$!|+€£]|[0-9@$!|+€£].*[^\W\d_]|[^\W\d_][.\-_*'][^\W\d_](?:[.\-_*'][^\W\d_])")
+TRIPLE, LETTER, SYMBOL = re.compile(r"(.)\1\1"), re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+€£]")
+DOTTED = re.compile(r"[^\W\d_][.\-_*'][^\W\d_][.\-_*'][^\W\d_]")
+PIECE = 1000  # characters decoded together; a longer stretch is no word, and is decoded piece by piece
 
 
 def char_class(c: str) -> int:
@@ -87,7 +89,9 @@ def decode(text: str, costs: list[float]) -> str:
     """The likeliest plain reading of a lower-cased stretch: a Viterbi walk over the lattice of its characters, the state being
     the last two letters read. A symbol reads as itself or as a letter it may stand for; a gap as nothing or, at a cost, as a space; a
     letter that repeats the one before it may be skipped."""
-    paths = {"": (0.0, "")}  # last two characters read -> (cost, text read)
+    if len(text) > PIECE:
+        return "".join(decode(text[at : at + PIECE], costs) for at in range(0, len(text), PIECE))
+    paths: dict = {"": (0.0, None)}  # last two characters read -> (cost, (what was read before, character))
     before = ""
     for c in text:
         if c in GAPS:
@@ -98,28 +102,32 @@ def decode(text: str, costs: list[float]) -> str:
             readings = [(c, 0.0)]
         if c == before and c not in GAPS:
             readings.append(("", REPEAT))
-        step: dict[str, tuple[float, str]] = {}
+        step: dict = {}
         for tail, (cost, read) in paths.items():
             for char, extra in readings:
-                new = cost + extra
+                new, end = cost + extra, (tail + char)[-2:]
                 if char:
-                    a, b = (char_class(x) for x in ("  " + tail)[-2:])
-                    new += costs[(a * K + b) * K + char_class(char)]
-                end = (tail + char)[-2:]
-                if end not in step or (new, read + char) < step[end]:
-                    step[end] = (new, read + char)
+                    new += _cost(costs, tail, char_class(char))
+                if end not in step or new < step[end][0]:
+                    step[end] = (new, (read, char) if char else read)
         paths, before = step, c
-    finish = []
-    for tail, (cost, read) in paths.items():
-        a, b = (char_class(x) for x in ("  " + tail)[-2:])
-        finish.append((cost + costs[(a * K + b) * K], read))
-    return min(finish)[1]
+    _, read = min(((cost + _cost(costs, tail, 0), read) for tail, (cost, read) in paths.items()), key=lambda x: x[0])
+    out = []
+    while read:
+        read, char = read
+        out.append(char)
+    return "".join(reversed(out))
+
+
+def _cost(costs: list[float], tail: str, then: int) -> float:
+    a, b = (char_class(x) for x in ("  " + tail)[-2:])
+    return costs[(a * K + b) * K + then]
 
 
 def restored(token: str, costs: list[float]) -> tuple[str, ...]:
     """The plain words of a token. Only what could be disguised is decoded; all else has a single reading, itself."""
     word = token.strip(EDGE)
-    if ODD.search(word):
+    if TRIPLE.search(word) or (SYMBOL.search(word) and LETTER.search(word)) or DOTTED.search(word):
         return tuple(w for w in (p.strip(EDGE) for p in decode(word, costs).split(" ")) if w)
     return (word,) if word else ()
 

@@ -26,7 +26,7 @@ def odd_rows():
     return [
         (1, "one two three four five six"), (2, "one two three four five six"), (2, "one two three four five six"), (3, None), (4, ""),
         (None, "one two three four five six"), (None, None), (5, long), (6, long), (7, " "), (8, "\n\n é\u00a0𝄞 ▁ x"), (9, "!!! ... ###"),
-        (10, "a"), (10, "b"), (11, "\x00null\x00"),
+        (10, "a"), (10, "b"), (11, "\x00null\x00"), (12, "a1b" * 40_000), (13, "xyz" * 60_000),
     ]
 
 
