@@ -149,10 +149,16 @@ def action_snapshots(filings: DataFrame, actions: DataFrame, group_rows: int | N
     fields = {"set_category": "w_category", "set_reason": "w_reason", "set_included": "w_included"}
     maxs = {w: F.when(write & F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v"))) for c, w in fields.items()}
     seen = ordered_scan(marks, key, ["seq", "step"], maxs=maxs, group_rows=group_rows)
-    # Appended reasons since the overwrite a read sees: an ordered list per document and overwrite.
-    epoch = Window.partitionBy(*key, F.coalesce("w_reason.seq", F.lit(-1))).orderBy("seq", "step")
-    adds = F.collect_list(F.when(write, F.col("add_reason"))).over(epoch.rowsBetween(Window.unboundedPreceding, -1))
-    reads = seen.withColumn("adds", F.array_join(adds, "")).filter("step = 0")
+    # Reasons appended since the overwrite a read sees: one ordered list per document and overwrite, of which each read takes
+    # as many as were there before it.
+    seen = seen.withColumn("epoch", F.coalesce("w_reason.seq", F.lit(-1).cast("long")))
+    added = write & F.col("add_reason").isNotNull()
+    before = Window.partitionBy(*key, "epoch").orderBy("seq", "step").rowsBetween(Window.unboundedPreceding, -1)
+    reads = seen.withColumn("n_adds", F.count(F.when(added, 1)).over(before).cast("int")).filter("step = 0")
+    lists = seen.filter(added).groupBy(*key, "epoch").agg(F.array_sort(F.collect_list(F.struct("seq", "add_reason"))).alias("adds"))
+    reads = reads.join(lists, [*key, "epoch"], "left")
+    text = F.array_join(F.transform(F.slice("adds", F.lit(1), F.col("n_adds")), lambda x: x.add_reason), "")
+    reads = reads.withColumn("adds", F.coalesce(text, F.lit("")))
     base = F.coalesce("w_reason.v", "reasoning")
     return reads.join(filings.select(*key, "category", "subcategory", "is_included", "sort_order", "reasoning"), key).select(
         *key,
