@@ -22,8 +22,11 @@ def _on_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def _sorted_names(values: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct values with integer names in sort order: a range-partitioned sort, numbered partition by partition."""
-    return values.select(*by).distinct().orderBy(*by).withColumn("name", F.monotonically_increasing_id())
+    """Distinct values with integer names in the order of (hash, value): a range-partitioned sort, numbered partition by
+    partition. The ranges are cut by the hash, so what is sampled to cut them is a number and no text; values with one hash
+    are neighbours and still get names of their own."""
+    marked = values.select(*by).distinct().withColumn("mark", F.xxhash64(*by))
+    return marked.repartitionByRange("mark").sortWithinPartitions("mark", *by).select(*by, F.monotonically_increasing_id().alias("name"))
 
 
 def block_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
