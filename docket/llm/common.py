@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from docket.session import stored
 
 # Entries of each of the two generations of a worker's memo, which bounds its memory.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 150_000
+# Values that a worker keeps from task to task.
+KEPT = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,11 +139,16 @@ def over_groups(df: DataFrame, by: list[str], make: Callable[[], Callable], sche
 
 
 def worker_cache(name: str, build: Callable[[], object]) -> object:
-    """A value that lives as long as the Python worker: tables and word caches survive from task to task."""
-    keep = sys.modules.setdefault("docket_worker_cache", types.ModuleType("docket_worker_cache"))
-    if not hasattr(keep, name):
-        setattr(keep, name, build())
-    return getattr(keep, name)
+    """A value that lives on in the Python worker, so tables and memos survive from task to task. A worker keeps the few that
+    were used last: what an earlier operator or an earlier model left there goes."""
+    keep = sys.modules.setdefault("docket_worker_cache", types.ModuleType("docket_worker_cache")).__dict__.setdefault("kept", {})
+    value = keep.pop(name, None)
+    if value is None:
+        while len(keep) >= KEPT:
+            del keep[next(iter(keep))]
+        value = build()
+    keep[name] = value
+    return value
 
 
 class Memo(dict):

@@ -9,6 +9,7 @@ from docket.llm.pieces import BPE, NORMAL, UNUSED, USER, chunks, read_model, sep
 
 MODEL_FILE = "piece_bpe_32k.model"
 CONTEXT = 4096
+MEMO = 350_000  # chunks remembered per generation of a worker's memo: a merge costs more than a look
 
 
 def ranks_of(data: bytes) -> dict[str, float]:
@@ -72,7 +73,7 @@ def counter(data: bytes):
                     start = i
             return sum(counts[p] for p in (*parts, chunk[start:])) if parts else merged_count(chunk, ranks)
 
-        counts = Memo(count)
+        counts = Memo(count, MEMO)
         return counts
 
     return worker_cache(f"token_counts_{hash(data)}", build)
