@@ -26,6 +26,7 @@ MEMO = 120_000  # tokens remembered per generation of a worker's memo
 # What each symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
         "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
+FIRST = str.maketrans({symbol: letters[0] for symbol, letters in LEET.items()})
 GAPS = " .-_*'"
 EDGE = ".,;:!?\"'()[]{}<>«»…*-_|%&#~^=/"
 # Costs of the channel in nats.
@@ -33,7 +34,16 @@ SUBSTITUTE, BREAK, REPEAT = 0.7, 2.0, 1.5
 
 # Letter classes of the character model: 0 all that is no letter, 1-26 a-z, 27 other letters, 28 digits and leet symbols.
 K = 29
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+MARKS = re.escape(EDGE)
+
+
+def _runs(most: int) -> re.Pattern:
+    """Three or more words in a row of at most ``most`` characters each, marks around them left out; a mark may be a word."""
+    word = rf"(?:[{MARKS}]*+[^\s{MARKS}]{{1,{most}}}+[{MARKS}]*+|\S)"
+    return re.compile(rf"(?<!\S){word}(?:\s++{word}){{2,}}(?!\S)")
+
+
+SPACED, GROUPED, WIDE = _runs(1), _runs(2), re.compile(r"\s{2,}|[^\S ]")
 TRIPLE, LETTER, SYMBOL = re.compile(r"(.)\1\1"), re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+€£]")
 DOTTED = re.compile(r"[^\W\d_][.\-_*'][^\W\d_][.\-_*'][^\W\d_]")
 PIECE = 1000  # characters decoded together; a longer stretch is no word, and is decoded piece by piece
@@ -132,9 +142,45 @@ def restored(token: str, costs: list[float]) -> tuple[str, ...]:
     return (word,) if word else ()
 
 
-def spelled(low: str, costs: list[float]) -> list[str]:
-    """Words of stretches that are spelled out letter by letter."""
-    return [w for found in SPACED.finditer(low) for w in decode(found.group(), costs).split(" ") if len(w) > 1]
+def stretches(run: str) -> set[tuple[str, ...]]:
+    """The ways to cut a run of short words into spelled-out stretches: the run as a whole or its single letters only; across all
+    gaps, or ended by those wider than a space; with the marks at its ends or without."""
+    ways = set()
+    for whole in ([run], SPACED.findall(run)):
+        for cut in (whole, [part for one in whole for part in WIDE.split(one)]):
+            words = [[w.strip(EDGE) or w for w in part.split()] for part in cut]
+            ways.add(way := tuple(" ".join(w) for w in words if len(w) > 2))
+            ways.add(tuple(part.strip(EDGE + " ") for part in way))
+    return ways
+
+
+def joined(words: list[str], known, longest: int) -> tuple[str, ...]:
+    """The known words, at most ``longest`` characters, that three or more words in a row make; the first, then the longest."""
+    out, at = [], 0
+    while at < len(words):
+        whole, end, found = "", at, None
+        while end < len(words) and len(whole) + len(words[end]) <= longest:
+            whole += words[end]
+            end += 1
+            if end - at > 2 and whole in known:
+                found = whole, end
+        if found:
+            out.append(found[0])
+        at = found[1] if found else at + 1
+    return tuple(out)
+
+
+def spelled(low: str, costs: list[float], known=(), longest: int = 0):
+    """Of each run of words that may be spelled out: its readings, as tuples of words. The decoder takes a run with the short
+    words beside it, so words known already are looked for at every place as well."""
+    for found in GROUPED.finditer(low):
+        ways = stretches(found.group())
+        read = {part: decode(part, costs).split(" ") for part in set().union(*ways)}
+        readings = {tuple(w for part in way for p in read[part] if len(w := p.strip(EDGE)) > 1) for way in ways}
+        plain_words = [w.strip(EDGE) or w for w in found.group().split()]
+        for words in (plain_words, [w.translate(FIRST) for w in plain_words]):
+            readings.add(joined(words, known, longest))
+        yield sorted(readings)
 
 
 def restorer(costs: list[float]):
@@ -143,7 +189,7 @@ def restorer(costs: list[float]):
 
     def words(text: str) -> set[str]:
         low = text.lower()
-        return set().union(*map(memo.__getitem__, set(low.split())), spelled(low, costs))
+        return set().union(*map(memo.__getitem__, set(low.split())), *(way for ways in spelled(low, costs) for way in ways))
 
     return words
 
@@ -238,18 +284,23 @@ def scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
 
     def build():
         costs, prior, weights = model.value
+        longest = max(map(len, weights), default=0)
 
         def evidence(words) -> tuple:
             """(weight, feature, word) of the words that the lexicon knows, each by its strongest feature."""
             best = ((*max((weights.get(f, 0.0), f) for f in features(w)), w) for w in words)
             return tuple(found for found in best if found[0])
 
+        def strongest(readings) -> tuple:
+            """The evidence of one of several readings of the same characters, which do not bear each other out."""
+            return max(map(evidence, readings), key=lambda found: sum(weight for weight, *_ in found), default=())
+
         # Most tokens are no evidence and share one empty tuple, so a remembered token is little more than its text.
         memo = Memo(lambda token: evidence(restored(token, costs)), MEMO)
 
         def score(text: str) -> float:
             low = text.lower()
-            found = set().union(*map(memo.__getitem__, set(low.split())), evidence(spelled(low, costs)))
+            found = set().union(*map(memo.__getitem__, set(low.split())), *map(strongest, spelled(low, costs, weights, longest)))
             # Words known by one feature bear each other out: the second adds a half of its weight, the third a third.
             known = Counter((weight, feature) for weight, feature, _ in found)
             total = prior + sum(weight * sum(1 / i for i in range(1, n + 1)) for (weight, _), n in sorted(known.items()))

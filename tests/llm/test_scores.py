@@ -63,6 +63,27 @@ def test_restores_and_scores(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
 
 
+def test_spelled_words_with_marks_and_wide_gaps(spark):
+    rows, marks = corpus()
+    disguises = ["s n o r k w i t.", "s n o r k w i t, of it", '"s n o r k w i t"', "(s n 0 r k w 1 t)!", "s  n  o  r  k  w  i  t", "s\tn\to\tr\tk\tw\ti\tt",
+                 "s\nn\no\r\nr\nk\n\n\n\nw\ni\nt", "y o u  s n o r k w i t", "s. n. o. r. k. w. i. t.", "- s n o r k w i t !", "a s n o r k w i t",
+                 "sn or kw it", "go sn or kw it.", "sn 0r kw 1t"]
+    extra = [(1000 + i, f"{prose(3, 20)} {d} {prose(4, 20)}") for i, d in enumerate(disguises)]
+    plain = [(2000 + i, f"{prose(3, 20)} {d} {prose(4, 20)}") for i, d in enumerate(["a b c d", "it is of no use", "! ! !", "1 2 3 4", "s n o r"])]
+    both = [(3000, f"{prose(3, 20)} snorkwit {prose(4, 20)}"), (3001, f"{prose(3, 20)} {prose(4, 20)}")]
+    by_id = {r.doc_id: r.score for r in toxicity.toxicity(documents(spark, rows + extra + plain + both), labels(spark, marks)).collect()}
+    assert by_id[3000] > by_id[3001]
+    assert [d for (i, _), d in zip(extra, disguises) if by_id[i] < by_id[3000] - 1e-9] == []
+    assert [t for i, t in plain if by_id[i] > by_id[3001]] == []
+
+
+def test_runs_of_any_length_are_quick():
+    costs = [1.0] * toxicity.K**3
+    for text in (". " * 50_000, ".. " * 50_000, "." * 300_000, "ab " * 50_000, "a" + " " * 300_000 + "b", "a.b " * 50_000):
+        assert all(len(w) > 1 for ways in toxicity.spelled(text, costs, {"snorkwit"}, 8) for way in ways for w in way)
+    assert toxicity.joined(["go", "sn", "or", "kw", "it", "a"], {"snorkwit", "kwita"}, 8) == ("snorkwit",)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = documents(spark, [(1, "some text"), (2, None)])
     assert [r.predicted for r in toxicity.toxicity(docs, labels(spark, [])).collect()] == [0, 0]
