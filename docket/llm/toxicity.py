@@ -45,7 +45,7 @@ def _runs(most: int) -> re.Pattern:
 
 SPACED, GROUPED, WIDE = _runs(1), _runs(2), re.compile(r"\s{2,}|[^\S ]")
 TRIPLE, LETTER, SYMBOL = re.compile(r"(.)\1\1"), re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+€£]")
-DOTTED = re.compile(r"[^\W\d_][.\-_*'][^\W\d_][.\-_*'][^\W\d_]")
+MARKED, MARK = re.compile(r"[^\W\d_][.\-_*']++[^\W\d_]"), re.compile(r"[.\-_*']+")
 PIECE = 1000  # characters decoded together; a longer stretch is no word, and is decoded piece by piece
 
 
@@ -134,12 +134,25 @@ def _cost(costs: list[float], tail: str, then: int) -> float:
     return costs[(a * K + b) * K + then]
 
 
-def restored(token: str, costs: list[float]) -> tuple[str, ...]:
-    """The plain words of a token. Only what could be disguised is decoded; all else has a single reading, itself."""
+def readings(token: str, costs: list[float], known=(), longest: int = 0) -> tuple[tuple[str, ...], ...]:
+    """The ways to read a token, each a tuple of plain words. Only what could be disguised is decoded; all else has a single
+    reading, itself. A token with marks between letters is read as written, decoded, with its marks left out, and as the known
+    words that its parts make."""
     word = token.strip(EDGE)
-    if TRIPLE.search(word) or (SYMBOL.search(word) and LETTER.search(word)) or DOTTED.search(word):
-        return tuple(w for w in (p.strip(EDGE) for p in decode(word, costs).split(" ")) if w)
-    return (word,) if word else ()
+    if not word:
+        return ()
+    read = lambda text: tuple(w for w in (p.strip(EDGE) for p in decode(text, costs).split(" ")) if w)
+    hidden = lambda text: TRIPLE.search(text) or (SYMBOL.search(text) and LETTER.search(text))
+    if MARKED.search(word):
+        whole = MARK.sub("", word)
+        parts = (joined(MARK.split(w), known, longest, 1) for w in (word, word.translate(FIRST)))
+        return tuple({(word,): 0, read(word): 0, read(whole) if hidden(whole) else (whole,): 0} | dict.fromkeys(parts, 0))
+    return (read(word) if hidden(word) else (word,),)
+
+
+def restored(token: str, costs: list[float]) -> tuple[str, ...]:
+    """The words of all readings of a token."""
+    return tuple({w: 0 for words in readings(token, costs) for w in words})
 
 
 def stretches(run: str) -> set[tuple[str, ...]]:
@@ -154,15 +167,15 @@ def stretches(run: str) -> set[tuple[str, ...]]:
     return ways
 
 
-def joined(words: list[str], known, longest: int) -> tuple[str, ...]:
-    """The known words, at most ``longest`` characters, that three or more words in a row make; the first, then the longest."""
+def joined(words: list[str], known, longest: int, least: int = 3) -> tuple[str, ...]:
+    """The known words, at most ``longest`` characters, that ``least`` or more words in a row make; the first, then the longest."""
     out, at = [], 0
     while at < len(words):
         whole, end, found = "", at, None
         while end < len(words) and len(whole) + len(words[end]) <= longest:
             whole += words[end]
             end += 1
-            if end - at > 2 and whole in known:
+            if end - at >= least and whole in known:
                 found = whole, end
         if found:
             out.append(found[0])
@@ -284,7 +297,8 @@ def scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
 
     def build():
         costs, prior, weights = model.value
-        longest = max(map(len, weights), default=0)
+        whole = {f for f in weights if f[0] not in "~^"}
+        longest = max(map(len, whole), default=0)
 
         def evidence(words) -> tuple:
             """(weight, feature, word) of the words that the lexicon knows, each by its strongest feature."""
@@ -296,11 +310,11 @@ def scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
             return max(map(evidence, readings), key=lambda found: sum(weight for weight, *_ in found), default=())
 
         # Most tokens are no evidence and share one empty tuple, so a remembered token is little more than its text.
-        memo = Memo(lambda token: evidence(restored(token, costs)), MEMO)
+        memo = Memo(lambda token: strongest(readings(token, costs, whole, longest)), MEMO)
 
         def score(text: str) -> float:
             low = text.lower()
-            found = set().union(*map(memo.__getitem__, set(low.split())), *map(strongest, spelled(low, costs, weights, longest)))
+            found = set().union(*map(memo.__getitem__, set(low.split())), *map(strongest, spelled(low, costs, whole, longest)))
             # Words known by one feature bear each other out: the second adds a half of its weight, the third a third.
             known = Counter((weight, feature) for weight, feature, _ in found)
             total = prior + sum(weight * sum(1 / i for i in range(1, n + 1)) for (weight, _), n in sorted(known.items()))

@@ -77,6 +77,25 @@ def test_spelled_words_with_marks_and_wide_gaps(spark):
     assert [t for i, t in plain if by_id[i] > by_id[3001]] == []
 
 
+def test_words_with_marks_inside(spark):
+    rows, marks = corpus()
+    disguises = ["sn.ork.wit", "sn-or-kw-it", "snork_wit", "s.nork.wit", "snork*wit!", "snork'wit", "sn--ork__wit", "sn-0rk-w1t", "blather-kin", "s.n.o.r.k.w.i.t",
+                 "snorkwit-x", "SNORK-WIT", "go.sn.ork.wit.of"]
+    extra = [(1000 + i, f"{prose(3, 20)} {d} {prose(4, 20)}") for i, d in enumerate(disguises)]
+    plain = [(2000 + i, f"{prose(3, 20)} {d} {prose(4, 20)}") for i, d in enumerate(["by-nc", "a/b.c", "no_one.else", "don't"])]
+    words = ["snorkwit", "blatherkin", ""]
+    both = [(3000 + i, f"{prose(3, 20)} {w} {prose(4, 20)}") for i, w in enumerate(words)]
+    docs = documents(spark, rows + extra + plain + both)
+    by_id = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels(spark, marks)).collect()}
+    least = min(by_id[3000], by_id[3001])
+    assert least > by_id[3002]
+    assert [d for (i, _), d in zip(extra, disguises) if by_id[i] < least - 1e-9] == []
+    assert by_id[1010] <= by_id[3000] + 1e-9  # readings of one token do not bear each other out
+    assert [t for i, t in plain if by_id[i] > by_id[3002]] == []
+    found = toxicity.readings("snork-wit", toxicity.char_model(docs))
+    assert ("snork-wit",) in found and ("snorkwit",) in found
+
+
 def test_runs_of_any_length_are_quick():
     costs = [1.0] * toxicity.K**3
     for text in (". " * 50_000, ".. " * 50_000, "." * 300_000, "ab " * 50_000, "a" + " " * 300_000 + "b", "a.b " * 50_000):
