@@ -22,7 +22,9 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 KEEP = 0.85  # part of a host's score that follows its links; the rest returns to the seeds
-ROUNDS = 20
+ROUNDS = 20  # of the SQL check; the given pages, without links between hosts, are settled long before
+TOLERANCE = 0.01  # mass that may still move when the propagation ends, as part of one page's share
+STRIDE = 5  # rounds between two tests of convergence
 LIFT = 2.0  # a host is blocked when it holds this many times the distrust its share of pages would give it, and less trust
 
 
@@ -62,14 +64,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]], rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]], tolerance: float = TOLERANCE, keep: float = KEEP) -> DataFrame:
     """(host, share, trust, distrust): part of all pages, and the two scores, each summing to one over all hosts where it has
     seeds and to nothing where it has none.
 
     Personalised PageRank runs from the hosts of allowed pages along links, and from the hosts of blocked pages against them,
     both in one table of steps (kind, host, to, part). Seeds weigh by their pages. What a host without a link
-    that way holds goes back to the seeds: the sums let it go and are brought to one at the end, which is the same. Sums are partial before each shuffle, so a host with a third of all links is no hot task; rounds are written to the
-    shared folder now and then to keep plans short."""
+    that way holds goes back to the seeds: the sums let it go and are brought to one at the end, which is the same. Sums are partial before each shuffle, so a host with a third of all links is no hot task; every ``STRIDE``
+    rounds the scores are written to the shared folder, which keeps plans short, and compared with the ones before. A round leaves
+    at most ``keep`` of the distance to the end, so that change bounds what is left; rounds go on until this is less than ``tolerance`` of
+    one page's share of each kind's scores, or the accuracy of the sums."""
     known = parsed(pages, rules).filter("host <> ''")
     counts = stored(
         known.groupBy("host").agg(
@@ -92,12 +96,19 @@ def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]], rounds:
     seeds = stored(seeds.filter("score > 0"))
     state = seeds
     back = seeds.select("kind", "host", (F.col("score") * (1 - keep)).alias("score"))
-    for i in range(rounds):
-        moved = steps.join(state, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * keep).alias("score"))
-        state = moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % 5 == 4 or i == rounds - 1:
-            state = stored(state)
-    totals = dict(map(tuple, state.groupBy("kind").agg(F.sum("score")).collect()))  # two numbers
+    left = keep**STRIDE / (1 - keep**STRIDE)
+    while True:
+        before = state
+        for _ in range(STRIDE):
+            moved = steps.join(state, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * keep).alias("score"))
+            state = moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        state = stored(state)
+        both = state.select("kind", "host", "score", F.col("score").alias("change")).union(before.select("kind", "host", F.lit(0.0), -F.col("score")))
+        both = both.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.abs(F.sum("change")).alias("change"))
+        sums = both.groupBy("kind").agg(F.sum("score"), F.sum("change")).collect()  # two numbers of each kind
+        if all(change * left <= total * max(tolerance / max(n_pages, 1), 1e-13) for _, total, change in sums):
+            break
+    totals = {kind: total for kind, total, _ in sums}
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)) / totals.get(kind, 1.0)
     flat = state.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
     return counts.select("host", (F.col("pages") / max(n_pages, 1)).alias("share")).join(flat, "host", "left").na.fill(0.0)

@@ -77,6 +77,16 @@ def test_trust_and_distrust_equal_brute_force(spark):
     assert verdicts[11, "spam.org"] == "block" and verdicts[10, "friend.org"] == "allow" and verdicts[30, "alone.org"] == "allow"
 
 
+def test_scores_reach_the_end_of_a_long_chain(spark):
+    link = lambda host: f'<a href="http://{host}/x">'
+    hosts = ["bad.net", *(f"h{i}.org" for i in range(30))]
+    rows = [(0, "http://bad.net/es/1", None)] + [(i, f"http://{hosts[i]}/", link(hosts[i - 1])) for i in range(1, 31)]
+    got = {r.host: r for r in url_filter.host_scores(pages(spark, rows), url_filter.RULES).collect()}
+    _, distrust = brute_scores(rows)
+    total = sum(distrust.values())
+    assert all(got[h].distrust > 0 and abs(got[h].distrust - distrust[h] / total) < 0.01 / len(rows) for h in hosts)
+
+
 def brute_license(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
