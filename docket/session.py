@@ -38,9 +38,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. ``by``: columns whose values
+    get folders of their own, so that a filter on them reads only theirs. ``forget`` removes the files."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the files of stored tables that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
