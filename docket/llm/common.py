@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.session import stored
+from docket.session import forget, stored
 
 # Entries of each of the two generations of a worker's memo, which bounds its memory.
 CACHE_ENTRIES = 150_000
@@ -234,7 +234,7 @@ def _powers(size: int):
 
     base = 0x9E3779B97F4A7C15
     keep = worker_cache("powers", dict)
-    if len(keep.get("powers", ())) < size:
+    if "powers" not in keep or len(keep["powers"]) < size:
         for name, by in (("powers", base), ("inverse", pow(base, -1, 2**64))):
             steps = np.full(max(size, 2**20), by, np.uint64)
             steps[0] = 1
@@ -271,25 +271,25 @@ def ngram_hashes(hashes, n: int):
         return out ^ (out >> np.uint64(32))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a long, b long): (node, root), root the smallest node of the component.
 
     Each round every node takes the smallest root among its neighbours and then the root of that root (pointer jumping), so a
     chain of n nodes needs about log n rounds. Every round is written to the shared folder; a hub's edges are summed partially
-    before they meet, and only one number per round comes to the driver."""
+    before they meet, and only one number per round comes to the driver. Roots only fall, so the rounds end."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         own = label.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         # The old root learns of the smaller one too, so whole trees hook together.
         hooks = own.select(F.col("root").alias("node"), "low").union(own.select("node", "low"))
         hooked = stored(hooks.groupBy("node").agg(F.min("low").alias("root")))
         jump = hooked.alias("x").join(hooked.alias("y"), F.col("x.root") == F.col("y.node"), "left")
-        after = jump.select("x.node", F.least(F.col("x.root"), F.coalesce("y.root", "x.root")).alias("root"))
-        after = stored(after)
+        after = stored(jump.select("x.node", F.least(F.col("x.root"), F.coalesce("y.root", "x.root")).alias("root")))
         changed = after.join(label.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
+        forget(hooked, label)
         label = after
         if not changed:
+            forget(both)
             return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

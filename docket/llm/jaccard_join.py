@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.llm.common import KEY, components, hash_words, ngram_hashes, over_groups, over_texts, plain, row_key, same_row, table, word_hashes
-from docket.session import stored
+from docket.session import forget, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -16,7 +16,9 @@ SIMILAR = 0.8
 BANDS, ROWS = 32, 4
 STEP = 16  # MinHash values compared between two tests
 TOLERANCE = 1e-7  # a pair is dropped when the posterior chance of reaching the threshold is below
-BLOCK, VERIFY_BLOCK = 512, 256
+BLOCK = 512  # signatures compared with each other at once
+MIXES = 2  # times that bands are dealt into blocks before blocks are paired
+VERIFY_SETS, VERIFY_SHINGLES = 1024, 500_000  # sets of a block that is verified against another, and about their elements
 WORD = re.compile(r"\w+")
 
 
@@ -111,28 +113,55 @@ def _pairs(sides: list[int]):
     return i.ravel(), j.ravel()
 
 
-def blocked(members: DataFrame, sizes: DataFrame, by: list[str], block: int) -> DataFrame:
-    """Cut groups into pairs of blocks: (by, lo, hi, side, node). A group of up to ``block`` members is one block; a larger one
-    is dealt by hash into blocks of about that size, and each pair of blocks becomes a group of its own, so a task holds two
-    blocks at most however large the group is, and every pair of members meets exactly once."""
-    dealt = members.join(sizes.select(*by, F.ceil(F.col("size") / block).cast("int").alias("blocks")), by)
+def blocked(members: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Cut groups into pairs of blocks: (by, lo, hi, side, node). ``blocks`` says into how many blocks a group is dealt by hash;
+    each pair of them becomes a group of its own, so a task holds two blocks at most however large the group is, and every pair
+    of members meets exactly once."""
+    dealt = members.join(blocks.select(*by, "blocks"), by)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     both = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     return both.select(*by, lo.alias("lo"), hi.alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
 
 
-def candidates(sets: DataFrame, similar: float, tolerance: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Edges (a, b) that connect every two sets which share a band and pass the Bayesian test: a spanning forest per pair of
-    blocks, not all pairs."""
-    marked = sets.select("node", F.explode("keys").alias("key"))
-    shared = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = stored(blocked(marked, shared, ["key"], BLOCK))
-    # Bands of one family mostly hold the same members: equal blocks are compared once.
-    lists = met.groupBy("key", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("side", "node"))).alias("members"))
-    group = lists.select(F.xxhash64("members").alias("group"), "members").dropDuplicates(["group"])
+def unsettled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, root): the rows of those bands that still hold two clusters or more."""
+    rooted = met.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return rooted.join(open_, "key")
+
+
+def mixed(rows: DataFrame, seed: int) -> DataFrame:
+    """(key, lo, hi, side, node, root): every band dealt into blocks under ``seed``, each a group of its own."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("blocks")).cast("int")
+    return rows.join(sizes, "key").select("key", own.alias("lo"), own.alias("hi"), F.lit(0).alias("side"), "node", "root")
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """(key, lo, hi, side, node, root): blocks in pairs, so that every two members of different clusters meet. A cluster of more
+    than a block has blocks of its own, which are not paired with each other; the others share blocks whole."""
+    sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    large = F.col("size") > BLOCK
+    pool = sizes.groupBy("key").agg(F.ceil(F.sum(F.when(~large, F.col("size")).otherwise(0)) / BLOCK).cast("int").alias("pool"))
+    dealt = rows.join(sizes, ["key", "root"]).join(pool, "key")
+    part = F.when(large, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)))).otherwise(F.pmod(F.xxhash64("root"), F.col("pool")))
+    dealt = stored(dealt.select("key", "node", "root", F.when(large, F.col("root")).alias("whole"), part.alias("part")))
+    parts = dealt.groupBy("key", "part").agg(F.first("whole").alias("whole"))
+    other = parts.select("key", F.col("part").alias("other"), F.col("whole").alias("theirs"))
+    pairs = parts.join(other, "key").filter("NOT coalesce(whole = theirs, false)").select("key", "part", "other")
+    lo, hi = F.least("part", "other"), F.greatest("part", "other")
+    return dealt.join(pairs, ["key", "part"]).select(
+        "key", lo.alias("lo"), hi.alias("hi"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "root"
+    )
+
+
+def compared(rows: DataFrame, sets: DataFrame, similar: float, tolerance: float, count: int) -> DataFrame:
+    """Edges (a, b) between clusters, one for each pair of a spanning forest per group, of which two members pass the Bayesian
+    test. Bands of one family mostly hold the same members: equal groups are compared once."""
+    lists = rows.groupBy("key", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("side", "node", "root"))).alias("members"))
+    group = lists.select(F.xxhash64("members").alias("group"), "members").filter("size(members) > 1").dropDuplicates(["group"])
     rowwise = group.select("group", F.inline("members")).join(sets.select("node", "sig"), "node")
-    count = bands * rows
     least = {n: needed(n, similar, tolerance) for n in range(STEP, count + 1, STEP)}
 
     def make():
@@ -140,21 +169,48 @@ def candidates(sets: DataFrame, similar: float, tolerance: float, bands: int = B
 
         def work(g: dict) -> dict:
             sig = np.frombuffer(b"".join(g["sig"]), "<u2").reshape(len(g["node"]), count)
+            name, root = np.unique(np.array(g["root"], np.int64), return_inverse=True)
             i, j = _pairs(g["side"])
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
             same = np.zeros(len(i), np.int32)
             for n, fewest in least.items():
                 part = slice(n - STEP, n)
                 same += (sig[i, part] == sig[j, part]).sum(axis=1, dtype=np.int32)
                 alive = same >= fewest
                 i, j, same = i[alive], j[alive], same[alive]
-            root = _tree(len(sig), i, j)
-            moved = np.nonzero(root != np.arange(len(root)))[0]
-            node = np.array(g["node"], np.int64)
-            return {"a": node[moved].tolist(), "b": node[root[moved]].tolist()}
+            low = _tree(len(name), root[i], root[j])
+            moved = np.nonzero(low != np.arange(len(low)))[0]
+            return {"a": name[moved].tolist(), "b": name[low[moved]].tolist()}
 
         return work
 
-    return over_groups(rowwise.select("group", "side", "node", "sig"), ["group"], make, "a long, b long")
+    return over_groups(rowwise.select("group", "side", "node", "root", "sig"), ["group"], make, "a long, b long")
+
+
+def candidates(sets: DataFrame, similar: float, tolerance: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, root): clusters of sets of which every two that share a band and pass the Bayesian test are in one.
+
+    A band's members are first compared within blocks, then, where clusters remain apart, within blocks dealt anew, and at last
+    between the clusters that are still apart. A family of any size is one cluster after the first two steps and leaves, so
+    rows and edges grow with its members, not with their pairs; no pair that could join two clusters is left out."""
+    marked = sets.select("node", F.explode("keys").alias("key"))
+    shared = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    met = stored(marked.join(shared, "key").select("key", "node"))
+    labels = met.select("node", F.col("node").alias("root")).limit(0)
+    for step in range(MIXES + 1):
+        open_ = stored(unsettled(met, labels))
+        groups = across(open_) if step == MIXES else mixed(open_, step)
+        edges = stored(compared(groups, sets, similar, tolerance, bands * rows))
+        joined = components(edges)
+        # Clusters are named by their smallest member; edges are between clusters, so old names lead to new ones.
+        moved = joined.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        kept = labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        fresh = joined.join(labels.select("node"), "node", "left_anti")
+        labels = stored(kept.union(fresh))
+        forget(open_, edges, joined)
+    forget(met)
+    return labels
 
 
 def verify(docs: DataFrame, sets: DataFrame, clusters: DataFrame, similar: float, shingle: int = SHINGLE) -> DataFrame:
@@ -176,8 +232,9 @@ def verify(docs: DataFrame, sets: DataFrame, clusters: DataFrame, similar: float
 
     found = over_texts(texts.select("text"), make_sets, "node long, found binary").dropDuplicates(["node"])
     found = stored(found.join(sets.select("node", "size"), "node"))
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    rowwise = blocked(clusters.select("root", "node"), sizes, ["root"], VERIFY_BLOCK).join(found, "node")
+    held = clusters.join(sets.select("node", "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"))
+    blocks = F.ceil(F.greatest(F.col("sets") / VERIFY_SETS, F.col("elements") / VERIFY_SHINGLES)).cast("int")
+    rowwise = blocked(clusters.select("root", "node"), held.select("root", blocks.alias("blocks")), ["root"]).join(found, "node")
 
     def make():
         import numpy as np
@@ -231,10 +288,10 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tolerance: float
     prints = stored(fingerprints(docs, shingle))
     sets = stored(
         prints.filter("n > 0").groupBy("node").agg(
-            F.min(F.struct(*KEY)).alias("rep"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
+            F.min(F.struct(*KEY)).alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
         )
     )
-    clusters = components(candidates(sets, similar, tolerance))
+    clusters = candidates(sets, similar, tolerance)
     checked = stored(verify(docs, sets, clusters, similar, shingle))
     linked = components(checked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
