@@ -77,7 +77,8 @@ def lowered(text: Column) -> Column:
 
 
 def words(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(piece, pos, id, lang, word): every word of every whole text at its place in its piece, pieces numbered over the table.
+    """(piece, pos, id, word): every word of every whole text at its place in its piece, pieces numbered over the table. A word
+    carries its lang, a space between them; no word holds a space.
 
     Pieces are dealt to the buckets before they are cut into words, so what travels is text."""
     text = lowered(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -86,16 +87,20 @@ def words(docs: DataFrame, seed: int = 0) -> DataFrame:
     numbered = pieces.withColumn("piece", F.monotonically_increasing_id()).filter("text <> ''")
     dealt = numbered.repartition(buckets(docs.sparkSession), "piece")
     each = dealt.select("piece", F.posexplode(F.split("text", "[ \t]+")).alias("pos", "word"), "lang").filter("word <> ''")
-    return each.select("piece", "pos", F.xxhash64(F.lit(seed), "lang", "word").alias("id"), "lang", "word")
+    word = F.concat("lang", F.lit(" "), "word")
+    return each.select("piece", "pos", F.xxhash64(F.lit(seed), word).alias("id"), word.alias("word"))
 
 
 def vocabulary(docs: DataFrame) -> tuple[Relation, DataFrame]:
-    """The occurrences of all words, and the words with their ids and counts. Ids are hashes of (lang, word) under the first
+    """The occurrences of all words, and (lang, word, a, id), the words with their counts and ids. Ids are hashes under the first
     seed that gives no two words of the whole table the same."""
     seed = 0
     while True:
         relation = Relation(words(docs, seed), dealt=True)
-        found = stored(relation.rows.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("a"), F.min("id").alias("id")))
+        each = relation.rows.groupBy("word").agg(F.count(F.lit(1)).alias("a"), F.min("id").alias("id"))
+        word = F.substring_index("word", " ", -1)
+        lang = F.expr("substr(word, 1, char_length(word) - char_length(substring_index(word, ' ', -1)) - 1)")
+        found = stored(each.select(lang.alias("lang"), word.alias("word"), "a", "id"))
         every, ids = found.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
         if every == ids:
             return relation, found

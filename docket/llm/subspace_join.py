@@ -136,7 +136,7 @@ def linked(rows: DataFrame, main, dealt: list[list[int]], size: int, similar: fl
             block, links = g["block"][0], np.zeros(len(node), np.int64)
             left = np.nonzero(side == 0)[0]
             right = left if side.max() == 0 else np.nonzero(side == 1)[0]
-            at_left, at_right = [], []
+            at_left, at_right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for start in range(0, len(left), 256):
                 rows = left[start : start + 256]
                 fits = distances(turned[rows][:, dealt[block]], turned[right][:, dealt[block]]) <= budgets[block]
