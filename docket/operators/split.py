@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions import metrics
-from docket.operators.scan import biggest_group, ordered_scan
-from docket.session import stored
+from docket.operators.scan import biggest_group, group_join, ordered_scan
+from docket.session import forget, stored
 
 CAP = 20 * 1024 * 1024
 TARGETS_MB = {"email": 10, "standard": 25}
-LADDER = 96  # enough quarter steps to bring any 32-bit page count down to one
 
 
 def pages_per_part(size: Column, pages: Column, cap: int) -> Column:
@@ -50,74 +47,28 @@ def _reach(pages: DataFrame, cap: int, group_rows: int | None, size: tuple[int,
     return counted.filter("kind = 1").select("report_id", "p", F.col("fits").alias("reach"))
 
 
-def _follow(steps: DataFrame, block_rows: int) -> DataFrame:
-    """Pages at which parts start, from 0 on, given for each page ``p`` the start ``nxt`` of the part after it.
+def _follow(steps: DataFrame) -> DataFrame:
+    """(report_id, start, stop) of the parts, the first from page 0 on, given for each page ``p`` the start ``nxt`` of the part
+    after one that starts at ``p``.
 
-    Following the starts is sequential, but where a block of pages is left depends only on where it is entered. So every
-    block works out its exits for all entries on its own; the chain over blocks then reads one exit per block; and every
-    block, entry known, lists its starts on its own. A block is 64 times the longest part, so exits are few against
-    pages. The steps are read three times and cost two scans, so they are stored first."""
+    Following the starts one by one is sequential; pointer doubling follows them all at once. A table of jumps leads each page
+    over 1, 2, 4, ... parts: it is joined with itself on (report, page), and whatever it leads to from the starts found so far is
+    a start too, so the starts double per round. Jumps past the last page drop out, and the rounds end with the last jump: as
+    many as the logarithm of the longest row of parts. Every join is on single pages, so no task holds a report."""
     steps = stored(steps)
-    longest = steps.groupBy("report_id").agg(F.max(F.col("nxt") - F.col("p")).alias("longest"), F.count(F.lit(1)).alias("n"))
-    width = F.greatest(F.lit(block_rows).cast("long"), F.col("longest") * 64)
-    # Bounded rows per report, joined back by (report, coarse block) so that a big report spreads over tasks.
-    coarse = longest.select(
-        "report_id", "longest", width.alias("width"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_rows))).alias("coarse"),
-    )
-    blocks = (
-        steps.withColumn("coarse", F.floor(F.col("p") / block_rows))
-        .join(coarse, ["report_id", "coarse"])
-        .select("report_id", F.floor(F.col("p") / F.col("width")).alias("block"), "width", "longest", "p", "nxt")
-    )
-
-    # Local functions travel with the job, so workers need no copy of this package.
-    def ordered(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
-        pdf = pdf.sort_values("p")
-        return int(pdf["p"].iloc[0]), pdf["nxt"].to_numpy()
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, nxt = ordered(pdf)
-        size = len(nxt)
-        out = nxt.copy()
-        for i in range(size - 1, -1, -1):
-            if nxt[i] < lo + size:
-                out[i] = out[nxt[i] - lo]
-        entries = out[: int(pdf["longest"].iloc[0])]
-        return pd.DataFrame(
-            {"report_id": [pdf["report_id"].iloc[0]], "block": [pdf["block"].iloc[0]], "lo": [lo], "size": [size], "exits": [entries]}
-        )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        at, entry = 0, []
-        for lo, size, table in zip(pdf["lo"], pdf["size"], pdf["exits"]):
-            inside = at < lo + size
-            entry.append(at if inside else -1)
-            at = int(table[at - lo]) if inside else at
-        return pd.DataFrame({"report_id": pdf["report_id"], "block": pdf["block"], "entry": entry})
-
-    def starts(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            lo, nxt = ordered(left)
-            at = int(right["entry"].iloc[0])
-            while 0 <= at - lo < len(nxt):
-                found.append((at, int(nxt[at - lo])))
-                at = found[-1][1]
-        return pd.DataFrame(
-            {"report_id": key[0], "start": [s for s, _ in found], "stop": [e for _, e in found]}
-        ).astype({"report_id": "int64", "start": "int64", "stop": "int64"})
-
-    tables = blocks.groupBy("report_id", "block").applyInPandas(
-        exits, "report_id bigint, block bigint, lo bigint, size bigint, exits array<bigint>"
-    )
-    entries = tables.groupBy("report_id").applyInPandas(chain, "report_id bigint, block bigint, entry bigint").filter("entry >= 0")
-    return (
-        blocks.groupBy("report_id", "block")
-        .cogroup(entries.groupBy("report_id", "block"))
-        .applyInPandas(starts, "report_id bigint, start bigint, stop bigint")
-    )
+    pages = steps.select("report_id", F.col("p").alias("nxt"))
+    jumps = stored(steps.join(pages, ["report_id", "nxt"], "left_semi").select("report_id", "p", "nxt"))
+    starts = steps.filter("p = 0").select("report_id", "p")
+    old = []
+    while jumps.limit(1).count():
+        reached = starts.join(jumps, ["report_id", "p"]).select("report_id", F.col("nxt").alias("p"))
+        starts = stored(starts.union(reached))
+        further = jumps.select("report_id", F.col("p").alias("nxt"), F.col("nxt").alias("far"))
+        old += [starts, jumps]
+        jumps = stored(jumps.join(further, ["report_id", "nxt"]).select("report_id", "p", F.col("far").alias("nxt")))
+    out = stored(steps.join(starts, ["report_id", "p"], "left_semi").select("report_id", F.col("p").alias("start"), F.col("nxt").alias("stop")))
+    forget(steps, jumps, *old)
+    return out
 
 
 def _numbered(parts: DataFrame, group_rows: int | None, size: tuple[int, int]) -> DataFrame:
@@ -135,37 +86,40 @@ def _slim(page_sizes: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return sizes, biggest_group(sizes, ["report_id"])
 
 
-def split_greedy(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None) -> DataFrame:
+def split_greedy(page_sizes: DataFrame, cap: int = CAP, group_rows: int | None = None) -> DataFrame:
     """Fill every part as far as ``cap`` allows; a page above the cap is a part of its own. ``page_sizes``: (report_id,
     global_page from 1, n_bytes)."""
     sizes, size = _slim(page_sizes)
     steps = _reach(sizes, cap, group_rows, size).select(
         "report_id", "p", F.greatest("reach", F.col("p") + 1).alias("nxt")
     )
-    return _numbered(_follow(steps, block_rows), group_rows, size)
+    return _numbered(_follow(steps), group_rows, size)
 
 
-def split_adaptive(page_sizes: DataFrame, cap: int = CAP, block_rows: int = 65_536, group_rows: int | None = None) -> DataFrame:
-    """Start from the average-size estimate and take a quarter of the pages off while a part is too big."""
-    sizes, size = _slim(page_sizes)
-    totals = sizes.groupBy("report_id").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    per = F.when(F.col("bytes") <= cap, F.col("n")).otherwise(pages_per_part(F.col("bytes"), F.col("n"), cap))
-    totals = totals.withColumn("per", per)
-    reach = _reach(sizes, cap, group_rows, size).withColumn("coarse", F.floor(F.col("p") / block_rows))
-    spread = totals.withColumn(
-        "coarse", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block_rows)))
-    )
-    fits = F.col("reach") - F.col("p")
-    first = F.least("per", F.col("n") - F.col("p"))
-    length = F.aggregate(
-        F.sequence(F.lit(1), F.lit(LADDER)),
+def _shortened(first: Column, fits: Column) -> Column:
+    """Pages of a part of ``first`` pages that has a quarter taken off, one page at least, while it is longer than ``fits`` and
+    than one page. A quarter off brings any number down to one in the steps counted here."""
+    steps = F.ceil(F.log(F.greatest(first, F.lit(1))) / F.log(F.lit(4 / 3))).cast("int") + 3
+    return F.aggregate(
+        F.sequence(F.lit(1), steps),
         first,
         lambda pages, _: F.when(
             (pages > fits) & (pages > 1), pages - F.greatest(F.lit(1).cast("long"), F.floor(pages / 4))
         ).otherwise(pages),
     )
-    steps = reach.join(spread, ["report_id", "coarse"]).select("report_id", "p", (F.col("p") + length).alias("nxt"))
-    return _numbered(_follow(steps, block_rows), group_rows, size)
+
+
+def split_adaptive(page_sizes: DataFrame, cap: int = CAP, group_rows: int | None = None) -> DataFrame:
+    """Start from the average-size estimate and take a quarter of the pages off while a part is too big."""
+    sizes, size = _slim(page_sizes)
+    totals = sizes.groupBy("report_id").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    # A report without bytes fits whole, so its average is never asked for.
+    per = F.when(F.col("bytes") <= cap, F.col("n")).otherwise(pages_per_part(F.col("bytes"), F.col("n"), cap))
+    totals = totals.select("report_id", "n", per.alias("per"))
+    reach = group_join(_reach(sizes, cap, group_rows, size), totals, ["report_id"])
+    first = F.least("per", F.col("n") - F.col("p"))
+    length = _shortened(first, F.col("reach") - F.col("p"))
+    return _numbered(_follow(reach.select("report_id", "p", (F.col("p") + length).alias("nxt"))), group_rows, size)
 
 
 def delivery_plan(reports: DataFrame, parts: DataFrame, cap: int = CAP) -> DataFrame:
