@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docket.functions import metrics, names
 from docket.functions.rules import RULE_SCHEMA, standard_rules
 from docket.operators import actions as act
-from docket.operators import assemble, classify, curate, edits, evidence, excerpt, ingest, split, summaries
+from docket.operators import assemble, classify, curate, edits, evidence, excerpt, ingest, search, split, summaries
 from docket.plans import curate as plans
 from docket.schema import MANIFEST_JSON
 from docket.session import scratch_dir
@@ -336,6 +336,16 @@ def search_filename(c: Corpus) -> DataFrame:
     return act.search_filename(c.filings, asked)
 
 
+@query
+def search_names(c: Corpus) -> DataFrame:
+    """Every command's search within its report, and their beginnings of one to four characters over all reports."""
+    own = c.actions.select(F.struct("report_id", "seq").cast("string").alias("query_id"), "report_id", F.col("params.query").alias("query"))
+    short = own.select(F.explode(F.array(*[F.substring("query", 1, n) for n in (1, 2, 3, 4)])).alias("query")).distinct()
+    everywhere = short.filter("query <> ''").select(F.concat(F.lit("all "), "query").alias("query_id"), F.lit(None).cast("long").alias("report_id"), "query")
+    found = search.search_names(c.filings, own.union(everywhere))
+    return found.withColumn("everywhere", F.col("query_id").startswith("all ")).select("everywhere", "query", "report_id", "doc_id", "original_filename")
+
+
 @query
 def run_duration(c: Corpus) -> DataFrame:
     return summaries.run_duration(c.reports)

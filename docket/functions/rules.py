@@ -1,7 +1,8 @@
 """Filename rules as data, compiled to one column expression.
 
 A rule pack is a list of rules in priority order; the first that matches wins. Compiling gives a single CASE over the
-name, folder and stem columns, evaluated in one pass over the rows: no join against the rules and no Python per row.
+name, folder and stem columns, evaluated in one pass over the rows: no join against the rules and no Python per row. Rules in
+a table are matched by ``docket.operators.search`` instead.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ class Rule(NamedTuple):
     reason: str
 
 
+RULE_FIELDS = ["category", "subcategory", "confidence", "sort_order", "reason"]
 RULE_SCHEMA = (
     "prio int, scope string, pattern string, category string, subcategory string, confidence double, "
     "sort_order int, reason string"
@@ -60,12 +62,6 @@ def standard_rules() -> list[Rule]:
     return [Rule(i + 1, *r) for i, r in enumerate(found)]
 
 
-def rules_from_table(table: DataFrame) -> list[Rule]:
-    """A user's rule table as a pack, strongest first. Rules are settings written by people, not data; any number will do."""
-    rows = sorted(table.select(*Rule._fields).toLocalIterator(), key=lambda row: row["prio"])
-    return [Rule(*row) for row in rows]
-
-
 def _quoted(value) -> str:
     if value is None:
         return "NULL"
@@ -74,7 +70,7 @@ def _quoted(value) -> str:
     return f"{value}D" if isinstance(value, float) else repr(value)
 
 
-def _texts(name: str, path: str, size: str | None) -> dict[str, Column]:
+def rule_texts(name: str, path: str, size: str | None) -> dict[str, Column]:
     """What the patterns read, and which files each scope is for."""
     file, low = F.col(name), F.lower(name)
     divider = ~low.contains("qualifications")
@@ -116,10 +112,19 @@ def first_match(rules: Sequence[Rule]) -> Column:
     return F.expr(f"COALESCE({', '.join(f'CASE {" ".join(p)} END' for p in packs)}, NULL)")
 
 
+def first_rule(rules: Sequence[Rule]) -> Column:
+    """The first matching rule as a struct of its fields, over the columns of ``rule_texts``."""
+    rows = ", ".join(f"struct({', '.join(map(_quoted, r))})" for r in rules)
+    kind = f"struct<{', '.join(f'{f.split()[0]}: {f.split()[1]}' for f in RULE_SCHEMA.split(', '))}>"
+    if not rules:
+        return F.lit(None).cast(kind)
+    return F.get(F.expr(f"array({rows})").cast(f"array<{kind}>"), first_match(rules) - 1)
+
+
 def rule_columns(df: DataFrame, rules: Sequence[Rule], name: str, path: str, size: str | None, prefix: str) -> DataFrame:
     """Add the winning rule's fields as ``prefix``-columns. The texts and the rule's place are worked out once per row;
     the fields are looked up in literal arrays."""
-    texts = _texts(name, path, size)
+    texts = rule_texts(name, path, size)
     found = once(once(df, texts), {"__rule": first_match(rules)}).drop(*texts)
 
     def field(values, kind: str) -> Column:

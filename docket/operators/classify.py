@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from docket import fixed_values as fv
 from docket.functions import metrics, names
 from docket.functions.once import once
-from docket.functions.rules import Rule, rule_columns, rules_from_table, standard_rules
+from docket.functions.rules import RULE_FIELDS, Rule, rule_columns, standard_rules
+from docket.operators.search import match_rules
 from docket.schema import known_section, section_alias
 
 SURE = 0.85
-RULE_FIELDS = ["category", "subcategory", "confidence", "sort_order", "reason"]
 
 
 def classify_by_name(
@@ -27,10 +27,12 @@ def classify_by_name(
     return rule_columns(df, rules or standard_rules(), name, path, size, prefix)
 
 
-def classify_by_table(df: DataFrame, rule_table: DataFrame, **kw) -> DataFrame:
-    """The same with the rules of a table. Patterns compile into the row expression, so no row meets every rule in a
-    join."""
-    return classify_by_name(df, rules_from_table(rule_table), **kw)
+def classify_by_table(
+    df: DataFrame, rule_table: DataFrame, name: str = "original_filename", path: str = "original_path", size: str | None = None,
+    prefix: str = "rule_",
+) -> DataFrame:
+    """The same with the rules of a table of any length, which stays a table: rules and names meet by the grams they share."""
+    return match_rules(df, rule_table, name, path, size, prefix)
 
 
 def prefilter(df: DataFrame, name: str = "original_filename") -> DataFrame:

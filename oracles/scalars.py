@@ -116,6 +116,15 @@ CHECKS = {
         FROM filings f JOIN (SELECT report_id, arg_max(query, seq) AS query FROM actions GROUP BY report_id) q
           ON q.report_id = f.report_id WHERE strpos(lower(f.original_filename), lower(q.query)) > 0""",
     ),
+    "search_names": with_tables(
+        "actions",
+        """SELECT false AS everywhere, q.query, f.report_id, f.doc_id, f.original_filename
+        FROM filings f JOIN actions q ON q.report_id = f.report_id WHERE contains(lower(f.original_filename), lower(q.query))
+        UNION ALL
+        SELECT true, q.query, f.report_id, f.doc_id, f.original_filename
+        FROM filings f, (SELECT DISTINCT left(query, n) AS query FROM actions, (VALUES (1), (2), (3), (4)) AS lengths(n) WHERE query <> '') q
+        WHERE contains(lower(f.original_filename), lower(q.query))""",
+    ),
     "cascade_delete": with_tables(
         "reports", "SELECT report_id, doc_id FROM filings WHERE report_id NOT IN (SELECT report_id FROM reports WHERE status = 'done')"
     ),

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docket.functions import metrics, names
-from docket.functions.rules import RULE_SCHEMA, Rule, rule_columns, rules_from_table, standard_rules
+from docket.functions.rules import RULE_SCHEMA, Rule, rule_columns, standard_rules
+from docket.operators import search
+from docket.operators.search import required
 from docket.operators import classify
 from docket.operators.assemble import natural_key
 
@@ -128,13 +130,49 @@ def test_needs_verdict(spark, filings):
 
 
 def test_rule_table_of_any_length(spark):
-    table = [(i, "name", f"^file{i}_", "APPENDIX_A" if i % 2 else "APPENDIX_B", None, 0.9, None, f"rule {i}") for i in range(2500)]
-    rules = rules_from_table(spark.createDataFrame(table, RULE_SCHEMA))
-    names = spark.createDataFrame([(1, "file7_x.pdf"), (2, "file2499_x.pdf"), (3, "nothing.pdf")], "doc_id int, original_filename string")
-    rows = rule_columns(names.withColumn("original_path", F.lit(None).cast("string")), rules, "original_filename", "original_path", None, "rule_")
-    assert {r.doc_id: (r.rule_category, r.rule_reason) for r in rows.collect()} == {
-        1: ("APPENDIX_A", "rule 7"), 2: ("APPENDIX_A", "rule 2499"), 3: (None, None),
+    """Five thousand rules, with and without runs of characters, against the same rules as one expression."""
+    patterns = [(f"^file{i}_", "name") for i in range(4000)] + [(rf"part {i}\b.*\.pdf$", "name") for i in range(700)]
+    patterns += [(rf"^f.?{i}[ab]", "name") for i in range(200)] + [("box(es)?/old", "folder"), ("scan|photo", "camera"), ("", "image"), ("map", "image")]
+    patterns += [(r"^appendix\s*c", "divider"), ("(?i)PLAN", "body"), ("é+tude", "name"), (r"a{2}b\+c", "name"), ("[x]yz|uvw", "name")]
+    table = [
+        ((i * 7919) % 5003, scope, p, "APPENDIX_A" if i % 2 else "APPENDIX_B", "sub" if i % 3 else None, 0.5 + i % 5 / 10, i % 4 or None, f"rule {i}")
+        for i, (p, scope) in enumerate(patterns)
+    ]
+    names = [f"file{i}_x.pdf" for i in (7, 77, 3999)] + ["File7_part 12.pdf", "nothing.pdf", "f3a.txt", "fx3a file3_", "part 7 of it.PDF", "boxes.jpg", "map.png"]
+    names += ["scanned.tif", "photo 1.jpeg", "Appendix C.pdf", "site plan.pdf", "éétude.doc", "aab+c", "xyz", "auvw", "", None, "file7_x.pdf"]
+    rows = [(i, n, "box/old" if i % 4 == 0 else None, i * 10_000) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id int, original_filename string, original_path string, file_size long")
+    rules = spark.createDataFrame(table, RULE_SCHEMA)
+    compiled = sorted((Rule(*r) for r in table), key=lambda r: r.prio)
+    for size in (None, "file_size"):
+        want = rule_columns(df, compiled, "original_filename", "original_path", size, "rule_")
+        got = classify.classify_by_table(df, rules, size=size)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_required_runs():
+    held = {
+        r"^file12_": "file12_", r"abc?def": "def", r"ab|cdef": None, r"(?i)abcdef": None, r"(abc)+xy": None, r"abc\.pdf$": "abc.pdf", r"[abc]def": "def",
+        r"ab{2}cde": "cde", "(": None, "": None, r"appendix\s*a\b": "appendix",
     }
+    assert {p: required(p) for p in held} == held
+
+
+def test_many_searches(spark, filings):
+    names = ["Sanborn Map.pdf", "map of site.pdf", "sAN.txt", "b", "", None, "Étude 1.pdf", "a%b_c.pdf", "xxmapxx"] * 2
+    df = filings(*[{"original_filename": n, "report_id": 1 + i % 2} for i, n in enumerate(names)])
+    asked = ["map", "SAN", "a", "pd", "", None, "étude", "%b_", "nowhere", "map of site.pdf", "xx", "b"]
+    queries = [(2 * i + j, r, q) for i, q in enumerate(asked) for j, r in enumerate([None, 2])]
+    got = search.search_names(df, spark.createDataFrame(queries, "query_id int, report_id bigint, query string"))
+    want = {
+        (n, d.doc_id)
+        for n, r, q in queries for d in df.collect()
+        if q is not None and d.original_filename is not None and r in (None, d.report_id) and q.lower() in d.original_filename.lower()
+    }
+    assert sorted((r.query_id, r.doc_id) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
 
 
 def test_verdicts_that_fail(spark):
