@@ -243,6 +243,15 @@ def delete_pages(c: Corpus) -> DataFrame:
     return excerpt.delete_pages(c.doc_pages, asked).select("doc_id", "page_no", "new_page_no")
 
 
+@query
+def delete_many_pages(c: Corpus) -> DataFrame:
+    """Every third document loses two of three pages, another third its even ones."""
+    page, doc = F.col("page_no"), F.col("doc_id") % 3
+    lost = c.doc_pages.filter(((doc == 0) & (page % 3 != 1)) | ((doc == 1) & (page % 2 == 0)))
+    asked = lost.groupBy("doc_id").agg(F.collect_list("page_no").alias("pages"))
+    return excerpt.delete_pages(c.doc_pages, asked).select("doc_id", "page_no", "new_page_no")
+
+
 def _paragraph_table(c: Corpus) -> DataFrame:
     """Lines of the documents as styled paragraphs of two runs: first word and the rest."""
     lines = F.split("text", "\n", -1)
@@ -496,7 +505,16 @@ def assembly_order_strict(c: Corpus) -> DataFrame:
 @query
 def assembly_order_natural(c: Corpus) -> DataFrame:
     placed = assemble.assembly_order(c.filings, c.reports, natural=True)
-    return placed.select("report_id", "pos", "doc_id", F.concat_ws("|", "sort_name.*").alias("sort_name"))
+    return placed.select("report_id", "pos", "doc_id", F.col("sort_name.name").alias("sort_name"))
+
+
+@query
+def natural_names(c: Corpus) -> DataFrame:
+    """The order of names that hold two numbers, one of them behind zeros."""
+    second = F.concat(F.lit(" ("), (F.col("doc_id") * 7 % 23).cast("string"), F.lit(")"))
+    named = c.filings.withColumn("original_filename", F.concat(F.regexp_replace("original_filename", "[0-9]{4}", "00"), second))
+    placed = assemble.assembly_order(named, c.reports, natural=True)
+    return placed.select("report_id", "pos", "doc_id", F.col("sort_name.name").alias("sort_name"))
 
 
 @query

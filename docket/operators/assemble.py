@@ -21,12 +21,13 @@ def assembly_candidates(filings: DataFrame) -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key in which the first number counts by value: the text before it, its length without leading zeros, its digits,
-    the rest. No width is set, so no digits are lost."""
-    head = F.regexp_extract(name, r"^(\D*)", 1)
-    digits = F.regexp_extract(name, r"^\D*0*(\d*)", 1)
-    rest = F.regexp_replace(name, r"^\D*\d*", "")
-    return F.struct(head.alias("head"), F.length(digits).alias("size"), digits.alias("digits"), rest.alias("rest"))
+    """Sort key in which every number counts by value: the texts between numbers, each with the number after it as its length
+    without leading zeros and its digits. No width is set, so no digits are lost; names of equal key go by their text."""
+    part = r"(\D*)0*(\d*)"
+    texts = F.regexp_extract_all(name, F.lit(part), F.lit(1))
+    digits = F.regexp_extract_all(name, F.lit(part), F.lit(2))
+    parts = F.zip_with(texts, digits, lambda t, d: F.struct(t.alias("text"), F.length(d).alias("size"), d.alias("digits")))
+    return F.struct(parts.alias("parts"), name.alias("name"))
 
 
 def sort_columns(df: DataFrame, strict: bool = False, natural: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ the document has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket import fixed_values as fv
@@ -16,6 +16,7 @@ from docket.operators.scan import top_per_group
 
 SAMPLE_BREAK = "\n[SAMPLE PAGE]\n"
 PAGE_BLOCK = 4096
+RANK_BLOCK = 256  # pages that share a count of the deleted ones before them
 SAMPLE_FROM, SAMPLE_TO, SAMPLE_MAX = 50, 500, 5
 
 
@@ -208,19 +209,37 @@ def prompt_rows(filings: DataFrame, excerpts: DataFrame, cut: int = 500) -> Data
     return filings.join(excerpts, "doc_id", "left").select("doc_id", F.concat_ws("\n", head, path, size, body).alias("prompt"))
 
 
+def _ranks(doc_pages: DataFrame, listed: DataFrame) -> DataFrame:
+    """(doc_id, block, gone, before) for every block of RANK_BLOCK pages of the documents that lose some: the deleted pages
+    within the block, and how many there are in the blocks before. Blocks are counted within runs of RANK_BLOCK blocks and the
+    runs among each other, so no window holds more than one row per RANK_BLOCK squared pages of a document."""
+    block = F.floor(F.col("page_no") / RANK_BLOCK).alias("block")
+    gone = listed.groupBy("doc_id", block).agg(F.collect_list("page_no").alias("gone"))
+    some = listed.select("doc_id").distinct()
+    there = doc_pages.select("doc_id", block).distinct().join(some, "doc_id", "left_semi")
+    run = F.floor(F.col("block") / RANK_BLOCK)
+    blocks = there.join(gone, ["doc_id", "block"], "left").withColumns({"lost": F.greatest(F.size("gone"), F.lit(0)), "run": run})
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    within = earlier.partitionBy("doc_id", "run").orderBy("block")
+    runs = blocks.groupBy("doc_id", "run").agg(F.sum("lost").alias("lost"))
+    sums = runs.select("doc_id", "run", F.coalesce(F.sum("lost").over(earlier.partitionBy("doc_id").orderBy("run")), F.lit(0)).alias("runs_before"))
+    placed = blocks.withColumn("before", F.coalesce(F.sum("lost").over(within), F.lit(0))).join(sums, ["doc_id", "run"])
+    return placed.select("doc_id", "block", "gone", (F.col("before") + F.col("runs_before")).alias("before"))
+
+
 def delete_pages(doc_pages: DataFrame, requests: DataFrame) -> DataFrame:
     """Drop the listed pages and number the rest again from 0; pages are numbered without gaps. Indexes that do not exist
     change nothing: negative ones are left out, and those beyond the last page come before no page.
 
-    A page's new number is its own less the deleted ones before it, so pages meet one short row per document and are neither
-    sorted nor counted."""
+    A page's new number is its own less the deleted ones before it: those of earlier blocks, counted once per block, and those
+    before it in its own. So a page meets one short row of its block, however many pages its document loses."""
     listed = requests.select("doc_id", F.explode("pages").alias("page_no")).filter("page_no >= 0").distinct()
-    gone = listed.groupBy("doc_id").agg(F.sort_array(F.collect_list("page_no")).alias("__gone"))
-    met = doc_pages.join(gone, "doc_id", "left")
+    ranks = _ranks(doc_pages, listed).select("doc_id", F.col("block").alias("__block"), F.col("gone").alias("__gone"), F.col("before").alias("__before"))
+    met = doc_pages.withColumn("__block", F.floor(F.col("page_no") / RANK_BLOCK)).join(ranks, ["doc_id", "__block"], "left")
     page = F.col("page_no")
     left = met.filter(F.col("__gone").isNull() | ~F.array_contains("__gone", page))
-    before = F.when(F.col("__gone").isNull(), 0).otherwise(F.size(F.filter("__gone", lambda x: x < page)))
-    return left.withColumn("new_page_no", (page - before).cast("int")).drop("__gone")
+    before = F.coalesce("__before", F.lit(0)) + F.greatest(F.size(F.filter("__gone", lambda x: x < page)), F.lit(0))
+    return left.select(*doc_pages.columns, (page - before).cast("int").alias("new_page_no"))
 
 
 def html_blocks(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:

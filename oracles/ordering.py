@@ -44,9 +44,13 @@ REAL = f"{ordered('filings')}, {KEPT}, {manifest('kept', 'JOIN kept USING (doc_i
 STREAM = f"""{REAL}, stream AS (SELECT m.report_id, m.start_page + p.page_no AS global_page, p.doc_id, p.page_no, p.n_bytes
   FROM man m JOIN doc_pages p USING (doc_id) WHERE p.page_no < m.page_count)"""
 _LOW = "lower(original_filename)"
-_DIGITS = f"regexp_extract({_LOW}, '^[^0-9]*0*([0-9]*)', 1)"
-# Text before the first number, its value as length and digits, and what follows.
-NATURAL = [f"regexp_extract({_LOW}, '^([^0-9]*)', 1)", f"length({_DIGITS})", _DIGITS, f"regexp_replace({_LOW}, '^[^0-9]*[0-9]*', '')"]
+# The texts between numbers, and each number's length and digits without leading zeros, as lists; then the name.
+_PART = "'([^0-9]*)0*([0-9]*)'"
+NATURAL = [
+    f"list_transform(list_zip(regexp_extract_all({_LOW}, {_PART}, 1), regexp_extract_all({_LOW}, {_PART}, 2)), lambda x: "
+    "{'text': x[1], 'size': length(x[2]), 'digits': x[2]})",
+    _LOW,
+]
 ORDERS = "reports sections filings"
 
 
@@ -87,7 +91,12 @@ CHECKS = {
     "assembly_order": with_tables(ORDERS, f"{ordered('filings')} SELECT report_id, pos, doc_id, category FROM placed"),
     "assembly_order_strict": with_tables(ORDERS, f"{ordered('filings', strict=True)} SELECT report_id, pos, doc_id, category FROM placed"),
     "assembly_order_natural": with_tables(
-        ORDERS, f"{ordered('filings', name_key=', '.join(NATURAL))} SELECT report_id, pos, doc_id, concat_ws('|', {', '.join(NATURAL)}) AS sort_name FROM placed"
+        ORDERS, f"{ordered('filings', name_key=', '.join(NATURAL))} SELECT report_id, pos, doc_id, {_LOW} AS sort_name FROM placed"
+    ),
+    "natural_names": with_tables(
+        ORDERS,
+        f"""numbered AS (SELECT * REPLACE (regexp_replace(original_filename, '[0-9]{{4}}', '00', 'g') || ' (' || (doc_id * 7 % 23) || ')' AS original_filename)
+        FROM filings), {ordered('numbered', name_key=', '.join(NATURAL))} SELECT report_id, pos, doc_id, {_LOW} AS sort_name FROM placed""",
     ),
     "omitted": with_tables(
         ORDERS,

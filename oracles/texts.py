@@ -84,6 +84,11 @@ CHECKS = {
         """SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS INTEGER) AS new_page_no
         FROM doc_pages WHERE page_no <> 1""",
     ),
+    "delete_many_pages": with_tables(
+        "doc_pages",
+        """SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_no) - 1 AS INTEGER) AS new_page_no
+        FROM doc_pages WHERE NOT ((doc_id % 3 = 0 AND page_no % 3 <> 1) OR (doc_id % 3 = 1 AND page_no % 2 = 0))""",
+    ),
     "html_blocks": r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS h FROM pages),
         o AS (SELECT page_id, h, regexp_extract_all(h, '(?i)<(h[1-6]|p|tr)(?:\s[^>]*)?>', 1) AS tags,
                      string_split_regex(h, '(?i)<(?:h[1-6]|p|tr)(?:\s[^>]*)?>') AS bodies FROM c),

@@ -90,6 +90,15 @@ def test_delete_pages_ignores_unknown_indexes(spark):
     assert got == [(1, 1, 0), (1, 3, 1), (2, 0, 0), (2, 1, 1)]
 
 
+def test_many_deleted_pages(spark):
+    """A document of 300,000 pages loses half of them, and other pages keep their columns."""
+    pages = spark.range(300_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("page_no"), F.lit("x").alias("before"))
+    asked = spark.range(300_000).filter("pmod(hash(id), 2) = 0").groupBy(F.lit(1).cast("long").alias("doc_id")).agg(F.collect_list("id").alias("pages"))
+    gone = set(asked.first().pages)
+    got = excerpt.delete_pages(pages, asked).orderBy("page_no").collect()
+    assert [(r.page_no, r.new_page_no, r.before) for r in got] == [(p, i, "x") for i, p in enumerate(p for p in range(300_000) if p not in gone)]
+
+
 PARAS = "doc_id int, paras array<struct<text:string,style:string,runs:array<struct<text:string,bold:boolean,italic:boolean>>>>"
 
 

@@ -191,4 +191,9 @@ def test_natural_order_keeps_all_digits(spark):
     names = ["img20240101123456.jpg", "img20240101123411.jpg", "img7.jpg", "img007b.jpg", "img.jpg", "a12345678901234567890.x", "a2.x"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     got = [r.n for r in df.orderBy(natural_key(F.col("n"))).collect()]
+    twice = ["photo 1 (10).jpg", "photo 1 (9).jpg", "photo 01 (9).jpg", "photo 10 (1).jpg", "photo 2 (100).jpg", "photo.jpg"]
+    df2 = spark.createDataFrame([(n,) for n in twice], "n string")
+    assert [r.n for r in df2.orderBy(natural_key(F.col("n"))).collect()] == [
+        "photo 01 (9).jpg", "photo 1 (9).jpg", "photo 1 (10).jpg", "photo 2 (100).jpg", "photo 10 (1).jpg", "photo.jpg"
+    ]
     assert got == ["a2.x", "a12345678901234567890.x", "img7.jpg", "img007b.jpg", "img20240101123411.jpg", "img20240101123456.jpg", "img.jpg"]
