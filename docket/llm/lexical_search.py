@@ -19,7 +19,7 @@ TOP = 20
 FILTER_BITS = 24  # address of the map of known terms: 2 MB whatever the data
 LONG_TERM = 64  # terms beyond are not remembered
 LONG_TEXT = 1_000_000  # characters from which a text's terms are counted as they are met
-BROADCAST_ROWS = 500_000  # rows counted to be no more are broadcast; beyond, they are joined by a shuffle
+BROADCAST_ROWS = 200_000  # rows counted to be no more are broadcast; beyond, they are joined by a shuffle
 
 
 def bags(texts: DataFrame, name: str, known=None) -> DataFrame:
@@ -123,7 +123,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     postings = stored(each.join(small(facts.select("term", "id", "level"), known), "term").select("id", "row", "gain", "level"), "level")
     demand = wanted.join(facts, "term").select("item", "id", "level", (F.col("w") * F.col("q")).alias("w"), (F.col("w") * F.col("q") * F.col("most")).alias("bound"))
     demand = stored(demand)
-    asks = demand.count()
+    asks, most = demand.groupBy("item", "level").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     levels = sorted(r.level for r in demand.select("level").distinct().collect())  # at most as many as powers of 4 in the corpus
 
     empty = spark.createDataFrame([], "item long, row long, score long")
@@ -139,7 +139,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         if survivors:
             held = scores.join(states.filter("NOT creating").select("item"), "item", "left_semi").select("item", "row")
             pairs = held.join(small(ask, asks), "item")
-            more.append(post.join(small(pairs, survivors), ["id", "row"]).select("item", "row", add.alias("score")))
+            more.append(post.join(small(pairs, survivors * most), ["id", "row"]).select("item", "row", add.alias("score")))
         every = scores
         for rows in more:
             every = every.union(rows)

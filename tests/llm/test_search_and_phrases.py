@@ -173,7 +173,7 @@ def brute_search(docs, items, k):
     return out
 
 
-@pytest.mark.parametrize(("k", "broadcast"), [(3, 500_000), (20, 500_000), (3, 0)])
+@pytest.mark.parametrize(("k", "broadcast"), [(3, 200_000), (20, 200_000), (3, 0)])
 def test_search_equals_brute_force(spark, monkeypatch, k, broadcast):
     monkeypatch.setattr(lexical_search, "BROADCAST_ROWS", broadcast)
     r = random.Random(5)
