@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from docket.session import forget, stored
 
-# Entries of each of the two generations of a worker's memo, which bounds its memory.
-CACHE_ENTRIES = 150_000
+# Entries of each of the two generations of a worker's memo, and the longest key that is remembered, which bound its memory.
+CACHE_ENTRIES, CACHE_KEY = 150_000, 64
 # Values that a worker keeps from task to task.
 KEPT = 4
 
@@ -152,7 +152,7 @@ def worker_cache(name: str, build: Callable[[], object]) -> object:
 
 
 class Memo(dict):
-    """key -> ``work(key)``, remembered. When full it becomes the old generation and a new one starts, so what is met often
+    """key -> ``work(key)``, remembered unless the key is a long text. When full it becomes the old generation and a new one starts, so what is met often
     stays and memory is bounded by two generations."""
 
     def __init__(self, work: Callable, size: int = CACHE_ENTRIES):
@@ -163,6 +163,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.work(key)
+        if isinstance(key, str) and len(key) > CACHE_KEY:
+            return value
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()

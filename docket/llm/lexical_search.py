@@ -17,7 +17,6 @@ TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 TOP = 20
 FILTER_BITS = 24  # address of the map of known terms: 2 MB whatever the data
-LONG_TERM = 64  # terms beyond are not remembered
 LONG_TEXT = 1_000_000  # characters from which a text's terms are counted as they are met
 BROADCAST_ROWS = 200_000  # rows counted to be no more are broadcast; beyond, they are joined by a shuffle
 
@@ -50,7 +49,7 @@ def bags(texts: DataFrame, name: str, known=None) -> DataFrame:
                 found = TERM.findall(text) if len(text) < LONG_TEXT else (m.group() for m in TERM.finditer(text))
                 count, asked = Counter(found), {}
                 for word, tf in count.items():
-                    term = terms[word] if len(word) <= LONG_TERM else term_of(word)
+                    term = terms[word]
                     if term:
                         asked[term] = asked.get(term, 0) + tf
                 sizes.append(sum(count.values()))

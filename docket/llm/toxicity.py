@@ -16,8 +16,6 @@ from docket.session import stored
 THRESHOLD = 0.7
 # Labelled rows that the lexicon is learnt from, at most; the smallest hashes of their ids are taken.
 TRAIN_ROWS = 20_000
-# Entries of the lexicon, at most; the strongest are taken.
-LEXICON = 50_000
 MIN_WEIGHT = math.log(3)
 SURE = 2.5  # standard errors that a weight stays below its estimate
 PREFIXES = (4, 5)
@@ -46,7 +44,8 @@ def _runs(most: int) -> re.Pattern:
 SPACED, GROUPED, WIDE = _runs(1), _runs(2), re.compile(r"\s{2,}|[^\S ]")
 TRIPLE, LETTER, SYMBOL = re.compile(r"(.)\1\1"), re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+€£]")
 MARKED, MARK = re.compile(r"[^\W\d_][.\-_*']++[^\W\d_]"), re.compile(r"[.\-_*']+")
-PIECE = 1000  # characters decoded together; a longer stretch is no word, and is decoded piece by piece
+DOUBLED = re.compile(r"(.)\1+")
+SETTLE = 1000  # characters after which a walk lets go of what all its paths agree on
 
 
 def char_class(c: str) -> int:
@@ -98,40 +97,65 @@ def char_model(docs: DataFrame) -> list[float]:
 def decode(text: str, costs: list[float]) -> str:
     """The likeliest plain reading of a lower-cased stretch: a Viterbi walk over the lattice of its characters, the state being
     the last two letters read. A symbol reads as itself or as a letter it may stand for; a gap as nothing or, at a cost, as a space; a
-    letter that repeats the one before it may be skipped."""
-    if len(text) > PIECE:
-        return "".join(decode(text[at : at + PIECE], costs) for at in range(0, len(text), PIECE))
-    paths: dict = {"": (0.0, None)}  # last two characters read -> (cost, (what was read before, character))
-    before = ""
-    for c in text:
+    letter that repeats the one before it may be skipped. What all paths agree on is given out as the walk goes, so a stretch of any
+    length is one walk, in memory of what is undecided."""
+    paths: dict = {"  ": (0.0, None)}  # last two characters read -> (cost, (what was read before, character))
+    before, out, classes = "", [], {" ": 0}
+    for at, c in enumerate(text, 1):
         if c in GAPS:
-            readings = [(" ", BREAK), ("", 0.0)]
+            ways = [(" ", BREAK), ("", 0.0)]
         elif c in LEET:
-            readings = [(c, 0.0)] + [(letter, SUBSTITUTE) for letter in LEET[c]]
+            ways = [(c, 0.0)] + [(letter, SUBSTITUTE) for letter in LEET[c]]
         else:
-            readings = [(c, 0.0)]
+            ways = [(c, 0.0)]
         if c == before and c not in GAPS:
-            readings.append(("", REPEAT))
+            ways.append(("", REPEAT))
+        for char, _ in ways:
+            if char not in classes and char:
+                classes[char] = char_class(char)
         step: dict = {}
         for tail, (cost, read) in paths.items():
-            for char, extra in readings:
-                new, end = cost + extra, (tail + char)[-2:]
+            one, two = tail
+            base = (classes[one] * K + classes[two]) * K
+            for char, extra in ways:
                 if char:
-                    new += _cost(costs, tail, char_class(char))
-                if end not in step or new < step[end][0]:
-                    step[end] = (new, (read, char) if char else read)
+                    new, end = cost + extra + costs[base + classes[char]], two + char
+                    if end not in step or new < step[end][0]:
+                        step[end] = (new, (read, char))
+                elif tail not in step or cost + extra < step[tail][0]:
+                    step[tail] = (cost + extra, read)
         paths, before = step, c
-    _, read = min(((cost + _cost(costs, tail, 0), read) for tail, (cost, read) in paths.items()), key=lambda x: x[0])
-    out = []
-    while read:
-        read, char = read
-        out.append(char)
-    return "".join(reversed(out))
+        if at % SETTLE == 0:
+            out += _settle(paths)
+    ends = ((cost + costs[(classes[tail[0]] * K + classes[tail[1]]) * K], read) for tail, (cost, read) in paths.items())
+    _, read = min(ends, key=lambda end: end[0])
+    return "".join([*out, *(char for _, char in _steps(read))])
 
 
-def _cost(costs: list[float], tail: str, then: int) -> float:
-    a, b = (char_class(x) for x in ("  " + tail)[-2:])
-    return costs[(a * K + b) * K + then]
+def _steps(read) -> list:
+    """The steps of a path from its beginning."""
+    out = []
+    while read:
+        out.append(read)
+        read = read[0]
+    return out[::-1]
+
+
+def _settle(paths: dict) -> list[str]:
+    """The characters with which all paths begin, by the same steps; the paths go on without them."""
+    each = {tail: _steps(read) for tail, (_, read) in paths.items()}
+    same = 0
+    for steps in zip(*each.values()):
+        if any(step is not steps[0] for step in steps):
+            break
+        same += 1
+    settled = [char for _, char in next(iter(each.values()))[:same]]
+    for tail, steps in each.items():
+        read = None
+        for _, char in steps[same:]:
+            read = (read, char)
+        paths[tail] = (paths[tail][0], read)
+    return settled
 
 
 def readings(token: str, costs: list[float], known=(), longest: int = 0) -> tuple[tuple[str, ...], ...]:
@@ -150,8 +174,16 @@ def readings(token: str, costs: list[float], known=(), longest: int = 0) -> tupl
     return (read(word) if hidden(word) else (word,),)
 
 
+def plain_word(word: str) -> bool:
+    """Letters alone and no letter three times: nothing that could be disguised."""
+    return word.isalpha() and not TRIPLE.search(word)
+
+
 def restored(token: str, costs: list[float]) -> tuple[str, ...]:
     """The words of all readings of a token."""
+    word = token.strip(EDGE)
+    if plain_word(word):
+        return (word,)
     return tuple({w: 0 for words in readings(token, costs) for w in words})
 
 
@@ -209,7 +241,8 @@ def restorer(costs: list[float]):
 
 def features(word: str) -> list[str]:
     """What the lexicon may know of a word: itself, itself without doubled letters, its starts."""
-    return [word, "~" + re.sub(r"(.)\1+", r"\1", word), *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
+    single = DOUBLED.sub(r"\1", word) if DOUBLED.search(word) else word
+    return [word, "~" + single, *[f"^{word[:n]}" for n in PREFIXES if len(word) > n]]
 
 
 def held_out() -> Column:
@@ -256,12 +289,12 @@ def lexicon(docs: DataFrame, labels: DataFrame, costs: list[float], label: str =
     yes, no = sizes.get(1, 0), sizes.get(0, 0)
 
     def make():
-        words = restorer(costs)
+        words, known = restorer(costs), Memo(features, MEMO)
         seen = (Counter(), Counter())
 
         def step(batch: dict) -> None:
             for text, y in zip(batch["text"], batch["y"]):
-                seen[y == 1].update({f for w in words(text) for f in features(w)})
+                seen[y == 1].update(set().union(*map(known.__getitem__, words(text))))
 
         def finish() -> dict:
             names = list(seen[0].keys() | seen[1].keys())
@@ -283,8 +316,8 @@ def lexicon(docs: DataFrame, labels: DataFrame, costs: list[float], label: str =
     ratio = F.log(a / (yes + 1)) - F.log(b / (no + 1))
     weight = ratio - SURE * F.sqrt(1 / a + 1 / b)
     best = counts.select("feature", weight.alias("weight")).filter(F.col("weight") >= MIN_WEIGHT)
-    chosen = best.orderBy(F.desc("weight"), "feature").limit(LEXICON).collect()
-    return math.log((yes + 1) / (no + 1)), {r["feature"]: r["weight"] for r in chosen}
+    # Features of training rows, whose number is bounded, and of those the few that tell.
+    return math.log((yes + 1) / (no + 1)), {r["feature"]: r["weight"] for r in best.collect()}
 
 
 def scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_ROWS):
@@ -300,17 +333,24 @@ def scorer(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int
         whole = {f for f in weights if f[0] not in "~^"}
         longest = max(map(len, whole), default=0)
 
-        def evidence(words) -> tuple:
-            """(weight, feature, word) of the words that the lexicon knows, each by its strongest feature."""
-            best = ((*max((weights.get(f, 0.0), f) for f in features(w)), w) for w in words)
-            return tuple(found for found in best if found[0])
+        def evidence(word: str) -> tuple:
+            """((weight, feature, word),) of a word that the lexicon knows, by its strongest feature; else nothing."""
+            found = [(weights[f], f, word) for f in features(word) if f in weights]
+            return (max(found),) if found else ()
 
         def strongest(readings) -> tuple:
             """The evidence of one of several readings of the same characters, which do not bear each other out."""
-            return max(map(evidence, readings), key=lambda found: sum(weight for weight, *_ in found), default=())
+            each = (tuple(found for w in words for found in evidence(w)) for words in readings)
+            return max(each, key=lambda found: sum(weight for weight, *_ in found), default=())
+
+        def of_token(token: str) -> tuple:
+            word = token.strip(EDGE)
+            if plain_word(word):
+                return evidence(word)
+            return strongest(readings(token, costs, whole, longest))
 
         # Most tokens are no evidence and share one empty tuple, so a remembered token is little more than its text.
-        memo = Memo(lambda token: strongest(readings(token, costs, whole, longest)), MEMO)
+        memo = Memo(of_token, MEMO)
 
         def score(text: str) -> float:
             low = text.lower()

@@ -2,6 +2,8 @@ import random
 from collections import Counter
 from zlib import crc32
 
+import pytest
+
 from docket.llm import importance, toxicity
 
 from .helpers import documents, odd_rows, prose
@@ -96,6 +98,50 @@ def test_words_with_marks_inside(spark):
     assert ("snork-wit",) in found and ("snorkwit",) in found
 
 
+def every_reading(text, costs):
+    """Cost of every reading of a stretch: all choices for all characters, without a lattice."""
+    def walk(at, read):
+        if at == len(text):
+            yield read, cost(costs, ("  " + read)[-2:], 0)
+            return
+        c = text[at]
+        ways = [(" ", toxicity.BREAK), ("", 0.0)] if c in toxicity.GAPS else [(c, 0.0)]
+        ways += [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET.get(c, "") if c not in toxicity.GAPS]
+        ways += [("", toxicity.REPEAT)] if at and c == text[at - 1] and c not in toxicity.GAPS else []
+        for char, extra in ways:
+            more = extra + (cost(costs, ("  " + read)[-2:], toxicity.char_class(char)) if char else 0)
+            for whole, rest in walk(at + 1, read + char):
+                yield whole, more + rest
+    return walk(0, "")
+
+
+def cost(costs, tail, then):
+    a, b = map(toxicity.char_class, tail)
+    return costs[(a * toxicity.K + b) * toxicity.K + then]
+
+
+def test_decoder_finds_the_cheapest_reading():
+    r = random.Random(1)
+    costs = [r.random() * 4 for _ in range(toxicity.K**3)]
+    for _ in range(300):
+        text = "".join(r.choice("ab1160@@.- eé") for _ in range(r.randint(1, 7)))
+        best = {}
+        for whole, c in every_reading(text, costs):
+            best[whole] = min(c, best.get(whole, c))
+        assert best[toxicity.decode(text, costs)] == pytest.approx(min(best.values()))
+
+
+def test_a_long_stretch_is_one_walk(monkeypatch):
+    r = random.Random(2)
+    costs = [r.random() * 4 for _ in range(toxicity.K**3)]
+    text = "".join(r.choice("abcde10@.-") for _ in range(5000))
+    whole = toxicity.decode(text, costs)
+    monkeypatch.setattr(toxicity, "SETTLE", 7)
+    assert toxicity.decode(text, costs) == whole
+    monkeypatch.setattr(toxicity, "SETTLE", 10**9)
+    assert toxicity.decode(text, costs) == whole
+
+
 def test_runs_of_any_length_are_quick():
     costs = [1.0] * toxicity.K**3
     for text in (". " * 50_000, ".. " * 50_000, "." * 300_000, "ab " * 50_000, "a" + " " * 300_000 + "b", "a.b " * 50_000):
