@@ -588,6 +588,20 @@ def move_in_section(c: Corpus) -> DataFrame:
     return assemble.move_in_section(c.filings, ends.select("report_id", "doc_id", kind.alias("kind"), "over_id"))
 
 
+@query
+def move_log(c: Corpus) -> DataFrame:
+    """In every section: every document with an odd id goes up one place, in the order of their ids, then those that 3 divides go
+    down, and at last the lowest id is dropped onto the highest."""
+    shown = c.filings.filter("is_included").select("report_id", "category", "doc_id")
+    none = F.lit(None).cast("long")
+    up = shown.filter("doc_id % 2 = 1").select("report_id", F.col("doc_id").alias("seq"), "doc_id", F.lit("up").alias("kind"), none.alias("over_id"))
+    later = F.col("doc_id") + 10_000_000_000
+    down = shown.filter("doc_id % 3 = 0").select("report_id", later.alias("seq"), "doc_id", F.lit("down").alias("kind"), none.alias("over_id"))
+    ends = shown.groupBy("report_id", "category").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("over_id"))
+    last = ends.select("report_id", (F.col("doc_id") + 20_000_000_000).alias("seq"), "doc_id", F.lit("to").alias("kind"), "over_id")
+    return assemble.move_log(c.filings, up.union(down).union(last))
+
+
 @heavy
 def curate_after_e(c: Corpus) -> DataFrame:
     return curate.curate_after_e(c.filings, max_pages=50).select("report_id", "doc_id", "report_class", "reason")

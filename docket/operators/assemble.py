@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from docket.schema import SECTION_NAMES, position_of
 
 Size = DataFrame | tuple[int, int] | None
 
+PLACES = 1024  # places of a section that look up their run together
 ORDER = ["section_pos", "key1", "key2", "key3", "sort_name", "doc_id"]
 
 
@@ -179,6 +183,137 @@ def page_reconcile(filings: DataFrame, manifest_rows: DataFrame, tol: float = 1.
     return both.withColumns({"surplus": (e > 0) & (a > e * tol), "lost_pages": F.greatest(e - a, F.lit(0).cast("long"))})
 
 
+def _replayer() -> Callable:
+    """The replay of a log of moves, as a function that travels with the job, so workers need no copy of this package."""
+
+    def replay(moves: Iterable[tuple[int, str, int | None]], size: int) -> list[tuple[int, int, int]]:
+        """(lo, hi, at): where the rows that stood at places lo up to hi stand after a log of moves (place of the moved row at the
+        start, kind, place at the start of the row it is dropped on), for a list of ``size`` rows.
+
+        The list is kept as runs of rows that nobody has parted yet, in chunks with their totals; a move parts at most two runs, so
+        the log's length counts, not the list's."""
+        from bisect import bisect_right, insort
+
+        class Run:
+            __slots__ = ("lo", "hi", "chunk")
+
+            def __init__(self, lo: int, hi: int, chunk: list):
+                self.lo, self.hi, self.chunk = lo, hi, chunk
+
+        most = 256
+        chunks: list[list] = [[]]
+        total = {id(chunks[0]): size}
+        whole = Run(0, size, chunks[0])
+        chunks[0].append(whole)
+        starts, runs = [0], {0: whole}
+
+        def put(run, chunk, at):
+            chunk.insert(at, run)
+            run.chunk = chunk
+            total[id(chunk)] += run.hi - run.lo
+            if len(chunk) > most:
+                rest = chunk[most // 2 :]
+                del chunk[most // 2 :]
+                chunks.insert(chunks.index(chunk) + 1, rest)
+                total[id(rest)] = sum(r.hi - r.lo for r in rest)
+                total[id(chunk)] -= total[id(rest)]
+                for r in rest:
+                    r.chunk = rest
+
+        def part(place):
+            """The run of the one row that stood at ``place``."""
+            run = runs[starts[bisect_right(starts, place) - 1]]
+            for cut in (place, place + 1):
+                if run.lo < cut < run.hi:
+                    chunk, new = run.chunk, Run(cut, run.hi, None)
+                    total[id(chunk)] -= run.hi - cut
+                    run.hi = cut
+                    insort(starts, cut)
+                    runs[cut] = new
+                    put(new, chunk, chunk.index(run) + 1)
+                    run = new if cut == place else run
+            return run
+
+        def where(run):
+            before = 0
+            for chunk in chunks:
+                if chunk is run.chunk:
+                    break
+                before += total[id(chunk)]
+            for r in run.chunk:
+                if r is run:
+                    return before
+                before += r.hi - r.lo
+
+        def insert(run, at):
+            """Put a run of one row so that it stands at ``at``."""
+            for chunk in chunks:
+                if at <= total[id(chunk)]:
+                    break
+                at -= total[id(chunk)]
+            for i, r in enumerate(chunk):
+                if at == 0:
+                    return put(run, chunk, i)
+                if at < r.hi - r.lo:
+                    cut = r.lo + at
+                    part(cut)
+                    chunk = runs[cut].chunk
+                    return put(run, chunk, chunk.index(runs[cut]))
+                at -= r.hi - r.lo
+            put(run, chunk, len(chunk))
+
+        for place, kind, over in moves:
+            run = part(place)
+            source = where(run)
+            target = source + {"up": -1, "down": 1}[kind] if kind != "to" else where(part(over))
+            if 0 <= target < size and target != source:
+                run.chunk.remove(run)
+                total[id(run.chunk)] -= 1
+                insert(run, target)
+        out, at = [], 0
+        for chunk in chunks:
+            for r in chunk:
+                out.append((r.lo, r.hi, at))
+                at += r.hi - r.lo
+        return out
+
+    return replay
+
+
+def move_log(filings: DataFrame, moves: DataFrame, group_rows: int | None = None) -> DataFrame:
+    """Replay a log of moves (report_id, seq, doc_id, kind up/down/to, over_id), any number per section and in the order of
+    ``seq``, and number the sections it touches from 0: (report_id, category, doc_id, sort_order). Each move goes by the order that
+    those before it left. Moves at the edge of a section, or of or onto documents that it does not show, change nothing; a drop
+    onto another section is no move within one (``move_in_section``).
+
+    A section's moves are replayed in one task, but its documents are not: the task knows their number, and gives back where runs
+    of them stand. Documents look up their run by blocks of places."""
+    placed = display_order(filings.select("report_id", "category", "sort_order", "doc_id", "is_included"), group_rows)
+    at = placed.select("report_id", "doc_id", "category", "place")
+    over = at.select("report_id", F.col("doc_id").alias("over_id"), F.col("category").alias("over_category"), F.col("place").alias("over"))
+    sizes = placed.groupBy("report_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    asked = moves.select("report_id", "seq", "doc_id", "kind", "over_id").join(at, ["report_id", "doc_id"]).join(over, ["report_id", "over_id"], "left")
+    onto = (F.col("kind") != "to") | ((F.col("over_category") == F.col("category")) & (F.col("over_id") != F.col("doc_id")))
+    each = asked.filter(onto & F.col("kind").isin("up", "down", "to")).join(sizes, ["report_id", "category"])
+
+    replay = _replayer()
+
+    def runs(key, log: pd.DataFrame) -> pd.DataFrame:
+        log = log.sort_values("seq")
+        over = [None if pd.isna(x) else int(x) for x in log["over"]]
+        found = replay(zip(log["place"].tolist(), log["kind"], over), int(log["n"].iloc[0]))
+        return pd.DataFrame([(*key, *r) for r in found], columns=["report_id", "category", "lo", "hi", "start"])
+
+    found = each.select("report_id", "category", "seq", "place", "kind", "over", "n").groupBy("report_id", "category").applyInPandas(
+        runs, "report_id long, category string, lo long, hi long, start long"
+    )
+    block = F.explode(F.sequence(F.floor(F.col("lo") / PLACES), F.floor((F.col("hi") - 1) / PLACES)))
+    spread = found.withColumn("block", block)
+    dealt = placed.withColumn("block", F.floor(F.col("place") / PLACES))
+    met = dealt.join(spread, ["report_id", "category", "block"]).filter((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
+    return met.select("report_id", "category", "doc_id", (F.col("start") + F.col("place") - F.col("lo")).cast("int").alias("sort_order"))
+
+
 # --- lists a user sees -----------------------------------------------------------------------------------------------
 
 

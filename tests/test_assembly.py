@@ -116,3 +116,39 @@ def test_corrections(spark, filings):
         assert got[2][:2] == ("APPENDIX_E", 0.90) and got[3][3] == 0 and got[4][0] == "APPENDIX_E"
         assert got[5] == ("APPENDIX_C", 0.85, "AI validator: why 8", 2)
         assert got[6] == ("APPENDIX_E", 0.85, "AI validator: why 11", 2)
+
+
+def replayed(order, moves):
+    ids = list(order)
+    for doc, kind, over in moves:
+        at = ids.index(doc)
+        to = at - 1 if kind == "up" else at + 1 if kind == "down" else ids.index(over)
+        if 0 <= to < len(ids):
+            ids.insert(to, ids.pop(at))
+    return ids
+
+
+def test_a_log_of_moves_equals_a_list(spark, filings, monkeypatch):
+    monkeypatch.setattr(assemble, "PLACES", 7)
+    r = random.Random(4)
+    rows = [{"report_id": 1 + i % 2, "category": r.choice(["APPENDIX_A", "APPENDIX_B"]), "sort_order": r.randrange(20), "is_included": i % 9 > 0} for i in range(240)]
+    df = filings(*rows)
+    order, section = {}, {}
+    for d in sorted(df.filter("is_included").collect(), key=lambda d: (d.sort_order, d.doc_id)):
+        order.setdefault((d.report_id, d.category), []).append(d.doc_id)
+        section[d.doc_id] = d.report_id, d.category
+    log = [(r.choice(list(section)), r.choice(["up", "down", "to"]), r.choice(list(section))) for _ in range(900)]
+    log += [(1, "up", None), (2, "sideways", None), (10**6, "down", None), (3, "to", None), (3, "to", 10**6)]
+    table = spark.createDataFrame([(section.get(d, (1,))[0], i, d, k, o) for i, (d, k, o) in enumerate(log)], "report_id long, seq int, doc_id long, kind string, over_id long")
+    want = {
+        (*s, doc, i)
+        for s, ids in order.items()
+        for i, doc in enumerate(replayed(ids, [m for m in log if section.get(m[0]) == s and (m[1] in ("up", "down") or (m[1] == "to" and section.get(m[2]) == s and m[0] != m[2]))]))
+    }
+    assert {tuple(x) for x in assemble.move_log(df, table).collect()} == want
+
+
+def test_a_log_on_a_long_section_knows_runs_only():
+    got = assemble._replayer()([(10**9 - 1, "up", None), (5, "to", 10**8), (7, "down", None)], 10**9)
+    assert sum(hi - lo for lo, hi, _ in got) == 10**9 and len(got) < 12
+    assert {(lo, at) for lo, hi, at in got if hi - lo == 1} >= {(10**9 - 1, 10**9 - 2), (5, 10**8), (7, 7)}
