@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docket.llm.common import CACHE_ENTRIES, over_texts, plain, table, worker_cache
-from docket.llm.pieces import BPE, BYTE, CONTROL, MARK, NORMAL, UNKNOWN, USER, chunks, read_model, separable
+from docket.llm.pieces import BPE, CONTROL, MARK, NORMAL, UNKNOWN, USER, chunks, read_model, separable
 from docket.llm.token_counts import model_bytes
 
 # Chunks not met before are encoded together; the library spreads a batch over its threads.
 BATCH = 4096
 
 
-def build_tokenizer(data: bytes):
-    """A tokenizer rebuilt from a model file: normaliser, mark for spaces, scores or merges, byte fallback, decoder."""
+def build_tokenizer(data: bytes, chunked: bool = False):
+    """A tokenizer rebuilt from a model file: normaliser, mark for spaces, scores or merges, byte fallback, decoder. ``chunked``:
+    for chunks that are marked already, and that are no beginnings of texts: without normaliser, and no space is taken off."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     m = read_model(data)
@@ -41,42 +42,33 @@ def build_tokenizer(data: bytes):
     if m.escape:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer = Tokenizer(core)
-    if steps:
+    if steps and not chunked:
         tokenizer.normalizer = normalizers.Sequence(steps)
     back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-    tokenizer.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []))
+    tokenizer.decoder = decoders.Sequence(back + ([decoders.Strip(" ", 1, 0)] if m.dummy_prefix and not chunked else []))
     return tokenizer
 
 
 class Codec:
     """Encodes and decodes whole texts; ids travel as little-endian 32-bit integers.
 
-    For a separable model the library encodes each distinct chunk once, in multithreaded batches, and a text is the joined ids
-    of its chunks. Every distinct chunk is encoded by the sentencepiece library as well; where they differ, that library's
-    ids hold and the chunk counts as a miss, so results equal the original library's on every text. Other models are encoded
-    text by text, and checked the same way."""
+    For a separable model the rebuilt tokenizer encodes, and decodes, each distinct chunk once, in multithreaded batches, and a
+    text is the joined ids, or texts, of its chunks. Every distinct chunk is encoded by the sentencepiece library as well, to
+    compare: where its ids differ the chunk counts as a miss, and texts that hold it do not agree. Other models are encoded and
+    decoded text by text, and compared the same way."""
 
     def __init__(self, data: bytes):
-        import numpy as np
         import sentencepiece
 
         self.model = read_model(data)
         self.tokenizer = build_tokenizer(data)
-        # Chunks are already marked: the same tokenizer without its normaliser encodes them.
-        self.chunk_tokenizer = build_tokenizer(data)
-        self.chunk_tokenizer.normalizer = None
+        self.chunk_tokenizer = build_tokenizer(data, chunked=True)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_chunk = separable(self.model)
-        self.ids: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}  # chunk -> (ids, what they decode to)
+        self.old: dict[str, tuple[bytes, str]] = {}
         self.odd: set[str] = set()
-        parts = [
-            b"" if kind in (CONTROL, UNKNOWN) else bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARK, " ").encode()
-            for piece, _, kind in self.model.pieces
-        ]
-        self.size = np.array([len(p) for p in parts], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.silent = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
 
     def _learn(self, new: list[str]) -> None:
         import numpy as np
@@ -86,56 +78,55 @@ class Codec:
         skip = len(self.original.encode("\n"))
         for at in range(0, len(new), BATCH):
             part = new[at : at + BATCH]
-            own = self.chunk_tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            own = [e.ids for e in self.chunk_tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            back = self.chunk_tokenizer.decode_batch(own, skip_special_tokens=False)
             theirs = self.original.encode(["\n" + c.replace(MARK, " ") for c in part], num_threads=1)
-            for chunk, mine, other in zip(part, own, theirs):
-                expect = other[skip:]
-                if mine.ids != expect:
+            for chunk, mine, text, other in zip(part, own, back, theirs):
+                if mine != other[skip:]:
                     self.odd.add(chunk)
-                self.ids[chunk] = np.array(expect, "<i4").tobytes()
+                self.known[chunk] = np.array(mine, "<i4").tobytes(), text
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """(ids, whether both libraries agree) of each text."""
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
+        """(ids, whether both libraries agree, what the ids decode to) of each text."""
         import numpy as np
 
         if not self.by_chunk:
-            own = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             theirs = self.original.encode(texts, num_threads=1)
-            return [(np.array(b, "<i4").tobytes(), a.ids == b) for a, b in zip(own, theirs)]
+            return [(np.array(a, "<i4").tobytes(), a == b, t) for a, b, t in zip(own, theirs, self.decode(own))]
         out = []
         for at in range(0, len(texts), 64):
             cut = [chunks(t) for t in texts[at : at + 64]]
-            if len(self.ids) > CACHE_ENTRIES:
-                self.ids, self.old = {}, self.ids
-            new = set().union(*cut).difference(self.ids)
-            known = new.intersection(self.old)
-            self.ids.update((chunk, self.old[chunk]) for chunk in known)
-            if len(new) > len(known):
-                self._learn(list(new - known))
-            get, odd = self.ids.__getitem__, self.odd
-            out += [(b"".join(map(get, c)), not odd or odd.isdisjoint(c)) for c in cut]
+            if len(self.known) > CACHE_ENTRIES:
+                self.known, self.old = {}, self.known
+            new = set().union(*cut).difference(self.known)
+            met = new.intersection(self.old)
+            self.known.update((chunk, self.old[chunk]) for chunk in met)
+            if len(new) > len(met):
+                self._learn(list(new - met))
+            get, odd = self.known.__getitem__, self.odd
+            for c in cut:
+                both = list(map(get, c))
+                out.append((b"".join([i for i, _ in both]), not odd or odd.isdisjoint(c), self._first("".join([t for _, t in both]))))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        """Text of ids: the bytes of their pieces side by side, less the space put in front."""
-        import numpy as np
-
-        which = np.frombuffer(ids, "<i4")
-        if not len(which):
-            return ""
-        size = self.size[which]
-        shift = np.repeat(self.start[which] - (np.cumsum(size) - size), size)
-        text = self.blob[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace")
+    def _first(self, text: str) -> str:
+        """A text put together from chunks, less the space that the model puts in front."""
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
+    def decode(self, each: list[list[int]]) -> list[str]:
+        """Texts of lists of ids, by the rebuilt tokenizer; control pieces are silent."""
+        silent = self.silent
+        return self.tokenizer.decode_batch([[i for i in ids if i not in silent] for ids in each], skip_special_tokens=False)
+
 
 def codec(data: bytes) -> Codec:
     return worker_cache(f"codec_{hash(data)}", lambda: Codec(data))
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, ids array<int>, n_tokens, agrees, restored): the token ids of every whole text, whether both libraries give
-    the same, and whether decoding the ids gives the text back. One pass, no shuffle; rows as in ``token_counts``. A text
+    """(doc_id, ids array<int>, n_tokens, agrees, restored): the token ids of every whole text by the rebuilt tokenizer,
+    whether the sentencepiece library gives the same, and whether decoding the ids gives the text back. One pass, no shuffle; rows as in ``token_counts``. A text
     that holds the space mark itself decodes to a space and is not restored."""
     return _pass(docs, model, False)
 
@@ -160,15 +151,15 @@ def _pass(docs: DataFrame, model: bytes, hashed: bool) -> DataFrame:
             done = c.encode(texts)
             out = {
                 "doc_id": batch["doc_id"],
-                "n_tokens": [len(ids) // 4 for ids, _ in done],
-                "agrees": [same for _, same in done],
-                "restored": [c.decode(ids) == text for (ids, _), text in zip(done, texts)],
+                "n_tokens": [len(ids) // 4 for ids, _, _ in done],
+                "agrees": [same for _, same, _ in done],
+                "restored": [back == text for (_, _, back), text in zip(done, texts)],
             }
             if hashed:
-                out["ids_sha256"] = [hashlib.sha256(ids).hexdigest() for ids, _ in done]
+                out["ids_sha256"] = [hashlib.sha256(ids).hexdigest() for ids, _, _ in done]
             else:
                 ends = np.concatenate([[0], np.cumsum(out["n_tokens"])]).astype("int32")
-                flat = np.frombuffer(b"".join(ids for ids, _ in done), "<i4")
+                flat = np.frombuffer(b"".join(ids for ids, _, _ in done), "<i4")
                 out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             return out
 
@@ -182,12 +173,10 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids give empty text."""
 
     def make():
-        import numpy as np
-
         c = codec(model)
 
         def work(batch: dict) -> dict:
-            return {"doc_id": batch["doc_id"], "text": [c.decode(np.array(i or [], "<i4").tobytes()) for i in batch["ids"]]}
+            return {"doc_id": batch["doc_id"], "text": c.decode([ids or [] for ids in batch["ids"]])}
 
         return work
 

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import sentencepiece
 from hypothesis import given, settings
@@ -34,7 +35,9 @@ def test_ids_and_counts_equal_the_original_library(text):
 @given(TEXTS)
 def test_decoding_gives_the_text_back(text):
     ids = CODEC.encode([text])[0][0]
-    assert CODEC.decode(ids) == text.replace("▁", " ")
+    import numpy as np
+
+    assert CODEC.decode([np.frombuffer(ids, "<i4").tolist()]) == [text.replace("▁", " ")] == [CODEC.encode([text])[0][2]]
     assert "".join(pieces.chunks(text)) == ("▁" + text.replace(" ", "▁") if text else "")
 
 
@@ -62,6 +65,43 @@ def test_operators_over_odd_rows(spark):
     assert token_counts.token_counts(empty, DATA).collect() == [] and sentencepiece_codec.digests(empty, DATA).collect() == []
 
 
+def test_a_wrong_tokenizer_shows_in_ids_and_agreement():
+    """Results are the rebuilt tokenizer's own: without its merges it gives other ids, and the comparison says so."""
+    from tokenizers import models
+
+    wrong = sentencepiece_codec.Codec(DATA)
+    vocab = wrong.chunk_tokenizer.get_vocab()
+    wrong.chunk_tokenizer.model = models.BPE(vocab=vocab, merges=[], unk_token="<unk>", fuse_unk=True, byte_fallback=True)
+    ids, agrees, back = wrong.encode(["the house"])[0]
+    assert len(ids) // 4 > len(ORIGINAL.encode("the house")) and not agrees and back == "the house"
+
+
+def unigram_model():
+    """A model file of a few unigram pieces, written field by field."""
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3, value])
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        return bytes([number << 3 | 2, len(value)]) + value
+
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)]
+    pieces_ += [("▁", -3.0, 1), ("▁the", -2.0, 1), ("th", -4.0, 1), ("e", -3.5, 1), ("▁he", -3.2, 1), ("t", -5.0, 1), ("h", -5.0, 1), ("re", -3.0, 1), ("r", -6.0, 1)]
+    body = b"".join(field(1, field(1, p.encode()) + field(2, score) + field(3, kind)) for p, score, kind in pieces_)
+    return body + field(2, field(3, 1) + bytes([35 << 3 & 0x7F | 0x80, 35 << 3 >> 7, 1])) + field(3, field(3, 1) + field(4, 0) + field(5, 1))
+
+
+def test_a_unigram_model(spark):
+    data = unigram_model()
+    original = sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert not pieces.read_model(data).kind == pieces.BPE
+    texts = ["the there", "he  three", "", "x théé", "ere tht he"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(sentencepiece_codec.encode(docs, data).collect())
+    assert [list(r.ids) for r in got] == [original.encode(t) for t in texts]
+    assert all(r.agrees and r.restored for r in got)
+
+
 def test_memo_keeps_two_generations():
     from docket.llm.common import Memo
 
