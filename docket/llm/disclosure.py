@@ -19,7 +19,6 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TERM = re.compile(r"\w+")
 NEAR = 8  # words to each side of an entity that stand beside it
-SUPPORT = 3  # different surroundings that a term and an entity have to share
 GENERALISE, REMOVE = 0.5, 0.8  # part of an entity's information that a term may disclose
 
 
@@ -153,26 +152,28 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("documents").alias("documents")).join(terms, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, least: float = GENERALISE) -> DataFrame:
     """(term, entity, disclosed): terms that disclose at least ``least`` of an entity's information.
 
     With p over documents, a term t discloses PMI(t; e) / IC(e) = log(p(t, e) / (p(t) p(e))) / -log p(e) of entity e: 1 where t
-    stands nowhere without e beside it, 0 where they are independent. They have to share ``support`` different surroundings,
-    so that copies of one text are no evidence. The strongest entity of each term counts."""
+    stands nowhere without e beside it, 0 where they are independent. That is shrunk by 1 - 1 / s^2 for s different surroundings
+    that they share: copies of one text are no evidence, two surroundings suffice to generalise a term seen nowhere else, three
+    to remove it. The strongest entity of each term counts."""
     beside = stored(surroundings(docs))
     n = plain(docs).count()
     whole = beside.select(*KEY, "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     pairs = beside.select(*KEY, "entity", "around", F.explode("terms").alias("term"))
     # Different surroundings first, then documents: two plain counts instead of a distinct count over a hot pair.
     kinds = pairs.select("entity", "term", "around").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = kinds.filter(F.col("kinds") >= support)
+    kinds = kinds.filter("kinds > 1")  # one surrounding discloses nothing
     both = pairs.select(*KEY, "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     met = stored(kinds.join(both, ["entity", "term"]))
     terms = document_counts(docs, met.select("term").distinct())
     facts = met.join(whole, "entity").join(terms, "term")
     # Rows of one id and text count once beside entities and as often as they are repeated in the corpus.
     pmi = F.log(F.col("n_te") * F.lit(float(max(n, 1))) / (F.greatest("documents", "n_te") * F.col("n_e")))
-    disclosed = F.when(F.col("n_e") >= n, F.lit(0.0)).otherwise(pmi / F.log(F.lit(float(max(n, 1))) / F.col("n_e")))
+    borne_out = 1 - 1 / (F.col("kinds") * F.col("kinds"))
+    disclosed = F.when(F.col("n_e") >= n, F.lit(0.0)).otherwise(borne_out * pmi / F.log(F.lit(float(max(n, 1))) / F.col("n_e")))
     rated = facts.select("term", F.struct(disclosed.alias("disclosed"), "entity").alias("best")).filter(disclosed >= least)
     return rated.groupBy("term").agg(F.max("best").alias("best")).select("term", "best.entity", "best.disclosed")
 
@@ -210,13 +211,13 @@ def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> Dat
     return rated.groupBy(*KEY).agg(F.array_sort(F.collect_set("span")).alias("added"))
 
 
-def personal_data(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def personal_data(docs: DataFrame, least: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(row key, text, base, added, entities), one row per row of ``docs``: the spans found by pattern, those of disclosing terms,
     both as arrays of (kind, start, end) in code points.
 
     Null text is empty and has no spans; repeated rows get the same spans each; other columns are ignored. A term is looked for in
     every text, whether or not its entity stands there."""
-    added = term_spans(docs, disclosing_terms(docs, support, least), remove)
+    added = term_spans(docs, disclosing_terms(docs, least), remove)
 
     def make():
         def work(batch: dict) -> dict:

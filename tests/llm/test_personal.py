@@ -60,5 +60,16 @@ def test_terms_that_disclose(spark):
     assert clean[60] == " alone" and clean[61] == "call [phone] now" and "[email]" in clean[0] and "quixolt" not in clean[0]
 
 
+def test_two_surroundings_suffice_for_a_term_seen_nowhere_else(spark):
+    """`vexholm` stands beside one address in two texts, `murble` beside it in one, `plain` in those two and elsewhere."""
+    rows = [(i, f"{prose(i, 20)} vexholm plain {'murble' if i else ''} eve@z.org {prose(30 + i, 20)}") for i in range(2)]
+    rows += [(10 + i, f"plain {prose(80 + i, 40)}") for i in range(60)]
+    docs = documents(spark, rows)
+    terms = {r.term: r.disclosed for r in disclosure.disclosing_terms(docs).collect()}
+    assert 0.5 <= terms["vexholm"] < 0.8 and "murble" not in terms and "plain" not in terms
+    clean = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
+    assert "[term]" in clean[0] and "vexholm" not in clean[1] and "murble" in clean[1]
+
+
 def test_empty_table(spark):
     assert disclosure.personal_data(documents(spark, [])).collect() == []
