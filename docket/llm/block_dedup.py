@@ -39,13 +39,9 @@ def block_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "doc_id", "text", F.length("text").alias("n"), F.sha2("text", 256).alias("text_sha256"), F.substring("text", 1, block).alias("head")
     )
     shared = base.groupBy("n", "head").count().filter("count > 1").drop("count")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / block).cast("int") - 1, F.lit(0)))
-    blocks = (
-        base.join(shared, ["n", "head"])
-        .select(*ROW, "n", "text", F.explode(starts).alias("pos"))
-        .select(*ROW, "n", "pos", F.col("text").substr(F.col("pos") * block + 1, F.lit(block)).alias("block"))
-    )
-    blocks = stored(blocks)
+    # A text is cut into its blocks in one pass; the empty text is one empty block.
+    cut = F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    blocks = stored(base.join(shared, ["n", "head"]).select(*ROW, "n", F.posexplode(cut).alias("pos", "block")))
     named = blocks.join(_sorted_names(blocks, ["block"]), "block")
     level = stored(named.groupBy(*ROW, "n", "pos").agg(F.max("name").alias("name"), F.count(F.lit(1)).alias("copies")))
     last = level.agg(F.max("pos")).first()[0] or 0
@@ -67,7 +63,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Texts are equal when identical; null is the empty text, and empty texts equal each other. Of equal texts the row with the
     largest id stays; null ids stay only where a group has no other. A repeated row (same id and text) appears, and counts in
-    ``group_size``, as often as it is repeated; all its repetitions carry the same ``kept``. Other columns are ignored."""
+    ``group_size``, as often as it is repeated; all its repetitions carry the same ``kept``. Other columns are ignored; an empty table gives no rows."""
     names = block_names(docs, block)
     groups = names.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
     known = names.join(groups, ["n", "name"]).select(*ROW, "keep_id", "group_size")
@@ -85,7 +81,9 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` with all its columns, one row of each group of equal texts: that with the largest id, one of its repetitions."""
+    """``docs`` with all its columns, one row of each group of equal texts: that with the largest id, one of its repetitions.
+    Null and empty texts are one group, of which one row stays; null ids stay only where a group has no other. An empty table
+    stays empty."""
     names = block_names(docs, block)
     groups = names.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"))
     known = names.join(groups, ["n", "name"])

@@ -291,7 +291,8 @@ def contamination(docs: DataFrame, items: DataFrame, least: float = SCORE, expec
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = SCORE) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that match no item."""
+    """The rows of ``docs``, with all their columns, that match no item. Null and empty texts match none and stay; a row and its
+    repetitions go together; items that are null, empty or repeated change nothing; empty tables on either side take nothing away."""
     gone = contamination(docs, items, least).select(*KEY).dropDuplicates()
     whole = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")

@@ -215,7 +215,7 @@ def personal_data(docs: DataFrame, least: float = GENERALISE, remove: float = RE
     """(row key, text, base, added, entities), one row per row of ``docs``: the spans found by pattern, those of disclosing terms,
     both as arrays of (kind, start, end) in code points.
 
-    Null text is empty and has no spans; repeated rows get the same spans each; other columns are ignored. A term is looked for in
+    Null text is empty and has no spans; repeated rows get the same spans each; other columns are ignored; an empty table gives no rows. A term is looked for in
     every text, whether or not its entity stands there."""
     added = term_spans(docs, disclosing_terms(docs, least), remove)
 

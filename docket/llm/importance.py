@@ -112,7 +112,8 @@ def resample(docs: DataFrame, target: DataFrame, share: float, seed: int = SEED,
 
     ``key`` is the log weight plus Gumbel noise made from the id and ``seed``; the rows with the ``share`` of largest keys,
     rounded up, are kept, which draws them without replacement with chances in proportion to their weights. Rows with equal keys at the bound
-    are all kept. Null text is empty and weighs nothing (log weight 0). Null ids share one noise value."""
+    are all kept. Null text is empty and weighs nothing (log weight 0). Null ids share one noise value, and so do repeated
+    rows. Other columns are ignored; an empty table gives no rows, and without good texts all weights are those of unseen words."""
     raw = bucket_counts(plain(docs), buckets)
     good = bucket_counts(plain(target), buckets)
     scored = weights(docs, log_ratio(good, raw))

@@ -280,11 +280,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tolerance: float
     Two rows are linked when the Jaccard similarity of their sets of word shingles is at least ``similar``; ``n_links`` counts a
     row's links, to rows with the same set as well. ``class_id`` is the smallest id among the rows that links connect (null ids
     come first), and ``stays`` marks one row of each class, that with the smallest key. A null, empty or wordless text has no
-    shingles, no links and a class of its own; repeated rows are linked to each other, and all of them stay if one does.
+    shingles, no links and a class of its own; repeated rows are linked to each other, and all of them stay if one does. Other
+    columns are ignored; an empty table gives no rows.
 
-    Rows with equal sets are one node, so copies cost nothing. Nodes that share a band are compared in pairs of blocks; pairs
-    that survive join nodes to clusters; within each cluster all pairs of blocks are verified from whole texts. Links are counted
-    where they are found, so a family of m texts gives m rows per block, not m squared."""
+    Rows with equal sets are one node, so copies cost nothing. Nodes that share a band are compared block by block until their
+    clusters are settled; within each cluster all pairs of blocks are verified from whole texts. Links are counted where they are
+    found, so a family of m texts gives m rows per block, not m squared."""
     prints = stored(fingerprints(docs, shingle))
     sets = stored(
         prints.filter("n > 0").groupBy("node").agg(
@@ -312,7 +313,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR, tolerance: float
 
 
 def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``docs`` with all columns, without the rows that do not stay."""
+    """``docs`` with all columns, without the rows that do not stay. Rows without words, null and empty ones too, all stay, and so
+    do the repetitions of a row that stays; an empty table stays empty."""
     gone = near_duplicates(docs, similar).filter("NOT stays").select(*KEY).dropDuplicates()
     whole = docs.select(
         F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")

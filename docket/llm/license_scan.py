@@ -109,7 +109,8 @@ def license_scan(
 
     ``n_base`` counts the places of all phrases, ``first_word`` and ``last_word`` are the smallest and largest word number of
     a place (null without one). ``labels`` adds the notices of which a span shows at least ``cover``. ``score`` is the largest
-    part of any template shown by one span. Null text is empty: no words, no labels, score 0."""
+    part of any template shown by one span. Null text is empty: no words, no labels, score 0. Repeated rows and null ids give a
+    row each; other columns are ignored; an empty table gives no rows."""
     found = spans(docs, phrases, notices)
     place = F.col("base") & (F.col("cover") == 1)
     label = F.col("label")

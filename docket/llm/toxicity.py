@@ -382,7 +382,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns, that score below ``threshold``. A null text is empty and scores what no
+    evidence scores; repeated rows score alike; without labelled rows all score the prior. An empty table stays empty."""
     score = scorer(docs, labels)
     return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
 

@@ -85,7 +85,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "VERIFY_BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "VERIFY_SETS", 3)
     rows = near_rows()
     got = jaccard_join.near_duplicates(documents(spark, rows)).select("doc_id", "class_id", "n_links", "n_shingles")
     assert Counter(map(tuple, got.collect())) == brute_near(rows)
@@ -112,3 +112,24 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 300: 100, 499: 499, 500: 499}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_very_long_equal_texts_take_one_cut(spark):
+    """Two equal texts of four million characters, one that differs at its end, characters beyond 16 bits among them."""
+    long = "ab\n𝄞" * 1_000_000
+    rows = spark.createDataFrame([(1, long), (2, long), (3, long[:-1] + "x"), (4, ""), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in block_dedup.exact_duplicates(rows).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (5, 2, False), 5: (5, 2, True)}
+
+
+def test_edges_of_a_family_grow_with_its_members(spark, monkeypatch):
+    """A family of several blocks that is alike in all bands: few edges per member, one cluster, links counted in full."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "VERIFY_SETS", 16)
+    base = prose(5, 400).split()
+    rows = [(i, " ".join([*base[:i % 7], f"w{i}", *base])) for i in range(200)] + [(500 + i, prose(900 + i, 60)) for i in range(40)]
+    edges, plain = [], jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda e: edges.append(e.count()) or plain(e))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_duplicates(documents(spark, rows)).select("doc_id", "class_id", "n_links").collect()}
+    assert all(got[i] == (0, 199) for i in range(200)) and all(got[500 + i] == (500 + i, 0) for i in range(40))
+    assert sum(edges[:3]) < 40 * 200  # the pairs of the family are 19,900 in each of 32 bands
