@@ -14,13 +14,22 @@ from docket.schema import ext_dim
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Recursive listing without contents: only path, size and time are read. Eligible files only."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"))
-    )
-    root = path.rstrip("/")
+    return listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), path)
+
+
+def stream_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """The same of files that arrive anywhere below a folder, as a stream: each file once, ``max_files`` per batch."""
+    shape = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(shape).option("recursiveFileLookup", True)
+    return listed(reader.option("maxFilesPerTrigger", max_files).load(path), path)
+
+
+def listed(files: DataFrame, path: str) -> DataFrame:
+    """Eligible files of a listing of whole files below ``path``; contents are not read, as nothing asks for them. Files
+    of no bytes, which hold nothing to take in, are passed over by Spark's reader."""
+    listing = files.select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified_at"))
+    # Paths come back with the scheme and host spelled otherwise than asked for.
+    root = files.sparkSession._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/")
     rel = F.regexp_replace("path", r"^.*?" + names_literal(root) + "/", "")
     files = listing.select(
         F.element_at(F.split("path", "/"), -1).alias("original_filename"), rel.alias("original_path"), "file_size", "modified_at"

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from docket import fixed_values as fv
 from docket.operators.classify import classify_by_name
-from docket.operators.ingest import eligible
+from docket.operators.ingest import eligible, stream_files
 from docket.operators.scan import group_join, ordered_scan
 
 ARRIVAL = "report_id bigint, original_filename string, original_path string, file_size bigint, arrived_at timestamp"
@@ -26,6 +26,12 @@ def stream_ingest(spark: SparkSession, path: str, schema: str = ARRIVAL, max_fil
     )
 
 
+def stream_folder(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Files arriving anywhere below a folder, filtered and placed by their names and folders as they come, contents unread."""
+    placed = classify_by_name(stream_files(spark, path, max_files))
+    return placed.withColumns({"category": F.coalesce("rule_category", F.lit(fv.UNCLASSIFIED[0])), "status": F.lit("uploaded")})
+
+
 def stream_dedupe(stream: DataFrame, horizon: str = "1 hour", at: str = "arrived_at") -> DataFrame:
     """One arrival per (report, name) within the horizon; state older than that is dropped."""
     return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark(["report_id", "original_filename"])

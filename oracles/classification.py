@@ -324,6 +324,11 @@ CHECKS["stream_ingest"] = with_tables(
     FROM (SELECT *, {ext()} AS e FROM filings) f JOIN named n USING (doc_id)
     WHERE e IN ({SUPPORTED}) AND original_filename NOT LIKE '.\\_%' ESCAPE '\\' AND coalesce(original_path, '') NOT LIKE '%\\_\\_MACOSX%' ESCAPE '\\'""",
 )
+CHECKS["stream_folder"] = with_tables(
+    "filings",
+    """SELECT report_id, '.txt' AS ext, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS bytes
+    FROM documents JOIN filings USING (doc_id) GROUP BY report_id""",
+)
 CHECKS["stream_dedupe"] = with_tables("filings", "SELECT DISTINCT report_id, original_filename FROM filings")
 CHECKS["stream_state"] = with_tables(
     "progress_events",

@@ -82,3 +82,18 @@ def test_outputs_by_report(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "report_id int, name string")
     ingest.write_outputs(df, str(tmp_path / "o"), "json")
     assert sorted(p.name for p in (tmp_path / "o").glob("report_id=*")) == ["report_id=1", "report_id=2"]
+
+
+def test_a_folder_as_a_stream(spark, tmp_path):
+    """Files below a folder, each taken once, by name and folder; the folder may be named with a scheme."""
+    src, out, ck = (tmp_path / x for x in ("src", "out", "ck"))
+    (src / "box" / "old").mkdir(parents=True)
+    for name, text in (("sanborn.pdf", "x" * 7), ("box/old/radius.PDF", "y"), ("box/._z.pdf", "z"), ("box/film.mov", "z"), ("box/a b [1].txt", "q"), ("none.txt", "")):
+        (src / name).write_text(text)
+    progress.start(progress.stream_folder(spark, f"file://{src}"), str(out), str(ck)).awaitTermination()
+    (src / "box" / "late.pdf").write_text("late")
+    progress.start(progress.stream_folder(spark, f"file://{src}"), str(out), str(ck)).awaitTermination()
+    got = sorted((r.original_path, r.original_filename, r.file_size, r.category) for r in spark.read.parquet(str(out)).collect())
+    assert [g[:3] for g in got] == [("box/a b [1].txt", "a b [1].txt", 1), ("box/late.pdf", "late.pdf", 4), ("box/old/radius.PDF", "radius.PDF", 1), ("sanborn.pdf", "sanborn.pdf", 7)]
+    assert [g[3] for g in got][2:] == ["APPENDIX_C", "APPENDIX_D"]
+    assert "content" not in ingest.list_files(spark, str(src))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
