@@ -1,4 +1,4 @@
-"""Whole jobs composed of the operators, one lazy plan each."""
+"""Whole jobs composed of the operators."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket.operators import assemble, classify, curate, evidence, summaries
+from docket.session import stored
 
 
 def place_by_name(filings: DataFrame) -> DataFrame:
@@ -31,7 +32,10 @@ def curate_corpus(
 ) -> DataFrame:
     """From uploaded filings to a curated corpus: compiled reports out, sections from verdicts and name rules, what pages say
     after a verdict, preferences and revised files, newest versions, corrections. Filings in error or excluded keep what they
-    have. Adds ``is_profile`` and ``metadata``."""
+    have. Adds ``is_profile`` and ``metadata``.
+
+    What pages and verdicts say is stored before the rules that compare files of a report, and again once revised files are out:
+    every such rule joins figures of the filings back to them, and would else work the whole way from the pages out again."""
     fields = ("category", "subcategory", "confidence", "reasoning")
     start = evidence.exclude_compiled(filings, evidence.compiled_report(doc_pages, filings))
     start = start.withColumnsRenamed({c: f"old_{c}" for c in fields})
@@ -47,9 +51,10 @@ def curate_corpus(
             "metadata": F.when(F.col("live"), F.col("metadata")),
         }
     )
+    fresh = stored(fresh)
     # Preferences belong to fresh classifications only; the rest keep their figures.
     preferred = curate.preference_columns(fresh, F.col("live")).withColumn("is_profile", F.col("is_profile") | F.col("by_pages"))
-    superseded = curate.supersede_revised(preferred.select(*filings.columns, "is_profile", "metadata")).drop("superseded")
+    superseded = stored(curate.supersede_revised(preferred.select(*filings.columns, "is_profile", "metadata")).drop("superseded"))
     return curate.apply_corrections(curate.dedupe_versions(superseded), corrections)
 
 
