@@ -155,6 +155,23 @@ CHECKS = {
         SELECT report_id, category, doc_id, CAST(row_number() OVER (PARTITION BY report_id, category ORDER BY spot) - 1 AS INTEGER) AS sort_order FROM k
         UNION ALL SELECT m.report_id, onto, moved, f.sort_order FROM m JOIN filings f ON f.doc_id = moved WHERE moved % 3 = 2 AND onto <> m.category""",
     ),
+    "move_log": with_tables(
+        "filings",
+        """d AS (SELECT report_id, category, list(doc_id ORDER BY sort_order, doc_id) AS ids, list(doc_id ORDER BY doc_id) AS s
+          FROM filings WHERE is_included GROUP BY report_id, category),
+        m AS (SELECT *, list_transform(list_filter(s, lambda x: x % 2 = 1), lambda x: {'doc': x, 'kind': 'up'})
+            || list_transform(list_filter(s, lambda x: x % 3 = 0), lambda x: {'doc': x, 'kind': 'down'})
+            || CASE WHEN len(s) > 1 THEN [{'doc': s[1], 'kind': 'to'}] ELSE [] END AS log FROM d),
+        w AS (SELECT report_id, category, ids, s, log, 0 AS i FROM m
+          UNION ALL
+          SELECT report_id, category, CASE WHEN q < 1 OR q > len(ids) OR q = p THEN ids ELSE r[:q - 1] || [doc] || r[q:] END, s, log, i + 1
+          FROM (SELECT *, list_filter(ids, lambda x: x <> doc) AS r,
+                  CASE kind WHEN 'up' THEN p - 1 WHEN 'down' THEN p + 1 ELSE list_position(ids, s[len(s)]) END AS q
+                FROM (SELECT *, log[i + 1].doc AS doc, log[i + 1].kind AS kind, list_position(ids, log[i + 1].doc) AS p FROM w WHERE i < len(log))))
+        SELECT report_id, category, unnest(ids) AS doc_id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS sort_order
+        FROM w WHERE i = len(log) AND i > 0""",
+        recursive=True,
+    ),
     "reorder_section": with_tables(
         "actions",
         """q AS (SELECT report_id, seq, target_section, unnest([doc_a, doc_b, doc_c]) AS doc_id, unnest([0, 1, 2]) AS place FROM actions WHERE target_section <> 'NOWHERE'),
