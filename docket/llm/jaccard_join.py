@@ -18,7 +18,7 @@ STEP = 16  # MinHash values compared between two tests
 TOLERANCE = 1e-7  # a pair is dropped when the posterior chance of reaching the threshold is below
 BLOCK = 512  # signatures compared with each other at once
 MIXES = 2  # times that bands are dealt into blocks before blocks are paired
-VERIFY_SETS, VERIFY_SHINGLES = 1024, 500_000  # sets of a block that is verified against another, and about their elements
+VERIFY_SETS, VERIFY_SHINGLES = 512, 250_000  # sets of a block that is verified against another, and about their elements
 WORD = re.compile(r"\w+")
 
 
