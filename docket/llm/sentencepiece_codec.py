@@ -65,8 +65,9 @@ class Codec:
         self.chunk_tokenizer = build_tokenizer(data, chunked=True)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_chunk = separable(self.model)
-        self.known: dict[str, tuple[bytes, str]] = {}  # chunk -> (ids, what they decode to)
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.texts: dict[str, str] = {}  # what the ids decode to
+        self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
         self.odd: set[str] = set()
         self.silent = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
 
@@ -84,7 +85,8 @@ class Codec:
             for chunk, mine, text, other in zip(part, own, back, theirs):
                 if mine != other[skip:]:
                     self.odd.add(chunk)
-                self.known[chunk] = np.array(mine, "<i4").tobytes(), text
+                self.ids[chunk] = np.array(mine, "<i4").tobytes()
+                self.texts[chunk] = text
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
         """(ids, whether both libraries agree, what the ids decode to) of each text."""
@@ -97,17 +99,17 @@ class Codec:
         out = []
         for at in range(0, len(texts), 64):
             cut = [chunks(t) for t in texts[at : at + 64]]
-            if len(self.known) > CACHE_ENTRIES:
-                self.known, self.old = {}, self.known
-            new = set().union(*cut).difference(self.known)
-            met = new.intersection(self.old)
-            self.known.update((chunk, self.old[chunk]) for chunk in met)
+            if len(self.ids) > CACHE_ENTRIES:
+                self.old = self.ids, self.texts
+                self.ids, self.texts = {}, {}
+            new = set().union(*cut).difference(self.ids)
+            met = new.intersection(self.old[0])
+            for now, old in zip((self.ids, self.texts), self.old):
+                now.update((chunk, old[chunk]) for chunk in met)
             if len(new) > len(met):
                 self._learn(list(new - met))
-            get, odd = self.known.__getitem__, self.odd
-            for c in cut:
-                both = list(map(get, c))
-                out.append((b"".join([i for i, _ in both]), not odd or odd.isdisjoint(c), self._first("".join([t for _, t in both]))))
+            ids, back, odd = self.ids.__getitem__, self.texts.__getitem__, self.odd
+            out += [(b"".join(map(ids, c)), not odd or odd.isdisjoint(c), self._first("".join(map(back, c)))) for c in cut]
         return out
 
     def _first(self, text: str) -> str:
