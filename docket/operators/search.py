@@ -13,6 +13,7 @@ from docket.functions.rules import RULE_FIELDS, SCOPES, Rule, first_rule, rule_t
 from docket.functions.names import py
 
 GRAM = 3
+CELL = 4096  # searches, and files found, of one text that meet in one cell
 
 
 def grams(text: Column, size: int) -> Column:
@@ -30,30 +31,52 @@ def rarest(asked: DataFrame, posted: DataFrame, by: list[str], place: list[str])
     return counted.groupBy(*by, *place).agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), "gram")).alias("gram"))
 
 
-def search_names(filings: DataFrame, queries: DataFrame) -> DataFrame:
+def search_names(filings: DataFrame, queries: DataFrame, cell: int = CELL) -> DataFrame:
     """Case-insensitive substring searches (query_id unique, report_id, query), any number per report; a null report searches
     all. One row per search and file found. A null query finds nothing, an empty one every name.
 
     Names are listed under their pieces of up to three characters that are asked for. A search of three characters and more goes
-    by its rarest piece, a shorter one is a piece itself, and the empty text is a piece of every name."""
+    by its rarest piece, a shorter one is a piece itself, and the empty text is a piece of every name. What is asked many times in
+    a report is looked up and verified once. Its searches and the files it finds are then dealt into cells of about ``cell`` by
+    ``cell``, so that the rows of one text asked often, which are searches times files, are made by many tasks."""
     needle = F.lower("query")
     asked = queries.select("query_id", F.col("report_id").alias("within"), "query", needle.alias("needle")).filter("needle IS NOT NULL")
+    searches = asked.groupBy("within", "needle").agg(F.count(F.lit(1)).alias("searches"))
     pieces = F.when(F.char_length("needle") >= GRAM, grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
-    wanted = asked.select("query_id", F.explode(pieces).alias("gram"))
+    wanted = searches.select("needle").distinct().select("needle", F.explode(pieces).alias("gram"))
     text = F.lower("original_filename")
     every = F.concat(F.array(F.lit("")), *[grams(text, n) for n in range(1, GRAM + 1)])
-    names = filings.filter("original_filename IS NOT NULL")
-    posted = names.select("report_id", "doc_id", F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    chosen = asked.join(rarest(wanted, posted, ["query_id"], []), "query_id")
-    one = chosen.filter("within IS NOT NULL").withColumnRenamed("within", "report_id").join(posted, ["report_id", "gram"])
-    everywhere = chosen.filter("within IS NULL").drop("within").join(posted.drop("report_id"), "gram")
-    columns = ["query_id", "query", "needle", "doc_id"]
-    found = one.select(*columns).union(everywhere.select(*columns)).join(names, "doc_id").filter(text.contains(F.col("needle")))
-    return found.select(
+    names = filings.filter("original_filename IS NOT NULL").select(
+        "report_id", "doc_id", "original_filename", "category", "page_count", "is_included"
+    )
+    posted = names.withColumn("gram", F.explode(every)).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    chosen = searches.join(rarest(wanted, posted, ["needle"], []), "needle")
+    one = chosen.filter("within IS NOT NULL").alias("chosen").join(
+        posted.alias("posted"), (F.col("within") == F.col("report_id")) & (F.col("chosen.gram") == F.col("posted.gram"))
+    )
+    everywhere = chosen.filter("within IS NULL").alias("chosen").join(posted.alias("posted"), F.col("chosen.gram") == F.col("posted.gram"))
+    columns = ["within", "needle", "searches", *names.columns]
+    found = one.select(*columns).union(everywhere.select(*columns)).filter(text.contains(F.col("needle")))
+
+    same = _both("asked", "found")
+    files = found.groupBy("within", "needle").agg(F.count(F.lit(1)).alias("files"))
+    parts = lambda n: F.ceil(F.col(n) / cell)
+    part = lambda key, n: F.pmod(F.xxhash64(key), parts(n))
+    every_part = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+    counted = asked.alias("asked").join(searches.alias("counts"), _both("asked", "counts")).join(files.alias("found"), same)
+    left = counted.select("asked.*", part("query_id", "searches").alias("a"), every_part("files").alias("b"))
+    sized = found.alias("asked").join(files.alias("found"), same)
+    right = sized.select("asked.*", "files").select("*", part("doc_id", "files").alias("b"), every_part("searches").alias("a"))
+    met = left.alias("asked").join(right.alias("found").hint("merge"), same & (F.col("asked.a") == F.col("found.a")) & (F.col("asked.b") == F.col("found.b")))
+    return met.select(
         "query_id", "query", "report_id", "doc_id", "original_filename", "category", "page_count", "is_included"
     )
 
 
+def _both(one: str, other: str) -> Column:
+    return F.col(f"{one}.within").eqNullSafe(F.col(f"{other}.within")) & (F.col(f"{one}.needle") == F.col(f"{other}.needle"))
+
+
 def run_finder(shortest: int = GRAM):
     """A function that travels with the job, so workers need no copy of this package."""
 

@@ -175,6 +175,23 @@ def test_many_searches(spark, filings):
     assert "Cross" not in plan
 
 
+def test_one_text_asked_often_is_dealt_out(spark, filings):
+    """Searches times files of one report are made by many tasks, each text is looked up once, and no row is lost."""
+    df = filings(*[{"original_filename": f"Map {i % 7}.pdf", "report_id": i % 10 // 9} for i in range(150)])
+    asked = [(i, 0 if i % 3 else None, ("MAP", "", "map 3", "Map")[i % 4]) for i in range(120)]
+    queries = spark.createDataFrame(asked, "query_id int, report_id bigint, query string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = search.search_names(df, queries, cell=16).select("query_id", "query", "doc_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = df.collect()
+    want = [(n, q, d.doc_id) for n, r, q in asked for d in files if r in (None, d.report_id) and q.lower() in d.original_filename.lower()]
+    assert sorted((r.query_id, r.query, r.doc_id) for r in got) == sorted(want)
+    often = [r.task for r in got if r.query.lower() == "map" and r.query_id % 3]
+    assert max(often.count(t) for t in set(often)) < len(often) / 2
+
+
 def test_verdicts_that_fail(spark):
     answers = [
         '{"category": "APPENDIX_A"}', '{"category": "APPENDIX_A", "confidence": "0.5"}', '{"category": "APPENDIX_A", "confidence": "high"}',
