@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from docket.schema import SECTION_NAMES, position_of
 
 Size = DataFrame | tuple[int, int] | None
 
-PLACES = 1024  # places of a section that look up their run together
+PLACES = 1024  # places of a run that one row is spread to at most
 ORDER = ["section_pos", "key1", "key2", "key3", "sort_name", "doc_id"]
 
 
@@ -190,91 +189,103 @@ def _replayer() -> Callable:
         """(lo, hi, at): where the rows that stood at places lo up to hi stand after a log of moves (place of the moved row at the
         start, kind, place at the start of the row it is dropped on), for a list of ``size`` rows.
 
-        The list is kept as runs of rows that nobody has parted yet, in chunks with their totals; a move parts at most two runs, so
-        the log's length counts, not the list's."""
-        from bisect import bisect_right, insort
-
-        class Run:
-            __slots__ = ("lo", "hi", "chunk")
-
-            def __init__(self, lo: int, hi: int, chunk: list):
-                self.lo, self.hi, self.chunk = lo, hi, chunk
-
+        The list is kept as runs of rows that nobody has parted yet: rows that the log names stand alone from the start, and a
+        neighbour that one of them steps over is parted from its run then. So the log's length counts, not the list's. Runs stand
+        in chunks; a step looks into its own chunk and the one beside it, and a drop compares two places by their chunks' ranks."""
+        moves = list(moves)
         most = 256
-        chunks: list[list] = [[]]
-        total = {id(chunks[0]): size}
-        whole = Run(0, size, chunks[0])
-        chunks[0].append(whole)
-        starts, runs = [0], {0: whole}
-
-        def put(run, chunk, at):
-            chunk.insert(at, run)
-            run.chunk = chunk
-            total[id(chunk)] += run.hi - run.lo
-            if len(chunk) > most:
-                rest = chunk[most // 2 :]
-                del chunk[most // 2 :]
-                chunks.insert(chunks.index(chunk) + 1, rest)
-                total[id(rest)] = sum(r.hi - r.lo for r in rest)
-                total[id(chunk)] -= total[id(rest)]
-                for r in rest:
-                    r.chunk = rest
-
-        def part(place):
-            """The run of the one row that stood at ``place``."""
-            run = runs[starts[bisect_right(starts, place) - 1]]
-            for cut in (place, place + 1):
-                if run.lo < cut < run.hi:
-                    chunk, new = run.chunk, Run(cut, run.hi, None)
-                    total[id(chunk)] -= run.hi - cut
-                    run.hi = cut
-                    insort(starts, cut)
-                    runs[cut] = new
-                    put(new, chunk, chunk.index(run) + 1)
-                    run = new if cut == place else run
-            return run
-
-        def where(run):
-            before = 0
-            for chunk in chunks:
-                if chunk is run.chunk:
-                    break
-                before += total[id(chunk)]
-            for r in run.chunk:
-                if r is run:
-                    return before
-                before += r.hi - r.lo
-
-        def insert(run, at):
-            """Put a run of one row so that it stands at ``at``."""
-            for chunk in chunks:
-                if at <= total[id(chunk)]:
-                    break
-                at -= total[id(chunk)]
-            for i, r in enumerate(chunk):
-                if at == 0:
-                    return put(run, chunk, i)
-                if at < r.hi - r.lo:
-                    cut = r.lo + at
-                    part(cut)
-                    chunk = runs[cut].chunk
-                    return put(run, chunk, chunk.index(runs[cut]))
-                at -= r.hi - r.lo
-            put(run, chunk, len(chunk))
+        lows, highs, homes = [], [], []
+
+        def run(lo, hi):
+            lows.append(lo)
+            highs.append(hi)
+            homes.append(None)
+            return len(lows) - 1
+
+        alone, order, end = {}, [], 0
+        for place in sorted({m[0] for m in moves} | {m[2] for m in moves if m[1] == "to"}):
+            if end < place:
+                order.append(run(end, place))
+            alone[place] = run(place, place + 1)
+            order.append(alone[place])
+            end = place + 1
+        if end < size:
+            order.append(run(end, size))
+
+        class Chunk:
+            __slots__ = ("runs", "rank")
+
+            def __init__(self, held):
+                self.runs = held
+                for r in held:
+                    homes[r] = self
+
+        chunks = [Chunk(order[i : i + most // 2]) for i in range(0, len(order), most // 2)]
+
+        def rank(start):
+            for i in range(start, len(chunks)):
+                chunks[i].rank = i
+
+        rank(0)
+
+        def put(r, home, at):
+            home.runs.insert(at, r)
+            homes[r] = home
+            if len(home.runs) > most:
+                chunks.insert(home.rank + 1, Chunk(home.runs[most // 2 :]))
+                del home.runs[most // 2 :]
+                rank(home.rank + 1)
+
+        def step(r, by):
+            """Let a run of one row change places with the row before or after it."""
+            home = other = homes[r]
+            beside = home.runs.index(r) + by
+            if not 0 <= beside < len(home.runs):
+                if not 0 <= home.rank + by < len(chunks):
+                    return
+                other = chunks[home.rank + by]
+                beside = 0 if by > 0 else len(other.runs) - 1
+            near = other.runs[beside]
+            if highs[near] - lows[near] > 1:
+                if by > 0:
+                    row = run(lows[near], lows[near] + 1)
+                    lows[near] += 1
+                    put(row, other, beside)
+                else:
+                    row = run(highs[near] - 1, highs[near])
+                    highs[near] -= 1
+                    put(row, other, beside + 1)
+                near = row
+            one, two = homes[r], homes[near]
+            i, j = one.runs.index(r), two.runs.index(near)
+            one.runs[i], two.runs[j] = near, r
+            homes[r], homes[near] = two, one
+
+        def drop(r, over):
+            if r == over:
+                return
+            home, there = homes[r], homes[over]
+            later = home.rank < there.rank or (home is there and home.runs.index(r) < home.runs.index(over))
+            home.runs.remove(r)
+            if not home.runs:
+                del chunks[home.rank]
+                rank(home.rank)
+            put(r, there, there.runs.index(over) + later)
 
         for place, kind, over in moves:
-            run = part(place)
-            source = where(run)
-            target = source + {"up": -1, "down": 1}[kind] if kind != "to" else where(part(over))
-            if 0 <= target < size and target != source:
-                run.chunk.remove(run)
-                total[id(run.chunk)] -= 1
-                insert(run, target)
+            if kind == "to":
+                drop(alone[place], alone[over])
+            else:
+                step(alone[place], {"up": -1, "down": 1}[kind])
         out, at = [], 0
         for chunk in chunks:
-            for r in chunk:
-                out.append((r.lo, r.hi, at))
-                at += r.hi - r.lo
+            for r in chunk.runs:
+                lo, hi = lows[r], highs[r]
+                if out and out[-1][1] == lo:
+                    out[-1] = (out[-1][0], hi, out[-1][2])
+                else:
+                    out.append((lo, hi, at))
+                at += hi - lo
         return out
 
     return replay
@@ -286,8 +297,9 @@ def move_log(filings: DataFrame, moves: DataFrame, group_rows: int | None = None
     those before it left. Moves at the edge of a section, or of or onto documents that it does not show, change nothing; a drop
     onto another section is no move within one (``move_in_section``).
 
-    A section's moves are replayed in one task, but its documents are not: the task knows their number, and gives back where runs
-    of them stand. Documents look up their run by blocks of places."""
+    A section's moves are replayed in one task, small sections one after the other in the same call, but documents are not: the
+    task knows their number, and gives back where runs of them stand. Runs are spread to places, and each document looks up its
+    own."""
     placed = display_order(filings.select("report_id", "category", "sort_order", "doc_id", "is_included"), group_rows)
     at = placed.select("report_id", "doc_id", "category", "place")
     over = at.select("report_id", F.col("doc_id").alias("over_id"), F.col("category").alias("over_category"), F.col("place").alias("over"))
@@ -298,20 +310,41 @@ def move_log(filings: DataFrame, moves: DataFrame, group_rows: int | None = None
 
     replay = _replayer()
 
-    def runs(key, log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values("seq")
-        over = [None if pd.isna(x) else int(x) for x in log["over"]]
-        found = replay(zip(log["place"].tolist(), log["kind"], over), int(log["n"].iloc[0]))
-        return pd.DataFrame([(*key, *r) for r in found], columns=["report_id", "category", "lo", "hi", "start"])
-
-    found = each.select("report_id", "category", "seq", "place", "kind", "over", "n").groupBy("report_id", "category").applyInPandas(
+    def runs(batches):
+        """Sections come one after the other, each with its moves in order; one may go over many batches."""
+        import pyarrow as pa
+
+        names = ["report_id", "category", "lo", "hi", "start"]
+        kinds = pa.schema([("report_id", pa.int64()), ("category", pa.string()), *[(n, pa.int64()) for n in names[2:]]])
+
+        def listed(sections):
+            rows = [(*key[:2], *r) for key, log in sections for r in replay(log, key[2])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.types)], schema=kinds)
+
+        section, log = None, []
+        for batch in batches:
+            done = []
+            for *key, place, kind, over in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != section:
+                    if log:
+                        done.append((section, log))
+                    section, log = key, []
+                log.append((place, kind, over))
+            if done:
+                yield listed(done)
+        if log:
+            yield listed([(section, log)])
+
+    dealt = each.repartition("report_id", "category").sortWithinPartitions("report_id", "category", "seq")
+    found = dealt.select("report_id", "category", "n", "place", "kind", "over").mapInArrow(
         runs, "report_id long, category string, lo long, hi long, start long"
     )
     block = F.explode(F.sequence(F.floor(F.col("lo") / PLACES), F.floor((F.col("hi") - 1) / PLACES)))
-    spread = found.withColumn("block", block)
-    dealt = placed.withColumn("block", F.floor(F.col("place") / PLACES))
-    met = dealt.join(spread, ["report_id", "category", "block"]).filter((F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
-    return met.select("report_id", "category", "doc_id", (F.col("start") + F.col("place") - F.col("lo")).cast("int").alias("sort_order"))
+    first, last = F.greatest("lo", F.col("block") * PLACES), F.least("hi", (F.col("block") + 1) * PLACES) - 1
+    each_place = found.withColumn("block", block).withColumn("place", F.explode(F.sequence(first, last)))
+    stands = each_place.select("report_id", "category", "place", (F.col("start") + F.col("place") - F.col("lo")).cast("int").alias("now"))
+    met = placed.select("report_id", "category", "doc_id", F.col("place").cast("long")).join(stands, ["report_id", "category", "place"])
+    return met.select("report_id", "category", "doc_id", F.col("now").alias("sort_order"))
 
 
 # --- lists a user sees -----------------------------------------------------------------------------------------------

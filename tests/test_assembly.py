@@ -152,3 +152,48 @@ def test_a_log_on_a_long_section_knows_runs_only():
     got = assemble._replayer()([(10**9 - 1, "up", None), (5, "to", 10**8), (7, "down", None)], 10**9)
     assert sum(hi - lo for lo, hi, _ in got) == 10**9 and len(got) < 12
     assert {(lo, at) for lo, hi, at in got if hi - lo == 1} >= {(10**9 - 1, 10**9 - 2), (5, 10**8), (7, 7)}
+
+
+def test_a_long_log_of_one_section_takes_no_time_per_place():
+    """Every row of a long section moves: a walk over the section per move would take minutes."""
+    import time
+
+    n = 200_000
+    log = [(p, "up", None) for p in range(1, n, 2)] + [(p, "down", None) for p in range(0, n, 3)] + [(0, "to", n - 1)]
+    began = time.process_time()
+    got = assemble._replayer()(log, n)
+    assert time.process_time() - began < 12
+    assert sum(hi - lo for lo, hi, _ in got) == n and sorted(at for _, _, at in got)[0] == 0
+
+
+def test_logs_on_many_small_sections_equal_a_list():
+    r = random.Random(11)
+    for n in (1, 2, 3, 40, 700):
+        named = r.sample(range(n), max(1, n // 3))
+        for count in (n, 4 * n):
+            log = [(r.choice(named), r.choice(["up", "down", "to"]), r.choice(named)) for _ in range(count)]
+            want = replayed(range(n), [m for m in log if m[1] != "to" or m[0] != m[2]])
+            got = [0] * n
+            for lo, hi, at in assemble._replayer()(log, n):
+                got[at : at + hi - lo] = range(lo, hi)
+            assert got == want
+
+
+def test_sections_that_go_over_many_batches(spark, filings):
+    """Sections share a call, and the moves of one may come in several batches."""
+    df = filings(*[{"report_id": i % 5, "category": "APPENDIX_A", "sort_order": 0} for i in range(60)])
+    shown = sorted((d.report_id, d.doc_id) for d in df.collect())
+    moves = [(r, s, d, "down", None) for s, (r, d) in enumerate(shown)]
+    table = spark.createDataFrame(moves, "report_id long, seq int, doc_id long, kind string, over_id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        log = assemble.move_log(df, table)
+        assert "FlatMapGroups" not in log._jdf.queryExecution().optimizedPlan().toString()
+        got = {tuple(x) for x in log.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for report in range(5):
+        ids = [d for r, d in shown if r == report]
+        want |= {(report, "APPENDIX_A", d, i) for i, d in enumerate(replayed(ids, [(d, "down", None) for d in ids]))}
+    assert got == want
