@@ -803,7 +803,7 @@ def stream_folder(c: Corpus) -> DataFrame:
     """The texts of every report as files in a folder of its own, taken in by a stream over the folder that holds them all."""
     folder = f"{scratch_dir(c.spark).rstrip('/')}/{uuid.uuid4().hex}"
     texts = c.given("documents").join(c.filings.select("doc_id", "report_id"), "doc_id").select("report_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts.repartition("report_id").write.partitionBy("report_id").text(f"{folder}/in")
+    texts.hint("rebalance", "report_id").write.partitionBy("report_id").text(f"{folder}/in")  # a big report is several files
     progress.start(progress.stream_folder(c.spark, f"{folder}/in", 100), f"{folder}/out", f"{folder}/log").awaitTermination()
     found = c.spark.read.parquet(f"{folder}/out").withColumn("report_id", F.regexp_extract("original_path", r"^report_id=(\d+)/", 1).cast("long"))
     extension = F.regexp_extract("original_filename", r"(\.[a-z]+)$", 1).alias("ext")

@@ -97,3 +97,28 @@ def test_a_folder_as_a_stream(spark, tmp_path):
     assert [g[:3] for g in got] == [("box/a b [1].txt", "a b [1].txt", 1), ("box/late.pdf", "late.pdf", 4), ("box/old/radius.PDF", "radius.PDF", 1), ("sanborn.pdf", "sanborn.pdf", 7)]
     assert [g[3] for g in got][2:] == ["APPENDIX_C", "APPENDIX_D"]
     assert "content" not in ingest.list_files(spark, str(src))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+def test_a_big_report_is_written_by_many_tasks(spark):
+    """The texts of one report, however many, do not pass one task on their way into its folder."""
+    from pathlib import Path
+
+    from docket.catalog import QUERIES
+    from docket.session import scratch_dir
+
+    place = Path(scratch_dir(spark).removeprefix("file:"))
+    before = set(place.glob("*/in"))
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",
+        "spark.sql.autoBroadcastJoinThreshold": -1, "spark.sql.adaptive.autoBroadcastJoinThreshold": -1,
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        got = QUERIES["stream_folder"](spark, "/root/testdata/sf0.01").collect()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    (folder,) = set(place.glob("*/in")) - before
+    files = list((folder / "report_id=0").glob("*.txt"))
+    assert len(files) > 2 and {r.report_id: r.bytes for r in got}[0] == sum(f.stat().st_size for f in files)
