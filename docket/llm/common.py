@@ -13,8 +13,10 @@ from docket.session import forget, stored
 
 # Entries of each of the two generations of a worker's memo, and the longest key that is remembered, which bound its memory.
 CACHE_ENTRIES, CACHE_KEY = 150_000, 64
-# Values that a worker keeps from task to task.
-KEPT = 4
+# Values that a worker keeps side by side from task to task; any other is kept alone.
+TOGETHER = {"word_hashes", "characters", "powers"}
+# Rows that are Python objects at once; Spark's batches hold ten thousand.
+ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,19 +45,24 @@ def same_row(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     return joined.drop(*[f"__{k}" for k in KEY]) if how in ("left", "inner") else joined
 
 
+def parts(batches: Iterator) -> Iterator[dict]:
+    """The rows of Arrow batches, at most ``ROWS`` at a time, as dicts of Python lists; empty batches give none."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS).to_pydict()
+
+
 def over_texts(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """Run ``make()`` once per task and the function it returns once per Arrow batch: (columns of the batch as a dict of
-    Python lists) -> dict of columns or None."""
+    """Run ``make()`` once per task and the function it returns once per part of an Arrow batch: (columns of the part as a dict
+    of Python lists) -> dict of columns or None."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         work, into = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for part in parts(batches):
             work = work or make()
-            out = work(batch.to_pydict())
+            out = work(part)
             if out is None:
                 continue
             into = into or arrow_schema
@@ -70,17 +77,18 @@ def over_texts(df: DataFrame, make: Callable[[], Callable], schema: str) -> Data
 
 
 def over_partition(df: DataFrame, make: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
-    """Like ``over_texts`` for sums: (step, finish); ``step`` sees each batch, ``finish`` returns the columns of the task."""
+    """Like ``over_texts`` for sums: (step, finish); ``step`` sees each part, ``finish`` returns the columns of the task. A step
+    may return columns too, if there are many to hold: what is summed so far."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         step, finish = make()
-        for batch in batches:
-            if batch.num_rows:
-                step(batch.to_pydict())
-        out = finish()
-        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
+        for part in parts(batches):
+            if (out := step(part)) is not None:
+                yield told(out)
+        yield told(finish())
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -113,8 +121,7 @@ def over_groups(df: DataFrame, by: list[str], make: Callable[[], Callable], sche
                 values.clear()
             return batch
 
-        for batch in batches:
-            columns = batch.to_pydict()
+        for columns in parts(batches):
             for row in zip(*[columns[n] for n in names]):
                 now = tuple(row[i] for i in at)
                 if now != key:
@@ -139,18 +146,31 @@ def over_groups(df: DataFrame, by: list[str], make: Callable[[], Callable], sche
 
 
 def worker_cache(name: str, build: Callable[[], object]) -> object:
-    """A value that lives on in the Python worker, so tables and memos survive from task to task. A worker keeps the few that
-    were used last: what an earlier operator or an earlier model left there goes."""
+    """A value that lives on in the Python worker, so tables and memos survive from task to task. What an earlier operator or an
+    earlier model left there goes before another is built, so a worker that serves a whole pipeline holds one at a time."""
     keep = sys.modules.setdefault("docket_worker_cache", types.ModuleType("docket_worker_cache")).__dict__.setdefault("kept", {})
     value = keep.pop(name, None)
     if value is None:
-        while len(keep) >= KEPT:
-            del keep[next(iter(keep))]
+        gone = [other for other in keep if not {name, other} <= TOGETHER]
+        for other in gone:
+            del keep[other]
+        if gone:
+            release()
         value = build()
     keep[name] = value
     return value
 
 
+def release() -> None:
+    """Give back what dropped values held, Arrow's pool included."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class Memo(dict):
     """key -> ``work(key)``, remembered unless the key is a long text. When full it becomes the old generation and a new one starts, so what is met often
     stays and memory is bounded by two generations."""

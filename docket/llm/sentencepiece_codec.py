@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docket.llm.common import CACHE_ENTRIES, over_texts, plain, table, worker_cache
+from docket.llm.common import over_texts, plain, table, worker_cache
 from docket.llm.pieces import BPE, CONTROL, MARK, NORMAL, UNKNOWN, USER, chunks, read_model, separable
 from docket.llm.token_counts import model_bytes
 
 # Chunks not met before are encoded together; the library spreads a batch over its threads.
 BATCH = 4096
+# Chunks remembered in each of two generations: with ids and text a chunk takes some 400 bytes.
+REMEMBERED = 80_000
 
 
 def build_tokenizer(data: bytes, chunked: bool = False):
@@ -99,7 +101,7 @@ class Codec:
         out = []
         for at in range(0, len(texts), 64):
             cut = [chunks(t) for t in texts[at : at + 64]]
-            if len(self.ids) > CACHE_ENTRIES:
+            if len(self.ids) > REMEMBERED:
                 self.old = self.ids, self.texts
                 self.ids, self.texts = {}, {}
             new = set().union(*cut).difference(self.ids)

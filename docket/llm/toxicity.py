@@ -20,6 +20,7 @@ MIN_WEIGHT = math.log(3)
 SURE = 2.5  # standard errors that a weight stays below its estimate
 PREFIXES = (4, 5)
 MEMO = 120_000  # tokens remembered per generation of a worker's memo
+FEATURES = 100_000  # features that a task counts before it hands on its counts
 
 # What each symbol may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -292,13 +293,21 @@ def lexicon(docs: DataFrame, labels: DataFrame, costs: list[float], label: str =
         words = restorer(costs)
         seen = (Counter(), Counter())
 
-        def step(batch: dict) -> None:
+        def step(batch: dict) -> dict | None:
+            out = {"feature": [], "no": [], "yes": []}
             for text, y in zip(batch["text"], batch["y"]):
                 seen[y == 1].update({f for w in words(text) for f in features(w)})
+                if len(seen[0]) + len(seen[1]) >= FEATURES:
+                    for name, values in finish().items():
+                        out[name] += values
+            return out if out["feature"] else None
 
         def finish() -> dict:
             names = list(seen[0].keys() | seen[1].keys())
-            return {"feature": names, "no": [seen[0][f] for f in names], "yes": [seen[1][f] for f in names]}
+            out = {"feature": names, "no": [seen[0][f] for f in names], "yes": [seen[1][f] for f in names]}
+            for counts in seen:
+                counts.clear()
+            return out
 
         return step, finish
 

@@ -5,7 +5,8 @@ import sys
 import pytest
 
 import corpus_pipeline
-from docket.llm.common import Words, in_parts
+from docket.llm import common, toxicity
+from docket.llm.common import Words, in_parts, over_partition, over_texts, worker_cache
 
 from .helpers import documents, odd_rows, prose
 
@@ -61,3 +62,41 @@ def test_a_worker_that_meets_an_empty_text_first(texts):
         sys.modules.pop("docket_worker_cache", None)
         if kept:
             sys.modules["docket_worker_cache"] = kept
+
+
+def test_a_worker_keeps_only_what_one_operator_needs():
+    kept = sys.modules.pop("docket_worker_cache", None)
+    try:
+        common.word_hashes()
+        worker_cache("powers", dict)
+        assert set(sys.modules["docket_worker_cache"].kept) == {"word_hashes", "powers"}
+        codec = worker_cache("codec", object)
+        assert set(sys.modules["docket_worker_cache"].kept) == {"codec"} and worker_cache("codec", object) is codec
+        worker_cache("toxicity", object)
+        assert set(sys.modules["docket_worker_cache"].kept) == {"toxicity"}
+    finally:
+        sys.modules.pop("docket_worker_cache", None)
+        if kept:
+            sys.modules["docket_worker_cache"] = kept
+
+
+def test_few_rows_are_python_objects_at_once(spark):
+    rows, most = spark.range(5000).coalesce(1), common.ROWS
+    seen = over_texts(rows, lambda: lambda part: {"id": part["id"], "n": [len(part["id"])] * len(part["id"])}, "id long, n int").collect()
+    assert sorted(r.id for r in seen) == list(range(5000)) and max(r.n for r in seen) <= most
+
+    def make():
+        sizes = []
+        return lambda part: sizes.append(len(part["id"])), lambda: {"n": sizes}
+
+    each = [r.n for r in over_partition(rows, make, "n int").collect()]
+    assert sum(each) == 5000 and max(each) <= most
+
+
+def test_a_lexicon_counted_in_parts_is_the_same(spark, monkeypatch):
+    rows = [(i, f"{prose(i, 30)} {'vile wretch' if i % 3 == 0 else 'kind friend'}") for i in range(240)]
+    marks = spark.createDataFrame([(i, 1 if i % 3 == 0 else 0) for i, _ in rows], "doc_id long, toxic int")
+    docs, costs = documents(spark, rows), [1.0] * toxicity.K**3
+    whole = toxicity.lexicon(docs, marks, costs)
+    monkeypatch.setattr(toxicity, "FEATURES", 50)
+    assert toxicity.lexicon(docs, marks, costs) == whole and any("vile" in f for f in whole[1])
