@@ -6,7 +6,6 @@ from __future__ import annotations
 import copy
 import uuid
 from contextlib import contextmanager
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,13 +79,16 @@ def words(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(piece, pos, id, word): every word of every whole text at its place in its piece, pieces numbered over the table. A word
     carries its lang, a space between them; no word holds a space.
 
-    Pieces are dealt to the buckets before they are cut into words, so what travels is text."""
+    Pieces are dealt to the buckets and sorted before they are cut into words, so what travels is text, and words, of which there
+    are many more, come as their relation is sorted. Only pieces with tabs or runs of spaces need a pattern to be cut."""
     text = lowered(F.coalesce(F.col("text").cast("string"), F.lit("")))
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     pieces = plain.select("lang", F.explode(F.split("text", BREAKS)).alias("text"))
     numbered = pieces.withColumn("piece", F.monotonically_increasing_id()).filter("text <> ''")
-    dealt = numbered.repartition(buckets(docs.sparkSession), "piece")
-    each = dealt.select("piece", F.posexplode(F.split("text", "[ \t]+")).alias("pos", "word"), "lang").filter("word <> ''")
+    dealt = numbered.repartition(buckets(docs.sparkSession), "piece").sortWithinPartitions("piece")
+    uneven = F.contains("text", F.lit("\t")) | F.contains("text", F.lit("  "))
+    cut = F.when(uneven, F.split("text", "[ \t]+")).otherwise(F.split("text", " "))
+    each = dealt.select("piece", F.posexplode(cut).alias("pos", "word"), "lang").filter("word <> ''")
     word = F.concat("lang", F.lit(" "), "word")
     return each.select("piece", "pos", F.xxhash64(F.lit(seed), word).alias("id"), word.alias("word"))
 
@@ -108,19 +110,39 @@ def vocabulary(docs: DataFrame) -> tuple[Relation, DataFrame]:
         seed += 1
 
 
+def numbered(groups: DataFrame) -> tuple[DataFrame, int]:
+    """Groups, stored, each with an ``id`` from 0 without gaps; and how many they are. Rows are numbered within partitions; the
+    sizes of these, a row for each, are summed up before them. Two ids make one long, see ``paired``."""
+    out = stored(groups.withColumn("mark", F.monotonically_increasing_id()))
+    part, within = F.shiftright("mark", 33), F.col("mark").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = out.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
+    starts = sizes.select("part", before.alias("start"))
+    size = out.count()
+    if size >= 1 << 31:
+        raise ValueError(f"{size} frequent groups of one length; two ids of 31 bits are kept in a long")
+    ids = out.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("id", F.col("start") + within)
+    return stored(ids.drop("mark", "part", "start")), size
+
+
+def paired(g: Column, h: Column) -> Column:
+    """One long for two ids below 2 ** 31: it is looked up and grouped by faster than two."""
+    return F.shiftleft(g, 32).bitwiseOR(h)
+
+
 def frequent(occurrences: DataFrame, support: int) -> tuple[DataFrame, int]:
-    """The frequent pairs (g, h), stored, each with an ``id`` and its count ``a``; and how many they are."""
-    groups = occurrences.groupBy("g", "h").agg(F.count(F.lit(1)).alias("a")).filter(F.col("a") >= support)
-    out = stored(groups.withColumn("id", F.monotonically_increasing_id()))
-    return out, out.count()
+    """The frequent pairs (key, g, h), stored, each with an ``id`` and its count ``a``; and how many they are."""
+    groups = occurrences.groupBy("key").agg(F.count(F.lit(1)).alias("a")).filter(F.col("a") >= support)
+    low = F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    return numbered(groups.select("key", F.shiftright("key", 32).alias("g"), low.alias("h"), "a"))
 
 
-def within(relation: Relation, groups: DataFrame, size: int, by: Sequence[str]) -> Relation:
+def within(relation: Relation, groups: DataFrame, size: int) -> Relation:
     """The occurrences of frequent groups, (piece, pos, id). Groups counted to be few are broadcast, which keeps rows in their
     buckets, so nothing has to be stored; more of them are joined by a shuffle, and the rows stored in buckets again."""
-    names = groups.select(*dict.fromkeys([*by, "id"]))
+    names = groups.select("key", "id")
     small = size <= BROADCAST_ROWS
-    each = relation.rows.select("piece", "pos", *by).join(F.broadcast(names) if small else names, list(by)).select("piece", "pos", "id")
+    each = relation.rows.select("piece", "pos", "key").join(F.broadcast(names) if small else names, "key").select("piece", "pos", "id")
     if small:
         return relation.narrowed(each)
     kept = Relation(each, dealt=False)
@@ -129,10 +151,11 @@ def within(relation: Relation, groups: DataFrame, size: int, by: Sequence[str])
 
 
 def adjacent(relation: Relation) -> DataFrame:
-    """(piece, pos, g, h): occurrences of a phrase g at pos, and of h one word further, which share all words but two."""
+    """(piece, pos, key): where a phrase g stands at pos, and h one word further, which share all words but two; the key is of
+    both."""
     first = relation.rows.select("piece", "pos", F.col("id").alias("g"))
     second = relation.rows.select("piece", (F.col("pos") - 1).alias("pos"), F.col("id").alias("h"))
-    return first.join(second, ["piece", "pos"])
+    return first.join(second, ["piece", "pos"]).select("piece", "pos", paired(F.col("g"), F.col("h")).alias("key"))
 
 
 def described(groups: DataFrame, shorter: DataFrame) -> DataFrame:
@@ -176,18 +199,18 @@ def collocations(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT
     row counts, repeated ones too; other columns are not looked at; an empty table gives no rows.
 
     Occurrences of words are stored by piece and place. Those of length k + 1 are two frequent ones of length k one place apart, a
-    merge of a stored relation with itself, stored again; they are counted by (first, second) and kept, by a join with the
+    merge of a stored relation with itself, stored again; they are counted by (first, second), one long, and kept, by a join with the
     frequent groups, under the group's id. Every part of a frequent phrase is frequent, so nothing is lost."""
     with sorted_buckets(docs.sparkSession):
         relation, found = vocabulary(docs)
         total = found.groupBy("lang").agg(F.sum("a").alias("n"))
-        groups = stored(found.filter(F.col("a") >= support))
+        relation = relation.narrowed(relation.rows.withColumnRenamed("id", "key"))
+        groups, size = numbered(found.filter(F.col("a") >= support).withColumnRenamed("id", "key"))
         own = F.array("a")
         lengths = [groups.select("id", "lang", F.array("word").alias("words"), own.alias("heads"), own.alias("tails"))]
-        by, size = ["id"], groups.count()
         for _ in range(2, longest + 1):
-            kept = within(relation, groups, size, by)
-            relation, by = Relation(adjacent(kept), dealt=True), ["g", "h"]
+            kept = within(relation, groups, size)
+            relation = Relation(adjacent(kept), dealt=True)
             kept.drop()
             groups, size = frequent(relation.rows, support)
             lengths.append(stored(described(groups, lengths[-1])))

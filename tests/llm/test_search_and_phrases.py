@@ -86,6 +86,20 @@ def test_word_ids_are_made_anew_when_two_words_share_one(spark, monkeypatch):
     assert seeds == [0, 1]
 
 
+def test_ids_of_groups_fit_in_half_a_long(spark):
+    marked = collocations.frequent(spark.range(0, 3000, 1, 7).select(collocations.paired(F.col("id") % 50, F.lit(2**31 - 1)).alias("key")), 2)
+    groups, size = marked[0].collect(), marked[1]
+    assert sorted(g.id for g in groups) == list(range(50)) and size == 50
+    assert sorted((g.g, g.h, g.a) for g in groups) == [(g, 2**31 - 1, 60) for g in range(50)]
+
+
+@pytest.mark.parametrize("text", ["a b\tc", " a  b ", "a \tb", "a b c", "\t", "x"])
+def test_words_stand_side_by_side_whatever_parts_them(spark, text):
+    got = sorted((r.piece, r.pos, r.word) for r in collocations.words(spark.createDataFrame([("en", text)], "lang string, text string")).collect())
+    assert [w.removeprefix("en ") for _, _, w in got] == text.split()
+    assert [pos - got[0][1] for _, pos, _ in got] == list(range(len(got)))
+
+
 # -- near vectors
 
 
