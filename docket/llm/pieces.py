@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+# Classes of characters that pieces hold side by side, at most: their table has the square of it.
+CLASSES = 4000
 
 
 @dataclass
@@ -89,6 +91,28 @@ def separable(model: Model) -> bool:
     return not any(MARK in p.lstrip(MARK) or (len(p) > 1 and "\n" in p) for p, _, kind in model.pieces if kind in (NORMAL, USER))
 
 
+def neighbours(model: Model):
+    """(class of every character, table of classes that may touch): where two characters stand side by side in no piece, nothing
+    merges across, so text can be cut there. Marks are spaces here. Characters outside the vocabulary stay together, since an
+    unknown run may be one token; newlines stand alone. Classes are shared when there are many, which only makes cuts rarer."""
+    import numpy as np
+
+    pieces = [p.replace(MARK, " ") for p, _, kind in model.pieces if kind in (NORMAL, USER, UNUSED)]
+    pairs = {p[i - 1 : i + 1] for p in pieces for i in range(1, len(p))}
+    letters = sorted(set("".join(pairs)))
+    size = 2 + min(len(letters), CLASSES)
+    known = {p for p in pieces if len(p) == 1}
+    kinds = np.ones(0x110000, np.int32)  # 0: a piece of its own and in no other, 1: unknown
+    kinds[[10, *map(ord, known)]] = 0
+    kinds[list(map(ord, letters))] = 2 + np.arange(len(letters)) % CLASSES
+    table = np.zeros((size, size), bool)
+    for a, b in pairs:
+        table[kinds[ord(a)], kinds[ord(b)]] = True
+    unknown = [1, *{int(kinds[ord(c)]) for c in letters if c not in known}]
+    table[np.ix_(unknown, unknown)] = True
+    return kinds, table
+
+
 def chunks(text: str) -> list[str]:
     """``text`` as the pieces see it, cut where no piece of a separable model reaches across: before each run of marks and
     around newlines. Joined they are the marked text."""

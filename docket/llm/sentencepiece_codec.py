@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docket.llm.common import over_texts, plain, table, worker_cache
-from docket.llm.pieces import BPE, CONTROL, MARK, NORMAL, UNKNOWN, USER, chunks, read_model, separable
+from docket.llm.common import CACHE_KEY, in_parts, over_texts, plain, table, worker_cache
+from docket.llm.pieces import BPE, CONTROL, MARK, NORMAL, UNKNOWN, USER, neighbours, read_model, separable
 from docket.llm.token_counts import model_bytes
 
-# Chunks not met before are encoded together; the library spreads a batch over its threads.
+# Parts not met before are encoded together, so many in one call.
 BATCH = 4096
-# Chunks remembered in each of two generations: with ids and text a chunk takes some 400 bytes.
-REMEMBERED = 80_000
+# Parts remembered in each of two generations: with its ids a part takes some 200 bytes.
+REMEMBERED = 150_000
 
 
 def build_tokenizer(data: bytes, chunked: bool = False):
@@ -54,10 +54,10 @@ def build_tokenizer(data: bytes, chunked: bool = False):
 class Codec:
     """Encodes and decodes whole texts; ids travel as little-endian 32-bit integers.
 
-    For a separable model the rebuilt tokenizer encodes, and decodes, each distinct chunk once, in multithreaded batches, and a
-    text is the joined ids, or texts, of its chunks. Every distinct chunk is encoded by the sentencepiece library as well, to
-    compare: where its ids differ the chunk counts as a miss, and texts that hold it do not agree. Other models are encoded and
-    decoded text by text, and compared the same way."""
+    For a separable model texts are cut wherever no piece reaches across. The rebuilt tokenizer encodes, and decodes, each
+    distinct part once, many parts in one call as the lines of a text, and a text is the joined ids, or texts, of its parts. Every
+    distinct part is encoded by the sentencepiece library as well, to compare: where its ids differ the part counts as a miss,
+    and texts that hold it do not agree. Other models are encoded and decoded text by text, and compared the same way."""
 
     def __init__(self, data: bytes):
         import sentencepiece
@@ -66,54 +66,128 @@ class Codec:
         self.tokenizer = build_tokenizer(data)
         self.chunk_tokenizer = build_tokenizer(data, chunked=True)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_chunk = separable(self.model)
-        self.ids: dict[str, bytes] = {}
-        self.texts: dict[str, str] = {}  # what the ids decode to
-        self.old: tuple[dict[str, bytes], dict[str, str]] = {}, {}
-        self.odd: set[str] = set()
+        # Parts become lines, so a newline has to be a token of its own and none that stands for anything else.
+        self.line = self._own("\n")
+        alone = self.model.byte_fallback or "\n" in {piece for piece, _, _ in self.model.pieces}
+        self.by_part = separable(self.model) and alone and len(self.line) == 1
+        self.kinds, self.touch = neighbours(self.model) if self.by_part else (None, None)
+        self.ids: dict[bytes, bytes] = {}  # by part, with spaces for marks
+        self.old: dict[bytes, bytes] = {}
+        self.odd: set[bytes] = set()
+        self.other: dict[bytes, str] = {}  # what the ids decode to, where it is not the part itself
         self.silent = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == CONTROL}
 
-    def _learn(self, new: list[str]) -> None:
+    def _own(self, text: str) -> list[int]:
+        return self.chunk_tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _parts(self, texts: list[str]):
+        """(distinct parts, which of them each part is, first part of every text and the end), in numpy and Arrow."""
+        import numpy as np
+        import pyarrow as pa
+
+        joined = "".join([" " + t if t else "" for t in texts]).replace(MARK, " ")
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        first = np.cumsum([0] + [len(t) + 1 if t else 0 for t in texts])
+        kinds = self.kinds[points]
+        cut = np.ones(len(points) + 1, bool)
+        cut[1:-1] = ~self.touch.ravel()[kinds[:-1] * len(self.touch) + kinds[1:]]
+        cut[first] = True
+        at = np.nonzero(cut)[0]
+        data, begins = joined.encode(), at
+        if len(data) > len(points):
+            begins = np.concatenate([[0], np.cumsum((points > 0x7F).view(np.int8) + (points > 0x7FF) + (points > 0xFFFF) + 1, dtype=np.int64)])[at]
+        buffers = [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(data)]
+        found = pa.Array.from_buffers(pa.binary(), len(at) - 1, buffers).dictionary_encode()
+        return found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(at, first)
+
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """Ids of parts; the parts that the libraries encode differently, and those that are not restored, are noted."""
         import numpy as np
 
-        # The original library marks and prefixes texts itself. After a newline, which is two fixed tokens, a chunk keeps
+        # The original library marks and prefixes texts itself. After a newline, which is two fixed tokens, a part keeps
         # its own spaces, so both see the same.
-        skip = len(self.original.encode("\n"))
+        skip, line, out = len(self.original.encode("\n")), self.line[0], []
         for at in range(0, len(new), BATCH):
             part = new[at : at + BATCH]
-            own = [e.ids for e in self.chunk_tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            back = self.chunk_tokenizer.decode_batch(own, skip_special_tokens=False)
-            theirs = self.original.encode(["\n" + c.replace(MARK, " ") for c in part], num_threads=1)
-            for chunk, mine, text, other in zip(part, own, back, theirs):
-                if mine != other[skip:]:
-                    self.odd.add(chunk)
-                self.ids[chunk] = np.array(mine, "<i4").tobytes()
-                self.texts[chunk] = text
+            texts = [p.decode() for p in part]
+            joined = "\n".join(texts)
+            own = self._own(joined.replace(" ", MARK))
+            theirs = self.original.encode("\n" + joined)[skip:]
+            back = self.chunk_tokenizer.decode(own, skip_special_tokens=False)
+            ids = np.array(own, "<i4")
+            ends = np.append(np.nonzero(ids == line)[0], len(ids))
+            if len(ends) == len(part) and own == theirs and back == joined:
+                data = ids.tobytes()
+                out += [data[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
+                continue
+            for p, text in zip(part, texts):  # a newline itself, or something differs
+                mine = self._own(text.replace(" ", MARK))
+                if mine != self.original.encode("\n" + text)[skip:]:
+                    self.odd.add(p)
+                if (back := self.chunk_tokenizer.decode(mine, skip_special_tokens=False)) != text:
+                    self.other[p] = back
+                out.append(np.array(mine, "<i4").tobytes())
+        return out
+
+    def _known(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts, those met before from memory."""
+        if len(self.ids) > REMEMBERED:
+            self.old, self.ids = self.ids, {}
+            self.odd.intersection_update(self.old)
+            self.other = {p: text for p, text in self.other.items() if p in self.old}
+        found = list(map(self.ids.get, parts))
+        new = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            if (ids := self.old.get(parts[i])) is None:
+                new.append(i)
+            else:
+                found[i] = self.ids[parts[i]] = ids
+        for i, ids in zip(new, self._learn([parts[i] for i in new])):
+            found[i] = ids
+            if len(parts[i]) <= CACHE_KEY:
+                self.ids[parts[i]] = ids
+        return found
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
         """(ids, whether both libraries agree, what the ids decode to) of each text."""
         import numpy as np
 
-        if not self.by_chunk:
+        if not self.by_part:
             own = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             theirs = self.original.encode(texts, num_threads=1)
             return [(np.array(a, "<i4").tobytes(), a == b, t) for a, b, t in zip(own, theirs, self.decode(own))]
+        return [row for low, high in in_parts(texts) for row in self._encode(texts[low:high])]
+
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
+        import numpy as np
+
+        parts, which, first = self._parts(texts)
+        known = self._known(parts)
+        flat = np.frombuffer(b"".join(known), "<i4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begins, many = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = flat[np.repeat(begins - ends[:-1], many) + np.arange(ends[-1])].tobytes()
+        holds = lambda some: self._holding(parts, which, first, some)
+        odd, other = holds(self.odd), holds(self.other)
         out = []
-        for at in range(0, len(texts), 64):
-            cut = [chunks(t) for t in texts[at : at + 64]]
-            if len(self.ids) > REMEMBERED:
-                self.old = self.ids, self.texts
-                self.ids, self.texts = {}, {}
-            new = set().union(*cut).difference(self.ids)
-            met = new.intersection(self.old[0])
-            for now, old in zip((self.ids, self.texts), self.old):
-                now.update((chunk, old[chunk]) for chunk in met)
-            if len(new) > len(met):
-                self._learn(list(new - met))
-            ids, back, odd = self.ids.__getitem__, self.texts.__getitem__, self.odd
-            out += [(b"".join(map(ids, c)), not odd or odd.isdisjoint(c), self._first("".join(map(back, c)))) for c in cut]
+        for i, (text, a, b) in enumerate(zip(texts, ends[first[:-1]].tolist(), ends[first[1:]].tolist())):
+            back = text.replace(MARK, " ")
+            if other[i]:
+                held = (parts[j] for j in which[first[i] : first[i + 1]])
+                back = self._first("".join([self.other[p] if p in self.other else p.decode() for p in held]))
+            out.append((ids[4 * a : 4 * b], not odd[i], back))
         return out
 
+    def _holding(self, parts: list[bytes], which, first, some) -> list[bool]:
+        """Which texts hold one of some parts."""
+        import numpy as np
+
+        if not some or not any(p in some for p in parts):
+            return [False] * (len(first) - 1)
+        so_far = np.concatenate([[0], np.cumsum(np.array([p in some for p in parts])[which])])
+        return (so_far[first[1:]] > so_far[first[:-1]]).tolist()
+
     def _first(self, text: str) -> str:
         """A text put together from chunks, less the space that the model puts in front."""
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text

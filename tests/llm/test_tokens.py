@@ -76,6 +76,53 @@ def test_a_wrong_tokenizer_shows_in_ids_and_agreement():
     assert len(ids) // 4 > len(ORIGINAL.encode("the house")) and not agrees and back == "the house"
 
 
+def test_a_word_is_learnt_once_whatever_stands_behind_it():
+    """Each word before four kinds of punctuation is one part, and many parts take one call of each library."""
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("abcdefgh", k=9)) for _ in range(700)})
+    texts = [" ".join(w + behind for w in words) for behind in (".", ",", "###", "%%%")]
+    codec, calls = sentencepiece_codec.Codec(DATA), []
+    learn = codec.original
+
+    class Counted:
+        def encode(self, *args, **more):
+            calls.append(args)
+            return learn.encode(*args, **more)
+
+    codec.original = Counted()
+    got = codec.encode(texts)
+    assert [ids for ids, _, _ in got] == [struct.pack(f"<{len(x)}i", *x) for x in map(ORIGINAL.encode, texts)]
+    assert all(same for _, same, _ in got) and [back for _, _, back in got] == texts
+    assert len(codec.ids) < 2 * len(words) and len(calls) < 10
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(TEXTS, st.text(alphabet="ab .", min_size=70, max_size=90), st.text(max_size=30)), max_size=6))
+def test_texts_side_by_side_keep_apart(texts):
+    """Texts are cut and looked up together; empty ones, newlines at the edges and parts too long to be remembered too."""
+    got = CODEC.encode(texts)
+    assert [ids for ids, _, _ in got] == [struct.pack(f"<{len(x)}i", *x) for x in map(ORIGINAL.encode, texts)]
+    assert all(same for _, same, _ in got) and [back for _, _, back in got] == [t.replace("▁", " ") for t in texts]
+
+
+def test_parts_are_forgotten_and_learnt_again(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 20)
+    codec = sentencepiece_codec.Codec(DATA)
+    for i in range(30):
+        text = " ".join(prose(i % 7, 30).split()) + "\nx" * (i % 3)
+        ids, same, back = codec.encode([text])[0]
+        assert ids == struct.pack(f"<{len(x := ORIGINAL.encode(text))}i", *x) and same and back == text
+
+
+def test_only_texts_with_a_lost_character_are_not_restored():
+    """Without byte fallback a rare character is unknown: its text comes back otherwise and does not agree, the others do."""
+    codec = sentencepiece_codec.Codec(DATA)
+    codec.chunk_tokenizer.model.byte_fallback = False
+    got = codec.encode(["the house", "a 𝄞 in it", "", "it"])
+    assert [same for _, same, _ in got] == [True, False, True, True]
+    assert [back for _, _, back in got] == ["the house", "a <unk> in it", "", "it"]
+
+
 def unigram_model():
     """A model file of a few unigram pieces, written field by field."""
     def field(number, value):
