@@ -3,17 +3,23 @@ range-joined under its share of the squared distance, and what any block lets th
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.llm.common import components, over_groups, over_partition, over_texts, table
-from docket.session import stored
+from docket.llm.common import components, table
+from docket.session import forget, stored
 
 SIMILAR = 0.93
-WIDTH = 8  # dimensions of a block
+WIDTH = 32  # dimensions of a block
 GRID = 2  # leading dimensions of a block whose cells the range join meets in
-CHUNK = 1024  # vectors of one cell that are compared at once
+CHUNK = 32_768  # vectors of one cell that are compared at once, with as many others
+NUMBERS = 2**21  # numbers that the vectors of a chunk, or of pairs that are verified at once, hold together at most
+STRIP = 2**22  # pairs of a chunk whose coarse distances are looked at at once
 SLACK = 1e-9  # added to squared distances, against rounding; verification is exact
+DENSE = 16  # where one pair of so many passes that look, all pairs of a strip are compared by products
+COARSE = 1e-4  # added to squared distances in single precision, which are off by less
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -22,6 +28,41 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
 
 
+def over_arrays(df: DataFrame, size: int, make: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
+    """``make()`` once per task gives (step, finish). ``step`` sees the columns of each Arrow batch as numpy arrays, the vectors
+    ``vec`` of any length as rows of ``size`` doubles with zeros at their ends, which keeps lengths and distances, and their
+    ``length``. Both return columns or None."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def arrays(batch) -> dict:
+            out = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns) if n != "vec"}
+            vec = batch.column("vec")
+            ends = vec.offsets.to_numpy()
+            flat, length = vec.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], np.diff(ends)
+            out["vec"], out["length"] = np.zeros((len(length), size)), length
+            place = np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], length)
+            out["vec"][np.repeat(np.arange(len(length)), length), place] = flat
+            return out
+
+        step, finish = make()
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema)
+        for batch in batches:
+            if batch.num_rows and (out := step(arrays(batch))) is not None:
+                yield told(out)
+        if (out := finish()) is not None:
+            yield told(out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    arrow_schema = to_arrow_schema(kind)
+    return df.mapInArrow(run, kind)
+
+
 def axes(vectors: DataFrame, size: int):
     """An orthogonal matrix whose columns are the main directions of the unit vectors, dealt to blocks back and forth so that
     each block gets its part of the large ones first; and the blocks' columns. Only size x size sums reach the driver."""
@@ -33,7 +74,7 @@ def axes(vectors: DataFrame, size: int):
 
         def step(batch: dict) -> None:
             nonlocal total
-            units = unit(padded(batch["vec"], size))
+            units = unit(batch["vec"])
             total += units.T @ units
 
         def finish() -> dict:
@@ -44,7 +85,7 @@ def axes(vectors: DataFrame, size: int):
 
     import numpy as np
 
-    sums = over_partition(vectors.select("vec"), make, "i int, j int, total double").groupBy("i", "j").agg(F.sum("total").alias("total"))
+    sums = over_arrays(vectors.select("vec"), size, make, "i int, j int, total double").groupBy("i", "j").agg(F.sum("total").alias("total"))
     moments = np.zeros((size, size))
     for row in sums.toLocalIterator():
         moments[row.i, row.j] = row.total
@@ -57,16 +98,6 @@ def axes(vectors: DataFrame, size: int):
     return main, dealt
 
 
-def padded(vectors: list, size: int):
-    """Vectors of any length as rows of doubles, zeros at their ends: lengths and distances stay."""
-    import numpy as np
-
-    out = np.zeros((len(vectors), size))
-    for row, v in zip(out, vectors):
-        row[: len(v)] = v
-    return out
-
-
 def unit(rows):
     import numpy as np
 
@@ -86,8 +117,8 @@ def placed(nodes: DataFrame, main, dealt: list[list[int]], size: int, radius2: f
         steps = {g: [s for s in product((-1, 0, 1), repeat=g) if s < (0,) * g] for g in range(1, GRID + 1)}
 
         def work(batch: dict) -> dict:
-            turned = unit(padded(batch["vec"], size)) @ main
-            node, label = np.array(batch["node"], np.int64), np.array(batch["label"], np.int64)
+            turned = unit(batch["vec"]) @ main
+            node, label = batch["node"], batch["label"]
             out: dict[str, list] = {"node": [], "label": [], "block": [], "cell": [], "home": []}
             for b, columns in enumerate(dealt):
                 width = np.sqrt(radius2 * len(columns) / size + SLACK)
@@ -113,61 +144,160 @@ def placed(nodes: DataFrame, main, dealt: list[list[int]], size: int, radius2: f
                     add(near, cell[near] + s, False)
             return {k: np.concatenate(v) for k, v in out.items()}
 
-        return work
+        return work, lambda: None
 
-    return over_texts(nodes.select("node", "label", "vec"), make, "node long, label long, block int, cell long, home boolean")
+    return over_arrays(nodes.select("node", "label", "vec"), size, make, "node long, label long, block int, cell long, home boolean")
 
 
 def linked(rows: DataFrame, main, dealt: list[list[int]], size: int, similar: float, radius2: float) -> DataFrame:
-    """(node, root, links) per vector and pair of chunks of a cell: links found there, counted in rows of the table, and the
-    smallest vector that links reach within the pair. A pair is counted in the first block that lets it through only."""
+    """(node, root, links) per vector and pair of chunks of a cell: links found there, counted in rows of the table, and a
+    vector that stands for all which links join within the pair. A pair is counted in the first block that lets it through only."""
+    by = ["label", "block", "cell", "lo", "hi"]
 
     def make():
         import numpy as np
 
         budgets = [radius2 * len(c) / size + SLACK for c in dealt]
-
-        def work(g: dict) -> dict:
-            vec = padded(g["vec"], size)
-            turned, scaled = unit(vec) @ main, vec / np.abs(vec).max(axis=1, keepdims=True)
-            norm = np.sqrt((scaled * scaled).sum(axis=1))
-            side, home, node = np.array(g["side"]), np.array(g["home"]), np.array(g["node"], np.int64)
-            weight, length = np.array(g["size"], np.int64), np.array([len(v) for v in g["vec"]])
-            block, links = g["block"][0], np.zeros(len(node), np.int64)
-            left = np.nonzero(side == 0)[0]
-            right = left if side.max() == 0 else np.nonzero(side == 1)[0]
-            at_left, at_right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for start in range(0, len(left), 256):
-                rows = left[start : start + 256]
-                fits = distances(turned[rows][:, dealt[block]], turned[right][:, dealt[block]]) <= budgets[block]
-                fits &= (home[rows][:, None] | home[right]) & (length[rows][:, None] == length[right])
-                if right is left:
-                    fits &= rows[:, None] < right
-                i, j = np.nonzero(fits)
-                i, j = rows[i], right[j]
+        most = max(1, NUMBERS // size)
+        key, held = None, []
+        out: dict[str, list] = {"node": [], "root": [], "links": []}
+
+        def work(block: int, within: bool, g: dict) -> dict:
+            scaled = g["vec"] / np.abs(g["vec"]).max(axis=1, keepdims=True)
+            norm, turned = np.sqrt((scaled * scaled).sum(axis=1)), unit(g["vec"]) @ main
+            parts = [turned[:, c] for c in dealt[: block + 1]]
+            side, home, node, weight, length = (g[n] for n in ("side", "home", "node", "size", "length"))
+            # Products of these rows are squared distances in the block, halved and below zero.
+            own = parts[block]
+            half, one = -(own * own).sum(axis=1, keepdims=True) / 2, np.ones((len(own), 1))
+            here, there = (np.hstack(x).astype(np.float32) for x in ((own, half, one), (own, one, half)))
+            least = -(budgets[block] + COARSE) / 2
+            links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+            found_i, found_j, measured = [], [], None
+
+            def fits(i, j):
+                part = own[i] - own[j]
+                keep = ((part * part).sum(axis=1) <= budgets[block]) & (length[i] == length[j])
+                i, j = i[keep], j[keep]
                 for b in range(block):
-                    part = turned[i][:, dealt[b]] - turned[j][:, dealt[b]]
+                    part = parts[b][i] - parts[b][j]
                     later = (part * part).sum(axis=1) > budgets[b]
                     i, j = i[later], j[later]
                 cosine = np.einsum("ij,ij->i", scaled[i], scaled[j]) / (norm[i] * norm[j])
-                i, j = i[cosine >= similar], j[cosine >= similar]
-                np.add.at(links, i, weight[j])
-                np.add.at(links, j, weight[i])
-                at_left.append(i)
-                at_right.append(j)
-            root = _tree(len(node), np.concatenate(at_left), np.concatenate(at_right))
+                return i[cosine >= similar], j[cosine >= similar]
+
+            def measures():
+                """(rows, halves, least, sign): where products of rows, less both halves, are more than least, or with a sign
+                of -1 less, a pair fits in that respect."""
+                blocks = [(p, (p * p).sum(axis=1) / 2, -budgets[b] / 2, 1 if b == block else -1) for b, p in enumerate(parts)]
+                return [*blocks, (scaled / norm[:, None], np.zeros(len(norm)), similar, 1)]
+
+            def crowded(these, those, first, measured, against):
+                """Which pairs surely fit, and those too close to a limit for products, which are looked at one by one."""
+                sure = length[these][:, None] == length[those]
+                close = np.zeros(sure.shape, bool)
+                for (part, half, least, sign), (to, other) in zip(measured, against):
+                    over = part[these] @ to[:, first:]
+                    over -= half[these][:, None] + least
+                    over -= other[first:]
+                    close |= np.abs(over) <= SLACK
+                    sure &= over * sign > 0
+                return sure & ~close, np.nonzero(close)
+
+            def count(i, j):
+                """Links between the vectors at ``i`` and ``j``, of which those that join trees are kept."""
+                nonlocal root
+                apart = root[i] != root[j]
+                found_i.append(i[apart])
+                found_j.append(j[apart])
+                if sum(map(len, found_i)) > STRIP // 4:
+                    root = joined()
+
+            def joined():
+                i, j = np.concatenate([np.arange(len(root)), *found_i]), np.concatenate([root, *found_j])
+                found_i.clear()
+                found_j.clear()
+                return _tree(len(root), i, j)
+
+            def one_by_one(i, j):
+                for at in range(0, len(i), most):
+                    a, b = fits(i[at : at + most], j[at : at + most])
+                    np.add.at(links, a, weight[b])
+                    np.add.at(links, b, weight[a])
+                    count(a, b)
+
+            # Two guests of a cell meet in another.
+            who = lambda s, h: np.nonzero((side == s) & (home == h))[0]
+            if within:
+                homes = who(0, True)
+                meet = [(homes, homes), (homes, who(0, False))]
+            else:
+                meet = [(who(0, True), who(1, True)), (who(0, True), who(1, False)), (who(0, False), who(1, True))]
+            for rows, columns in meet:
+                from_, to = here[rows], there[columns].T
+                strip, against = max(1, STRIP // max(1, len(columns))), None
+                for start in range(0, len(rows) if len(columns) else 0, strip):
+                    first = start if columns is rows else 0
+                    may = from_[start : start + strip] @ to[:, first:] >= least
+                    if np.count_nonzero(may) * DENSE < may.size:
+                        i, j = np.nonzero(may)
+                        i, j = rows[i + start], columns[j + first]
+                        one_by_one(*((i[i < j], j[i < j]) if columns is rows else (i, j)))
+                        continue
+                    measured = measured or measures()
+                    against = against or [(part[columns].T, half[columns]) for part, half, _, _ in measured]
+                    few = max(1, strip // 4)
+                    for at in range(start, min(start + strip, len(rows)), few):
+                        these, those = rows[at : min(at + few, start + strip)], columns[first:]
+                        sure, (i, j) = crowded(these, those, first, measured, against)
+                        i, j = these[i], those[j]
+                        if columns is rows:
+                            sure &= these[:, None] < those
+                            i, j = i[i < j], j[i < j]
+                        one_by_one(i, j)
+                        links[these] += (sure @ weight[those].astype(float)).astype(np.int64)
+                        links[those] += (weight[these].astype(float) @ sure).astype(np.int64)
+                        i, j = np.nonzero(sure)
+                        count(these[i], those[j])
+            root = joined()
             some = np.nonzero(links)[0]
-            return {"node": node[some].tolist(), "root": node[root[some]].tolist(), "links": links[some].tolist()}
-
-        def distances(x, y):
-            return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
+            return {"node": node[some], "root": node[root[some]], "links": links[some]}
+
+        def flush() -> None:
+            if held:
+                _, block, _, lo, hi = key
+                for name, values in work(int(block), lo == hi, {n: np.concatenate([h[n] for h in held]) for n in held[0]}).items():
+                    out[name].append(values)
+                held.clear()
+
+        def emit() -> dict | None:
+            told = {n: np.concatenate(v) for n, v in out.items()} if out["node"] else None
+            for values in out.values():
+                values.clear()
+            return told
+
+        def step(batch: dict) -> dict | None:
+            nonlocal key
+            keys = np.stack([batch.pop(n).astype(np.int64) for n in by], axis=1)
+            cuts = [*(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(keys)]
+            for start, end in zip([0, *cuts], cuts):
+                now = tuple(keys[start].tolist())
+                if now != key:
+                    flush()
+                    key = now
+                held.append({n: v[start:end] for n, v in batch.items()})
+            return emit() if sum(map(len, out["node"])) > 20_000 else None
+
+        def finish() -> dict | None:
+            flush()
+            return emit()
 
-        return work
+        return step, finish
 
     from docket.llm.jaccard_join import _tree
 
-    columns = ["label", "block", "cell", "lo", "hi", "side", "home", "node", "size", "vec"]
-    return over_groups(rows.select(*columns), ["label", "block", "cell", "lo", "hi"], make, "node long, root long, links long")
+    dealt_out = rows.select(*by, "side", "home", "node", "size", "vec").repartition(*by).sortWithinPartitions(*by)
+    return over_arrays(dealt_out, size, make, "node long, root long, links long")
 
 
 def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -184,10 +314,12 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
     bounded size. Links are counted where they are found and passed on as one row per vector, so a family of m vectors gives
     rows in proportion to m."""
     spark = vectors.sparkSession
-    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    number = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    vec = F.col("embedding").cast(f"array<{number}>").alias("vec")
+    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), vec)
     rows = stored(named.withColumn("row", F.monotonically_increasing_id()))
     # -0.0 and 0.0 are one number.
-    same = usable(rows).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    same = usable(rows).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0).cast(number)))
     nodes = stored(same.groupBy("label", "vec").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("first")))
     size = nodes.agg(F.max(F.size("vec"))).first()[0]
     if size is None:
@@ -198,7 +330,8 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
         cells = stored(placed(nodes, main, dealt, size, radius2))
         key = ["label", "block", "cell"]
         crowd = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).filter("n > 1 AND homes > 0")
-        chunked = cells.join(crowd.select(*key, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), key)
+        chunk = max(1, min(CHUNK, NUMBERS // size))
+        chunked = cells.join(crowd.select(*key, F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), key)
         own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
         both = chunked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         met = both.select(
@@ -206,6 +339,7 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
             (F.col("own") > F.col("other")).cast("int").alias("side"), "home", "node",
         )
         found = stored(linked(met.join(nodes.select("node", "size", "vec"), "node"), main, dealt, size, similar, radius2))
+        forget(cells)
         roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = found.groupBy("node").agg(F.sum("links").alias("links"))
         every = nodes.join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
