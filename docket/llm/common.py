@@ -15,6 +15,8 @@ from docket.session import forget, stored
 CACHE_ENTRIES, CACHE_KEY = 150_000, 64
 # Values that a worker keeps side by side from task to task; any other is kept alone.
 TOGETHER = {"word_hashes", "characters", "powers"}
+# Edges up to which components are found by joins that Spark may broadcast; what is stored looks smaller to it than it is.
+BROADCAST = 500_000
 # Rows that are Python objects at once; Spark's batches hold ten thousand.
 ROWS = 1024
 
@@ -301,15 +303,16 @@ def components(edges: DataFrame) -> DataFrame:
     before they meet, and only one number per round comes to the driver. Roots only fall, so the rounds end."""
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    joined = (lambda df: df) if both.count() <= BROADCAST else (lambda df: df.hint("merge"))
     while True:
-        near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        own = label.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        near = both.join(joined(label), both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        own = label.join(joined(near), "node").select("node", "root", F.least("root", "near").alias("low"))
         # The old root learns of the smaller one too, so whole trees hook together.
         hooks = own.select(F.col("root").alias("node"), "low").union(own.select("node", "low"))
         hooked = stored(hooks.groupBy("node").agg(F.min("low").alias("root")))
-        jump = hooked.alias("x").join(hooked.alias("y"), F.col("x.root") == F.col("y.node"), "left")
+        jump = hooked.alias("x").join(joined(hooked.alias("y")), F.col("x.root") == F.col("y.node"), "left")
         after = stored(jump.select("x.node", F.least(F.col("x.root"), F.coalesce("y.root", "x.root")).alias("root")))
-        changed = after.join(label.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
+        changed = after.join(joined(label.withColumnRenamed("root", "was")), "node").filter("root <> was").limit(1).count()
         forget(hooked, label)
         label = after
         if not changed:

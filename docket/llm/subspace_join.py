@@ -331,26 +331,27 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR) -> DataFrame:
         key = ["label", "block", "cell"]
         crowd = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).filter("n > 1 AND homes > 0")
         chunk = max(1, min(CHUNK, NUMBERS // size))
-        chunked = cells.join(crowd.select(*key, F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), key)
+        # Stored columns and exploded rows look smaller to Spark than they are, so these joins are told not to broadcast.
+        chunked = cells.join(crowd.select(*key, F.ceil(F.col("n") / chunk).cast("int").alias("chunks")).hint("merge"), key)
         own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
         both = chunked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         met = both.select(
             *key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
             (F.col("own") > F.col("other")).cast("int").alias("side"), "home", "node",
         )
-        found = stored(linked(met.join(nodes.select("node", "size", "vec"), "node"), main, dealt, size, similar, radius2))
+        found = stored(linked(met.join(nodes.select("node", "size", "vec").hint("merge"), "node"), main, dealt, size, similar, radius2))
         forget(cells)
         roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
         counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-        every = nodes.join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        every = nodes.join(roots.hint("merge"), "node", "left").join(counts.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         first = every.groupBy("root").agg(F.min("first").alias("component_id"))
-        facts = every.join(first, "root").select(
+        facts = every.join(first.hint("merge"), "root").select(
             "label", "vec", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"
         )
-        links = same.select("row", "label", "vec").join(facts, ["label", "vec"]).select("row", "n_links", "component_id")
+        links = same.select("row", "label", "vec").join(facts.hint("merge"), ["label", "vec"]).select("row", "n_links", "component_id")
     alone = F.col("n_links").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component_id"))
-    return rows.join(links, "row", "left").select(
+    return rows.join(links.hint("merge"), "row", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         component.eqNullSafe(F.col("vec_id")).alias("kept"),
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docket.llm import collocations, lexical_search, subspace_join
+from docket.llm import collocations, common, lexical_search, subspace_join
 
 from .helpers import documents, odd_rows, prose
 
@@ -156,29 +156,33 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, size, chunk):
 
 @pytest.mark.parametrize(("strip", "chunk", "dense"), [(8, 9, 16), (100, 9, 0), (2000, 300, 10**9), (2000, 300, 0)])
 def test_near_vectors_of_crowded_cells_in_small_chunks_and_strips(spark, monkeypatch, strip, chunk, dense):
-    """Chunks of a few vectors, strips of a few pairs, all or none of them compared by products, links folded as they come."""
+    """Chunks of a few vectors, strips of a few pairs, all or none of them compared by products, links folded as they come,
+    joins of components without broadcasts."""
     monkeypatch.setattr(subspace_join, "NUMBERS", 66 * chunk)
     monkeypatch.setattr(subspace_join, "DENSE", dense)
     monkeypatch.setattr(subspace_join, "STRIP", strip)
+    monkeypatch.setattr(common, "BROADCAST", 0)
     rows = vector_rows(66, 5)
     got = subspace_join.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
     assert Counter(tuple(r) for r in got) == brute_vectors([r[:3] for r in rows])
 
 
-def test_near_vectors_are_copied_a_few_times(spark, monkeypatch):
-    """Vectors alike in all directions, one label: the copies dealt out to cells do not grow with the crowd."""
+def test_near_vectors_are_copied_a_few_times_and_not_broadcast(spark, monkeypatch):
+    """Vectors alike in all directions, one label: the copies dealt out to cells do not grow with the crowd, and Spark, which
+    takes exploded rows for few, is kept from broadcasting them."""
     seen, linked = [], subspace_join.linked
 
     def watched(rows, *rest):
-        seen.append(rows.count())
+        seen.append((rows.count(), rows._jdf.queryExecution().executedPlan().toString()))
         return linked(rows, *rest)
 
     monkeypatch.setattr(subspace_join, "linked", watched)
     vectors = np.random.default_rng(1).normal(size=(4000, 64))
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
     assert subspace_join.near_vectors(df).count() == 4000
-    [copies] = seen
+    [(copies, plan)] = seen
     assert copies < 12 * 4000
+    assert "Generate explode" in plan and "Broadcast" not in plan
 
 
 def test_near_vectors_of_an_empty_table_and_without_usable_ones(spark):
