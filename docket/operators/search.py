@@ -38,7 +38,9 @@ def search_names(filings: DataFrame, queries: DataFrame, cell: int = CELL) -> Da
     Names are listed under their pieces of up to three characters that are asked for. A search of three characters and more goes
     by its rarest piece, a shorter one is a piece itself, and the empty text is a piece of every name. What is asked many times in
     a report is looked up and verified once. Its searches and the files it finds are then dealt into cells of about ``cell`` by
-    ``cell``, so that the rows of one text asked often, which are searches times files, are made by many tasks."""
+    ``cell``, so that the rows of one text asked often, which are searches times files, are made by many tasks. A cell's rows come
+    file by file, all searches after one another, so columns of a file are long runs and take next to no room where they are
+    written."""
     needle = F.lower("query")
     asked = queries.select("query_id", F.col("report_id").alias("within"), "query", needle.alias("needle")).filter("needle IS NOT NULL")
     searches = asked.groupBy("within", "needle").agg(F.count(F.lit(1)).alias("searches"))
@@ -51,10 +53,11 @@ def search_names(filings: DataFrame, queries: DataFrame, cell: int = CELL) -> Da
     )
     posted = names.withColumn("gram", F.explode(every)).join(wanted.select("gram").distinct(), "gram", "left_semi")
     chosen = searches.join(rarest(wanted, posted, ["needle"], []), "needle")
+    # Exploded rows look fewer to Spark than they are, so these joins are told not to broadcast.
     one = chosen.filter("within IS NOT NULL").alias("chosen").join(
-        posted.alias("posted"), (F.col("within") == F.col("report_id")) & (F.col("chosen.gram") == F.col("posted.gram"))
+        posted.alias("posted").hint("merge"), (F.col("within") == F.col("report_id")) & (F.col("chosen.gram") == F.col("posted.gram"))
     )
-    everywhere = chosen.filter("within IS NULL").alias("chosen").join(posted.alias("posted"), F.col("chosen.gram") == F.col("posted.gram"))
+    everywhere = chosen.filter("within IS NULL").alias("chosen").join(posted.alias("posted").hint("merge"), F.col("chosen.gram") == F.col("posted.gram"))
     columns = ["within", "needle", "searches", *names.columns]
     found = one.select(*columns).union(everywhere.select(*columns)).filter(text.contains(F.col("needle")))
 
@@ -67,7 +70,7 @@ def search_names(filings: DataFrame, queries: DataFrame, cell: int = CELL) -> Da
     left = counted.select("asked.*", part("query_id", "searches").alias("a"), every_part("files").alias("b"))
     sized = found.alias("asked").join(files.alias("found"), same)
     right = sized.select("asked.*", "files").select("*", part("doc_id", "files").alias("b"), every_part("searches").alias("a"))
-    met = left.alias("asked").join(right.alias("found").hint("merge"), same & (F.col("asked.a") == F.col("found.a")) & (F.col("asked.b") == F.col("found.b")))
+    met = right.alias("found").join(left.alias("asked").hint("merge"), same & (F.col("asked.a") == F.col("found.a")) & (F.col("asked.b") == F.col("found.b")))
     return met.select(
         "query_id", "query", "report_id", "doc_id", "original_filename", "category", "page_count", "is_included"
     )

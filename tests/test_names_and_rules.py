@@ -192,6 +192,18 @@ def test_one_text_asked_often_is_dealt_out(spark, filings):
     assert max(often.count(t) for t in set(often)) < len(often) / 2
 
 
+def test_rows_of_a_search_asked_often_come_file_by_file(spark, filings):
+    """Written, the rows are runs of one file, which take little room; and exploded names are not broadcast."""
+    df = filings(*[{"original_filename": f"Map {i}.pdf", "report_id": 0} for i in range(90)])
+    queries = spark.createDataFrame([(i, 0, "map") for i in range(90)], "query_id int, report_id bigint, query string")
+    found = search.search_names(df, queries, cell=30)
+    tasks = found.select("doc_id", F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 90 * 90
+    assert sum(one != other for one, other in zip(tasks, tasks[1:])) < 90 * 90 / 8
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "gram" in line and "Inner" in line]
+
+
 def test_verdicts_that_fail(spark):
     answers = [
         '{"category": "APPENDIX_A"}', '{"category": "APPENDIX_A", "confidence": "0.5"}', '{"category": "APPENDIX_A", "confidence": "high"}',
